@@ -51,6 +51,7 @@ def _sweep(pings: DataFrame, running: DataFrame, columns: list[str]) -> DataFram
     based = asof_join(pings, opened, ["driver_id"], "ts", "started_at", ["trip_id"],
                       {"_open_id": "trip_id", "_open_at": "started_at"}, HOUR)
     left = based.withColumn("_bucket", bucket_of(F.col("ts"), HOUR))
+    spans = spans.join(left.select("driver_id", "_bucket").distinct(), ["driver_id", "_bucket"], "left_semi")
     schema = f"{_ddl(left)}, trip_id bigint"
     swept = (left.groupBy("driver_id", "_bucket")
              .cogroup(spans.groupBy("driver_id", "_bucket"))
