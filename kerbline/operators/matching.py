@@ -69,11 +69,11 @@ def assign(requests: DataFrame, ranked: DataFrame) -> DataFrame:
         "trip_id", "requested_at", "wishes", F.lit(1).alias("turn")))
     while True:
         wish = F.get("wishes", F.col("turn") - 1)
-        asks = state.withColumn("_driver", wish["driver_id"])
-        best = (asks.filter(F.col("_driver").isNotNull()).groupBy("_driver")
+        asks = state.withColumn("_driver", wish["driver_id"]).filter(F.col("_driver").isNotNull())
+        best = (asks.groupBy("_driver")
                 .agg(F.min(F.struct("requested_at", "trip_id")).alias("_best")))
-        judged = asks.join(best, "_driver", "left")
-        lost = F.col("_best").isNotNull() & (F.col("_best.trip_id") != F.col("trip_id"))
+        judged = asks.join(best, "_driver")
+        lost = F.col("_best.trip_id") != F.col("trip_id")
         state = cut_lineage(judged.select("trip_id", "requested_at", "wishes",
                                           (F.col("turn") + lost.cast("int")).alias("turn"), lost.alias("_moved")))
         if state.filter("_moved").isEmpty():

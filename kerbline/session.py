@@ -18,6 +18,7 @@ def local_session(cores: str | int = "*", **extra: str) -> SparkSession:
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in extra.items():
         builder = builder.config(key, value)
