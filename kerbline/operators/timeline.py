@@ -69,3 +69,15 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: s
     joined = lkeyed.join(spans.alias("r"), cond, how)
     return joined.select(*[F.col(f"l.{c}").alias(c) for c in left.columns],
                          *[F.col("r._hit")[out].alias(out) for out in values])
+
+
+def running_max(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str, seconds: int) -> DataFrame:
+    """Largest ``value`` of the key up to and including each row in ``order``."""
+    bucket = "_bucket"
+    rows = df.withColumn(bucket, bucket_of(F.col(order[0]), seconds))
+    inside = W.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    before = W.partitionBy(*keys).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
+    carried = (rows.groupBy(*keys, bucket).agg(F.max(value).alias("_top"))
+               .select(*keys, bucket, F.max("_top").over(before).alias("_carry")))
+    return (rows.withColumn("_near", F.max(value).over(inside)).join(carried, [*keys, bucket])
+            .select(*df.columns, F.greatest("_near", "_carry").alias(out)))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -12,10 +12,11 @@ from kerbline.functions import geo
 from kerbline.functions.fares import tariff_fare, whole_minutes
 from kerbline.model import LOCATION_RETENTION_DAYS, LOCATION_TTL
 from kerbline.operators.pricing import with_trip_tariff
-from kerbline.operators.timeline import asof_join, bucket_of, previous_in_key
+from kerbline.operators.timeline import asof_join, bucket_of, previous_in_key, running_max
 from kerbline.operators.trips import live
 
 HOUR = 3600
+DAY = 24 * HOUR
 MINUTE = 60
 
 
@@ -25,64 +26,67 @@ def _running(trips: DataFrame) -> DataFrame:
             .select("driver_id", F.col("id").alias("trip_id"), "started_at", F.col("completed_at").alias("ended_at")))
 
 
-def attach_pings(pings: DataFrame, trips: DataFrame, ping_id: str = "ping_id") -> DataFrame:
+def attach_pings(pings: DataFrame, trips: DataFrame) -> DataFrame:
     """Each ping with its driver's latest-started trip in progress at that time; null when there is none.
 
-    First the latest started trip of the driver. Only where that trip is already over can an earlier,
-    overlapping one still run; those few pings are swept against the trips that span their bucket.
+    As-of joins find the latest-started trip and the latest-started one that never ended. Only a ping whose
+    latest trip is over while an older, longer one may still run is swept in time order.
     """
     running = _running(trips)
-    values = {"trip_id": "trip_id", "ended_at": "ended_at"}
-    latest = asof_join(pings, running, ["driver_id"], "ts", "started_at", ["trip_id"], values, HOUR)
-    over = F.col("ended_at") <= F.col("ts")
-    settled = latest.filter(F.coalesce(~over, F.lit(True))).drop("ended_at")
-    open_later = latest.filter(over).drop("ended_at", "trip_id")
-    return settled.unionByName(_sweep(open_later, running, pings.columns))
+    ranked = running_max(running, ["driver_id"], ["started_at", "trip_id"], "ended_at", "longest", DAY)
+    opened = running.filter(F.col("ended_at").isNull())
+    latest = asof_join(pings, ranked, ["driver_id"], "ts", "started_at", ["trip_id"],
+                       {"_trip": "trip_id", "_end": "ended_at", "_longest": "longest"}, HOUR)
+    based = asof_join(latest, opened, ["driver_id"], "ts", "started_at", ["trip_id"],
+                      {"_open": "trip_id", "_open_at": "started_at"}, HOUR)
+    over = F.coalesce(F.col("_end") <= F.col("ts"), F.lit(False))
+    nested = over & (F.col("_longest") > F.col("ts"))
+    plain = (based.filter(~F.coalesce(nested, F.lit(False)))
+             .select(*pings.columns, F.when(over, F.col("_open")).otherwise(F.col("_trip")).alias("trip_id")))
+    return plain.unionByName(_sweep(based.filter(nested), running, pings.columns))
 
 
 def _sweep(pings: DataFrame, running: DataFrame, columns: list[str]) -> DataFrame:
-    """Pings whose latest-started trip is over, resolved inside each (driver, hour) without pairing."""
-    closed = running.filter(F.col("ended_at").isNotNull())
+    """Nested pings resolved in one sorted pass per partition, without pairing pings and trips."""
+    key = ["driver_id", "_bucket"]
+    asked = pings.select(*columns, "_open", F.unix_micros("_open_at").alias("_open_at"),
+                         bucket_of(F.col("ts"), HOUR).alias("_bucket"), F.unix_micros("ts").alias("_at"), F.lit(1).alias("_kind"))
     first, last = bucket_of(F.col("started_at"), HOUR), bucket_of(F.col("ended_at"), HOUR)
-    spans = closed.select("driver_id", "trip_id", "started_at", "ended_at",
-                          F.explode(F.sequence(first, last)).alias("_bucket"))
-    # A trip that never ended outranks nothing started later, so the as-of step over open trips is enough.
-    opened = running.filter(F.col("ended_at").isNull())
-    based = asof_join(pings, opened, ["driver_id"], "ts", "started_at", ["trip_id"],
-                      {"_open_id": "trip_id", "_open_at": "started_at"}, HOUR)
-    left = based.withColumn("_bucket", bucket_of(F.col("ts"), HOUR))
-    spans = spans.join(left.select("driver_id", "_bucket").distinct(), ["driver_id", "_bucket"], "left_semi")
-    schema = f"{_ddl(left)}, trip_id bigint"
-    swept = (left.groupBy("driver_id", "_bucket")
-             .cogroup(spans.groupBy("driver_id", "_bucket"))
-             .applyInPandas(_latest_running, schema))
-    return swept.select(*columns, "trip_id")
-
-
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-
-
-def _latest_running(pings: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
-    """Sweep in time order; a stack by start time keeps the latest trip still running on top."""
-    pings = pings.sort_values("ts", kind="stable")
-    spans = spans.sort_values(["started_at", "trip_id"], kind="stable")
-    starts, ends, ids = (spans[c].to_numpy() for c in ("started_at", "ended_at", "trip_id"))
-    stack: list[int] = []
-    at, out = 0, np.empty(len(pings), dtype=object)
-    for i, row in enumerate(zip(pings["ts"].to_numpy(), pings["_open_id"], pings["_open_at"].to_numpy())):
-        ts, open_id, open_at = row
-        while at < len(starts) and starts[at] <= ts:
-            while stack and ends[stack[-1]] <= ends[at]:
-                stack.pop()
-            stack.append(at)
-            at += 1
-        while stack and ends[stack[-1]] <= ts:
-            stack.pop()
-        out[i] = None if pd.isna(open_id) else int(open_id)
-        if stack and (out[i] is None or (starts[stack[-1]], ids[stack[-1]]) > (open_at, out[i])):
-            out[i] = int(ids[stack[-1]])
-    return pings.assign(trip_id=pd.array(out, dtype="Int64"))
+    spans = (running.filter(F.col("ended_at").isNotNull())
+             .select("driver_id", F.explode(F.sequence(first, last)).alias("_bucket"), F.unix_micros("started_at").alias("_at"),
+                     F.lit(0).alias("_kind"), F.unix_micros("ended_at").alias("_until"), F.col("trip_id").alias("_span"))
+             .join(asked.select(*key).distinct(), key, "left_semi"))
+    rows = (asked.unionByName(spans, allowMissingColumns=True).repartition(*key)
+            .sortWithinPartitions(*key, "_at", "_kind", "_span"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*columns).schema)
+    return rows.mapInPandas(_latest_running(columns), f"{schema}, trip_id bigint")
+
+
+def _latest_running(columns: list[str]):
+    """Rows come in time order per key. A stack by start time keeps the latest trip still running on top."""
+
+    def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, stack = None, []
+        for batch in batches:
+            picked = []
+            fields = ("driver_id", "_bucket", "_kind", "_at", "_until", "_span", "_open", "_open_at")
+            for driver, bucket, kind, at, until, span, opened, opened_at in batch[list(fields)].itertuples(index=False):
+                if (driver, bucket) != key:
+                    key, stack = (driver, bucket), []
+                limit = until if kind == 0 else at
+                while stack and stack[-1][2] <= limit:
+                    stack.pop()
+                if kind == 0:
+                    stack.append((at, int(span), until))
+                    continue
+                best = None if pd.isna(opened) else (opened_at, int(opened))
+                if stack and (best is None or stack[-1][:2] > best):
+                    best = stack[-1][:2]
+                picked.append(None if best is None else best[1])
+            pings = batch.loc[batch["_kind"] == 1, columns]
+            yield pings.assign(trip_id=pd.array(picked, dtype="Int64"))
+
+    return sweep
 
 
 def location_log(attached: DataFrame) -> DataFrame:
