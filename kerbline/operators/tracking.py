@@ -191,3 +191,14 @@ def route_replay(log: DataFrame, trips: DataFrame) -> DataFrame:
     inside = W.partitionBy("trip_id", "_minute").orderBy("recorded_at", "id")
     return (rows.withColumn("_rank", F.row_number().over(inside)).join(offsets, ["trip_id", "_minute"])
             .select("trip_id", (F.col("_before") + F.col("_rank")).cast("bigint").alias("seq"), "lat", "lng", "recorded_at"))
+
+
+def silent_while_driving(pings: DataFrame, trips: DataFrame, seconds: int = 60) -> DataFrame:
+    """Pings followed by a silence longer than ``seconds`` while their trip was in progress: the driver is flagged."""
+    heard = previous_in_key(pings.select("driver_id", F.col("order_trip_id").alias("trip_id"), "ping_id", "ts"),
+                            ["driver_id"], ["ts", "ping_id"], {"_next": "ts"}, HOUR, following=True)
+    offline_at = F.col("ts") + F.make_dt_interval(secs=F.lit(seconds))
+    quiet = heard.filter(F.col("_next").isNull() | (F.col("_next") > offline_at)).withColumn("offline_at", offline_at)
+    running = _running(trips).select("trip_id", "started_at", "ended_at")
+    during = (F.col("offline_at") >= F.col("started_at")) & (F.col("ended_at").isNull() | (F.col("offline_at") < F.col("ended_at")))
+    return quiet.join(running, "trip_id").filter(during).select("driver_id", "trip_id", "ping_id", "offline_at")
