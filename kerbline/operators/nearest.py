@@ -1,4 +1,4 @@
-"""Exact k nearest points inside a radius, with search blocks sized by local density."""
+"""Exact k nearest points inside a radius, over cells sized by local density."""
 
 from __future__ import annotations
 
@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from kerbline.functions import geo
 
 KM_PER_DEGREE = geo.EARTH_RADIUS_KM * math.pi / 180
-FINEST_LEVEL = 10
+DENSITY_LEVEL = 7  # finest level at which local density is read
+CELL_STEPS = 2  # request cells are this many levels finer than the density level they fall under
 NEIGHBOURS = tuple((dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1))
 
 
@@ -27,9 +28,21 @@ class Grid:
         self.lat_step = step
         self.columns = max(3, int(360.0 * shrink / (step * margin)))
         self.lng_step = 360.0 / self.columns
-        # A block of 3x3 cells reaches at most two cells away; its far corner fits one cell `shift` levels up.
-        widest = self.lng_step / step
-        self.shift = math.ceil(math.log2(2 * math.sqrt(1 + widest * widest) * margin))
+        self.widest = self.lng_step / step
+        self.side_km = radius_km * margin
+        # The far corner of a 3x3 block lies at most this many cells away from any point of its middle cell.
+        self.corner = math.ceil(2 * math.sqrt(1 + self.widest ** 2) * margin)
+
+    def half_diagonal(self, level: Column) -> Column:
+        return F.lit(self.side_km * math.sqrt(1 + self.widest ** 2) / 2 * 1.001) / self._scale(level)
+
+    def reach(self, level: Column) -> Column:
+        """Cells to look at on each side: up to the far corner, or to the radius where that is nearer."""
+        return F.least(F.lit(self.corner), self._scale(level).cast("int"))
+
+    def middle(self, row: Column, col: Column, level: Column) -> tuple[Column, Column]:
+        scale = self._scale(level)
+        return ((row + 0.5) * self.lat_step / scale - 90.0, (col + 0.5) * self.lng_step / scale - 180.0)
 
     def row(self, lat: Column, level: Column | int) -> Column:
         return F.floor((lat + 90.0) / F.lit(self.lat_step) * self._scale(level)).cast("bigint")
@@ -57,56 +70,78 @@ def max_abs_latitude(*sides: tuple[DataFrame, str]) -> float:
     return float(stacked.agg(F.coalesce(F.max("v"), F.lit(0.0))).first()[0])
 
 
+def parent(index: Column, steps: Column) -> Column:
+    return F.floor(index / F.pow(F.lit(2.0), steps)).cast("bigint")
+
+
 def nearest(requests: DataFrame, points: DataFrame, radius_km: float, k: int, request_id: str = "trip_id",
             point_id: str = "driver_id", lat: str = "pickup_lat", lng: str = "pickup_lng",
             max_abs_lat: float | None = None) -> DataFrame:
-    """The ``k`` nearest points (``lat``, ``lng``, ``point_id``) of each request, ties by id: (ids, km, rank).
+    """The ``k`` nearest points (``lat``, ``lng``, ``point_id``) of each request, ties by id: (ids, km, geo_rank).
 
-    Where 3x3 cells of some level already hold ``k`` points, no nearer-than-k-th point lies outside the 3x3
-    cells ``shift`` levels up. So dense areas search small blocks and only sparse ones the full radius:
-    a request meets a handful of points, never all points in reach. Points on the same spot are first cut to
-    the ``k`` smallest ids, which no answer can miss.
+    Work is done per request *cell*, then per request:
+
+    * density: the finest level whose 3x3 cells around a place hold ``k`` points bounds the k-th distance there;
+    * shortlist: a small cell keeps the points not farther from its middle than its k-th one plus the cell's
+      diagonal. By the triangle inequality nothing else can be among the ``k`` nearest of any request in it;
+    * answer: each request is compared with its cell's shortlist only, about ``k`` points.
+
+    Points on the same spot are first cut to the ``k`` smallest ids, which no answer can miss.
     """
     if max_abs_lat is None:
         max_abs_lat = max_abs_latitude((requests, lat), (points, "lat"))
     grid = Grid(radius_km, max_abs_lat)
-    levels = F.explode(F.sequence(F.lit(0), F.lit(FINEST_LEVEL))).alias("level")
+    finest = DENSITY_LEVEL + CELL_STEPS
+    levels = F.explode(F.sequence(F.lit(0), F.lit(DENSITY_LEVEL))).alias("level")
+
     spot = W.partitionBy("lat", "lng").orderBy(point_id)
     spots = (points.select(point_id, "lat", "lng").withColumn("_n", F.row_number().over(spot))
-             .filter(F.col("_n") <= k).drop("_n"))
-    located = spots.select("*", levels)
-    placed = located.select(point_id, "lat", "lng", "level", grid.row(F.col("lat"), F.col("level")).alias("row"),
-                            grid.col(F.col("lng"), F.col("level")).alias("col"))
+             .filter(F.col("_n") <= k).drop("_n").select("*", levels))
+    placed = spots.select(point_id, "lat", "lng", "level", grid.row(F.col("lat"), F.col("level")).alias("row"),
+                          grid.col(F.col("lng"), F.col("level")).alias("col"))
     steps = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in NEIGHBOURS]))
-    filled = (placed.groupBy("level", "row", "col").agg(F.count(F.lit(1)).alias("n"))
-              .select("level", "row", "col", "n", steps.alias("s"))
-              .groupBy("level", (F.col("row") + F.col("s.dy")).alias("row"),
-                       grid.wrap(F.col("col") + F.col("s.dx"), F.col("level")).alias("col"))
-              .agg(F.sum("n").alias("n")).filter(F.col("n") >= k))
+    dense = (placed.groupBy("level", "row", "col").agg(F.count(F.lit(1)).alias("n"))
+             .select("level", "row", "col", "n", steps.alias("s"))
+             .groupBy("level", (F.col("row") + F.col("s.dy")).alias("row"),
+                      grid.wrap(F.col("col") + F.col("s.dx"), F.col("level")).alias("col"))
+             .agg(F.sum("n").alias("n")).filter(F.col("n") >= k).select("level", "row", "col", F.lit(True).alias("_dense")))
+
     asked = requests.select(request_id, F.col(lat).alias("_lat"), F.col(lng).alias("_lng"),
-                            grid.row(F.col(lat), FINEST_LEVEL).alias("_row"), grid.col(F.col(lng), FINEST_LEVEL).alias("_col"))
-    cells = asked.select("_row", "_col").distinct()
-    down = F.lit(FINEST_LEVEL) - F.col("level")
-    chosen = (cells.select("*", levels)
-              .withColumn("row", F.floor(F.col("_row") / F.pow(F.lit(2.0), down)).cast("bigint"))
-              .withColumn("col", F.floor(F.col("_col") / F.pow(F.lit(2.0), down)).cast("bigint"))
-              .join(filled, ["level", "row", "col"], "left")
-              .groupBy("_row", "_col")
-              .agg(F.greatest(F.lit(0), F.coalesce(F.max(F.when(F.col("n").isNotNull(), F.col("level"))), F.lit(0))
-                              - grid.shift).alias("level")))
-    down = F.lit(FINEST_LEVEL) - F.col("level")
-    blocks = chosen.select("_row", "_col", "level",
-                           F.floor(F.col("_row") / F.pow(F.lit(2.0), down)).cast("bigint").alias("row"),
-                           F.floor(F.col("_col") / F.pow(F.lit(2.0), down)).cast("bigint").alias("col"))
-    block = ["level", "row", "col"]
-    reach = (blocks.select(*block).distinct().select("*", steps.alias("s"))
-             .select(*block, (F.col("row") + F.col("s.dy")).alias("_r"),
-                     grid.wrap(F.col("col") + F.col("s.dx"), F.col("level")).alias("_c")))
-    candidates = (placed.withColumnsRenamed({"row": "_r", "col": "_c"}).join(reach, ["level", "_r", "_c"])
-                  .select(*block, point_id, "lat", "lng"))
-    keyed = asked.join(blocks, ["_row", "_col"])
+                            grid.row(F.col(lat), finest).alias("_r"), grid.col(F.col(lng), finest).alias("_c"))
+    up = F.lit(finest) - F.col("level")
+    cell = ["cell_level", "cell_row", "cell_col"]
+    cell_up = F.lit(finest - CELL_STEPS) - F.col("density")
+    placed_cells = (asked.select("_r", "_c").distinct().select("*", levels)
+                    .select("_r", "_c", "level", parent(F.col("_r"), up).alias("row"), parent(F.col("_c"), up).alias("col"))
+                    .join(dense, ["level", "row", "col"], "left")
+                    .groupBy("_r", "_c").agg(F.coalesce(F.max(F.when(F.col("_dense"), F.col("level"))), F.lit(0)).alias("density"))
+                    .select("_r", "_c", (F.col("density") + CELL_STEPS).alias("cell_level"),
+                            parent(F.col("_r"), cell_up).alias("cell_row"), parent(F.col("_c"), cell_up).alias("cell_col")))
+
+    density = F.col("cell_level") - CELL_STEPS
+    span = grid.reach(F.col("level"))
+    window = (placed_cells.select(*cell).distinct()
+              .select(*cell, density.alias("level"), parent(F.col("cell_row"), F.lit(CELL_STEPS)).alias("_br"),
+                      parent(F.col("cell_col"), F.lit(CELL_STEPS)).alias("_bc"))
+              .select("*", F.explode(F.sequence(-span, span)).alias("_dy"))
+              .select("*", F.explode(F.sequence(-span, span)).alias("_dx"))
+              .select(*cell, "level", (F.col("_br") + F.col("_dy")).alias("row"),
+                      grid.wrap(F.col("_bc") + F.col("_dx"), F.col("level")).alias("col"))
+              .distinct())
+    mid_lat, mid_lng = grid.middle(F.col("cell_row"), F.col("cell_col"), F.col("cell_level"))
+    half = grid.half_diagonal(F.col("cell_level"))
+    in_cell = W.partitionBy(*cell)
+    shortlist = (window.join(placed, ["level", "row", "col"])
+                 .select(*cell, point_id, "lat", "lng",
+                         geo.haversine_km(mid_lat, mid_lng, F.col("lat"), F.col("lng"), clamp=True).alias("_mid_km"))
+                 .filter(F.col("_mid_km") <= F.lit(radius_km) + half)
+                 .withColumn("_n", F.row_number().over(in_cell.orderBy("_mid_km")))
+                 .withColumn("_kth", F.max(F.when(F.col("_n") == k, F.col("_mid_km"))).over(in_cell))
+                 .filter(F.col("_kth").isNull() | (F.col("_mid_km") <= F.col("_kth") + 2 * half))
+                 .select(*cell, point_id, "lat", "lng"))
+
     km = geo.haversine_km(F.col("_lat"), F.col("_lng"), F.col("lat"), F.col("lng"))
-    met = (keyed.join(candidates, block).select(request_id, point_id, km.alias("km"))
-           .filter(F.col("km") <= radius_km))
+    met = (asked.join(placed_cells, ["_r", "_c"]).join(shortlist, cell)
+           .select(request_id, point_id, km.alias("km")).filter(F.col("km") <= radius_km))
     order = W.partitionBy(request_id).orderBy("km", point_id)
     return met.withColumn("geo_rank", F.row_number().over(order)).filter(F.col("geo_rank") <= k)

@@ -12,11 +12,10 @@ from kerbline.functions import geo
 from kerbline.functions.fares import tariff_fare, whole_minutes
 from kerbline.model import LOCATION_RETENTION_DAYS, LOCATION_TTL
 from kerbline.operators.pricing import with_trip_tariff
-from kerbline.operators.timeline import asof_join, bucket_of, previous_in_key, running_max
+from kerbline.operators.timeline import bucket_of, carry_forward, previous_in_key, with_carried
 from kerbline.operators.trips import live
 
 HOUR = 3600
-DAY = 24 * HOUR
 MINUTE = 60
 
 
@@ -29,64 +28,62 @@ def _running(trips: DataFrame) -> DataFrame:
 def attach_pings(pings: DataFrame, trips: DataFrame) -> DataFrame:
     """Each ping with its driver's latest-started trip in progress at that time; null when there is none.
 
-    As-of joins find the latest-started trip and the latest-started one that never ended. Only a ping whose
-    latest trip is over while an older, longer one may still run is swept in time order.
+    Trips that ended become, per driver and hour, segments that name the winner; trips that never ended are an
+    as-of source. Pings are then shuffled and sorted once, and take the later-started of the two.
     """
     running = _running(trips)
-    ranked = running_max(running, ["driver_id"], ["started_at", "trip_id"], "ended_at", "longest", DAY)
     opened = running.filter(F.col("ended_at").isNull())
-    latest = asof_join(pings, ranked, ["driver_id"], "ts", "started_at", ["trip_id"],
-                       {"_trip": "trip_id", "_end": "ended_at", "_longest": "longest"}, HOUR)
-    based = asof_join(latest, opened, ["driver_id"], "ts", "started_at", ["trip_id"],
-                      {"_open": "trip_id", "_open_at": "started_at"}, HOUR)
-    over = F.coalesce(F.col("_end") <= F.col("ts"), F.lit(False))
-    nested = over & (F.col("_longest") > F.col("ts"))
-    plain = (based.filter(~F.coalesce(nested, F.lit(False)))
-             .select(*pings.columns, F.when(over, F.col("_open")).otherwise(F.col("_trip")).alias("trip_id")))
-    return plain.unionByName(_sweep(based.filter(nested), running, pings.columns))
-
-
-def _sweep(pings: DataFrame, running: DataFrame, columns: list[str]) -> DataFrame:
-    """Nested pings resolved in one sorted pass per partition, without pairing pings and trips."""
-    key = ["driver_id", "_bucket"]
-    asked = pings.select(*columns, "_open", F.unix_micros("_open_at").alias("_open_at"),
-                         bucket_of(F.col("ts"), HOUR).alias("_bucket"), F.unix_micros("ts").alias("_at"), F.lit(1).alias("_kind"))
+    hit = F.struct(F.unix_micros("started_at").alias("started"), F.col("trip_id").alias("id"))
+    wanted = pings.select("driver_id", bucket_of(F.col("ts"), HOUR).alias("_bucket"))
+    sources = {"_open": with_carried(opened, ["driver_id"], "started_at", ["trip_id"], hit, HOUR, wanted),
+               "_closed": _segments(running.filter(F.col("ended_at") > F.col("started_at")))}
+    found = carry_forward(pings, ["driver_id"], "ts", HOUR, sources)
+    return found.select(*pings.columns, F.greatest("_open", "_closed")["id"].alias("trip_id"))
+
+
+def _segments(closed: DataFrame) -> DataFrame:
+    """From which instant which closed trip is the latest-started one running, per (driver, hour) it touches."""
     first, last = bucket_of(F.col("started_at"), HOUR), bucket_of(F.col("ended_at"), HOUR)
-    spans = (running.filter(F.col("ended_at").isNotNull())
-             .select("driver_id", F.explode(F.sequence(first, last)).alias("_bucket"), F.unix_micros("started_at").alias("_at"),
-                     F.lit(0).alias("_kind"), F.unix_micros("ended_at").alias("_until"), F.col("trip_id").alias("_span"))
-             .join(asked.select(*key).distinct(), key, "left_semi"))
-    rows = (asked.unionByName(spans, allowMissingColumns=True).repartition(*key)
-            .sortWithinPartitions(*key, "_at", "_kind", "_span"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*columns).schema)
-    return rows.mapInPandas(_latest_running(columns), f"{schema}, trip_id bigint")
-
-
-def _latest_running(columns: list[str]):
-    """Rows come in time order per key. A stack by start time keeps the latest trip still running on top."""
-
-    def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, stack = None, []
-        for batch in batches:
-            picked = []
-            fields = ("driver_id", "_bucket", "_kind", "_at", "_until", "_span", "_open", "_open_at")
-            for driver, bucket, kind, at, until, span, opened, opened_at in batch[list(fields)].itertuples(index=False):
-                if (driver, bucket) != key:
-                    key, stack = (driver, bucket), []
-                limit = until if kind == 0 else at
-                while stack and stack[-1][2] <= limit:
-                    stack.pop()
-                if kind == 0:
-                    stack.append((at, int(span), until))
-                    continue
-                best = None if pd.isna(opened) else (opened_at, int(opened))
-                if stack and (best is None or stack[-1][:2] > best):
-                    best = stack[-1][:2]
-                picked.append(None if best is None else best[1])
-            pings = batch.loc[batch["_kind"] == 1, columns]
-            yield pings.assign(trip_id=pd.array(picked, dtype="Int64"))
-
-    return sweep
+    spans = closed.select("driver_id", F.explode(F.sequence(first, last)).alias("_bucket"), "trip_id",
+                          F.unix_micros("started_at").alias("_at"), F.unix_micros("ended_at").alias("_until"))
+    rows = spans.repartition("driver_id", "_bucket").sortWithinPartitions("driver_id", "_bucket", "_at", "trip_id")
+    swept = rows.mapInPandas(_winners, "driver_id bigint, _bucket bigint, _at bigint, _seq bigint, started bigint, id bigint")
+    return swept.select("driver_id", "_bucket", F.timestamp_micros("_at").alias("_from"), F.col("_seq").alias("_rank"),
+                        F.struct("started", "id").alias("_hit"))
+
+
+def _winners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One pass over trips sorted by start. The stack holds running trips, latest start on top; a trip that ends
+    no later than a newer one can never win again, so ends grow towards the bottom."""
+    columns = ["driver_id", "_bucket", "_at", "_seq", "started", "id"]
+    key, stack, seq = None, [], 0
+    for batch in batches:
+        out: list[tuple] = []
+
+        def close(limit: float) -> None:
+            nonlocal seq
+            while stack and stack[-1][2] <= limit:
+                ended = stack.pop()[2]
+                seq += 1
+                out.append((*key, ended, seq, *(stack[-1][:2] if stack else (None, None))))
+
+        for driver, bucket, trip, at, until in batch.itertuples(index=False):
+            if (driver, bucket) != key:
+                close(float("inf"))
+                key, seq = (driver, bucket), 0
+            close(at)
+            while stack and stack[-1][2] <= until:
+                stack.pop()
+            stack.append((at, trip, until))
+            seq += 1
+            out.append((driver, bucket, at, seq, at, trip))
+        yield pd.DataFrame(out, columns=columns).astype({"started": "Int64", "id": "Int64"})
+    out = []
+    while stack:
+        ended = stack.pop()[2]
+        seq += 1
+        out.append((*key, ended, seq, *(stack[-1][:2] if stack else (None, None))))
+    yield pd.DataFrame(out, columns=columns).astype({"started": "Int64", "id": "Int64"})
 
 
 def location_log(attached: DataFrame) -> DataFrame:
