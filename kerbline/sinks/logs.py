@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+VERSION, BATCH = "snapshot_version", "ingest_batch"  # folder columns
+
 
 def append_log(df: DataFrame, root: str, time_column: str, date_column: str, grain: str = "day") -> None:
     """Append to a log partitioned by day (or week, month). Rebalancing splits a crowded date and joins thin ones."""
@@ -14,7 +16,7 @@ def append_log(df: DataFrame, root: str, time_column: str, date_column: str, gra
 
 def append_batch(df: DataFrame, root: str, batch_id: int) -> None:
     """Append one micro-batch. A replayed batch overwrites its own folder, so rows are written once."""
-    df.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+    df.write.mode("overwrite").parquet(f"{root}/{BATCH}={batch_id}")
 
 
 def read_snapshot(spark: SparkSession, root: str, before: int | None = None) -> DataFrame | None:
@@ -24,9 +26,9 @@ def read_snapshot(spark: SparkSession, root: str, before: int | None = None) ->
     except AnalysisException:
         return None
     if before is not None:
-        versions = versions.filter(F.col("v") < before)
-    newest = versions.agg(F.max("v")).first()[0]
-    return None if newest is None else versions.filter(F.col("v") == newest).drop("v")
+        versions = versions.filter(F.col(VERSION) < before)
+    newest = versions.agg(F.max(VERSION)).first()[0]
+    return None if newest is None else versions.filter(F.col(VERSION) == newest).drop(VERSION)
 
 
 def latest_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -48,4 +50,4 @@ def upsert_snapshot(changes: DataFrame, root: str, version: int, keys: list[str]
     if previous is not None:
         marked = marked.unionByName(previous.withColumn("_gone", F.lit(False)).withColumn("_new", F.lit(0)), allowMissingColumns=True)
     kept = latest_per_key(marked, keys, [*order, "_new", "_gone"]).filter(~F.col("_gone")).drop("_gone", "_new")
-    kept.write.mode("overwrite").parquet(f"{root}/v={version}")
+    kept.write.mode("overwrite").parquet(f"{root}/{VERSION}={version}")
