@@ -7,9 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from kerbline.functions import geo
+from kerbline.session import written
 
 KM_PER_DEGREE = geo.EARTH_RADIUS_KM * math.pi / 180
-DENSITY_LEVEL = 7  # finest level at which local density is read
+USUAL_LEVEL = 7  # density is read down to this level, deeper only where points crowd
+DEEPEST_LEVEL = 20
 CELL_STEPS = 2  # request cells are this many levels finer than the density level they fall under
 NEIGHBOURS = tuple((dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1))
 
@@ -74,6 +76,15 @@ def parent(index: Column, steps: Column) -> Column:
     return F.floor(index / F.pow(F.lit(2.0), steps)).cast("bigint")
 
 
+def density_level(spots: DataFrame, grid: Grid, k: int) -> int:
+    """Level at which no cell holds more than a few times ``k`` points: one small aggregate over the points."""
+    placed = spots.select("lat", "lng", F.explode(F.sequence(F.lit(USUAL_LEVEL), F.lit(DEEPEST_LEVEL))).alias("level"))
+    crowd = (placed.groupBy("level", grid.row(F.col("lat"), F.col("level")).alias("row"), grid.col(F.col("lng"), F.col("level")).alias("col"))
+             .count().groupBy("level").agg(F.max("count").alias("most")))
+    found = crowd.filter(F.col("most") <= 4 * k).agg(F.min("level")).first()[0]
+    return DEEPEST_LEVEL if found is None else found
+
+
 def nearest(requests: DataFrame, points: DataFrame, radius_km: float, k: int, request_id: str = "trip_id",
             point_id: str = "driver_id", lat: str = "pickup_lat", lng: str = "pickup_lng",
             max_abs_lat: float | None = None) -> DataFrame:
@@ -86,18 +97,19 @@ def nearest(requests: DataFrame, points: DataFrame, radius_km: float, k: int, re
       diagonal. By the triangle inequality nothing else can be among the ``k`` nearest of any request in it;
     * answer: each request is compared with its cell's shortlist only, about ``k`` points.
 
+    The cells and shortlists are written once, so their sizes are known when Spark picks the joins.
     Points on the same spot are first cut to the ``k`` smallest ids, which no answer can miss.
     """
     if max_abs_lat is None:
         max_abs_lat = max_abs_latitude((requests, lat), (points, "lat"))
     grid = Grid(radius_km, max_abs_lat)
-    finest = DENSITY_LEVEL + CELL_STEPS
-    levels = F.explode(F.sequence(F.lit(0), F.lit(DENSITY_LEVEL))).alias("level")
-
     spot = W.partitionBy("lat", "lng").orderBy(point_id)
     spots = (points.select(point_id, "lat", "lng").withColumn("_n", F.row_number().over(spot))
-             .filter(F.col("_n") <= k).drop("_n").select("*", levels))
-    placed = spots.select(point_id, "lat", "lng", "level", grid.row(F.col("lat"), F.col("level")).alias("row"),
+             .filter(F.col("_n") <= k).drop("_n"))
+    deepest = density_level(spots, grid, k)
+    finest = deepest + CELL_STEPS
+    levels = F.explode(F.sequence(F.lit(0), F.lit(deepest))).alias("level")
+    placed = spots.select("*", levels).select(point_id, "lat", "lng", "level", grid.row(F.col("lat"), F.col("level")).alias("row"),
                           grid.col(F.col("lng"), F.col("level")).alias("col"))
     steps = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in NEIGHBOURS]))
     dense = (placed.groupBy("level", "row", "col").agg(F.count(F.lit(1)).alias("n"))
@@ -118,6 +130,8 @@ def nearest(requests: DataFrame, points: DataFrame, radius_km: float, k: int, re
                     .select("_r", "_c", (F.col("density") + CELL_STEPS).alias("cell_level"),
                             parent(F.col("_r"), cell_up).alias("cell_row"), parent(F.col("_c"), cell_up).alias("cell_col")))
 
+    placed_cells = written(placed_cells, "request-cells")
+
     density = F.col("cell_level") - CELL_STEPS
     span = grid.reach(F.col("level"))
     window = (placed_cells.select(*cell).distinct()
@@ -130,18 +144,20 @@ def nearest(requests: DataFrame, points: DataFrame, radius_km: float, k: int, re
               .distinct())
     mid_lat, mid_lng = grid.middle(F.col("cell_row"), F.col("cell_col"), F.col("cell_level"))
     half = grid.half_diagonal(F.col("cell_level"))
-    in_cell = W.partitionBy(*cell)
-    shortlist = (window.join(placed, ["level", "row", "col"])
-                 .select(*cell, point_id, "lat", "lng",
-                         geo.haversine_km(mid_lat, mid_lng, F.col("lat"), F.col("lng"), clamp=True).alias("_mid_km"))
-                 .filter(F.col("_mid_km") <= F.lit(radius_km) + half)
-                 .withColumn("_n", F.row_number().over(in_cell.orderBy("_mid_km")))
-                 .withColumn("_kth", F.max(F.when(F.col("_n") == k, F.col("_mid_km"))).over(in_cell))
+    met = (window.join(placed, ["level", "row", "col"])
+           .select(*cell, point_id, "lat", "lng",
+                   geo.haversine_km(mid_lat, mid_lng, F.col("lat"), F.col("lng"), clamp=True).alias("_mid_km"))
+           .filter(F.col("_mid_km") <= F.lit(radius_km) + half))
+    # The k-th middle distance of a cell: the rank bound lets Spark cut each cell to k rows before the shuffle.
+    ranked = met.select(*cell, "_mid_km").withColumn("_n", F.row_number().over(W.partitionBy(*cell).orderBy("_mid_km")))
+    kth = (ranked.filter(F.col("_n") <= k).groupBy(*cell)
+           .agg(F.max(F.when(F.col("_n") == k, F.col("_mid_km"))).alias("_kth")))
+    shortlist = (met.join(kth, cell)
                  .filter(F.col("_kth").isNull() | (F.col("_mid_km") <= F.col("_kth") + 2 * half))
                  .select(*cell, point_id, "lat", "lng"))
 
     km = geo.haversine_km(F.col("_lat"), F.col("_lng"), F.col("lat"), F.col("lng"))
-    met = (asked.join(placed_cells, ["_r", "_c"]).join(shortlist, cell)
-           .select(request_id, point_id, km.alias("km")).filter(F.col("km") <= radius_km))
+    answers = (asked.join(placed_cells, ["_r", "_c"]).join(written(shortlist, "shortlist"), cell)
+               .select(request_id, point_id, km.alias("km")).filter(F.col("km") <= radius_km))
     order = W.partitionBy(request_id).orderBy("km", point_id)
-    return met.withColumn("geo_rank", F.row_number().over(order)).filter(F.col("geo_rank") <= k)
+    return answers.withColumn("geo_rank", F.row_number().over(order)).filter(F.col("geo_rank") <= k)

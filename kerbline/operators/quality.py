@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from kerbline.functions import geo, text
 from kerbline.model import PAYMENT_TRANSITIONS, VEHICLE_TYPES
+from kerbline.operators.timeline import previous_in_key
 
 Rule = tuple[str, Column]
 
@@ -142,16 +143,16 @@ def reference_rules() -> list[Rule]:
 def payment_transition_audit(events: DataFrame) -> DataFrame:
     """Payment status events against the rules. A repeat of the final status with the same provider and
     reference is a replay, with another one a conflict; the rest of the moves are violations."""
-    order = W.partitionBy("payment_id").orderBy("changed_at", "event_id")
-    previous = F.lag("status").over(order)
+    told = previous_in_key(events, ["payment_id"], ["changed_at", "event_id"],
+                           {"_status": "status", "_provider": "provider", "_ref": "transaction_ref"}, 86_400)
+    previous = F.col("_status")
     pairs = [f"{f or ''}>{t}" for f, t in PAYMENT_TRANSITIONS]
     allowed = F.concat_ws(">", F.coalesce(previous, F.lit("")), F.col("status")).isin(*pairs)
-    same = (F.lag("provider").over(order).eqNullSafe(F.col("provider"))
-            & F.lag("transaction_ref").over(order).eqNullSafe(F.col("transaction_ref")))
+    same = F.col("_provider").eqNullSafe(F.col("provider")) & F.col("_ref").eqNullSafe(F.col("transaction_ref"))
     final = previous.isin("COMPLETED", "FAILED") & (previous == F.col("status"))
     verdict = (F.when(allowed, "APPLIED").when(F.coalesce(final & same, F.lit(False)), "REPLAY")
                .when(F.coalesce(final, F.lit(False)), "CONFLICT").otherwise("VIOLATION"))
-    return events.withColumn("verdict", verdict)
+    return told.withColumn("verdict", verdict).drop("_status", "_provider", "_ref")
 
 
 def go_online_decision(requests: DataFrame, profiles: DataFrame) -> DataFrame:

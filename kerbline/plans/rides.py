@@ -102,7 +102,7 @@ def _(r: RideTables) -> DataFrame:
 SELECT id, id IN (SELECT passenger_id FROM trips WHERE deleted_at IS NULL AND status IN ('SEARCHING', 'ACCEPTED', 'ARRIVED', 'IN_PROGRESS')) AS busy FROM users WHERE deleted_at IS NULL""")
 def _(r: RideTables) -> DataFrame:
     people = trips.live(r.users).select("id")
-    busy = trips.active_trips(r.trips).select(F.col("passenger_id").alias("id"))
+    busy = trips.active_trips(r.trips).select(F.col("passenger_id").alias("id")).distinct()
     held = people.join(busy, "id", "left_semi").withColumn("busy", F.lit(True))
     free = people.join(busy, "id", "left_anti").withColumn("busy", F.lit(False))
     return held.unionByName(free)

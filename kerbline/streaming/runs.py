@@ -14,8 +14,9 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 @contextmanager
 def stream_settings(spark: SparkSession) -> Iterator[None]:
-    """RocksDB state and one state partition per core while a stream is being started."""
+    """RocksDB state, one state partition per core, and sessions merged before the shuffle, while a stream starts."""
     wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+              "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
               "spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism)}
     before = {key: spark.conf.get(key, None) for key in wanted}
     for key, value in wanted.items():
