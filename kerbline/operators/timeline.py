@@ -92,3 +92,18 @@ def carry_forward(left: DataFrame, keys: Sequence[str], left_ts: str, seconds: i
     seen = order.rowsBetween(W.unboundedPreceding, 0)
     filled = rows.select("_side", "_left", *[F.last(f"_hit_{n}", True).over(seen).alias(n) for n in sources])
     return filled.filter(F.col("_side") == 1).select("_left.*", *sources)
+
+
+def last_in_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column], seconds: int) -> DataFrame:
+    """Last non-null of each value expression of the key up to and including each row in ``order``."""
+    bucket = "_bucket"
+    rows = df.select("*", bucket_of(F.col(order[0]), seconds).alias(bucket), *[v.alias(out) for out, v in values.items()])
+    at = F.struct(*order)
+    summary = rows.groupBy(*keys, bucket).agg(
+        *[F.max_by(out, F.when(F.col(out).isNotNull(), at)).alias(out) for out in values])
+    before = W.partitionBy(*keys).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
+    carried = summary.select(*keys, bucket, *[F.last(out, True).over(before).alias(f"_carry{out}") for out in values])
+    inside = W.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    near = rows.select(*df.columns, bucket, *[F.last(out, True).over(inside).alias(out) for out in values])
+    return near.join(carried, [*keys, bucket]).select(
+        *df.columns, *[F.coalesce(out, f"_carry{out}").alias(out) for out in values])

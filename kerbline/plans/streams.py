@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from kerbline.model import LOCATION_TTL
 from kerbline.operators import payments, tracking, trips
+from kerbline.operators.availability import availability_history
 from kerbline.plans.matches import _CAND, _OUT
 from kerbline.plans.registry import query
 from kerbline.plans.rides import _ATTACH
@@ -83,6 +84,12 @@ def _(r: RideTables) -> DataFrame:
     return run_to_table(processors.availability(as_stream(r.driver_availability, "availability")), "str03")
 
 
+@query("str03_availability_history", "STR-03 STR-04", "driver_availability", _MACHINE + """
+SELECT event_id, driver_id, located, CASE WHEN su > at_ms THEN status END AS status, CASE WHEN mu > at_ms THEN vehicle END AS vehicle_type, CASE WHEN mu > at_ms THEN rating END AS rating FROM run WHERE i > 0""")
+def _(r: RideTables) -> DataFrame:
+    return availability_history(r.driver_availability)
+
+
 @query("str06_offer_clock", "STR-06 MT-05", "offers offer_responses", _OUT + """
 SELECT trip_id, attempt, driver_id, state, CAST(epoch_ms(settled_at) AS BIGINT) AS settled_ms FROM settled""")
 def _(r: RideTables) -> DataFrame:

@@ -53,3 +53,12 @@ def test_asof_equal_times_take_highest_tie(spark):
     right = spark.createDataFrame([(1, BASE, 5, 0), (1, BASE, 9, 0)], "k long, ts timestamp, id long, v int")
     got = timeline.asof_join(left, right, ["k"], "ts", "ts", ["id"], {"hit": "id"}, 60)
     assert got.first().hit == 9
+
+
+@pytest.mark.parametrize("seconds", [1, 900, 10**7])
+def test_last_in_key_matches_plain_window(spark, seconds):
+    df = events(spark, 250, seconds + 7)
+    value = F.when(F.col("v") < 20, F.col("v"))
+    plain = df.withColumn("n", F.last(value, True).over(W.partitionBy("k").orderBy("ts", "id").rowsBetween(W.unboundedPreceding, 0)))
+    got = timeline.last_in_key(df, ["k"], ["ts", "id"], {"n": value}, seconds)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
