@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from kerbline.functions import text
-from kerbline.model import SCHEMAS
+from kerbline.functions.geo import inside_box
+from kerbline.model import SCHEMAS, SERVICE_AREA
 from kerbline.operators import dashboards, pricing, quality, trips, views
 from kerbline.plans.registry import query
 from kerbline.sources.adapter import RideTables, conform
@@ -234,8 +235,6 @@ def _(r: RideTables) -> DataFrame:
 SELECT id FROM trips WHERE pickup_lat BETWEEN 10.3919 AND 11.16 AND pickup_lng BETWEEN 106.3634 AND 107.0312
 AND dropoff_lat BETWEEN 10.3919 AND 11.16 AND dropoff_lng BETWEEN 106.3634 AND 107.0312""")
 def _(r: RideTables) -> DataFrame:
-    from kerbline.functions.geo import inside_box
-    from kerbline.model import SERVICE_AREA
     inside = (inside_box(F.col("pickup_lat"), F.col("pickup_lng"), SERVICE_AREA)
               & inside_box(F.col("dropoff_lat"), F.col("dropoff_lng"), SERVICE_AREA))
     return r.trips.filter(inside).select("id")

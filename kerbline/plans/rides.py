@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from kerbline.functions import geo, text
 from kerbline.functions.fares import whole_minutes
 from kerbline.operators import dashboards, notify, payments, pricing, quality, ratings, tracking, trips, views
+from kerbline.operators.areas import assign_area, last_known_locations
 from kerbline.plans.registry import query
 from kerbline.sources.adapter import RideTables, haversine_km_sql
 
@@ -210,8 +211,6 @@ def _(r: RideTables) -> DataFrame:
 SELECT id, CASE WHEN pickup_lat < 10.78 THEN 'south' ELSE 'north' END AS area FROM trips
 WHERE (pickup_lat < 10.78) = (dropoff_lat < 10.78)""")
 def _(r: RideTables) -> DataFrame:
-    from kerbline.operators.areas import assign_area
-
     boxes = {"south": (10.3919, 10.78, 106.3634, 107.0312), "north": (10.78, 11.16, 106.3634, 107.0312)}
     return assign_area(r.trips, boxes).select("id", "area")
 
@@ -412,8 +411,6 @@ def _(r: RideTables) -> DataFrame:
 SELECT driver_id, arg_max(lat, (ts, event_id)) AS lat, arg_max(lng, (ts, event_id)) AS lng, max(ts) AS located_at FROM driver_availability
 WHERE kind IN ('online', 'offline') AND lat IS NOT NULL AND lng IS NOT NULL GROUP BY driver_id""")
 def _(r: RideTables) -> DataFrame:
-    from kerbline.operators.areas import last_known_locations
-
     return last_known_locations(r.driver_availability.filter(F.col("kind").isin("online", "offline")))
 
 
