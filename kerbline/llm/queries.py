@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kerbline.llm import mixing, sharding, simhash
-from kerbline.llm.common import word_count
+from kerbline.llm import checks, mixing, packing, secrets, sharding, simhash
+from kerbline.llm.common import WORD, word_count
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,9 +26,25 @@ def op2_feistel_shards(spark: SparkSession, folder: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number")
 
 
+def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    # Texts without words have length 0 and conflict with nothing.
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.when(F.col("text").rlike(WORD), F.xxhash64("text")).alias("cluster"))
+    return packing.pack(rows, "size", "source", "cluster", capacity=4096, per_source=4)
+
+
+def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scan(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+    base = F.filter("spans", lambda x: x["nth"] < 4)
+    counts = [F.size(F.filter("spans", lambda x: x["kind"] == "assign")), F.size(F.filter("spans", lambda x: x["kind"] == "access")),
+              F.size(F.filter("spans", lambda x: x["kind"] == "hex"))]
+    return found.select("doc_id", *[c.cast("long").alias(f"n_{k}") for c, k in zip(counts, ("assign", "access", "hex"))],
+                        F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.hamming_components(table(spark, folder, "documents"), "doc_id", "text", words=3, most=2, blocks=6)
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_feistel_shards, op10_simhash)}
-CHECK_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_feistel_shards, op3_best_fit_packing, op4_secret_scan, op10_simhash)}
+CHECK_SQL: dict[str, str] = {"op4_secret_scan": checks.secret_spans()}
