@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kerbline.llm import checks, mixing, packing, quality, secrets, sharding, simhash
+from kerbline.llm import checks, langid, mixing, packing, quality, secrets, sharding, simhash
 from kerbline.llm.common import WORD, word_count
 
 
@@ -42,6 +42,14 @@ def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
                         F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
 
 
+def op8_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = langid.fit(docs.filter(~F.coalesce(held_out, F.lit(False))))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     trusted = table(spark, folder, "labels").filter("quality = 1").select("doc_id")
     return quality.classify(table(spark, folder, "documents"), trusted)
@@ -51,5 +59,5 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.hamming_components(table(spark, folder, "documents"), "doc_id", "text", words=3, most=2, blocks=6)
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_feistel_shards, op3_best_fit_packing, op4_secret_scan, op9_quality, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_feistel_shards, op3_best_fit_packing, op4_secret_scan, op8_language, op9_quality, op10_simhash)}
 CHECK_SQL: dict[str, str] = {"op4_secret_scan": checks.secret_spans()}
