@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kerbline.llm import checks, langid, mixing, packing, quality, secrets, sharding, simhash, warc
+from kerbline.llm import checks, embed_dedup, langid, mixing, packing, quality, secrets, sharding, simhash, warc
 from kerbline.llm.common import WORD, word_count
 
 
@@ -42,6 +42,10 @@ def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
                         F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
 
 
+def op5_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, folder, "embeddings"))
+
+
 def op6_warc_derivatives(spark: SparkSession, folder: str) -> DataFrame:
     return warc.derive(warc.responses(table(spark, folder, "pages"), date="2025-01-01T00:00:00Z"))
 
@@ -63,5 +67,5 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.hamming_components(table(spark, folder, "documents"), "doc_id", "text", words=3, most=2, blocks=6)
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_feistel_shards, op3_best_fit_packing, op4_secret_scan, op6_warc_derivatives, op8_language, op9_quality, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_feistel_shards, op3_best_fit_packing, op4_secret_scan, op5_embedding_dedup, op6_warc_derivatives, op8_language, op9_quality, op10_simhash)}
 CHECK_SQL: dict[str, str] = {"op4_secret_scan": checks.secret_spans()}
