@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kerbline.llm import checks, embed_dedup, langid, mixing, packing, quality, secrets, sharding, simhash, warc
+from kerbline.llm import ann, checks, embed_dedup, langid, mixing, packing, quality, secrets, sharding, simhash, warc
 from kerbline.llm.common import WORD, word_count
 
 
@@ -50,6 +50,10 @@ def op6_warc_derivatives(spark: SparkSession, folder: str) -> DataFrame:
     return warc.derive(warc.responses(table(spark, folder, "pages"), date="2025-01-01T00:00:00Z"))
 
 
+def op7_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op8_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
@@ -67,5 +71,5 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.hamming_components(table(spark, folder, "documents"), "doc_id", "text", words=3, most=2, blocks=6)
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_feistel_shards, op3_best_fit_packing, op4_secret_scan, op5_embedding_dedup, op6_warc_derivatives, op8_language, op9_quality, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_feistel_shards, op3_best_fit_packing, op4_secret_scan, op5_embedding_dedup, op6_warc_derivatives, op7_nearest_vectors, op8_language, op9_quality, op10_simhash)}
 CHECK_SQL: dict[str, str] = {"op4_secret_scan": checks.secret_spans()}
