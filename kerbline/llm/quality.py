@@ -196,7 +196,7 @@ def score(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", lang: str =
 
 
 def classify(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", lang: str = "lang", text: str = "text",
-             quantile: float = 0.995, prior_units: int = 32, least_rows: int = 50) -> DataFrame:
+             quantile: float = 0.995, prior_units: int = 32, least_rows: int = 200) -> DataFrame:
     """``(key, lang, text_hash, units, perplexity, smoothed_bits, limit_bits, kept)``, one row per row of ``docs``.
 
     Four of five trusted documents (by a hash of their key) train the model, the fifth sets the limits: in each language
