@@ -96,16 +96,17 @@ def offer_outcomes(offers: DataFrame, responses: DataFrame) -> DataFrame:
     """Outcome of each offer and, where there is one, of its response.
 
     A response answers the offer of its trip that was open or last expired at that time. It is late only after
-    the expiry instant; an offer without an in-time answer of its own driver times out.
+    the expiry instant; an offer without an in-time answer of its own driver times out. A response before any offer of its
+    trip (null attempt) finds none: OFFER_NOT_FOUND, in a row of its own.
     """
-    joined = offers.join(responses.select(
-        "trip_id", F.col("driver_id").alias("responder_id"), "decision", F.col("ts").alias("responded_at"),
-        F.col("attempt")), ["trip_id", "attempt"], "left")
+    told = responses.select("trip_id", F.col("driver_id").alias("responder_id"), "decision", F.col("ts").alias("responded_at"), "attempt")
+    joined = offers.join(told.filter(F.col("attempt").isNotNull()), ["trip_id", "attempt"], "left")
+    lost = told.filter(F.col("attempt").isNull()).withColumn("outcome", F.lit("OFFER_NOT_FOUND"))
     outcome = (F.when(F.col("responded_at").isNull(), "TIMEOUT")
                .when(F.col("responder_id") != F.col("driver_id"), "WRONG_DRIVER")
                .when(F.col("responded_at") > F.col("expires_at"), "LATE")
                .when(F.col("decision") == "ACCEPT", "ACCEPTED").otherwise("REJECTED"))
-    return joined.withColumn("outcome", outcome)
+    return joined.withColumn("outcome", outcome).unionByName(lost, allowMissingColumns=True)
 
 
 def match_responses(offers: DataFrame, responses: DataFrame) -> DataFrame:
@@ -119,7 +120,7 @@ def settle_offers(outcomes: DataFrame) -> DataFrame:
     first = F.struct("responded_at", "responder_id")
     firsts = good.groupBy("trip_id", "attempt").agg(F.min_by("outcome", first).alias("state"),
                                                    F.min("responded_at").alias("settled_at"))
-    base = outcomes.select("trip_id", "attempt", "driver_id", "offered_at", "expires_at").distinct()
+    base = outcomes.filter(F.col("attempt").isNotNull()).select("trip_id", "attempt", "driver_id", "offered_at", "expires_at").distinct()
     return (base.join(firsts, ["trip_id", "attempt"], "left")
             .withColumn("state", F.coalesce("state", F.lit("TIMEOUT")))
             .withColumn("settled_at", F.coalesce("settled_at", "expires_at")))

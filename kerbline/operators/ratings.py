@@ -8,7 +8,6 @@ from kerbline.functions import text
 from kerbline.operators.timeline import bucket_of
 from kerbline.operators.trips import live
 
-HOT_DRIVER = 10_000
 SLOT = 3_600
 LOWEST, HIGHEST = 10, 50  # a mean in tenths stays between 1.0 and 5.0
 
@@ -19,61 +18,62 @@ def next_tenths(tenths: Column, n: Column, score: Column) -> Column:
     return F.floor(top / (2 * (n + 1))).cast("bigint")
 
 
-def fold_ratings(ratings: DataFrame, start: DataFrame | None = None, hot: int = HOT_DRIVER) -> DataFrame:
-    """Each driver's mean after all ratings in time order, re-rounded to one decimal at every step.
+def fold_faults(ratings: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """Rows the fold sets aside: (driver_id, id, reason). A score must be 1 to 5 with a driver and a time; a stored mean
+    must be 1.0 to 5.0 with a count of 0 or more, else its driver is not folded at all (id is null then)."""
+    rows = ratings.select("driver_id", F.col("id").cast("bigint").alias("id"), _score_fault().alias("reason"))
+    if start is not None:
+        rows = rows.unionByName(start.select("driver_id", F.lit(None).cast("bigint").alias("id"), _start_fault().alias("reason")))
+    return rows.filter(F.col("reason").isNotNull())
 
-    ``start`` gives (driver_id, average_rating, total_ratings); absent drivers begin at 5.0 with none.
-    Drivers up to ``hot`` ratings are folded from one sorted array. A busier driver is cut into hours: an hour is
-    folded for each possible entering mean (41 of them), and the hours' maps are then chained.
-    """
-    rows = ratings.select("driver_id", "created_at", "id", "score")
-    counts = rows.groupBy("driver_id").agg(F.count(F.lit(1)).alias("_n"))
-    if start is None:
-        base = counts.select("driver_id", "_n", F.lit(50).cast("bigint").alias("_v0"), F.lit(0).cast("bigint").alias("_n0"))
-    else:
-        known = start.select("driver_id", (F.col("average_rating") * 10).cast("bigint").alias("_v0"),
-                             F.col("total_ratings").cast("bigint").alias("_n0"))
-        base = (counts.join(known, "driver_id", "left")
-                .select("driver_id", "_n", F.coalesce("_v0", F.lit(50)).alias("_v0"), F.coalesce("_n0", F.lit(0)).alias("_n0")))
-    usual = base.filter(F.col("_n") <= hot)
-    busy = base.filter(F.col("_n") > hot)
-    folded = _fold_whole(rows, usual).unionByName(_fold_slots(rows, busy))
-    return folded.select("driver_id", (F.col("_v") / 10).cast("decimal(2,1)").alias("average_rating"),
-                         F.col("_total").cast("bigint").alias("total_ratings"))
 
+def _score_fault() -> Column:
+    return (F.when(F.col("driver_id").isNull(), "NO_DRIVER").when(F.col("created_at").isNull(), "NO_TIME")
+            .when(F.col("score").isNull() | ~F.col("score").between(1, 5), "SCORE_OUT_OF_RANGE"))
 
-def _run(scores: Column, tenths: Column, n: Column) -> Column:
-    """Fold an ordered score array from a mean and a count."""
-    state = F.struct(tenths.cast("bigint").alias("v"), n.cast("bigint").alias("n"))
-    return F.aggregate(scores, state, lambda s, x: F.struct(
-        next_tenths(s["v"], s["n"], x["score"].cast("bigint")).alias("v"), (s["n"] + 1).alias("n")))
 
+def _start_fault() -> Column:
+    return (F.when(F.col("average_rating").isNull() | ~F.col("average_rating").between(1, 5), "MEAN_OUT_OF_RANGE")
+            .when(F.col("total_ratings").isNull() | (F.col("total_ratings") < 0), "COUNT_OUT_OF_RANGE"))
 
-def _fold_whole(rows: DataFrame, drivers: DataFrame) -> DataFrame:
-    lists = (rows.join(drivers.select("driver_id"), "driver_id", "left_semi").groupBy("driver_id")
-             .agg(F.array_sort(F.collect_list(F.struct("created_at", "id", "score"))).alias("_scores")))
-    done = lists.join(drivers, "driver_id").withColumn("_end", _run(F.col("_scores"), F.col("_v0"), F.col("_n0")))
-    return done.select("driver_id", F.col("_end")["v"].alias("_v"), F.col("_end")["n"].alias("_total"))
 
+def fold_ratings(ratings: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """Each driver's mean after all ratings in time order, re-rounded to one decimal at every step.
 
-def _fold_slots(rows: DataFrame, drivers: DataFrame) -> DataFrame:
-    """Hours are independent given their starting count, so the work spreads; the chain sees 41 bytes per hour."""
-    keyed = (rows.join(drivers.select("driver_id", "_n0"), "driver_id")
-             .withColumn("_slot", bucket_of(F.col("created_at"), SLOT)))
-    slots = (keyed.groupBy("driver_id", "_slot", "_n0")
-            .agg(F.array_sort(F.collect_list(F.struct("created_at", "id", "score"))).alias("_scores")))
+    ``start`` gives (driver_id, average_rating, total_ratings); absent drivers begin at 5.0 with none. Every driver is cut into
+    hours: an hour is folded for each possible entering mean (41 of them), and the hours' maps are then chained.
+    Hours are independent given their starting count, so the work spreads; the chain sees 41 bytes per hour. Rows that
+    ``fold_faults`` names take no part.
+    """
+    rows = ratings.filter(_score_fault().isNull()).select("driver_id", "created_at", "id", "score")
+    if start is None:
+        rated = rows.withColumn("_v0", F.lit(50).cast("bigint")).withColumn("_n0", F.lit(0).cast("bigint"))
+    else:
+        known = start.select("driver_id", (F.col("average_rating") * 10).cast("bigint").alias("_v0"),
+                             F.col("total_ratings").cast("bigint").alias("_n0"), _start_fault().isNotNull().alias("_bad"))
+        rated = (rows.join(known, "driver_id", "left").filter(~F.coalesce("_bad", F.lit(False)))
+                 .select(*rows.columns, F.coalesce("_v0", F.lit(50)).alias("_v0"), F.coalesce("_n0", F.lit(0)).alias("_n0")))
+    slots = (rated.withColumn("_slot", bucket_of(F.col("created_at"), SLOT)).groupBy("driver_id", "_slot", "_v0", "_n0")
+             .agg(F.array_sort(F.collect_list(F.struct("created_at", "id", "score"))).alias("_scores")))
     before = W.partitionBy("driver_id").orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
     placed = slots.withColumn("_n", F.col("_n0") + F.coalesce(F.sum(F.size("_scores")).over(before), F.lit(0)))
     maps = placed.select(
-        "driver_id", "_slot", F.size("_scores").alias("_size"),
+        "driver_id", "_slot", "_v0", "_n0", F.size("_scores").alias("_size"),
         F.transform(F.sequence(F.lit(LOWEST), F.lit(HIGHEST)),
                     lambda v: _run(F.col("_scores"), v, F.col("_n"))["v"].cast("tinyint")).alias("_map"))
-    chains = maps.groupBy("driver_id").agg(
+    chains = maps.groupBy("driver_id", "_v0", "_n0").agg(
         F.array_sort(F.collect_list(F.struct("_slot", "_map"))).alias("_slots"), F.sum("_size").alias("_added"))
     end = F.aggregate(F.col("_slots"), F.col("_v0").cast("bigint"),
                       lambda v, d: F.element_at(d["_map"], (v - LOWEST + 1).cast("int")).cast("bigint"))
-    return (chains.join(drivers, "driver_id")
-            .select("driver_id", end.alias("_v"), (F.col("_n0") + F.col("_added")).alias("_total")))
+    return chains.select("driver_id", (end / 10).cast("decimal(2,1)").alias("average_rating"),
+                         (F.col("_n0") + F.col("_added")).cast("bigint").alias("total_ratings"))
+
+
+def _run(scores: Column, tenths: Column, n: Column) -> Column:
+    """Fold an ordered score array from a mean and a count."""
+    state = F.struct(tenths.cast("bigint").alias("v"), n.cast("bigint").alias("n"))
+    return F.aggregate(scores, state, lambda s, x: F.struct(
+        next_tenths(s["v"], s["n"], x["score"].cast("bigint")).alias("v"), (s["n"] + 1).alias("n")))
 
 
 def completed_trip_counts(trips: DataFrame) -> DataFrame:

@@ -101,9 +101,16 @@ def _settled(r: RideTables) -> DataFrame:
     return matching.settle_offers(_outcomes(r))
 
 
-@query("mt05_offer_outcomes", "MT-05 JN-18", "offers offer_responses", _OUT + "SELECT trip_id, attempt, driver_id, responder_id, responded_at, outcome FROM outc")
+@query("mt05_offer_outcomes", "MT-05 JN-18", "offers offer_responses", _OUT + """
+SELECT trip_id, attempt, driver_id, responder_id, responded_at, outcome FROM outc
+UNION ALL SELECT trip_id, NULL, NULL, driver_id, ts, 'OFFER_NOT_FOUND' FROM (
+  SELECT trip_id, driver_id, ts FROM offer_responses r WHERE NOT EXISTS (SELECT 1 FROM offers o WHERE o.trip_id = r.trip_id AND o.offered_at <= r.ts)
+  UNION ALL SELECT trip_id, driver_id, ts - INTERVAL '1' DAY FROM offer_responses WHERE driver_id % 7 = 0)""")
 def _(r: RideTables) -> DataFrame:
-    return _outcomes(r).select("trip_id", "attempt", "driver_id", "responder_id", "responded_at", "outcome")
+    # Some responses once more a day early, before any offer, so that unknown offers occur.
+    early = r.offer_responses.filter(F.col("driver_id") % 7 == 0).withColumn("ts", F.col("ts") - F.expr("INTERVAL 1 DAY"))
+    told = r.offer_responses.unionByName(early)
+    return matching.offer_outcomes(r.offers, matching.match_responses(r.offers, told)).select("trip_id", "attempt", "driver_id", "responder_id", "responded_at", "outcome")
 
 
 @query("str06_offer_timeouts", "STR-06 JN-18", "offers offer_responses", _OUT + "SELECT trip_id, attempt, driver_id, settled_at AS timed_out_at FROM settled WHERE state = 'TIMEOUT'")
@@ -148,10 +155,10 @@ def _(r: RideTables) -> DataFrame:
 
 
 @query("str07_orphan_matching_ids", "STR-07", "offers trips", """
-SELECT DISTINCT id AS trip_id FROM trips WHERE status IN ('SEARCHING', 'NO_DRIVER') AND id NOT IN (SELECT trip_id FROM offers WHERE attempt = 2)""")
+SELECT DISTINCT id AS trip_id FROM trips WHERE status IN ('SEARCHING', 'NO_DRIVER') AND id NOT IN (SELECT trip_id FROM offers)""")
 def _(r: RideTables) -> DataFrame:
     active = r.trips.filter(F.col("status").isin("SEARCHING", "NO_DRIVER")).select(F.col("id").alias("trip_id"))
-    return matching.drop_orphans(active, r.offers.filter(F.col("attempt") == 2))
+    return matching.drop_orphans(active, r.offers)
 
 
 @query("ag18_driver_performance", "AG-18", "offers offer_responses trips", _OUT + """,

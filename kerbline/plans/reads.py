@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from kerbline.functions import text
 from kerbline.functions.geo import inside_box
@@ -258,11 +258,17 @@ def _(r: RideTables) -> DataFrame:
 
 @query("so01_passenger_trip_pages", "SO-01 WN-07", "trips", """
 SELECT passenger_id, id, requested_at, row_no FROM (
-  SELECT *, row_number() OVER (PARTITION BY passenger_id ORDER BY requested_at DESC, id) AS row_no FROM trips WHERE deleted_at IS NULL)
-WHERE row_no > 5 AND row_no <= 10""")
+  SELECT *, row_number() OVER (PARTITION BY passenger_id ORDER BY requested_at DESC, id) AS row_no FROM trips WHERE deleted_at IS NULL)""")
 def _(r: RideTables) -> DataFrame:
-    rows = trips.live(r.trips).select("passenger_id", "id", "requested_at")
-    return trips.page_per_key(rows, "passenger_id", [F.desc("requested_at"), F.col("id")], 2, 5)
+    place = F.row_number().over(W.partitionBy("passenger_id").orderBy(F.desc("requested_at"), "id"))
+    return trips.live(r.trips).select("passenger_id", "id", "requested_at", place.alias("row_no"))
+
+
+@query("so01_driver_trips", "SO-01", "trips", """
+SELECT driver_id, id, requested_at, row_number() OVER (PARTITION BY driver_id ORDER BY requested_at DESC, id) AS row_no FROM trips WHERE deleted_at IS NULL AND driver_id IS NOT NULL""")
+def _(r: RideTables) -> DataFrame:
+    place = F.row_number().over(W.partitionBy("driver_id").orderBy(F.desc("requested_at"), "id"))
+    return trips.live(r.trips).filter(F.col("driver_id").isNotNull()).select("driver_id", "id", "requested_at", place.alias("row_no"))
 
 
 @query("so03_user_page", "SO-03", "users", """
@@ -295,11 +301,14 @@ def _(r: RideTables) -> DataFrame:
     return trips.page_per_key(rows, "user_id", [F.desc("created_at"), F.col("id")], 1, 10)
 
 
-@query("so06_history_nulls_last", "SO-06", "trips", """
-SELECT id, completed_at FROM trips WHERE deleted_at IS NULL ORDER BY completed_at DESC NULLS LAST, id LIMIT 100""")
+@query("so06_history_nulls_last", "SO-06", "trips user_roles", """
+SELECT user_id, trip_id, requested_at, row_number() OVER (PARTITION BY user_id ORDER BY requested_at DESC NULLS LAST, trip_id) AS place FROM (
+  SELECT passenger_id AS user_id, id AS trip_id, requested_at FROM trips t WHERE deleted_at IS NULL AND EXISTS (SELECT 1 FROM user_roles r WHERE r.user_id = t.passenger_id AND r.role = 'PASSENGER')
+  UNION SELECT driver_id, id, requested_at FROM trips t WHERE deleted_at IS NULL AND EXISTS (SELECT 1 FROM user_roles r WHERE r.user_id = t.driver_id AND r.role = 'DRIVER'))""")
 def _(r: RideTables) -> DataFrame:
-    rows = trips.live(r.trips).select("id", "completed_at")
-    return trips.page_slice(rows, [F.desc_nulls_last("completed_at"), F.col("id")], 1, 100)
+    mine = trips.my_trips(r.trips, r.user_roles)
+    place = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc_nulls_last("requested_at"), "trip_id"))
+    return mine.select("user_id", "trip_id", "requested_at", place.alias("place"))
 
 
 @query("set01_my_trips", "SET-01", "trips user_roles", """

@@ -16,7 +16,7 @@ from kerbline.session import fresh_folder
 from kerbline.sinks.logs import append_log, read_snapshot, upsert_snapshot
 from kerbline.sources.adapter import RideTables
 from kerbline.streaming import feeds, processors
-from kerbline.streaming.runs import as_stream, run_batches, run_to_table
+from kerbline.streaming.runs import as_late_stream, as_stream, run_batches, run_to_table
 
 LAST = "TIMESTAMP '2100-01-01 00:00:00'"
 
@@ -56,12 +56,14 @@ def _(r: RideTables) -> DataFrame:
 
 
 @query("str01_latest_location_ttl", "STR-01", "driver_pings", f"""
-, last AS (SELECT driver_id AS key, max(ts) AS ts, arg_max(order_trip_id, (ts, ping_id)) AS ref FROM driver_pings GROUP BY driver_id)
-SELECT key, 'UPDATE' AS change, CAST(epoch_ms(ts) AS BIGINT) AS at_ms, ref FROM last UNION ALL SELECT key, 'EXPIRED', CAST(epoch_ms(ts) AS BIGINT) + {LOCATION_TTL * 1000}, ref FROM last""")
+, seq AS (SELECT driver_id AS key, ts, order_trip_id AS ref, lead(ts) OVER (PARTITION BY driver_id ORDER BY ts, ping_id) AS nxt FROM driver_pings)
+SELECT key, 'UPDATE' AS change, CAST(epoch_ms(ts) AS BIGINT) AS at_ms, ref FROM seq
+UNION ALL SELECT key, 'EXPIRED', CAST(epoch_ms(ts) AS BIGINT) + {LOCATION_TTL * 1000}, ref FROM seq WHERE nxt IS NULL OR epoch_ms(nxt) >= epoch_ms(ts) + {LOCATION_TTL * 1000}""")
 def _(r: RideTables) -> DataFrame:
     pings = with_sentinel(r.driver_pings.select("driver_id", "order_trip_id", "ping_id", "lat", "lng", "ts"),
                           driver_id="-1", ts=LAST, ping_id="0", order_trip_id="0", lat="0", lng="0")
-    out = processors.latest_with_ttl(as_stream(pings, "pings"), "driver_id", "order_trip_id", "ping_id", LOCATION_TTL)
+    stream = as_late_stream(pings, "pings", "ts", "driver_id")
+    out = processors.latest_with_ttl(stream, "driver_id", "order_trip_id", "ping_id", LOCATION_TTL)
     return run_to_table(out, "str01").filter(F.col("key") >= 0).select("key", "change", "at_ms", "ref")
 
 
@@ -94,7 +96,8 @@ def _(r: RideTables) -> DataFrame:
 SELECT trip_id, attempt, driver_id, state, CAST(epoch_ms(settled_at) AS BIGINT) AS settled_ms FROM settled""")
 def _(r: RideTables) -> DataFrame:
     offers = with_sentinel(r.offers, trip_id="-1", driver_id="-1", attempt="1", offered_at=LAST, expires_at=LAST)
-    out = processors.offer_clock(as_stream(offers, "offers"), as_stream(r.offer_responses, "responses"))
+    told = with_sentinel(r.offer_responses, trip_id="-2", driver_id="-2", decision="'REJECT'", ts=LAST)
+    out = processors.offer_clock(as_late_stream(offers, "offers", "offered_at", "trip_id"), as_late_stream(told, "responses", "ts", "driver_id"))
     return run_to_table(out, "str06").filter(F.col("trip_id") >= 0)
 
 
@@ -104,7 +107,7 @@ LEFT JOIN offer_responses r ON r.trip_id = o.trip_id AND r.driver_id = o.driver_
 def _(r: RideTables) -> DataFrame:
     offers = with_sentinel(r.offers, trip_id="-1", driver_id="-1", attempt="1", offered_at=LAST, expires_at=LAST)
     told = with_sentinel(r.offer_responses, trip_id="-2", driver_id="-2", decision="'REJECT'", ts=LAST)
-    out = feeds.offers_with_responses(as_stream(offers, "offers"), as_stream(told, "responses"))
+    out = feeds.offers_with_responses(as_late_stream(offers, "offers", "offered_at", "trip_id"), as_late_stream(told, "responses", "ts", "driver_id"))
     return run_to_table(out, "jn18").filter(F.col("trip_id") >= 0)
 
 
@@ -171,7 +174,8 @@ SELECT time_bucket(INTERVAL '5 minutes', requested_at) AS window_start, CAST(flo
 FROM match_requests GROUP BY 1, 2, 3""")
 def _(r: RideTables) -> DataFrame:
     asked = with_sentinel(r.match_requests, trip_id="-1", requested_at=LAST, pickup_lat="0", pickup_lng="0")
-    return run_to_table(feeds.demand_windows(as_stream(asked, "bookings")), "str14").filter(F.col("zone_lat") > 0)
+    windows = run_to_table(feeds.demand_windows(as_late_stream(asked, "bookings", "requested_at", "trip_id")), "str14")
+    return windows.filter(F.col("window_start") < F.expr(LAST))
 
 
 @query("snk01_audit_log", "SNK-01", "trip_status_history", """

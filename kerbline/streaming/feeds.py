@@ -6,19 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kerbline.model import DRIVER_LOCK_TTL
 from kerbline.operators import matching, tracking
 from kerbline.operators.notify import topic_name
 from kerbline.sinks.logs import append_batch, read_snapshot, upsert_snapshot
 
 
-def offers_with_responses(offers: DataFrame, responses: DataFrame) -> DataFrame:
-    """Each offer with its own driver's answer up to and including the expiry; null when none came."""
-    asked = offers.withWatermark("offered_at", "1 minute").alias("o")
-    told = responses.withWatermark("ts", "1 minute").alias("r")
+def offers_with_responses(offers: DataFrame, responses: DataFrame, longest_seconds: int = 600, delay: str = "1 minute") -> DataFrame:
+    """Each offer with its own driver's answer up to and including its expiry; null when none came.
+
+    ``longest_seconds`` bounds the life of any offer, so that state can be dropped.
+    """
+    asked = offers.withWatermark("offered_at", delay).alias("o")
+    told = responses.withWatermark("ts", delay).alias("r")
     in_time = ((F.col("o.trip_id") == F.col("r.trip_id")) & (F.col("o.driver_id") == F.col("r.driver_id"))
                & (F.col("r.ts") >= F.col("o.offered_at"))
-               & (F.col("r.ts") <= F.col("o.offered_at") + F.expr(f"INTERVAL {DRIVER_LOCK_TTL} SECONDS")))
+               & (F.col("r.ts") <= F.col("o.expires_at"))
+               & (F.col("r.ts") <= F.col("o.offered_at") + F.expr(f"INTERVAL {longest_seconds} SECONDS")))
     return asked.join(told, in_time, "left_outer").select(
         "o.trip_id", "o.attempt", "o.driver_id", F.col("r.decision").alias("decision"), F.col("r.ts").alias("responded_at"))
 

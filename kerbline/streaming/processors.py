@@ -15,37 +15,103 @@ def _ms(value: Any) -> int:
     return int(value.timestamp() * 1000)
 
 
-class LatestWithTtl(StatefulProcessor):
-    """Newest row of a key; a timer reports it as expired once its life is over."""
+class InOrder(StatefulProcessor):
+    """Events of a key handled strictly in event time, whatever batches they come in.
 
-    def __init__(self, ttl_seconds: int):
-        self.ttl_ms = ttl_seconds * 1000
+    Events wait in a list until the watermark passes them, then are handed to ``apply`` in order; ``lapse`` tells what the
+    passing of time alone changes. One timer per key stands at the newest waiting event, or else where time changes
+    something. Only an event that comes later than the stream's delay is lost, as the watermark promises.
+    """
+
+    waits: str
+    holds: str
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.latest = handle.getValueState("latest", "at_ms bigint, tie bigint, ref bigint, lat double, lng double")
+        self.waiting = handle.getListState("waiting", self.waits)
+        self.held = handle.getValueState("held", self.holds)
+        self.timer = handle.getValueState("timer", "at bigint")
+
+    def shape(self, row: Row) -> tuple:
+        """A waiting event: event time in ms, then what orders equal times, then the rest."""
+        raise NotImplementedError
+
+    def apply(self, key, held: tuple | None, event: tuple) -> tuple[list[Row], tuple | None]:
+        raise NotImplementedError
+
+    def due(self, held: tuple) -> int:
+        """When the held value lapses, in ms."""
+        raise NotImplementedError
+
+    def lapse(self, key, held: tuple) -> Row:
+        raise NotImplementedError
+
+    def _drain(self, key, upto: int, new: list[tuple] = ()) -> Iterator[Row]:
+        waiting = sorted([*map(tuple, self.waiting.get()), *new]) if self.waiting.exists() else sorted(new)
+        held = tuple(self.held.get()) if self.held.exists() else None
+        ready = [e for e in waiting if e[0] <= upto]
+        for event in ready:
+            if held and self.lapses_before(held, event[0]):
+                yield self.lapse(key, held)
+                held = None
+            rows, held = self.apply(key, held, event)
+            yield from rows
+        if held and self.due(held) <= upto:
+            yield self.lapse(key, held)
+            held = None
+        rest = waiting[len(ready):]
+        self.waiting.put(rest) if rest else self.waiting.clear()
+        self.held.update(held) if held else self.held.clear()
+        if self.timer.exists():
+            self.handle.deleteTimer(self.timer.get()[0])
+            self.timer.clear()
+        if rest or held:
+            at = rest[-1][0] if rest else self.due(held)
+            self.timer.update((at,))
+            self.handle.registerTimer(at)
+
+    def lapses_before(self, held: tuple, at: int) -> bool:
+        return self.due(held) <= at
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        newest = max((_ms(r.ts), r.tie, r.ref, r.lat, r.lng) for r in rows)
-        if self.latest.exists():
-            held = tuple(self.latest.get())
-            if held[:2] >= newest[:2]:
-                return
-            self.handle.deleteTimer(held[0] + self.ttl_ms)
-        self.latest.update(newest)
-        self.handle.registerTimer(newest[0] + self.ttl_ms)
-        yield Row(key=key[0], change="UPDATE", at_ms=newest[0], ref=newest[2], lat=newest[3], lng=newest[4])
+        yield from self._drain(key, timerValues.getCurrentWatermarkInMs(), [self.shape(r) for r in rows])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        held = self.latest.get()
-        self.latest.clear()
-        yield Row(key=key[0], change="EXPIRED", at_ms=held[0] + self.ttl_ms, ref=held[2], lat=held[3], lng=held[4])
+        # Spark removes the fired timer itself.
+        self.timer.clear()
+        yield from self._drain(key, timerValues.getCurrentWatermarkInMs())
+
+
+class LatestWithTtl(InOrder):
+    """Newest row of a key: UPDATE at every event, EXPIRED wherever none follows within its life."""
+
+    waits = "at_ms bigint, tie bigint, ref bigint, lat double, lng double"
+    holds = waits
+
+    def __init__(self, ttl_seconds: int):
+        self.ttl_ms = ttl_seconds * 1000
+
+    def shape(self, row: Row) -> tuple:
+        return (_ms(row.ts), row.tie, row.ref, row.lat, row.lng)
+
+    def apply(self, key, held, event):
+        return [self._row(key, "UPDATE", event, event[0])], event
+
+    def due(self, held: tuple) -> int:
+        return held[0] + self.ttl_ms
 
+    def lapse(self, key, held: tuple) -> Row:
+        return self._row(key, "EXPIRED", held, self.due(held))
 
-def latest_with_ttl(stream: DataFrame, key: str, ref: str, tie: str, ttl_seconds: int) -> DataFrame:
+    @staticmethod
+    def _row(key, change: str, event: tuple, at: int) -> Row:
+        return Row(key=key[0], change=change, at_ms=at, ref=event[2], lat=event[3], lng=event[4])
+
+
+def latest_with_ttl(stream: DataFrame, key: str, ref: str, tie: str, ttl_seconds: int, delay: str = "1 minute") -> DataFrame:
     """UPDATE and EXPIRED rows of the newest value per key. The stream has ts, lat and lng."""
     shaped = stream.select(F.col(key).alias("key"), "ts", F.col(tie).alias("tie"), F.col(ref).alias("ref"), "lat", "lng")
-    return (shaped.withWatermark("ts", "0 seconds").groupBy("key")
+    return (shaped.withWatermark("ts", delay).groupBy("key")
             .transformWithState(LatestWithTtl(ttl_seconds), "key bigint, change string, at_ms bigint, ref bigint, lat double, lng double",
                                 "append", "EventTime"))
 
@@ -98,49 +164,44 @@ def availability(stream: DataFrame) -> DataFrame:
                                 "append", "EventTime"))
 
 
-class OfferClock(StatefulProcessor):
-    """The open offer of a trip: settled by its driver's answer in time, else by a timer at its expiry."""
+class OfferClock(InOrder):
+    """The open offer of a trip: settled by its driver's answer up to its expiry, else timed out."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getValueState("offer", "attempt int, driver_id bigint, expires_ms bigint")
+    waits = "at_ms bigint, kind string, driver_id bigint, attempt int, decision string, expires_ms bigint"
+    holds = "attempt int, driver_id bigint, expires_ms bigint"
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        offer = tuple(self.open.get()) if self.open.exists() else None
-        held = offer
-        for event in sorted(rows, key=lambda r: (r.ts, r.kind)):
-            at = _ms(event.ts)
-            if offer and at > offer[2]:
-                yield self._settle(key, offer, "TIMEOUT", offer[2])
-                offer = None
-            if event.kind == "offer":
-                offer = (event.attempt, event.driver_id, _ms(event.expires_at))
-            elif offer and event.driver_id == offer[1]:
-                yield self._settle(key, offer, "ACCEPTED" if event.decision == "ACCEPT" else "REJECTED", at)
-                offer = None
-        if held and held != offer:
-            self.handle.deleteTimer(held[2])
-            self.open.clear()
-        if offer and held != offer:
-            self.open.update(offer)
-            self.handle.registerTimer(offer[2])
+    def shape(self, row: Row) -> tuple:
+        return (_ms(row.ts), row.kind, row.driver_id, row.attempt or 0, row.decision or "", _ms(row.expires_at) if row.expires_at else 0)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        offer = tuple(self.open.get())
-        self.open.clear()
-        yield self._settle(key, offer, "TIMEOUT", offer[2])
+    def lapses_before(self, held: tuple, at: int) -> bool:
+        return self.due(held) < at  # an answer at the expiry instant is in time
+
+    def apply(self, key, held, event):
+        at, kind, driver, attempt, decision, expires = event
+        if kind == "offer":
+            replaced = [self._settle(key, held, "TIMEOUT", held[2])] if held else []
+            return replaced, (attempt, driver, expires)
+        if held and driver == held[1]:
+            return [self._settle(key, held, "ACCEPTED" if decision == "ACCEPT" else "REJECTED", at)], None
+        return [], held
+
+    def due(self, held: tuple) -> int:
+        return held[2]
+
+    def lapse(self, key, held: tuple) -> Row:
+        return self._settle(key, held, "TIMEOUT", held[2])
 
     @staticmethod
     def _settle(key, offer: tuple, state: str, at: int) -> Row:
         return Row(trip_id=key[0], attempt=offer[0], driver_id=offer[1], state=state, settled_ms=at)
 
 
-def offer_clock(offers: DataFrame, responses: DataFrame) -> DataFrame:
-    """Settled offers of the two streams."""
-    asked = offers.select("trip_id", "driver_id", F.lit("offer").alias("kind"), "attempt", F.lit(None).cast("string").alias("decision"),
-                          F.col("offered_at").alias("ts"), "expires_at")
-    told = responses.select("trip_id", "driver_id", F.lit("response").alias("kind"), F.lit(None).cast("int").alias("attempt"),
-                            "decision", "ts", F.lit(None).cast("timestamp").alias("expires_at"))
-    return (asked.unionByName(told).withWatermark("ts", "0 seconds").groupBy("trip_id")
+def offer_clock(offers: DataFrame, responses: DataFrame, offer_delay: str = "1 minute", response_delay: str = "1 minute") -> DataFrame:
+    """Settled offers of the two streams. Each feed has its own watermark; the slower one holds the clock."""
+    asked = offers.withWatermark("offered_at", offer_delay).select(
+        "trip_id", "driver_id", F.lit("offer").alias("kind"), "attempt", F.lit(None).cast("string").alias("decision"), F.col("offered_at").alias("ts"), "expires_at")
+    told = responses.withWatermark("ts", response_delay).select(
+        "trip_id", "driver_id", F.lit("response").alias("kind"), F.lit(None).cast("int").alias("attempt"), "decision", "ts", F.lit(None).cast("timestamp").alias("expires_at"))
+    return (asked.unionByName(told).groupBy("trip_id")
             .transformWithState(OfferClock(), "trip_id bigint, attempt int, driver_id bigint, state string, settled_ms bigint",
                                 "append", "EventTime"))

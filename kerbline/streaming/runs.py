@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kerbline.session import fresh_folder
 
@@ -44,6 +44,23 @@ def as_stream(df: DataFrame, label: str, files_per_trigger: int | None = None) -
     return reader.parquet(land(df, label))
 
 
+def as_late_stream(df: DataFrame, label: str, ts: str, key: str, batches: int = 5, skew_seconds: int = 20) -> DataFrame:
+    """The rows of ``df`` as a stream of ``batches`` micro-batches in rough time order.
+
+    Keys are out of step: odd ones run ``skew_seconds`` behind even ones, so a batch holds times that its neighbours hold too.
+    """
+    spark = df.sparkSession
+    folder = fresh_folder(spark, label)
+    arrival = F.unix_micros(ts) / 1e6 + F.when(F.col(key) % 2 == 0, 0).otherwise(skew_seconds)
+    placed = df.withColumn("_arrival", arrival)
+    cuts = placed.agg(F.percentile_approx("_arrival", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
+    slot = sum((F.coalesce(F.col("_arrival") > c, F.lit(False)).cast("int") for c in cuts), F.lit(0))
+    for i in range(batches):
+        # One file and so one batch each; later files are newer.
+        placed.filter(slot == i).drop("_arrival").coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 def run_to_table(stream: DataFrame, label: str) -> DataFrame:
     """Run a stream over its available input into Parquet files and read them."""
     spark = stream.sparkSession

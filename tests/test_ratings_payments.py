@@ -22,21 +22,22 @@ def ratings_df(spark, rows):
     return spark.createDataFrame(rows, "driver_id long, created_at timestamp, id long, score int")
 
 
-@pytest.mark.parametrize("hot", [10_000, 40, 0])
-def test_fold_matches_replay_on_both_paths(spark, hot):
-    rnd = random.Random(hot)
-    rows = [(d, BASE + timedelta(minutes=rnd.randrange(4000)), 1000 * d + i, rnd.randint(1, 5)) for d in (1, 2, 3) for i in range(30 * d)]
+@pytest.mark.parametrize("span", [40, 4000])
+def test_fold_matches_replay(spark, span):
+    rnd = random.Random(span)
+    rows = [(d, BASE + timedelta(minutes=rnd.randrange(span)), 1000 * d + i, rnd.randint(1, 5)) for d in (1, 2, 3) for i in range(30 * d)]
     rnd.shuffle(rows)
-    got = {r.driver_id: (r.average_rating, r.total_ratings) for r in ratings.fold_ratings(ratings_df(spark, rows).repartition(3), hot=hot).collect()}
+    got = {r.driver_id: (r.average_rating, r.total_ratings) for r in ratings.fold_ratings(ratings_df(spark, rows).repartition(3)).collect()}
     want = {d: fold([r[3] for r in sorted((x for x in rows if x[0] == d), key=lambda x: (x[1], x[2]))]) for d in (1, 2, 3)}
     assert got == want
 
 
-@pytest.mark.parametrize("hot", [10_000, 0])
-def test_fold_from_stored_mean(spark, hot):
-    start = spark.createDataFrame([(1, Decimal("4.0"), 2)], "driver_id long, average_rating decimal(2,1), total_ratings int")
-    row = ratings.fold_ratings(ratings_df(spark, [(1, BASE, 1, 5)]), start, hot=hot).first()
-    assert (row.average_rating, row.total_ratings) == (Decimal("4.3"), 3)
+def test_fold_from_stored_mean_sets_bad_rows_aside(spark):
+    start = spark.createDataFrame([(1, Decimal("4.0"), 2), (2, Decimal("0.5"), 3), (3, Decimal("4.0"), -1)], "driver_id long, average_rating decimal(2,1), total_ratings int")
+    rows = ratings_df(spark, [(1, BASE, 1, 5), (1, BASE, 2, 9), (1, BASE, 3, 0), (1, None, 4, 5), (2, BASE, 5, 5), (3, BASE, 6, 5), (None, BASE, 7, 5)])
+    assert [tuple(r) for r in ratings.fold_ratings(rows, start).collect()] == [(1, Decimal("4.3"), 3)]
+    assert sorted(tuple(r)[1:] for r in ratings.fold_faults(rows, start).collect() if r.id) == [(2, "SCORE_OUT_OF_RANGE"), (3, "SCORE_OUT_OF_RANGE"), (4, "NO_TIME"), (7, "NO_DRIVER")]
+    assert sorted((r.driver_id, r.reason) for r in ratings.fold_faults(rows, start).collect() if r.id is None) == [(2, "MEAN_OUT_OF_RANGE"), (3, "COUNT_OUT_OF_RANGE")]
 
 
 def test_fold_depends_on_order(spark):
