@@ -1,0 +1,192 @@
+"""Registered queries over the smallest tables, and every pipeline stage against a plain version of it."""
+
+import os
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+
+import __spark_entry__ as contract
+import corpus_pipeline
+from kerbline.llm import simhash
+from kerbline.llm.queries import CHECK_SQL, QUERIES
+from tests.llm.test_common_sharding_mixing import plain_targets
+from tests.llm.test_packing import checked
+from tests.llm.test_quality_langid import plain_bits
+from tests.llm.test_secrets import plain_spans
+from tests.llm.test_simhash import groups, plain_fingerprint
+from tests.llm.test_vectors import plain_links, plain_nearest
+
+FOLDER = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the shared tables")
+
+
+def rows(sql):
+    return duckdb.sql(sql.format(f=FOLDER)).fetchall()
+
+
+@pytest.fixture(scope="module")
+def docs():
+    return {r[0]: r[1:] for r in rows("SELECT doc_id, text, lang, source FROM '{f}/documents.parquet'")}
+
+
+def words(text):
+    return len((text or "").encode().split())
+
+
+def run(spark, name):
+    return [r.asDict() for r in QUERIES[name](spark, FOLDER).collect()]
+
+
+def test_every_query_is_registered():
+    names = contract.queries()
+    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11)) and "pipeline" in names
+    assert set(CHECK_SQL) <= set(contract.oracle_sql())
+
+
+def test_op1(spark, docs):
+    got = run(spark, "op1_source_mix")
+    sizes = Counter()
+    for text, _, source in docs.values():
+        sizes[source] += words(text)
+    want = plain_targets(sizes, [3, 1, 2], 1.5, 2)
+    assert {r["doc_id"]: r["size"] for r in got} == {i: words(t) for i, (t, _, _) in docs.items()}
+    for source, total in sizes.items():
+        own = [r for r in got if r["source"] == source]
+        assert {r["source_size"] for r in own} == {total} and all(abs(r["target"] - want[source]) < 1e-6 * total for r in own)
+        assert abs(sum(r["taken"] for r in own) - want[source]) <= max(r["size"] for r in own)
+    assert all(r["taken"] <= 2 * r["size"] for r in got)
+
+
+def test_op2(spark, docs):
+    got = run(spark, "op2_feistel_shards")
+    for r in got:
+        data = (docs[r["doc_id"]][0] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(data) + 1, zlib.crc32(data), "rows", None)
+    counts = Counter(r["shard"] for r in got)
+    assert len(got) == len(docs) and set(counts) == set(range(16)) and max(counts.values()) - min(counts.values()) <= 1
+    assert {(r["shard"], r["slot"]) for r in got} == {(s, i) for s, n in counts.items() for i in range(n)}
+
+
+def test_op3(spark, docs):
+    got = QUERIES["op3_best_fit_packing"](spark, FOLDER).collect()
+    checked(got, 4096, 4)
+    total = Counter()
+    for r in got:
+        total[r["doc_id"]] += r["length"]
+    assert total == {i: words(t) for i, (t, _, _) in docs.items()}
+
+
+def test_op4_matches_its_sql(spark):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{FOLDER}/documents.parquet'")
+    frame = QUERIES["op4_secret_scan"](spark, FOLDER)
+    check = con.sql(CHECK_SQL["op4_secret_scan"])
+    assert frame.columns == check.columns and sorted(map(tuple, frame.collect())) == sorted(check.fetchall())
+
+
+def test_op5_and_op7(spark):
+    vectors = rows("SELECT vec_id, embedding, label FROM '{f}/embeddings.parquet'")
+    got = QUERIES["op5_embedding_dedup"](spark, FOLDER).collect()
+    assert sorted(tuple(r) for r in got) == plain_links(vectors)
+    found = defaultdict(set)
+    for r in run(spark, "op7_nearest_vectors"):
+        found[r["query_id"]].add(r["vec_id"])
+    want = plain_nearest(vectors, 20)
+    assert sum(len(found[q] & set(w)) for q, w in want.items()) >= 0.9 * sum(map(len, want.values()))
+
+
+def test_op6(spark):
+    got = run(spark, "op6_warc_derivatives")
+    assert sorted(r["page_id"] for r in got) == sorted(r[0] for r in rows("SELECT page_id FROM '{f}/pages.parquet'"))
+    assert len({r["conversion_id"] for r in got}) == len(got)
+
+
+def test_op8_and_op9(spark, docs):
+    got = run(spark, "op8_language")
+    held = [r for r in got if r["held_out"]]
+    assert {r["doc_id"] for r in held} == {i for i in docs if zlib.crc32(str(i).encode()) % 4 == 2} and len(got) == len(docs)
+    assert sum(r["lang_pred"] == docs[r["doc_id"]][1] for r in held) >= 0.9 * len(held)
+    good = dict(rows("SELECT doc_id, quality FROM '{f}/labels.parquet'"))
+    judged = run(spark, "op9_quality")
+    clean = [r for r in judged if good.get(r["doc_id"]) == 1]
+    assert len(judged) == len(docs) and sum(r["kept"] for r in clean) >= 0.97 * len(clean)
+
+
+def test_op10(spark, docs):
+    got = {r["doc_id"]: (int(r["fingerprint"], 16), r["component_id"]) for r in run(spark, "op10_simhash")}
+    want = {i: plain_fingerprint(t) for i, (t, _, _) in docs.items()}
+    assert {i: p for i, (p, _) in got.items()} == want and {i: c for i, (_, c) in got.items()} == groups(want, 2)
+
+
+@pytest.fixture(scope="module")
+def staged(spark):
+    out = [spark.read.parquet(f"{FOLDER}/documents.parquet")]
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        frame = stage(spark, out[-1], FOLDER)
+        frame.write.parquet(path := os.path.join(spark.conf.get("spark.checkpoint.dir", None) or "/tmp", f"staged-{os.getpid()}-{i}"))
+        out.append(spark.read.parquet(path))
+    return out
+
+
+def at_rank(values, q):
+    values = sorted(values)
+    return values[max(0, int(np.ceil(q * len(values))) - 1)]
+
+
+def test_quality_stage_matches_a_plain_model(staged, docs):
+    good = {i for i, q in rows("SELECT doc_id, quality FROM '{f}/labels.parquet'") if q == 1}
+    held = {i for i in good if zlib.crc32(str(i).encode()) % 5 == 0}
+    ids = list(docs)
+    bits = dict(zip(ids, plain_bits([docs[i][0] for i in ids if i in good - held], [docs[i][0] for i in ids])))
+    units = {i: len(docs[i][0].encode("utf-16-le")) // 2 + 1 for i in ids}
+    judges = [i for i in ids if i in held]
+    middle = at_rank([bits[i] / units[i] for i in judges], 0.5)
+    smooth = {i: (bits[i] + 32 * middle) / (units[i] + 32) for i in ids}
+    limit = at_rank([smooth[i] for i in judges], 0.995)
+    assert len(judges) < 200
+    kept = {r["doc_id"] for r in staged[1].select("doc_id").collect()}
+    assert all((i in kept) == (smooth[i] <= limit) for i in ids if abs(smooth[i] - limit) > 1e-5)
+
+
+def test_near_duplicate_stage_matches_all_pairs(staged):
+    before = {r["doc_id"]: r["text"] for r in staged[1].select("doc_id", "text").collect()}
+    p = simhash.bit_difference(0.8)
+    with np.errstate(over="ignore"):
+        prints = {i: int.from_bytes(simhash.fingerprint(t, 5, 4), "big") for i, t in sorted(before.items())}
+    want = set(groups(prints, int(256 * p + 1.5 * (256 * p * (1 - p)) ** 0.5)).values())
+    assert {r["doc_id"] for r in staged[2].select("doc_id").collect()} == want
+    assert staged[2].columns == staged[0].columns
+
+
+def test_secret_stage_hides_what_a_plain_scan_finds(staged):
+    before = {r["doc_id"]: r["text"] for r in staged[2].select("doc_id", "text").collect()}
+    after = {r["doc_id"]: r for r in staged[3].collect()}
+    assert set(before) == set(after) and staged[3].columns == staged[0].columns
+    for i, text in before.items():
+        spans = plain_spans(text)
+        assert (after[i]["text"] == text) == (not spans)
+        assert all(text[s:e] not in after[i]["text"] for s, e, _ in spans) and (not spans or after[i]["n_chars"] == len(after[i]["text"]))
+
+
+def test_mix_stage_meets_its_targets(staged):
+    before = {r["doc_id"]: r for r in staged[3].collect()}
+    copies = Counter(r["doc_id"] for r in staged[4].collect())
+    assert staged[4].columns == staged[0].columns and set(copies) <= set(before) and max(copies.values()) <= 2
+    sizes, taken, largest = Counter(), Counter(), Counter()
+    for i, r in before.items():
+        sizes[r["source"]] += words(r["text"])
+        taken[r["source"]] += copies[i] * words(r["text"])
+        largest[r["source"]] = max(largest[r["source"]], words(r["text"]))
+    want = plain_targets(sizes, [3, 1, 2], 1.5, 2)
+    assert all(abs(taken[s] - want[s]) <= largest[s] for s in sizes)
+
+
+def test_packing_stage_places_every_word(staged):
+    before = staged[4].select("doc_id", "text").collect()
+    got = staged[5].collect()
+    checked(got, 4096, 4)
+    assert sum(r["length"] for r in got) == sum(words(r["text"]) for r in before)
+    assert Counter(r["doc_id"] for r in got if r["start"] == 0) == Counter(r["doc_id"] for r in before)
