@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from kerbline.functions import geo
 from kerbline.functions.fares import tariff_fare
 from kerbline.model import DEFAULT_TARIFF_FROM, DEFAULT_TARIFFS
-from kerbline.operators.timeline import asof_join, previous_in_key
+from kerbline.operators.timeline import bucket_of, carry_forward, previous_in_key, with_carried
 
 DAY = 86_400
+SLOT = 900
 TARIFF_COLUMNS = ("base_fare", "per_km_rate", "per_minute_rate", "minimum_fare", "surge_multiplier")
 
 
@@ -28,9 +29,18 @@ def active_tariffs(pricing: DataFrame) -> DataFrame:
 
 
 def asof_tariff(rows: DataFrame, pricing: DataFrame, at: str) -> DataFrame:
-    """Rows with the latest active tariff of their vehicle type in force at ``at``; null when there is none."""
+    """Rows with the latest active tariff of their vehicle type in force at ``at``; null when there is none.
+
+    Both sides are sorted together inside (type, quarter of an hour), so no row is ever paired with more than one version,
+    however many versions there are.
+    """
     values = {"tariff_id": "id", **{c: c for c in TARIFF_COLUMNS}}
-    return asof_join(rows, active_tariffs(pricing), ["vehicle_type"], at, "effective_from", ["id"], values, DAY)
+    hit = F.struct(*[F.col(src).alias(out) for out, src in values.items()])
+    versions = active_tariffs(pricing).filter(F.col("vehicle_type").isNotNull())
+    wanted = rows.select("vehicle_type", bucket_of(F.col(at), SLOT).alias("_bucket"))
+    source = with_carried(versions, ["vehicle_type"], "effective_from", ["id"], hit, SLOT, wanted)
+    found = carry_forward(rows, ["vehicle_type"], at, SLOT, {"_tariff": source})
+    return found.select(*rows.columns, *[F.col("_tariff")[out].alias(out) for out in values])
 
 
 def price_bookings(bookings: DataFrame, pricing: DataFrame, strategy: str = "city_road") -> DataFrame:
