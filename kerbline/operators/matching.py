@@ -11,7 +11,7 @@ from kerbline import model as m
 from kerbline.functions import geo, text
 from kerbline.operators.nearest import nearest
 from kerbline.operators.timeline import asof_join
-from kerbline.session import cut_lineage
+from kerbline.session import cut_lineage, written
 
 Ranking = Callable[[], list[Column]]
 RANKINGS: dict[str, Ranking] = {
@@ -85,6 +85,39 @@ def assign(requests: DataFrame, ranked: DataFrame) -> DataFrame:
                         F.col("w.distance_m").alias("distance_m"), F.col("w.rank").cast("int").alias("rank"))
 
 
+def assign_timed(requests: DataFrame, ranked: DataFrame, locks: DataFrame | None = None, lock_seconds: int = m.DRIVER_LOCK_TTL) -> DataFrame:
+    """Each trip's first candidate that is free at its request time, trips in order of (requested_at, trip_id).
+
+    A taken driver is locked for ``lock_seconds`` from the taking trip's request on, then free again. ``locks`` (driver_id,
+    locked_until) bars drivers taken before. What a trip gets depends on earlier trips of the last ``lock_seconds`` only, so
+    all trips choose at once from the last round's choices, again until nothing changes: after n rounds every trip with at
+    most n - 1 trips before it in a chain of conflicts is right. A trip meets another one only through a shared driver in the
+    same or the last lock-long time slot. A round is a written table of one row per placed trip.
+    """
+    moment = F.unix_micros("requested_at")
+    span = lock_seconds * 1_000_000
+    wishes = ranked.select("trip_id", "driver_id", "distance_m", "rank").join(
+        requests.select("trip_id", "requested_at", moment.alias("at")), "trip_id")
+    if locks is not None:
+        held = locks.groupBy("driver_id").agg(F.max("locked_until").alias("_until"))
+        wishes = (wishes.join(held, "driver_id", "left").filter(F.col("_until").isNull() | (F.col("requested_at") >= F.col("_until"))).drop("_until"))
+    wishes = written(wishes.withColumn("slot", F.floor(F.col("at") / span)), "timed-wishes")
+    taken, seen = None, None
+    while True:
+        free = wishes
+        if taken is not None:
+            other = taken.select(F.col("driver_id").alias("d"), F.col("trip_id").alias("t"), F.col("at").alias("t_at"),
+                                 F.explode(F.array(F.col("slot"), F.col("slot") + 1)).alias("s"))
+            earlier = (F.col("t_at") < F.col("at")) | ((F.col("t_at") == F.col("at")) & (F.col("t") < F.col("trip_id")))
+            free = wishes.join(other, (F.col("driver_id") == F.col("d")) & (F.col("slot") == F.col("s")) & earlier & (F.col("t_at") + span > F.col("at")), "left_anti")
+        choice = free.groupBy("trip_id").agg(F.min_by(F.struct("requested_at", "driver_id", "distance_m", "rank", "at", "slot"), F.struct("rank", "driver_id")).alias("c"))
+        taken = written(choice.select("trip_id", "c.*"), "timed-choices")
+        now = taken.agg(F.count("*"), F.bit_xor(F.xxhash64("trip_id", "driver_id"))).first()
+        if now == seen:
+            return taken.select("trip_id", "requested_at", "driver_id", "distance_m", F.col("rank").cast("int").alias("rank"))
+        seen = now
+
+
 def make_offers(assigned: DataFrame, attempt: int = 1, ttl_seconds: int = m.DRIVER_LOCK_TTL) -> DataFrame:
     """Offers made at request time, each holding its driver for the lock's life."""
     return assigned.select("trip_id", "driver_id", "distance_m", F.lit(attempt).alias("attempt"),
@@ -132,8 +165,13 @@ def rejected_sets(settled: DataFrame) -> DataFrame:
     return refused.groupBy("trip_id").agg(F.sort_array(F.collect_list("driver_id")).alias("rejected"))
 
 
-def retry_decisions(settled: DataFrame, next_candidates: DataFrame) -> DataFrame:
-    """What follows each trip's last failed offer: another attempt, or no driver with the reason note."""
+def retry_decisions(settled: DataFrame, next_candidates: DataFrame, trips: DataFrame | None = None) -> DataFrame:
+    """What follows each trip's last failed offer: another attempt, or no driver with the reason note.
+
+    With ``trips``, only live trips that are still SEARCHING go on. Candidates must leave out drivers that others hold.
+    """
+    if trips is not None:
+        settled = settled.join(_searching(trips), "trip_id", "left_semi")
     last = (settled.groupBy("trip_id")
             .agg(F.max_by(F.struct("attempt", "driver_id", "state"), "attempt").alias("_l"),
                  F.max((F.col("state") == "ACCEPTED").cast("int")).alias("_won"))
@@ -149,10 +187,28 @@ def retry_decisions(settled: DataFrame, next_candidates: DataFrame) -> DataFrame
                     F.when(note.isNull(), F.col("attempt") + 1).alias("next_attempt"), note.alias("note")))
 
 
+def _searching(trips: DataFrame) -> DataFrame:
+    return trips.filter(F.col("deleted_at").isNull() & (F.col("status") == "SEARCHING")).select(F.col("id").alias("trip_id"))
+
+
+def retry_effects(decisions: DataFrame, next_candidates: DataFrame, settled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Next offer rows and NO_DRIVER status-log rows of retry decisions.
+
+    The next offer goes to the first candidate, made when the last one failed; the log row has that time and the note."""
+    failed = settled.groupBy("trip_id").agg(F.max_by("settled_at", "attempt").alias("_at"))
+    placed = decisions.join(failed, "trip_id")
+    first = next_candidates.groupBy("trip_id").agg(F.min_by(F.struct("driver_id", "distance_m"), F.struct("rank", "driver_id")).alias("_c"))
+    offers = (placed.filter(F.col("next_step") == "RETRY").join(first, "trip_id")
+              .select("trip_id", "_c.driver_id", "_c.distance_m", F.col("next_attempt").alias("attempt"), F.col("_at").alias("offered_at"),
+                      (F.col("_at") + F.make_dt_interval(secs=F.lit(m.DRIVER_LOCK_TTL))).alias("expires_at")))
+    events = placed.filter(F.col("next_step") == "NO_DRIVER").select(
+        "trip_id", F.lit("SEARCHING").alias("from_status"), F.lit("NO_DRIVER").alias("to_status"), "note", F.col("_at").alias("changed_at"))
+    return offers, events
+
+
 def acceptance_events(settled: DataFrame, trips: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Status-log rows and BUSY marks of accepted offers whose trip was still searching."""
-    open_trips = trips.filter(F.col("deleted_at").isNull() & (F.col("status") == "SEARCHING")).select(F.col("id").alias("trip_id"))
-    won = settled.filter(F.col("state") == "ACCEPTED").join(open_trips, "trip_id", "left_semi")
+    won = settled.filter(F.col("state") == "ACCEPTED").join(_searching(trips), "trip_id", "left_semi")
     events = won.select("trip_id", F.lit("SEARCHING").alias("from_status"), F.lit("ACCEPTED").alias("to_status"),
                         F.col("driver_id").alias("changed_by"), F.lit("Driver accepted matching offer").alias("note"),
                         F.col("settled_at").alias("changed_at"))

@@ -118,7 +118,7 @@ UNION ALL SELECT 'latest', count(*), CAST(sum(trip_id % 1000003) AS BIGINT) FROM
 UNION ALL SELECT 'topics', count(*), CAST(sum(trip_id % 1000003) AS BIGINT) FROM att WHERE trip_id IS NOT NULL""")
 def _(r: RideTables) -> DataFrame:
     root = fresh_folder(r.spark, "ingest")
-    run_batches(as_stream(r.driver_pings, "pings"), "str02", feeds.ping_ingest(r.trips, root))
+    run_batches(as_stream(r.driver_pings, "pings"), "str02", feeds.ping_ingest(lambda: r.trips, root))
 
     def part(name: str, df: DataFrame, key) -> DataFrame:
         return df.agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("n"), F.sum(key % 1000003).alias("key_sum"))
@@ -140,7 +140,7 @@ lock AS (SELECT CAST(0 AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS trip_id, CAST(
 SELECT l.trip_id, l.driver_id, q.requested_at + INTERVAL '30' SECOND AS expires_at FROM lock l JOIN match_requests q USING (trip_id)""")
 def _(r: RideTables) -> DataFrame:
     root = fresh_folder(r.spark, "matcher")
-    run_batches(as_stream(r.match_requests, "requests"), "str05", feeds.matcher(r.spark, r.online_drivers, root, datetime(2024, 1, 1)))
+    run_batches(as_stream(r.match_requests, "requests"), "str05", feeds.matcher(r.spark, lambda: r.online_drivers, root, datetime(2024, 1, 1)))
     return r.spark.read.parquet(f"{root}/offers").select("trip_id", "driver_id", "expires_at")
 
 
@@ -193,9 +193,12 @@ def _(r: RideTables) -> DataFrame:
     root = fresh_folder(r.spark, "availability-snapshot")
     events = r.driver_availability.select("driver_id", "event_id", "kind", "ts")
     gone = F.col("kind") == "offline"
-    upsert_snapshot(events.filter(F.col("event_id") % 2 == 0), root, 0, ["driver_id"], ["ts", "event_id"])
-    upsert_snapshot(events.filter(F.col("event_id") % 2 == 1), root, 1, ["driver_id"], ["ts", "event_id"])
-    upsert_snapshot(events, root, 2, ["driver_id"], ["ts", "event_id"], gone)
+    upsert_snapshot(events.filter(F.col("event_id") % 6 == 0), root, 0, ["driver_id"], ["ts", "event_id"], gone)
+    upsert_snapshot(events.filter(F.col("event_id") % 6 == 3), root, 1, ["driver_id"], ["ts", "event_id"], gone)
+    upsert_snapshot(events.filter(F.col("event_id") % 3 == 1), root, 2, ["driver_id"], ["ts", "event_id"], gone)
+    # A replayed batch, and older rows that must not bring a removed driver back.
+    upsert_snapshot(events.filter(F.col("event_id") % 3 == 1), root, 2, ["driver_id"], ["ts", "event_id"], gone)
+    upsert_snapshot(events.filter(F.col("event_id") % 3 == 2), root, 3, ["driver_id"], ["ts", "event_id"], gone)
     return read_snapshot(r.spark, root).select("driver_id", "kind", "ts")
 
 

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from kerbline.session import remove_folder
+
 VERSION, BATCH = "snapshot_version", "ingest_batch"  # folder columns
+DELETED = "snapshot_deleted"
 
 
-def append_log(df: DataFrame, root: str, time_column: str, date_column: str, grain: str = "day") -> None:
-    """Append to a log partitioned by day (or week, month). Rebalancing splits a crowded date and joins thin ones."""
+def append_log(df: DataFrame, root: str, time_column: str, date_column: str, grain: str = "day", batch_id: int | str = 0) -> None:
+    """Append a job's rows to a log partitioned by batch and day (or week, month). A retried job overwrites its own
+    batch. Rebalancing splits a crowded date and joins thin ones."""
     dated = df.withColumn(date_column, F.to_date(F.date_trunc(grain, time_column)))
-    dated.hint("rebalance", date_column).write.mode("append").partitionBy(date_column).parquet(root)
+    dated.hint("rebalance", date_column).write.mode("overwrite").partitionBy(date_column).parquet(f"{root}/{BATCH}={batch_id}")
 
 
 def append_batch(df: DataFrame, root: str, batch_id: int) -> None:
@@ -19,16 +23,33 @@ def append_batch(df: DataFrame, root: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{root}/{BATCH}={batch_id}")
 
 
-def read_snapshot(spark: SparkSession, root: str, before: int | None = None) -> DataFrame | None:
-    """Rows of the newest version, or of the newest one below ``before``; None when there is none."""
+def _table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``; None if the path does not exist. Any other fault is raised."""
     try:
-        versions = spark.read.parquet(root)
-    except AnalysisException:
+        return spark.read.parquet(path)
+    except AnalysisException as fault:
+        if fault.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    if before is not None:
-        versions = versions.filter(F.col(VERSION) < before)
-    newest = versions.agg(F.max(VERSION)).first()[0]
-    return None if newest is None else versions.filter(F.col(VERSION) == newest).drop(VERSION)
+
+
+def committed_versions(spark: SparkSession, root: str) -> list[int]:
+    """Versions whose write has ended, oldest first. A version counts from its row in the commit table on."""
+    commits = _table(spark, f"{root}/commits")
+    return [] if commits is None else sorted({r[0] for r in commits.select(VERSION).distinct().collect()})
+
+
+def _stored(spark: SparkSession, root: str, before: int | None) -> DataFrame | None:
+    versions = [v for v in committed_versions(spark, root) if before is None or v < before]
+    return spark.read.parquet(f"{root}/{VERSION}={versions[-1]}") if versions else None
+
+
+def read_snapshot(spark: SparkSession, root: str, before: int | None = None) -> DataFrame | None:
+    """Rows of the newest committed version, or of the newest one below ``before``; None when there is none.
+
+    Only that version's folder is read."""
+    stored = _stored(spark, root, before)
+    return None if stored is None else stored.filter(~F.col(DELETED)).drop(DELETED)
 
 
 def latest_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -39,15 +60,26 @@ def latest_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFr
 
 
 def upsert_snapshot(changes: DataFrame, root: str, version: int, keys: list[str], order: list[str],
-                    deleted: Column | None = None) -> None:
+                    deleted: Column | None = None, forget: Column | None = None, keep_versions: int = 3) -> None:
     """Write version ``version``: the last version below it with the changes applied, last writer wins.
 
-    At equal order a change beats the stored row. Rows for which ``deleted`` holds remove their key.
+    At equal order a change beats the stored row. Rows for which ``deleted`` holds remove their key and stay as
+    tombstones, so that a later, older row does not bring it back; tombstones for which ``forget`` holds are dropped.
+    The version counts once its commit row is written; then all but the newest ``keep_versions`` are removed, at least
+    two, so that the last batch can be replayed.
     """
+    spark = changes.sparkSession
     marked = (changes.withColumn("_new", F.lit(1))
-              .withColumn("_gone", F.lit(False) if deleted is None else F.coalesce(deleted, F.lit(False))))
-    previous = read_snapshot(changes.sparkSession, root, before=version)
+              .withColumn(DELETED, F.lit(False) if deleted is None else F.coalesce(deleted, F.lit(False))))
+    previous = _stored(spark, root, before=version)
     if previous is not None:
-        marked = marked.unionByName(previous.withColumn("_gone", F.lit(False)).withColumn("_new", F.lit(0)), allowMissingColumns=True)
-    kept = latest_per_key(marked, keys, [*order, "_new", "_gone"]).filter(~F.col("_gone")).drop("_gone", "_new")
+        marked = marked.unionByName(previous.withColumn("_new", F.lit(0)), allowMissingColumns=True)
+    kept = latest_per_key(marked, keys, [*order, "_new", DELETED]).drop("_new")
+    if forget is not None:
+        kept = kept.filter(~(F.col(DELETED) & F.coalesce(forget, F.lit(False))))
     kept.write.mode("overwrite").parquet(f"{root}/{VERSION}={version}")
+    done = committed_versions(spark, root)
+    if version not in done:
+        spark.range(1).select(F.lit(version).alias(VERSION)).write.mode("append").parquet(f"{root}/commits")
+    for old in [v for v in done if v < version][:-max(1, keep_versions - 1)]:
+        remove_folder(spark, f"{root}/{VERSION}={old}")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -50,11 +51,13 @@ def silent_spells(beats: DataFrame, seconds: int = 60, delay: str = "1 minute")
             .select("driver_id", F.col("session_window.start").alias("online_from"), F.col("session_window.end").alias("offline_at"), "beats"))
 
 
-def ping_ingest(trips: DataFrame, root: str) -> Callable[[DataFrame, int], None]:
-    """Batch handler: attach pings, append the log, keep the latest place per driver, set rejects aside, emit topics."""
+def ping_ingest(trips: DataFrame | Callable[[], DataFrame], root: str) -> Callable[[DataFrame, int], None]:
+    """Batch handler: attach pings, append the log, keep the latest place per driver, set rejects aside, emit topics.
+
+    Pass ``trips`` as a function to read the table anew in every batch, so that trips made while the job runs are seen."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        attached = tracking.attach_pings(batch, trips).persist()
+        attached = tracking.attach_pings(batch, trips() if callable(trips) else trips).persist()
         try:
             append_batch(tracking.location_log(attached), f"{root}/log", batch_id)
             append_batch(tracking.ping_rejects(attached), f"{root}/rejects", batch_id)
@@ -69,26 +72,25 @@ def ping_ingest(trips: DataFrame, root: str) -> Callable[[DataFrame, int], None]
     return handle
 
 
-def match_window(requests: DataFrame, online: DataFrame, locks: DataFrame | None, as_of) -> DataFrame:
-    """Assignments of one lock-length window of requests, given the locks of earlier windows.
+def match_window(requests: DataFrame, online: DataFrame, locks: DataFrame | None, as_of: datetime) -> DataFrame:
+    """Assignments of a batch of requests, given the locks of earlier ones. Locks lapse inside the batch too."""
+    return matching.assign_timed(requests, matching.candidates(requests, online, as_of), locks)
 
-    A lock taken inside the window cannot lapse in it. An earlier lock only bars requests made before it lapses.
-    """
-    ranked = matching.candidates(requests, online, as_of)
-    if locks is not None:
-        held = (ranked.select("trip_id", "driver_id").join(requests.select("trip_id", "requested_at"), "trip_id")
-                .join(locks.select("driver_id", "locked_until"), "driver_id").filter(F.col("requested_at") < F.col("locked_until"))
-                .select("trip_id", "driver_id").distinct())
-        ranked = ranked.join(held, ["trip_id", "driver_id"], "left_anti")
-    return matching.assign(requests, ranked)
 
+def matcher(spark: SparkSession, online: DataFrame | Callable[[], DataFrame], root: str,
+            as_of: datetime | None = None) -> Callable[[DataFrame, int], None]:
+    """Batch handler: match the batch against the lock snapshot, append offers, renew locks.
 
-def matcher(spark: SparkSession, online: DataFrame, root: str, as_of) -> Callable[[DataFrame, int], None]:
-    """Batch handler: match the batch against the lock snapshot, append offers, renew locks."""
+    ``online`` as a function is read anew in every batch. Without ``as_of``, the batch's latest request time decides
+    whose status has expired.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        now = as_of or batch.agg(F.max("requested_at")).first()[0]
+        if now is None:
+            return
         locks = read_snapshot(spark, f"{root}/locks", before=batch_id)
-        offers = matching.make_offers(match_window(batch, online, locks, as_of)).persist()
+        offers = matching.make_offers(match_window(batch, online() if callable(online) else online, locks, now)).persist()
         try:
             append_batch(offers, f"{root}/offers", batch_id)
             taken = offers.select("driver_id", "trip_id", F.col("expires_at").alias("locked_until"))

@@ -141,3 +141,36 @@ def test_first_attempt_without_candidates_stays_searching(spark):
     online = drivers(spark, [(1, 0.1, "BUSY", "CAR_4_SEAT")])
     made = matching.make_offers(matching.assign(ask(spark), matching.candidates(ask(spark), online, NOW)))
     assert made.count() == 0
+
+
+def one_by_one_timed(requests, lists, seconds=30):
+    until, out = {}, {}
+    for t, at in sorted(requests, key=lambda r: (r[1], r[0])):
+        for d in lists.get(t, ()):
+            if d not in until or at >= until[d]:
+                until[d] = at + timedelta(seconds=seconds)
+                out[t] = d
+                break
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_timed_assignment_equals_locking_with_expiry(spark, seed):
+    rnd = random.Random(seed)
+    requests = [(t, NOW + timedelta(seconds=rnd.randrange(600))) for t in range(400)]
+    lists = {t: rnd.sample(range(9), rnd.randrange(0, 4)) for t, _ in requests}
+    ranked = [(t, d, 100 * n, n + 1) for t, ds in lists.items() for n, d in enumerate(ds)]
+    got = matching.assign_timed(spark.createDataFrame(requests, "trip_id long, requested_at timestamp"),
+                                spark.createDataFrame(ranked, "trip_id long, driver_id long, distance_m long, rank int"))
+    assert {r.trip_id: r.driver_id for r in got.collect()} == one_by_one_timed(requests, lists)
+
+
+def test_retry_effects_only_for_searching_trips(spark):
+    settled = spark.createDataFrame([(t, 1, 10, "TIMEOUT", NOW) for t in (1, 2, 3)] + [(4, 3, 11, "REJECTED", NOW)],
+                                    "trip_id long, attempt int, driver_id long, state string, settled_at timestamp")
+    trips = spark.createDataFrame([(1, "SEARCHING", None), (2, "CANCELLED", None), (3, "SEARCHING", NOW), (4, "SEARCHING", None)], "id long, status string, deleted_at timestamp")
+    more = spark.createDataFrame([(1, 20, 500, 1), (1, 21, 600, 2), (4, 20, 1, 1)], "trip_id long, driver_id long, distance_m long, rank int")
+    decided = matching.retry_decisions(settled, more, trips)
+    offers, events = matching.retry_effects(decided, more, settled)
+    assert [(r.trip_id, r.driver_id, r.attempt, r.expires_at) for r in offers.collect()] == [(1, 20, 2, NOW + timedelta(seconds=30))]
+    assert [(r.trip_id, r.to_status, r.note) for r in events.collect()] == [(4, "NO_DRIVER", "Matching exhausted after driver rejection")]
