@@ -101,6 +101,9 @@ def mix(docs: DataFrame, source: str, size: str, weights: list[float], share: fl
     0, and sources that have no others, keep one copy: their words are 0 either way. Repeated rows are rows of their own.
     An empty table gives no rows.
     """
+    own = {"rate", "units", "copies", "source_size", "target", "at", "before", "dealt", "no_source", "shift", "r_source", "r_size", "t_source"}
+    if clash := own & {c.lower() for c in docs.columns}:
+        raise ValueError(f"columns {sorted(clash)} exist already; rename them")
     rows = docs.select(*[column(c) for c in docs.columns])
     k, s = column(source), column(size)
     bins = written(rows.groupBy(k.alias("source"), s.alias("size")).agg(F.count("*").alias("n")), "mix-sizes")

@@ -231,7 +231,7 @@ def classify(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", lang: str
 
 def keep_good(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", lang: str = "lang", text: str = "text", **limits: float) -> DataFrame:
     """The rows of ``docs`` that :func:`classify` keeps, all columns and repeated rows as they were."""
-    mark = free_name(docs, "text_hash")
-    stay = classify(docs, trusted, key, lang, text, **limits).filter("kept").select(column(key).alias("stay_key"), column(lang).alias("stay_lang"), F.col("text_hash").alias("stay_hash"))
+    mark, k, l, h = (free_name(docs, n) for n in ("text_hash", "stay_key", "stay_lang", "stay_hash"))
+    stay = classify(docs, trusted, key, lang, text, **limits).filter("kept").select(column(key).alias(k), column(lang).alias(l), F.col("text_hash").alias(h))
     return (docs.withColumn(mark, F.xxhash64(column(text)))
-            .join(stay, column(key).eqNullSafe(F.col("stay_key")) & column(lang).eqNullSafe(F.col("stay_lang")) & (column(mark) == F.col("stay_hash")), "left_semi").drop(mark))
+            .join(stay, column(key).eqNullSafe(column(k)) & column(lang).eqNullSafe(column(l)) & (column(mark) == column(h)), "left_semi").drop(mark))

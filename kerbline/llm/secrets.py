@@ -117,6 +117,8 @@ def scan(docs: DataFrame, text: str = "text", spans: str = "spans", allowed: tup
     and a letter, that overlaps none of them, matches no pattern of ``allowed``, and has a window of 20 characters with at
     least the entropy set for its character class. Null and empty texts have no spans; texts are scanned whole.
     """
+    if spans.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"column {spans} exists already; pass another name")
     body = F.coalesce(column(text), F.lit(""))
     base = F.expr(f"cast(array() as array<{SPAN}>)")
     for nth, (kind, pattern, group, least) in enumerate(BASE, 1):

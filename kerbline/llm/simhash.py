@@ -264,13 +264,13 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     """
     bits, p = 64 * lanes, bit_difference(similarity)
     most = int(bits * p + 1.5 * math.sqrt(bits * p * (1 - p)))
-    mark = free_name(docs, "text_hash")
+    mark, k, m = (free_name(docs, n) for n in ("text_hash", "stay_key", "stay_mark"))
     hashed = docs.withColumn(mark, F.xxhash64(column(text)))
     prints = written(hashed.select(column(key).alias("key"), column(mark).alias("mark"), fingerprints(column(text), words, lanes).alias("print")), "near-prints")
     order = F.struct(F.col("key").isNull().alias("n"), F.col("key"), F.col("mark"))
     reps = written(prints.groupBy("print").agg(F.min(order).alias("rep")).withColumn("node", F.xxhash64("print", F.lit(7))), "near-classes")
     found = components(wide_links(reps, lanes, most, p), "near")
     stay = (reps.join(found, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("rep").alias("rep"))
-            .select(F.col("rep.key").alias("stay_key"), F.col("rep.mark").alias("stay_mark")))
-    kept = hashed.join(stay, column(key).eqNullSafe(F.col("stay_key")) & (column(mark) == F.col("stay_mark")), "left_semi")
+            .select(F.col("rep.key").alias(k), F.col("rep.mark").alias(m)))
+    kept = hashed.join(stay, column(key).eqNullSafe(column(k)) & (column(mark) == column(m)), "left_semi")
     return kept.dropDuplicates([key, mark]).drop(mark)

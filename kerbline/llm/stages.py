@@ -29,14 +29,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows alike in key, source and text share one decision.
     """
-    mark = free_name(docs, "text_hash")
+    mark, k, s, m, n, copy = (free_name(docs, name) for name in ("text_hash", "taken_key", "taken_source", "taken_hash", "copies", "copy"))
     keyed = docs.withColumn(mark, F.xxhash64("text"))
     rows = keyed.select("doc_id", "source", column(mark).alias("mark"), word_count(F.col("text")).alias("size"))
     taken = (mixing.mix(rows, "source", "size", weights=[3.0, 1.0, 2.0], share=1.5, ceiling=2)
-             .groupBy(F.col("doc_id").alias("k"), F.col("source").alias("s"), "mark").agg(F.max("copies").alias("copies")).filter("copies > 0"))
-    joined = keyed.join(taken, F.col("doc_id").eqNullSafe(F.col("k")) & F.col("source").eqNullSafe(F.col("s")) & (column(mark) == F.col("mark")))
-    copy = free_name(docs, "copy")
-    return joined.select(*map(column, docs.columns), F.explode(F.sequence(F.lit(1), "copies")).alias(copy)).drop(copy)
+             .groupBy(F.col("doc_id").alias(k), F.col("source").alias(s), F.col("mark").alias(m)).agg(F.max("copies").alias(n)).filter(column(n) > 0))
+    joined = keyed.join(taken, F.col("doc_id").eqNullSafe(column(k)) & F.col("source").eqNullSafe(column(s)) & (column(mark) == column(m)))
+    return joined.select(*map(column, docs.columns), F.explode(F.sequence(F.lit(1), column(n))).alias(copy)).drop(copy)
 
 
 def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

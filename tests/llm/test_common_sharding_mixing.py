@@ -141,6 +141,11 @@ def test_mix_of_empty_and_wordless_tables(spark):
     assert [(r["target"], r["copies"] * r["size"]) for r in got] == [(0.0, 0), (0.0, 0)]
 
 
+def test_mix_refuses_clashing_names(spark):
+    with pytest.raises(ValueError):
+        mixing.mix(spark.createDataFrame([(1, "a", 2, 3)], "doc_id long, source string, size long, Rate int"), "source", "size", [1.0])
+
+
 def test_lower_targets_shrink_long_documents_most(spark):
     rows = [(i, "a", 10 + i) for i in range(200)] + [(1000 + i, "b", 50) for i in range(400)]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, size long"), "source", "size", [1.0, 9.0], share=1.0).collect()

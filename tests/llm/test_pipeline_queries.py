@@ -190,3 +190,17 @@ def test_packing_stage_places_every_word(staged):
     checked(got, 4096, 4)
     assert sum(r["length"] for r in got) == sum(words(r["text"]) for r in before)
     assert Counter(r["doc_id"] for r in got if r["start"] == 0) == Counter(r["doc_id"] for r in before)
+
+
+def test_stages_take_extra_columns_nulls_repeats_and_empty_tables(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(40)
+    first = docs.limit(1)
+    odd = first.selectExpr("doc_id", "cast(null as string) text", "lang", "source", "n_chars").unionByName(first.selectExpr("cast(null as long) doc_id", "text", "cast(null as string) lang", "cast(null as string) source", "n_chars"))
+    names = ["text_hash", "stay_key", "stay_hash", "taken_key", "copies", "mark", "k", "print", "spans", "found_spans"]
+    wide = docs.unionByName(odd).unionByName(first).selectExpr("*", *[f"{i} AS {n}" for i, n in enumerate(names)])
+    for frame in (wide, wide.limit(0)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, frame, FOLDER)
+            assert out.columns == wide.columns
+            assert (out.count() == 0) == (frame.count() == 0)
+        corpus_pipeline.STAGES[-1][1](spark, frame, FOLDER).count()

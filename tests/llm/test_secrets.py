@@ -87,3 +87,8 @@ def test_extra_columns_pass_through_and_empty_tables_stay_empty(spark):
 def test_scan_plans_no_python(table):
     plan = secrets.scan(table)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_scan_refuses_a_clashing_name(table):
+    with pytest.raises(ValueError):
+        secrets.scan(table.withColumn("Spans", F.lit(1)))
