@@ -120,6 +120,18 @@ def reconcile_callbacks(callbacks: DataFrame, payments: DataFrame) -> DataFrame:
                     verdict.alias("verdict")))
 
 
+def apply_callbacks(payments: DataFrame, judged: DataFrame) -> DataFrame:
+    """Payments after the callbacks judged APPLIED: status, provider and reference set; a completed one is paid at its callback."""
+    hit = judged.filter(F.col("verdict") == "APPLIED").select(
+        F.col("payment_id").alias("id"), F.struct("status", "provider_key", "transaction_ref", "received_at").alias("_c"))
+    took = F.col("_c").isNotNull()
+    return (payments.join(hit, "id", "left")
+            .withColumn("paid_at", F.when(took & (F.col("_c.status") == "COMPLETED"), F.col("_c.received_at")).otherwise(F.col("paid_at")))
+            .withColumn("provider", F.when(took, F.col("_c.provider_key")).otherwise(F.col("provider")))
+            .withColumn("transaction_ref", F.when(took, F.col("_c.transaction_ref")).otherwise(F.col("transaction_ref")))
+            .withColumn("status", F.when(took, F.col("_c.status")).otherwise(F.col("status"))).select(*payments.columns))
+
+
 def cash_confirmations(confirmations: DataFrame, payments: DataFrame, trips: DataFrame) -> DataFrame:
     """Decision for each driver's cash confirmation, first failing check wins."""
     payment = payments.select(F.col("id").alias("payment_id"), "trip_id", "method", F.col("status").alias("payment_status"))

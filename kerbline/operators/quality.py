@@ -168,9 +168,12 @@ def enforce_offline(profiles: DataFrame) -> DataFrame:
     return profiles.withColumn("is_online", F.col("is_online") & (F.col("approval_status") != "REJECTED"))
 
 
-def duplicates(df: DataFrame, column: str, label: str) -> DataFrame:
-    """Values of a unique column that occur more than once; null is no value."""
-    value = F.col(column).cast("string")
-    return (df.filter(F.col(column).isNotNull()).groupBy(value.alias("value"))
-            .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-            .select(F.lit(label).alias("rule"), "value", "n"))
+def unique_values(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """(rule, value) of every row and rule of one table, in one pass; null is no value."""
+    each = F.explode(F.array(*[F.struct(F.lit(rule).alias("rule"), value.cast("string").alias("value")) for rule, value in rules.items()]))
+    return df.select(each.alias("u")).select("u.*").filter(F.col("value").isNotNull())
+
+
+def duplicates(values: DataFrame) -> DataFrame:
+    """Values of unique columns that occur more than once, from (rule, value) rows of any number of tables."""
+    return values.groupBy("rule", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)

@@ -170,3 +170,40 @@ def suspension_cascade(trips: DataFrame, suspended: DataFrame, as_of: datetime)
 def scheduled_due(trips: DataFrame, scheduled_at: str, as_of: datetime, minutes: int = 15) -> DataFrame:
     start = F.lit(as_of)
     return trips.filter(F.col(scheduled_at).between(start, start + F.make_dt_interval(mins=F.lit(minutes))))
+
+
+def with_active_flag(people: DataFrame, trips: DataFrame, role: str) -> DataFrame:
+    """``people(id)`` and whether one is the ``role`` (passenger_id or driver_id) of a live, unfinished trip: one left join."""
+    busy = active_trips(trips).filter(F.col(role).isNotNull()).select(F.col(role).alias("id")).distinct().withColumn("busy", F.lit(True))
+    return people.join(busy, "id", "left").withColumn("busy", F.coalesce("busy", F.lit(False)))
+
+
+def create_bookings(requests: DataFrame, users: DataFrame, user_roles: DataFrame, trips: DataFrame, priced: DataFrame) -> DataFrame:
+    """Decision for each booking request (request_id, passenger_id, requested_at), first failing check wins.
+
+    The passenger must be live and a PASSENGER without an unfinished trip, and the request must have a fare in
+    ``priced(request_id, estimated_fare)``. Of one passenger's requests the first in time that passes is OK and the others
+    find the trip it makes.
+    """
+    person = live(users).select(F.col("id").alias("passenger_id"), F.lit(True).alias("_known"))
+    role = user_roles.filter(F.col("role") == "PASSENGER").select(F.col("user_id").alias("passenger_id"), F.lit(True).alias("_role")).distinct()
+    busy = active_trips(trips).select("passenger_id", F.lit(True).alias("_busy")).distinct()
+    fares = priced.select("request_id", "estimated_fare")
+    fault = (F.when(F.col("_known").isNull(), "USER_NOT_FOUND").when(F.col("_role").isNull(), "NOT_A_PASSENGER")
+             .when(F.col("_busy"), "ACTIVE_TRIP_EXISTS").when(F.col("estimated_fare").isNull(), "NO_TARIFF"))
+    judged = (requests.join(person, "passenger_id", "left").join(role, "passenger_id", "left").join(busy, "passenger_id", "left")
+              .join(fares, "request_id", "left").withColumn("_fault", fault))
+    first = (judged.filter(F.col("_fault").isNull()).groupBy("passenger_id")
+             .agg(F.min_by("request_id", F.struct("requested_at", "request_id")).alias("_first")))
+    decided = judged.join(first, "passenger_id", "left")
+    return decided.select("request_id", "passenger_id", "requested_at", "estimated_fare", F.coalesce(
+        "_fault", F.when(F.col("request_id") == F.col("_first"), "OK").otherwise("ACTIVE_TRIP_EXISTS")).alias("decision"))
+
+
+def booking_rows(decided: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The SEARCHING trips of accepted requests, and their first status-log rows."""
+    made = decided.filter(F.col("decision") == "OK")
+    new = made.select(F.col("request_id").alias("trip_id"), "passenger_id", F.lit("SEARCHING").alias("status"), "estimated_fare", "requested_at")
+    log = made.select(F.col("request_id").alias("trip_id"), F.lit(None).cast("string").alias("from_status"), F.lit("SEARCHING").alias("to_status"),
+                      F.col("passenger_id").alias("changed_by"), F.col("requested_at").alias("changed_at"))
+    return new, log

@@ -102,11 +102,15 @@ def _(r: RideTables) -> DataFrame:
 @query("jn10_passengers_on_trip", "JN-10", "users trips", """
 SELECT id, id IN (SELECT passenger_id FROM trips WHERE deleted_at IS NULL AND status IN ('SEARCHING', 'ACCEPTED', 'ARRIVED', 'IN_PROGRESS')) AS busy FROM users WHERE deleted_at IS NULL""")
 def _(r: RideTables) -> DataFrame:
-    people = trips.live(r.users).select("id")
-    busy = trips.active_trips(r.trips).select(F.col("passenger_id").alias("id")).distinct()
-    held = people.join(busy, "id", "left_semi").withColumn("busy", F.lit(True))
-    free = people.join(busy, "id", "left_anti").withColumn("busy", F.lit(False))
-    return held.unionByName(free)
+    return trips.with_active_flag(trips.live(r.users).select("id"), r.trips, "passenger_id")
+
+
+@query("jn10_drivers_on_trip", "JN-10", "users trips user_roles", """
+SELECT id, id IN (SELECT driver_id FROM trips WHERE deleted_at IS NULL AND driver_id IS NOT NULL AND status IN ('SEARCHING', 'ACCEPTED', 'ARRIVED', 'IN_PROGRESS')) AS busy
+FROM users u WHERE deleted_at IS NULL AND EXISTS (SELECT 1 FROM user_roles r WHERE r.user_id = u.id AND r.role = 'DRIVER')""")
+def _(r: RideTables) -> DataFrame:
+    role = r.user_roles.filter(F.col("role") == "DRIVER").select(F.col("user_id").alias("id"))
+    return trips.with_active_flag(trips.live(r.users).select("id").join(role, "id", "left_semi"), r.trips, "driver_id")
 
 
 @query("jn11_pending_payments", "JN-11 SET-02", "trips payments", """
@@ -174,6 +178,19 @@ def _(r: RideTables) -> DataFrame:
     return payments.reconcile_callbacks(decoded, r.payments).select("callback_id", "payment_id", "verdict")
 
 
+@query("jn19_payments_after_callbacks", "JN-19 JN-16", "payments payment_callbacks", """
+, c AS (SELECT key_payment_id AS id, arg_min(json_extract_string(payload, '$.status'), (received_at, callback_id)) AS status, arg_min(json_extract_string(payload, '$.transactionRef'), (received_at, callback_id)) AS ref, min(received_at) AS at
+  FROM payment_callbacks WHERE lower(trim(provider)) = 'momo' AND payload <> 'not json' GROUP BY 1)
+SELECT p.id, CASE WHEN p.status = 'PENDING' AND c.id IS NOT NULL THEN c.status ELSE p.status END AS status,
+  CASE WHEN p.status = 'PENDING' AND c.id IS NOT NULL THEN 'momo' ELSE p.provider END AS provider,
+  CASE WHEN p.status = 'PENDING' AND c.id IS NOT NULL THEN c.ref ELSE p.transaction_ref END AS transaction_ref,
+  CASE WHEN p.status = 'PENDING' AND c.status = 'COMPLETED' THEN c.at ELSE p.paid_at END AS paid_at
+FROM payments p LEFT JOIN c ON c.id = p.id""")
+def _(r: RideTables) -> DataFrame:
+    judged = payments.reconcile_callbacks(payments.decode_callbacks(r.payment_callbacks), r.payments)
+    return payments.apply_callbacks(r.payments, judged).select("id", "status", "provider", "transaction_ref", "paid_at")
+
+
 @query("src06_callback_rejects", "SRC-06", "payment_callbacks", """
 SELECT callback_id, CASE WHEN lower(trim(provider)) NOT IN ('cash', 'momo') THEN 'PROVIDER_UNSUPPORTED' ELSE 'PAYLOAD_UNREADABLE' END AS reason
 FROM payment_callbacks WHERE lower(trim(provider)) <> 'momo' OR payload = 'not json'""")
@@ -323,12 +340,13 @@ SELECT rule, value, count(*) AS n FROM (
   UNION ALL SELECT 'active trip per passenger', passenger_id::VARCHAR FROM trips WHERE deleted_at IS NULL AND status IN ('SEARCHING', 'ACCEPTED', 'ARRIVED', 'IN_PROGRESS'))
 WHERE value IS NOT NULL GROUP BY rule, value HAVING count(*) > 1""")
 def _(r: RideTables) -> DataFrame:
-    live_users = trips.live(r.users)
-    checks = [(live_users, "phone", "live phone"), (r.users, "phone", "phone"), (live_users, "email", "live email"), (r.users, "email", "email"),
-              (r.driver_profiles, "license_number", "license"), (r.driver_profiles, "id_card_number", "id card"),
-              (r.driver_profiles, "vehicle_plate", "plate"), (r.payments, "trip_id", "payment per trip"), (r.ratings, "trip_id", "rating per trip"),
-              (trips.active_trips(r.trips), "passenger_id", "active trip per passenger")]
-    return reduce(DataFrame.unionByName, [quality.duplicates(*check) for check in checks])
+    alive = F.col("deleted_at").isNull()
+    values = [
+        quality.unique_values(r.users, {"live phone": F.when(alive, F.col("phone")), "phone": F.col("phone"), "live email": F.when(alive, F.col("email")), "email": F.col("email")}),
+        quality.unique_values(r.driver_profiles, {"license": F.col("license_number"), "id card": F.col("id_card_number"), "plate": F.col("vehicle_plate")}),
+        quality.unique_values(r.payments, {"payment per trip": F.col("trip_id")}), quality.unique_values(r.ratings, {"rating per trip": F.col("trip_id")}),
+        quality.unique_values(trips.active_trips(r.trips), {"active trip per passenger": F.col("passenger_id")})]
+    return quality.duplicates(reduce(DataFrame.unionByName, values))
 
 
 @query("ag14_period_stats", "AG-14", "trips ratings payments", """
@@ -484,3 +502,16 @@ SELECT id, CAST(CASE WHEN started_at IS NULL THEN estimated_duration_min ELSE gr
 def _(r: RideTables) -> DataFrame:
     minutes = whole_minutes(F.col("started_at"), F.coalesce("completed_at", "started_at"), F.col("estimated_duration_min"))
     return r.trips.select("id", minutes.alias("minutes"), geo.metres(F.col("estimated_distance_km")).alias("metres"))
+
+
+@query("booking_decisions", "JN-10 FLT-01", "match_requests users user_roles trips", """
+, j AS (SELECT q.trip_id AS request_id, q.passenger_id, q.requested_at, q.estimated_fare::DOUBLE AS estimated_fare,
+  CASE WHEN NOT EXISTS (SELECT 1 FROM users u WHERE u.id = q.passenger_id AND u.deleted_at IS NULL) THEN 'USER_NOT_FOUND'
+    WHEN NOT EXISTS (SELECT 1 FROM user_roles r WHERE r.user_id = q.passenger_id AND r.role = 'PASSENGER') THEN 'NOT_A_PASSENGER'
+    WHEN EXISTS (SELECT 1 FROM trips t WHERE t.passenger_id = q.passenger_id AND t.deleted_at IS NULL AND t.status IN ('SEARCHING', 'ACCEPTED', 'ARRIVED', 'IN_PROGRESS')) THEN 'ACTIVE_TRIP_EXISTS'
+    WHEN q.estimated_fare IS NULL THEN 'NO_TARIFF' END AS fault FROM match_requests q),
+f AS (SELECT passenger_id, arg_min(request_id, (requested_at, request_id)) AS first FROM j WHERE fault IS NULL GROUP BY 1)
+SELECT request_id, j.passenger_id, requested_at, estimated_fare, coalesce(fault, CASE WHEN request_id = first THEN 'OK' ELSE 'ACTIVE_TRIP_EXISTS' END) AS decision FROM j LEFT JOIN f USING (passenger_id)""")
+def _(r: RideTables) -> DataFrame:
+    asked = r.match_requests.select(F.col("trip_id").alias("request_id"), "passenger_id", "requested_at", "estimated_fare")
+    return trips.create_bookings(asked.drop("estimated_fare"), r.users, r.user_roles, r.trips, asked)
