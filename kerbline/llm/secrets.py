@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kerbline.llm.common import column, free_name
+from kerbline.llm.common import column, free_name, let
 
 # Fixed values of the contract: kinds in their order, pattern, group whose length counts, least length.
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -38,11 +36,6 @@ def _bound(bits: float) -> int:
     return math.floor((math.log2(WINDOW) - bits) * WINDOW * _SCALE)
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, computed once however often the body names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _found(text: Column, pattern: str, group: int) -> Column:
     """``start, end, whole, value`` of every match, leftmost and not overlapping, in code points.
 
@@ -52,7 +45,7 @@ def _found(text: Column, pattern: str, group: int) -> Column:
     places = F.aggregate(
         F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("whole"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value")),
         F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,whole:string,value:string>>)").alias("out")),
-        lambda acc, x: _let(acc["at"] + F.char_length(x["gap"]), lambda start: F.struct(
+        lambda acc, x: let(acc["at"] + F.char_length(x["gap"]), lambda start: F.struct(
             (start + F.coalesce(F.char_length(x["whole"]), F.lit(0))).alias("at"),
             F.when(x["whole"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(
                 start.alias("start"), (start + F.char_length(x["whole"])).alias("end"), x["whole"].alias("whole"), x["value"].alias("value"))))).alias("out"))),
@@ -77,18 +70,18 @@ def _least_sum(candidate: Column) -> Column:
     """
 
     def first(piece: Column) -> Column:
-        return _let(F.substr(piece, F.lit(1), F.lit(WINDOW)), lambda w: F.aggregate(
+        return let(F.substr(piece, F.lit(1), F.lit(WINDOW)), lambda w: F.aggregate(
             F.array_distinct(F.split(w, "")), F.lit(0).cast("long"), lambda s, c: s + F.when(c == "", F.lit(0)).otherwise(_term(_count(w, c)))))
 
     def slide(piece: Column) -> Column:
         def step(acc: Column, i: Column) -> Column:
             kept = F.substr(piece, i + 1, F.lit(WINDOW - 1))
-            return _let(F.struct(_count(kept, F.substr(piece, i, F.lit(1))).alias("gone"), _count(kept, F.substr(piece, i + WINDOW, F.lit(1))).alias("new")), lambda n: _let(
+            return let(F.struct(_count(kept, F.substr(piece, i, F.lit(1))).alias("gone"), _count(kept, F.substr(piece, i + WINDOW, F.lit(1))).alias("new")), lambda n: let(
                 acc["now"] - _term(n["gone"] + 1) + _term(n["gone"]) + _term(n["new"] + 1) - _term(n["new"]),
                 lambda now: F.struct(now.alias("now"), F.least(acc["least"], now).alias("least"))))
 
         steps = F.filter(F.sequence(F.lit(0), F.char_length(piece) - WINDOW), lambda i: i > 0)
-        return _let(first(piece), lambda s: F.aggregate(steps, F.struct(s.alias("now"), s.alias("least")), step, lambda acc: acc["least"]))
+        return let(first(piece), lambda s: F.aggregate(steps, F.struct(s.alias("now"), s.alias("least")), step, lambda acc: acc["least"]))
 
     pieces = F.transform(F.sequence(F.lit(0), F.char_length(candidate) - WINDOW, F.lit(_PIECE)), lambda o: F.substr(candidate, o + 1, F.lit(_PIECE + WINDOW - 1)))
     return F.array_min(F.transform(pieces, slide))
@@ -125,7 +118,7 @@ def scan(docs: DataFrame, text: str = "text", spans: str = "spans", allowed: tup
         base = F.concat(base, _kept(_found(body, pattern, group), kind, nth, least))
     tokens = F.filter(_found(body, CANDIDATE, 0), lambda x: _high_entropy(x["whole"], allowed))
     more = F.transform(tokens, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit("entropy").alias("kind"), F.lit(4).alias("nth")))
-    both = _let(F.struct(base.alias("base"), more.alias("more")), lambda s: F.concat(s["base"], F.filter(
+    both = let(F.struct(base.alias("base"), more.alias("more")), lambda s: F.concat(s["base"], F.filter(
         s["more"], lambda m: ~F.exists(s["base"], lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))))
     by_place = F.transform(F.array_sort(F.transform(both, lambda x: F.struct(x["start"].alias("start"), x["nth"].alias("nth"), x["end"].alias("end"), x["kind"].alias("kind")))),
                            lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["nth"].alias("nth")))
