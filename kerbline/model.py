@@ -142,11 +142,11 @@ FEED_SCHEMAS: dict[str, T.StructType] = {
         "trip_id long, passenger_id long, vehicle_type string, pickup_lat double, pickup_lng double,"
         "dropoff_lat double, dropoff_lng double, estimated_fare money, requested_at timestamp"),
     "driver_pings": _schema(
-        "driver_id long, lat double, lng double, bearing bearing?, speed speed?, ts timestamp"),
+        "ping_id long, driver_id long, lat double, lng double, bearing bearing?, speed speed?, ts timestamp"),
     "driver_availability": _schema(
-        "driver_id long, online boolean, lat double?, lng double?, vehicle_type string, rating string?,"
+        "event_id long, driver_id long, kind string, lat double?, lng double?, vehicle_type string?, rating string?,"
         "name string?, avatar_url string?, ts timestamp"),
     "offers": _schema("trip_id long, driver_id long, attempt int, offered_at timestamp, expires_at timestamp"),
     "offer_responses": _schema("trip_id long, driver_id long, decision string, ts timestamp"),
-    "payment_callbacks": _schema("provider string, payload string, received_at timestamp"),
+    "payment_callbacks": _schema("callback_id long, provider string?, payload string?, received_at timestamp"),
 }

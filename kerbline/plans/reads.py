@@ -12,7 +12,9 @@ from kerbline.functions.geo import inside_box
 from kerbline.model import SCHEMAS, SERVICE_AREA
 from kerbline.operators import dashboards, pricing, quality, trips, views
 from kerbline.plans.registry import query
+from kerbline.session import fresh_folder
 from kerbline.sources.adapter import RideTables, conform
+from kerbline.sources.tables import read_table
 
 AS_OF = datetime(2000, 1, 1)
 
@@ -31,18 +33,20 @@ def _(r: RideTables) -> DataFrame:
     parts = []
     for name in SCHEMAS:
         key = "user_id" if name == "user_roles" else "id"
-        parts.append(conform(r.table(name), name).agg(
+        root = fresh_folder(r.spark, "tables")
+        conform(r.table(name), name).write.parquet(f"{root}/{name}")
+        parts.append(read_table(r.spark, root, name).agg(
             F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n"), F.sum(F.col(key) % 1000003).alias("id_sum")))
     return reduce(DataFrame.unionByName, parts)
 
 
 @query("src08_seed_default_tariffs", "SRC-08 JN-09", "pricing_config", """
-SELECT d.vehicle_type, d.base_fare::DOUBLE AS base_fare, d.minimum_fare::DOUBLE AS minimum_fare
-FROM (VALUES ('MOTORBIKE', 10000, 15000), ('CAR_4_SEAT', 15000, 25000), ('CAR_7_SEAT', 20000, 30000)) AS d(vehicle_type, base_fare, minimum_fare)
-WHERE d.vehicle_type NOT IN (SELECT vehicle_type FROM pricing_config WHERE is_active AND surge_multiplier = 1.5)""")
+SELECT d.vehicle_type, d.base_fare::DOUBLE AS base_fare, d.minimum_fare::DOUBLE AS minimum_fare, d.vehicle_type NOT IN (SELECT vehicle_type FROM pricing_config WHERE is_active) AS missing
+FROM (VALUES ('MOTORBIKE', 10000, 15000), ('CAR_4_SEAT', 15000, 25000), ('CAR_7_SEAT', 20000, 30000)) AS d(vehicle_type, base_fare, minimum_fare)""")
 def _(r: RideTables) -> DataFrame:
-    premium = r.pricing_config.filter(F.col("surge_multiplier") == 1.5)
-    return pricing.missing_defaults(premium).select("vehicle_type", "base_fare", "minimum_fare")
+    gone = pricing.missing_defaults(r.pricing_config).select("vehicle_type", F.lit(True).alias("missing"))
+    seeds = pricing.default_tariffs(r.spark).join(gone, "vehicle_type", "left")
+    return seeds.select("vehicle_type", "base_fare", "minimum_fare", F.coalesce("missing", F.lit(False)).alias("missing"))
 
 
 @query("prj01_trip_view", "PRJ-01", "trips", """
@@ -206,21 +210,24 @@ def _(r: RideTables) -> DataFrame:
 , ev AS (
   SELECT id AS payment_id, 0 AS event_id, 'PENDING' AS status, CAST(NULL AS VARCHAR) AS provider, CAST(NULL AS VARCHAR) AS transaction_ref, created_at AS changed_at FROM payments
   UNION ALL SELECT key_payment_id, callback_id, json_extract_string(payload, '$.status'), lower(trim(provider)), json_extract_string(payload, '$.transactionRef'), received_at
-  FROM payment_callbacks WHERE payload <> 'not json'),
+  FROM payment_callbacks WHERE try_cast(payload AS JSON) IS NOT NULL),
 lagged AS (SELECT *, lag(status) OVER w AS ps, lag(provider) OVER w AS pp, lag(transaction_ref) OVER w AS pr FROM ev WINDOW w AS (PARTITION BY payment_id ORDER BY changed_at, event_id))
 SELECT payment_id, event_id, CASE WHEN ps IS NULL AND status = 'PENDING' OR ps = 'PENDING' AND status IN ('COMPLETED', 'FAILED') THEN 'APPLIED'
   WHEN ps IN ('COMPLETED', 'FAILED') AND ps = status AND pp IS NOT DISTINCT FROM provider AND pr IS NOT DISTINCT FROM transaction_ref THEN 'REPLAY'
-  WHEN ps IN ('COMPLETED', 'FAILED') AND ps = status THEN 'CONFLICT' ELSE 'VIOLATION' END AS verdict FROM lagged""")
+  WHEN ps IN ('COMPLETED', 'FAILED') AND ps = status THEN 'CONFLICT' ELSE 'VIOLATION' END AS verdict FROM lagged
+UNION ALL SELECT NULL, callback_id, 'UNREADABLE' FROM payment_callbacks WHERE try_cast(payload AS JSON) IS NULL""")
 def _(r: RideTables) -> DataFrame:
     made = r.payments.select(
         F.col("id").alias("payment_id"), F.lit(0).cast("bigint").alias("event_id"), F.lit("PENDING").alias("status"),
         F.lit(None).cast("string").alias("provider"), F.lit(None).cast("string").alias("transaction_ref"),
         F.col("created_at").alias("changed_at"))
-    told = r.payment_callbacks.filter(F.col("payload") != "not json").select(
+    readable = F.get_json_object("payload", "$").isNotNull()
+    lost = r.payment_callbacks.filter(~readable).select(F.lit(None).cast("bigint").alias("payment_id"), F.col("callback_id").alias("event_id"), F.lit("UNREADABLE").alias("verdict"))
+    told = r.payment_callbacks.filter(readable).select(
         F.col("key_payment_id").alias("payment_id"), F.col("callback_id").alias("event_id"),
         F.get_json_object("payload", "$.status").alias("status"), text.provider_name(F.col("provider")).alias("provider"),
         F.get_json_object("payload", "$.transactionRef").alias("transaction_ref"), F.col("received_at").alias("changed_at"))
-    return quality.payment_transition_audit(made.unionByName(told)).select("payment_id", "event_id", "verdict")
+    return quality.payment_transition_audit(made.unionByName(told)).select("payment_id", "event_id", "verdict").unionByName(lost)
 
 
 @query("flt09_go_online_decisions", "FLT-09", "driver_availability driver_profiles", """

@@ -16,7 +16,7 @@ from kerbline.session import fresh_folder
 from kerbline.sinks.logs import append_log, read_snapshot, upsert_snapshot
 from kerbline.sources.adapter import RideTables
 from kerbline.streaming import feeds, processors
-from kerbline.streaming.runs import as_late_stream, as_stream, run_batches, run_to_table
+from kerbline.streaming.runs import as_feed, as_late_stream, as_stream, run_batches, run_to_table
 
 LAST = "TIMESTAMP '2100-01-01 00:00:00'"
 
@@ -31,27 +31,27 @@ def with_sentinel(df: DataFrame, **values: str) -> DataFrame:
 @query("src02_booking_feed", "SRC-02", "match_requests", """
 SELECT vehicle_type, passenger_id % 10 AS shard, count(*) AS n, CAST(sum(estimated_fare) AS BIGINT) AS fare FROM match_requests GROUP BY 1, 2""")
 def _(r: RideTables) -> DataFrame:
-    rows = run_to_table(as_stream(r.match_requests, "bookings"), "src02")
+    rows = run_to_table(as_feed(r.match_requests, "bookings"), "src02")
     return rows.groupBy("vehicle_type", (F.col("passenger_id") % 10).alias("shard")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("estimated_fare").cast("bigint").alias("fare"))
 
 
 @query("src03_ping_feed", "SRC-03", "driver_pings", "SELECT driver_id, count(*) AS pings, max(ts) AS last_at FROM driver_pings GROUP BY driver_id")
 def _(r: RideTables) -> DataFrame:
-    rows = run_to_table(as_stream(r.driver_pings, "pings").withWatermark("ts", "1 minute"), "src03")
+    rows = run_to_table(as_feed(r.driver_pings, "driver_pings").withWatermark("ts", "1 minute"), "src03")
     return rows.groupBy("driver_id").agg(F.count(F.lit(1)).alias("pings"), F.max("ts").alias("last_at"))
 
 
 @query("src04_availability_feed", "SRC-04", "driver_availability", """
 SELECT driver_id, count(*) FILTER (kind = 'online') AS online, count(*) FILTER (kind = 'offline') AS offline FROM driver_availability GROUP BY driver_id""")
 def _(r: RideTables) -> DataFrame:
-    rows = run_to_table(as_stream(r.driver_availability, "availability"), "src04")
+    rows = run_to_table(as_feed(r.driver_availability, "driver_availability"), "src04")
     return rows.groupBy("driver_id").agg(F.count_if(F.col("kind") == "online").alias("online"), F.count_if(F.col("kind") == "offline").alias("offline"))
 
 
 @query("src05_offer_response_feed", "SRC-05", "offer_responses", "SELECT decision, driver_id % 10 AS shard, count(*) AS n FROM offer_responses GROUP BY 1, 2")
 def _(r: RideTables) -> DataFrame:
-    rows = run_to_table(as_stream(r.offer_responses, "responses"), "src05")
+    rows = run_to_table(as_feed(r.offer_responses, "offer_responses"), "src05")
     return rows.groupBy("decision", (F.col("driver_id") % 10).alias("shard")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -83,7 +83,7 @@ run AS (SELECT driver_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_
 @query("str03_availability_machine", "STR-03 STR-04", "driver_availability", _MACHINE + """
 SELECT event_id, driver_id, located, CASE WHEN su > at_ms THEN status END AS status, CASE WHEN mu > at_ms THEN vehicle END AS vehicle_type, CASE WHEN mu > at_ms THEN rating END AS rating FROM run WHERE i > 0""")
 def _(r: RideTables) -> DataFrame:
-    return run_to_table(processors.availability(as_stream(r.driver_availability, "availability")), "str03")
+    return run_to_table(processors.availability(as_feed(r.driver_availability, "driver_availability")), "str03")
 
 
 @query("str03_availability_history", "STR-03 STR-04", "driver_availability", _MACHINE + """
@@ -118,7 +118,7 @@ UNION ALL SELECT 'latest', count(*), CAST(sum(trip_id % 1000003) AS BIGINT) FROM
 UNION ALL SELECT 'topics', count(*), CAST(sum(trip_id % 1000003) AS BIGINT) FROM att WHERE trip_id IS NOT NULL""")
 def _(r: RideTables) -> DataFrame:
     root = fresh_folder(r.spark, "ingest")
-    run_batches(as_stream(r.driver_pings, "pings"), "str02", feeds.ping_ingest(lambda: r.trips, root))
+    run_batches(as_feed(r.driver_pings, "driver_pings", files_per_trigger=1), "str02", feeds.ping_ingest(lambda: r.trips, root))
 
     def part(name: str, df: DataFrame, key) -> DataFrame:
         return df.agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("n"), F.sum(key % 1000003).alias("key_sum"))

@@ -16,9 +16,10 @@ def read_table_jdbc(spark: SparkSession, url: str, name: str, lower: int, upper:
                     **options: str) -> DataFrame:
     """The same table from a database, read in id ranges. The caller's driver jar must be on the class path."""
     key = "user_id" if name == "user_roles" else "id"
-    return (spark.read.format("jdbc").option("url", url).option("dbtable", name)
+    rows = (spark.read.format("jdbc").option("url", url).option("dbtable", name)
             .option("partitionColumn", key).option("lowerBound", lower).option("upperBound", upper)
             .option("numPartitions", partitions).options(**options).load())
+    return rows.select(*[rows[f.name].cast(f.dataType).alias(f.name) for f in SCHEMAS[name]])
 
 
 def read_feed(spark: SparkSession, folder: str, name: str, fmt: str = "parquet", files_per_trigger: int | None = None) -> DataFrame:

@@ -7,7 +7,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from kerbline.model import FEED_SCHEMAS
 from kerbline.session import fresh_folder
+from kerbline.sources.tables import read_feed
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -44,6 +46,12 @@ def as_stream(df: DataFrame, label: str, files_per_trigger: int | None = None) -
     return reader.parquet(land(df, label))
 
 
+def as_feed(df: DataFrame, name: str, files_per_trigger: int | None = None) -> DataFrame:
+    """The rows of ``df`` landed under the declared schema of feed ``name`` and read by the feed's reader; absent columns are null."""
+    shaped = df.select(*[(df[f.name] if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in FEED_SCHEMAS[name]])
+    return read_feed(df.sparkSession, land(shaped, name), name, files_per_trigger=files_per_trigger)
+
+
 def as_late_stream(df: DataFrame, label: str, ts: str, key: str, batches: int = 5, skew_seconds: int = 20) -> DataFrame:
     """The rows of ``df`` as a stream of ``batches`` micro-batches in rough time order.
 
