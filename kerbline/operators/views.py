@@ -84,3 +84,9 @@ def offer_view(offers: DataFrame, requests: DataFrame) -> DataFrame:
     return (offers.select("trip_id", "driver_id", "distance_m", "expires_at").join(trip, "trip_id")
             .select("trip_id", "driver_id", "passenger_id", "vehicle_type", "pickup_lat", "pickup_lng",
                     "dropoff_lat", "dropoff_lng", "estimated_fare", "distance_m", "expires_at"))
+
+
+def replace_roles(roles: DataFrame, new: DataFrame) -> DataFrame:
+    """(user_id, role) rows after every user named in ``new`` has exactly the roles given there; a role counts once."""
+    kept = roles.select("user_id", "role").join(new.select("user_id").distinct(), "user_id", "left_anti")
+    return kept.unionByName(new.select("user_id", "role")).distinct()

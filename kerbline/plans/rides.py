@@ -12,6 +12,8 @@ from kerbline.functions.fares import whole_minutes
 from kerbline.operators import dashboards, notify, payments, pricing, quality, ratings, tracking, trips, views
 from kerbline.operators.areas import assign_area, last_known_locations
 from kerbline.plans.registry import query
+from kerbline.session import fresh_folder
+from kerbline.sinks.logs import append_batch
 from kerbline.sources.adapter import RideTables, haversine_km_sql
 
 AS_OF = datetime(2000, 1, 1)
@@ -477,6 +479,25 @@ def _(r: RideTables) -> DataFrame:
     return notify.inbox_rows(_notifications(r)).select("user_id", "type", "body", "data_json", "created_at")
 
 
+@query("snk05_inbox_append", "SNK-05", "trip_status_history trips payments", _NOTE_SQL + "SELECT user_id, type, data_json, false AS is_read, created_at, count(*) AS n FROM note GROUP BY ALL")
+def _(r: RideTables) -> DataFrame:
+    root = fresh_folder(r.spark, "inbox")
+    rows = notify.inbox_rows(_notifications(r))
+    for batch_id in (0, 1, 2, 1):  # the second batch is replayed
+        append_batch(rows.filter(F.pmod("user_id", F.lit(3)) == batch_id), root, batch_id)
+    return (r.spark.read.schema(rows.schema).parquet(f"{root}/*").groupBy("user_id", "type", "data_json", "is_read", "created_at")
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("set04_roles_replaced", "SET-04", "users user_roles", """
+, n AS (SELECT id AS user_id, unnest(CASE WHEN id % 4 = 0 THEN ['ADMIN'] ELSE ['PASSENGER', 'DRIVER'] END) AS role FROM users WHERE id % 2 = 0)
+SELECT user_id, role FROM n UNION SELECT user_id, role FROM user_roles WHERE user_id NOT IN (SELECT user_id FROM n)""")
+def _(r: RideTables) -> DataFrame:
+    wanted = F.when(F.col("id") % 4 == 0, F.array(F.lit("ADMIN"))).otherwise(F.array(F.lit("PASSENGER"), F.lit("DRIVER")))
+    new = r.users.filter(F.col("id") % 2 == 0).select(F.col("id").alias("user_id"), F.explode(wanted).alias("role"))
+    return views.replace_roles(r.user_roles, new)
+
+
 @query("str10_channel_routing", "STR-10 UDX-04", "trip_status_history trips payments", _NOTE_SQL + """
 SELECT channel, send_order, type, count(*) AS n FROM note, (VALUES ('inbox', 0), ('realtime', 1), ('fcm', 2)) AS c(channel, send_order) GROUP BY 1, 2, 3""")
 def _(r: RideTables) -> DataFrame:
