@@ -63,7 +63,7 @@ def _(r: RideTables) -> DataFrame:
     pings = with_sentinel(r.driver_pings.select("driver_id", "order_trip_id", "ping_id", "lat", "lng", "ts"),
                           driver_id="-1", ts=LAST, ping_id="0", order_trip_id="0", lat="0", lng="0")
     stream = as_late_stream(pings, "pings", "ts", "driver_id")
-    out = processors.latest_with_ttl(stream, "driver_id", "order_trip_id", "ping_id", LOCATION_TTL)
+    out = feeds.latest_with_ttl(stream, "driver_id", "order_trip_id", "ping_id", LOCATION_TTL)
     return run_to_table(out, "str01").filter(F.col("key") >= 0).select("key", "change", "at_ms", "ref")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kerbline.operators import matching, tracking
 from kerbline.operators.notify import topic_name
@@ -44,11 +44,34 @@ def demand_windows(bookings: DataFrame, minutes: int = 5, delay: str = "10 minut
             .select(F.col("window.start").alias("window_start"), "zone_lat", "zone_lng", "demand"))
 
 
+def _session(seconds: int) -> Column:
+    """A session of events less than ``seconds`` apart. Spark also joins events exactly a gap apart, hence the microsecond."""
+    return F.session_window("ts", f"{seconds * 1_000_000 - 1} microseconds")
+
+
+def _session_end() -> Column:
+    return F.col("session_window.end") + F.expr("INTERVAL 0.000001 SECOND")
+
+
+def latest_with_ttl(stream: DataFrame, key: str, ref: str, tie: str, ttl_seconds: int, delay: str = "1 minute") -> DataFrame:
+    """UPDATE at every event of a key, EXPIRED wherever none follows within its life. The stream has ts, lat and lng.
+
+    Events less than a life apart are one session: its last value expires at its end. No Python, and one row of state per
+    open session; rows do not depend on how the feed is cut into batches.
+    """
+    shaped = stream.select(F.col(key).alias("key"), "ts", F.col(tie).alias("tie"), F.col(ref).alias("ref"), "lat", "lng").withWatermark("ts", delay)
+    updates = shaped.select("key", F.lit("UPDATE").alias("change"), F.unix_millis("ts").alias("at_ms"), "ref", "lat", "lng")
+    newest = F.max_by(F.struct("ref", "lat", "lng"), F.struct("ts", "tie"))
+    sessions = shaped.groupBy("key", _session(ttl_seconds)).agg(newest.alias("last"))
+    lapsed = sessions.select("key", F.lit("EXPIRED").alias("change"), F.unix_millis(_session_end()).alias("at_ms"), "last.ref", "last.lat", "last.lng")
+    return updates.unionByName(lapsed)
+
+
 def silent_spells(beats: DataFrame, seconds: int = 60, delay: str = "1 minute") -> DataFrame:
     """A driver's runs of heartbeats; each ends with the driver counted offline ``seconds`` after the last one."""
-    return (beats.withWatermark("ts", delay).groupBy("driver_id", F.session_window("ts", f"{seconds} seconds"))
+    return (beats.withWatermark("ts", delay).groupBy("driver_id", _session(seconds))
             .agg(F.count(F.lit(1)).alias("beats"))
-            .select("driver_id", F.col("session_window.start").alias("online_from"), F.col("session_window.end").alias("offline_at"), "beats"))
+            .select("driver_id", F.col("session_window.start").alias("online_from"), _session_end().alias("offline_at"), "beats"))
 
 
 def ping_ingest(trips: DataFrame | Callable[[], DataFrame], root: str) -> Callable[[DataFrame, int], None]:

@@ -82,40 +82,6 @@ class InOrder(StatefulProcessor):
         yield from self._drain(key, timerValues.getCurrentWatermarkInMs())
 
 
-class LatestWithTtl(InOrder):
-    """Newest row of a key: UPDATE at every event, EXPIRED wherever none follows within its life."""
-
-    waits = "at_ms bigint, tie bigint, ref bigint, lat double, lng double"
-    holds = waits
-
-    def __init__(self, ttl_seconds: int):
-        self.ttl_ms = ttl_seconds * 1000
-
-    def shape(self, row: Row) -> tuple:
-        return (_ms(row.ts), row.tie, row.ref, row.lat, row.lng)
-
-    def apply(self, key, held, event):
-        return [self._row(key, "UPDATE", event, event[0])], event
-
-    def due(self, held: tuple) -> int:
-        return held[0] + self.ttl_ms
-
-    def lapse(self, key, held: tuple) -> Row:
-        return self._row(key, "EXPIRED", held, self.due(held))
-
-    @staticmethod
-    def _row(key, change: str, event: tuple, at: int) -> Row:
-        return Row(key=key[0], change=change, at_ms=at, ref=event[2], lat=event[3], lng=event[4])
-
-
-def latest_with_ttl(stream: DataFrame, key: str, ref: str, tie: str, ttl_seconds: int, delay: str = "1 minute") -> DataFrame:
-    """UPDATE and EXPIRED rows of the newest value per key. The stream has ts, lat and lng."""
-    shaped = stream.select(F.col(key).alias("key"), "ts", F.col(tie).alias("tie"), F.col(ref).alias("ref"), "lat", "lng")
-    return (shaped.withWatermark("ts", delay).groupBy("key")
-            .transformWithState(LatestWithTtl(ttl_seconds), "key bigint, change string, at_ms bigint, ref bigint, lat double, lng double",
-                                "append", "EventTime"))
-
-
 class Availability(StatefulProcessor):
     """A driver's place, status and meta under online, offline, accept, paid and rating events."""
 

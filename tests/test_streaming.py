@@ -34,7 +34,7 @@ PING = "driver_id long, tie long, trip_id long, lat double, lng double, ts times
 def test_latest_value_expires_and_renews(spark):
     chunks = [[(1, 0, 99, 10.78, 106.69, at(0)), (2, 0, 98, 1.0, 1.0, at(0))], [(1, 1, 99, 10.79, 106.7, at(20))], [(3, 0, 97, 0.0, 0.0, at(45))], [(-1, 0, 0, 0.0, 0.0, at(9999))]]
     stream = in_order(spark, chunks, PING, "pings")
-    out = run_to_table(processors.latest_with_ttl(stream, "driver_id", "trip_id", "tie", 30), "ttl")
+    out = run_to_table(feeds.latest_with_ttl(stream, "driver_id", "trip_id", "tie", 30), "ttl")
     got = sorted((r.key, r.change, r.at_ms - int(BASE.timestamp() * 1000)) for r in out.filter("key > 0").collect())
     assert got == [(1, "EXPIRED", 50_000), (1, "UPDATE", 0), (1, "UPDATE", 20_000), (2, "EXPIRED", 30_000), (2, "UPDATE", 0), (3, "EXPIRED", 75_000), (3, "UPDATE", 45_000)]
 
