@@ -177,6 +177,8 @@ def nearest(rows: DataFrame, is_query, key: str = "vec_id", vector: str = "embed
 
     met = home.union(asking).groupBy("block").applyInPandas(meet, "query long, ids array<long>, scores array<double>")
     merged = met.groupBy("query").agg(F.flatten(F.collect_list(F.arrays_zip("ids", "scores"))).alias("all"))
-    ranked = F.slice(F.array_sort(F.array_distinct(F.transform("all", lambda x: F.struct((-x["scores"]).alias("far"), x["ids"].alias("id"))))), 1, k)
+    # A row is found once per ordering at most, so the first k * orders entries hold the k best different ones.
+    leading = F.slice(F.array_sort(F.transform("all", lambda x: F.struct((-x["scores"]).alias("far"), x["ids"].alias("id")))), 1, k * orders)
+    ranked = F.slice(F.array_distinct(leading), 1, k)
     each = merged.select("query", F.posexplode(ranked).alias("at", "hit"))
     return each.select(F.col("query").alias("query_id"), (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.id").alias(key), (-F.col("hit.far")).alias("score"))
