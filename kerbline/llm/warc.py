@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kerbline.llm.common import column
+from kerbline.llm.common import column, let
 
 CRLF = "\r\n"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -13,7 +13,7 @@ HIDDEN = ("script", "style", "noscript", "template")
 LINES = ("address|article|aside|blockquote|body|br|caption|center|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|legend|li|main|nav|ol|"
          "option|p|pre|section|select|table|tbody|td|tfoot|th|thead|title|tr|ul")
 COMMENT = "(?s)<!--.*?(?:-->|$)"
-HIDDEN_BLOCK = "(?is)(?:" + "|".join(f"<{t}(?:\\s[^>]*)?>.*?(?:</{t}\\s*>|$)" for t in HIDDEN) + ")"
+UNSEEN = "(?is)<(?:!--.*?(?:-->|$)|(" + "|".join(HIDDEN) + ")(?:\\s[^>]*)?>[^<]*+(?:<(?!/\\1\\s*>)[^<]*+)*+(?:</\\1\\s*>|$))"
 LINE_TAG = f"(?i)</?(?:{LINES})(?:[\\s/][^>]*)?>"
 TAG = "(?:</?[A-Za-z][^>]*>|<[!?][^>]*>)"
 TITLE = "(?is)<title(?:\\s[^>]*)?>(.*?)</title"
@@ -60,19 +60,19 @@ def _decoded(text: Column) -> Column:
 
     refs = F.array_distinct(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)))
     others = F.filter(refs, lambda r: r != "&amp;")
-    return F.when(text.rlike(ENTITY), F.replace(F.aggregate(others, text, lambda t, r: F.replace(t, r, character(r))), F.lit("&amp;"), F.lit("&"))).otherwise(text)
+    return F.when(F.instr(text, "&") > 0, F.replace(F.aggregate(others, text, lambda t, r: F.replace(t, r, character(r))), F.lit("&amp;"), F.lit("&"))).otherwise(text)
 
 
 def _tidy(text: Column) -> Column:
     """Runs of blanks as one space, no blank lines, no blanks at the ends of lines."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, "[ \\t\\f\\x0B\\x{A0}]+", " "), " ?[\\r\\n][\\s]*", "\n"), F.lit(" \n"))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "[\\t\\f\\x0B\\x{A0}]", " "), "  +", " "), " ?[\\r\\n]\\s*", "\n"), F.lit(" \n"))
 
 
 def plain_text(html: Column) -> Column:
     """The text of a page: no comments, scripts and styles; block elements and breaks end lines; references decoded."""
-    shown = F.regexp_replace(F.regexp_replace(html, COMMENT, " "), HIDDEN_BLOCK, " ")
-    blank = F.regexp_replace(shown, "[\\r\\n]+", " ")
-    return _tidy(_decoded(F.regexp_replace(F.regexp_replace(blank, LINE_TAG, "\n"), TAG, "")))
+    shown = F.regexp_replace(F.regexp_replace(html, UNSEEN, " "), "[\\r\\n]+", " ")
+    # Bound once: each further mention of an expression would compute it again.
+    return let(F.regexp_replace(F.regexp_replace(shown, LINE_TAG, "\n"), TAG, ""), lambda text: _tidy(_decoded(text)))
 
 
 def responses(pages: DataFrame, date: str) -> DataFrame:
@@ -102,10 +102,12 @@ def derive(records: DataFrame, key: str = "page_id") -> DataFrame:
     found = (records.select(column(key), F.col("record_id").alias("response_id"), "target_uri", "date", "headers", payload.alias("payload"))
              .withColumn("payload_digest", digest(F.col("payload"))).withColumn("block_digest", digest(F.concat(head, F.col("payload"))))
              .withColumn("text", plain_text(F.col("payload")))
-             .withColumn("title", F.when(F.col("payload").rlike(TITLE), _tidy(_decoded(F.regexp_extract("payload", TITLE, 1)))))
+             .withColumn("title", F.when(F.col("payload").rlike(TITLE), let(F.regexp_extract("payload", TITLE, 1), lambda t: _tidy(_decoded(t)))))
              .withColumn("visible", F.regexp_replace("payload", COMMENT, " ")))
-    each = F.arrays_zip(*[F.regexp_extract_all("visible", F.lit(LINK), F.lit(i)).alias(n) for i, n in ((1, "tag"), (2, "attribute"), (3, "a"), (4, "b"), (5, "c"))])
-    links = F.transform(each, lambda x: F.struct(F.concat(F.upper(x["tag"]), F.lit("@/"), F.lower(x["attribute"])).alias("path"), F.concat(x["a"], x["b"], x["c"]).alias("url")))
+    whole = F.regexp_extract_all("visible", F.lit(LINK), F.lit(0))
+    links = F.transform(whole, lambda x: F.struct(
+        F.concat(F.upper(F.regexp_extract(x, LINK, 1)), F.lit("@/"), F.lower(F.regexp_extract(x, LINK, 2))).alias("path"),
+        F.concat(*[F.regexp_extract(x, LINK, i) for i in (3, 4, 5)]).alias("url")))
     found = found.withColumn("links", links).drop("visible")
     found = (found.withColumn("metadata", F.to_json(F.struct(
         "target_uri", F.col("response_id").alias("refers_to"), "headers", F.col("payload_digest").alias("entity_digest"),
