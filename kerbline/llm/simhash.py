@@ -15,6 +15,8 @@ from kerbline.llm.common import column, components, free_name, partitions
 from kerbline.session import written
 
 SEED = 42
+#: Runs up to this length are compared many at once.
+SHORT = 24
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -144,26 +146,90 @@ def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataF
         held = [pdf.iloc[starts[-1]:]]
 
 
-def _linked(keyed: DataFrame, lanes: int, forest: Callable[[np.ndarray, int], list[tuple[int, int]]]) -> DataFrame:
-    """Links ``(a, b)`` within the runs of ``keyed(tab int, key long, node, print binary)``: sorted, then run by run."""
+def _short_links(pdf: pd.DataFrame, keys: list[str], lanes: int, most: int) -> tuple[list, list, np.ndarray]:
+    """Links within the runs of up to ``SHORT`` rows of a sorted frame, and which rows lie in longer ones.
+
+    Rows are compared with the row one, two, ... places on, all rows of the frame at once."""
+    n = len(pdf)
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for k in keys:
+        v = pdf[k].to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    run = np.cumsum(new) - 1
+    sizes = np.bincount(run)
+    long = sizes[run] > SHORT
+    prints = np.frombuffer(b"".join(pdf["print"]), ">u8").astype(np.uint64).reshape(-1, lanes)
+    first: list[np.ndarray] = []
+    second: list[np.ndarray] = []
+    for lag in range(1, min(SHORT, int(sizes.max(initial=1)))):
+        i = np.flatnonzero((run[lag:] == run[:-lag]) & ~long[lag:])
+        if not len(i):
+            break
+        near = np.bitwise_count(prints[i] ^ prints[i + lag]).sum(axis=1) <= most
+        first.append(i[near])
+        second.append(i[near] + lag)
+    a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (first, second))
+    # A forest of each run, from its links in order.
+    root: dict[int, int] = {}
+    nodes = pdf["node"].to_numpy()
+    out_a, out_b = [], []
+
+    def find(i: int) -> int:
+        while root.setdefault(i, i) != i:
+            i = root[i]
+        return i
+
+    for i, j in zip(a.tolist(), b.tolist()):
+        x, y = find(i), find(j)
+        if x != y:
+            root[y] = x
+            out_a.append(nodes[i])
+            out_b.append(nodes[j])
+    return out_a, out_b, long
+
+
+def _linked(keyed: DataFrame, lanes: int, most: int, forest: Callable[[np.ndarray, int], list[tuple[int, int]]]) -> DataFrame:
+    """Links ``(a, b)`` within the runs of ``keyed(tab int, key long, node, print binary)``: sorted, then run by run.
+
+    Short runs are compared many at once, long ones by ``forest`` one by one."""
     kind = dict(keyed.dtypes)["node"]
+    keys = ["tab", "key"]
+
+    def whole_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Frames that end where a run ends."""
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            new = np.zeros(len(pdf), bool)
+            for k in keys:
+                v = pdf[k].to_numpy()
+                new[1:] |= v[1:] != v[:-1]
+                new[0] |= bool(held) and held[-1][k].iloc[-1] != v[0]
+            starts = np.flatnonzero(new)
+            if len(starts):
+                if held or starts[-1]:
+                    yield pd.concat([*held, pdf.iloc[:starts[-1]]], ignore_index=True)
+                held = []
+                pdf = pdf.iloc[starts[-1]:]
+            held.append(pdf)
+        if held:
+            yield pd.concat(held, ignore_index=True)
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a: list = []
-        b: list = []
-        for run in _runs(batches, ["tab", "key"]):
-            nodes = run["node"].to_numpy()
-            prints = np.frombuffer(b"".join(run["print"]), ">u8").astype(np.uint64).reshape(-1, lanes)
-            for i, j in forest(prints, int(run["tab"].iloc[0])):
-                a.append(nodes[i])
-                b.append(nodes[j])
-            if len(a) > 20_000:
+        for pdf in whole_runs(batches):
+            a, b, long = _short_links(pdf, keys, lanes, most)
+            for run in _runs(iter([pdf[long]]), keys):
+                nodes = run["node"].to_numpy()
+                prints = np.frombuffer(b"".join(run["print"]), ">u8").astype(np.uint64).reshape(-1, lanes)
+                for i, j in forest(prints, int(run["tab"].iloc[0])):
+                    a.append(nodes[i])
+                    b.append(nodes[j])
+            if a:
                 yield pd.DataFrame({"a": a, "b": b})
-                a, b = [], []
-        if a:
-            yield pd.DataFrame({"a": a, "b": b})
 
-    dealt = keyed.repartition(partitions(keyed), "tab", "key").sortWithinPartitions("tab", "key")
+    dealt = keyed.repartition(partitions(keyed), *keys).sortWithinPartitions(*keys)
     return dealt.mapInPandas(link, f"a {kind}, b {kind}").distinct()
 
 
@@ -185,7 +251,7 @@ def block_links(prints: DataFrame, most: int, blocks: int) -> DataFrame:
     keyed = (prints.select("node", "print", value.alias("v"))
              .select("node", "print", "v", F.posexplode(F.array(*[F.lit(m).cast("long") for m in signed])).alias("tab", "mask"))
              .select("tab", F.expr("v & mask").alias("key"), "node", "print"))
-    return _linked(keyed, 1, lambda p, tab: _exact_forest(p, most, frees[tab]))
+    return _linked(keyed, 1, most, lambda p, tab: _exact_forest(p, most, frees[tab]))
 
 
 def wide_plan(nodes: int, lanes: int, difference: float, missed: float) -> tuple[int, int]:
@@ -225,7 +291,7 @@ def wide_links(prints: DataFrame, lanes: int, most: int, difference: float, miss
         return [(int(order[s + i]), int(order[s + j])) for s in range(0, len(p), chunk) for i, j in _forest(p[order[s:s + chunk]], most)]
 
     keyed = prints.select("node", "print").mapInPandas(keys, f"tab int, key long, node {kind}, print binary")
-    return _linked(keyed, lanes, forest)
+    return _linked(keyed, lanes, most, forest)
 
 
 def classes(rows: DataFrame, key: str, print_column: str) -> DataFrame:

@@ -133,3 +133,28 @@ def test_runs_over_batches():
     for size in (1, 2, 3, 10):
         frames = [pd.DataFrame({"k": keys[i:i + size]}) for i in range(0, 10, size)]
         assert [r["k"].tolist() for r in simhash._runs(iter(frames), ["k"])] == [[1, 1], [3, 3, 3], [5, 5]]
+
+
+def test_short_and_long_runs_over_batches_give_all_components(spark):
+    rng = random.Random(12)
+    rows = []
+    for tab in range(2):
+        for key in range(60):
+            for _ in range(rng.choice([1, 1, 2, 5, 23, 24, 25, 80])):
+                v = rng.getrandbits(6) | key << 8 | tab << 20
+                rows.append((tab, key, len(rows), bytearray(v.to_bytes(8, "big"))))
+    df = spark.createDataFrame(rows, "tab int, key long, node long, print binary")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    try:
+        links = [(r["a"], r["b"]) for r in simhash._linked(df, 1, 1, lambda p, _: simhash._forest(p, 1)).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {i: i for i in range(len(rows))}
+    for a, b in links:
+        x, y = got[a], got[b]
+        got = {k: min(x, y) if v in (x, y) else v for k, v in got.items()}
+    want = {}
+    for tab in range(2):
+        for key in range(60):
+            want |= groups({n: int.from_bytes(p, "big") for t, k, n, p in rows if (t, k) == (tab, key)}, 1)
+    assert got == want and len(links) < len(rows)
