@@ -10,6 +10,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kerbline.llm.common import column, free_name
+from kerbline.session import written
 
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 LEVEL = 6
@@ -36,6 +37,8 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", texts_per_lang:
     least = Window.partitionBy("lang").orderBy("hash")
     chosen = hashed.select("lang", "hash").distinct().withColumn("i", F.row_number().over(least)).filter(F.col("i") <= texts_per_lang)
     share = F.expr(f"substring(text, 1, {dictionary_bytes})")
+    # Written, so that Spark knows how small it is and does not shuffle the texts to meet it.
+    chosen = written(chosen.select("lang", "hash"), "langid-sample")
     picked = hashed.join(chosen, ["lang", "hash"]).groupBy("lang", "hash").agg(F.first(share).alias("text"))
     sample: dict[str, list[bytes]] = {}
     for row in picked.orderBy("lang", "hash").toLocalIterator():
