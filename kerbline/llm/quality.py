@@ -196,13 +196,14 @@ def score(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", lang: str =
 
 
 def classify(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", lang: str = "lang", text: str = "text",
-             quantile: float = 0.995, prior_units: int = 32, least_rows: int = 200) -> DataFrame:
+             quantile: float = 0.995, prior_units: int = 32, prior_texts: int = 32) -> DataFrame:
     """``(key, lang, text_hash, units, perplexity, smoothed_bits, limit_bits, kept)``, one row per row of ``docs``.
 
     Four of five trusted documents (by a hash of their key) train the model, the fifth sets the limits: in each language
     the ``quantile`` of their bits per unit, drawn toward the language's median by ``prior_units`` units of it, so that a
-    text of one word is not judged by its few units. Languages (null is one) with fewer than ``least_rows`` such documents
-    take the limit of all together; without any the limit is null and every text with words is kept. Null texts and texts
+    text of one word is not judged by its few units. A language's median and limit (null is one) are its own at every size,
+    drawn toward those of all languages together by ``prior_texts`` texts of them, so that few texts move them little and no
+    count switches them; without any such document the limit is null and every text with words is kept. Null texts and texts
     of blanks alone are never kept; their perplexity is null. Copies of a row get the same result each.
     """
     held = F.crc32(column(key).cast("string")) % 5 == 0
@@ -210,8 +211,12 @@ def classify(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", lang: str
     rows = written(score(docs, trusted.filter(~held), key, lang, text), "quality-scores").withColumn("per_unit", F.expr("try_divide(bits, units)"))
     judges = rows.filter(~F.col("blank")).join(trusted.filter(held), key)
     everywhere = judges.agg(F.percentile_approx("per_unit", 0.5, 10_000).alias("median")).first()
-    middle = judges.groupBy(F.col(lang).alias("l")).agg(F.percentile_approx("per_unit", 0.5, 10_000).alias("median"), F.count("*").alias("n")).filter(F.col("n") >= least_rows).drop("n")
-    middle = written(middle, "quality-medians")
+
+    def drawn(frame: DataFrame, value: str, share: float, pooled: float | None, name: str) -> DataFrame:
+        own = frame.groupBy(F.col(lang).alias("l")).agg(F.percentile_approx(value, share, 10_000).alias("own"), F.count("*").alias("n"))
+        return own.select("l", ((F.col("own") * F.col("n") + F.lit(pooled).cast("double") * prior_texts) / (F.col("n") + prior_texts)).alias(name))
+
+    middle = written(drawn(judges, "per_unit", 0.5, everywhere["median"], "median"), "quality-medians")
 
     def smooth(frame: DataFrame) -> DataFrame:
         median = F.coalesce("median", F.lit(everywhere["median"]).cast("double"), F.lit(0.0))
@@ -220,8 +225,7 @@ def classify(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", lang: str
 
     smoothed = smooth(judges)
     whole = smoothed.agg(F.percentile_approx("smoothed_bits", quantile, 10_000).alias("limit")).first()["limit"]
-    limit = written(smoothed.groupBy(F.col(lang).alias("l")).agg(F.percentile_approx("smoothed_bits", quantile, 10_000).alias("limit"), F.count("*").alias("n"))
-                    .filter(F.col("n") >= least_rows).drop("n"), "quality-limits")
+    limit = written(drawn(smoothed, "smoothed_bits", quantile, whole, "limit"), "quality-limits")
     out = smooth(rows).join(limit, column(lang).eqNullSafe(F.col("l")), "left")
     bound = F.coalesce("limit", F.lit(whole).cast("double"))
     return out.select(key, lang, "text_hash", "units", F.when(~F.col("blank"), F.pow(F.lit(2.0), "per_unit")).alias("perplexity"),

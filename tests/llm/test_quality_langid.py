@@ -78,6 +78,21 @@ def test_classifier_keeps_clean_rows_and_rejects_junk(spark, corpus):
     assert not ids & {9000, 9001} and 9002 in ids
 
 
+def test_small_languages_have_limits_of_their_own_at_every_size(spark):
+    rng = random.Random(31)
+    text = lambda n, letters: " ".join("".join(rng.choice(letters) for _ in range(4)) for _ in range(n))
+    rows = [(i, text(60, "abcd"), "plain") for i in range(400)] + [(i, text(60, "efghijklmnopqrstuvwxyz"), "rich") for i in range(400, 500)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    limits = {}
+    for few in (420, 450, 500):
+        some = df.filter(F.col("doc_id") < few)
+        got = quality.classify(some, some.select("doc_id")).select("lang", "limit_bits").distinct().collect()
+        limits[few] = {r["lang"]: r["limit_bits"] for r in got}
+        assert len(got) == 2
+    # Every text of a language counts, and no number of them switches the limit.
+    assert all(x["rich"] > x["plain"] + 0.1 for x in limits.values())
+
+
 def test_without_trusted_rows_every_text_with_words_is_kept(spark, corpus):
     df = spark.createDataFrame(corpus[:20] + [(900, "", None)], SCHEMA)
     got = quality.classify(df, spark.createDataFrame([], "doc_id long")).collect()
