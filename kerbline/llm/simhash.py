@@ -189,16 +189,20 @@ def _short_links(pdf: pd.DataFrame, keys: list[str], lanes: int, most: int) -> t
     return out_a, out_b, long
 
 
-def _linked(keyed: DataFrame, lanes: int, most: int, forest: Callable[[np.ndarray, int], list[tuple[int, int]]]) -> DataFrame:
+def _linked(keyed: DataFrame, lanes: int, most: int, forest: Callable[[np.ndarray, int], list[tuple[int, int]]],
+            keys: tuple[str, ...] = ("tab", "key"), longest: int | None = None) -> DataFrame:
     """Links ``(a, b)`` within the runs of ``keyed(tab int, key long, node, print binary)``: sorted, then run by run.
 
-    Short runs are compared many at once, long ones by ``forest`` one by one."""
+    Short runs are compared many at once, long ones by ``forest`` one by one. With ``longest`` a run of more rows is neither
+    held nor compared: one row ``(a, b, tab, key, size)`` of it has its ``size``, which is 0 in links."""
     kind = dict(keyed.dtypes)["node"]
-    keys = ["tab", "key"]
+    keys = list(keys)
+    bound = math.inf if longest is None else longest
 
-    def whole_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Frames that end where a run ends."""
+    def whole_runs(batches: Iterator[pd.DataFrame], over: list[tuple]) -> Iterator[pd.DataFrame]:
+        """Frames that end where a run ends; of a run over the bound its last row and length go to ``over``."""
         held: list[pd.DataFrame] = []
+        size = 0
         for pdf in batches:
             if not len(pdf):
                 continue
@@ -209,28 +213,42 @@ def _linked(keyed: DataFrame, lanes: int, most: int, forest: Callable[[np.ndarra
                 new[0] |= bool(held) and held[-1][k].iloc[-1] != v[0]
             starts = np.flatnonzero(new)
             if len(starts):
+                if size > bound:
+                    over.append((held[-1].iloc[-1], size + int(starts[0])))
+                    held, pdf, starts = [], pdf.iloc[starts[0]:], starts - starts[0]
                 if held or starts[-1]:
                     yield pd.concat([*held, pdf.iloc[:starts[-1]]], ignore_index=True)
-                held = []
+                held, size = [], 0
                 pdf = pdf.iloc[starts[-1]:]
             held.append(pdf)
-        if held:
+            size += len(pdf)
+            if size > bound:
+                held = [pdf.iloc[-1:]]
+        if size > bound:
+            over.append((held[-1].iloc[-1], size))
+        elif held:
             yield pd.concat(held, ignore_index=True)
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in whole_runs(batches):
+        over: list[tuple] = []
+        for pdf in whole_runs(batches, over):
             a, b, long = _short_links(pdf, keys, lanes, most)
             for run in _runs(iter([pdf[long]]), keys):
+                if len(run) > bound:
+                    over.append((run.iloc[-1], len(run)))
+                    continue
                 nodes = run["node"].to_numpy()
                 prints = np.frombuffer(b"".join(run["print"]), ">u8").astype(np.uint64).reshape(-1, lanes)
                 for i, j in forest(prints, int(run["tab"].iloc[0])):
                     a.append(nodes[i])
                     b.append(nodes[j])
             if a:
-                yield pd.DataFrame({"a": a, "b": b})
+                yield pd.DataFrame({"a": a, "b": b} if longest is None else {"a": a, "b": b, "tab": np.int32(-1), "key": np.int64(0), "size": np.int64(0)})
+        if over:
+            yield pd.DataFrame([(r["node"], r["node"], r["tab"], r["key"], n) for r, n in over], columns=["a", "b", "tab", "key", "size"])
 
     dealt = keyed.repartition(partitions(keyed), *keys).sortWithinPartitions(*keys)
-    return dealt.mapInPandas(link, f"a {kind}, b {kind}").distinct()
+    return dealt.mapInPandas(link, f"a {kind}, b {kind}" + ("" if longest is None else ", tab int, key long, size long")).distinct()
 
 
 def block_links(prints: DataFrame, most: int, blocks: int) -> DataFrame:
@@ -265,8 +283,9 @@ def wide_links(prints: DataFrame, lanes: int, most: int, difference: float, miss
 
     At distances of a seventh of all bits no split has few tables and sure blocks, so blocks are drawn from the bits by
     a fixed generator, as wide as the table's size asks for, and as many as let a pair that differs in the share ``difference``
-    of its bits meet in none with probability ``missed``. Runs are checked in chunks of ``chunk`` rows, neighbours by value
-    together; a long run's pairs in other chunks meet in other blocks. Only spanning forests leave a run.
+    of its bits meet in none with probability ``missed``. Every pair of a run is compared: a run of more than ``chunk`` rows
+    is dealt by hash into parts of a quarter of that, and each two parts meet in a task of their own, so that none holds
+    or compares more than about half a chunk. Only spanning forests leave a run or two parts.
     """
     n = prints.count()
     bits, count = wide_plan(n, lanes, difference, missed)
@@ -285,13 +304,19 @@ def wide_links(prints: DataFrame, lanes: int, most: int, difference: float, miss
                                         "node": part["node"].to_numpy(), "print": part["print"].to_numpy()})
 
     def forest(p: np.ndarray, tab: int) -> list[tuple[int, int]]:
-        if len(p) <= chunk:
-            return _forest(p, most)
-        order = np.lexsort(p.T[::-1])
-        return [(int(order[s + i]), int(order[s + j])) for s in range(0, len(p), chunk) for i, j in _forest(p[order[s:s + chunk]], most)]
+        return _forest(p, most)
 
     keyed = prints.select("node", "print").mapInPandas(keys, f"tab int, key long, node {kind}, print binary")
-    return _linked(keyed, lanes, most, forest)
+    found = written(_linked(keyed, lanes, most, forest, longest=chunk), "near-runs")
+    links, long = found.filter("size = 0").select("a", "b"), found.filter("size > 0")
+    if long.isEmpty():
+        return links
+    long = long.select("tab", "key", F.expr(f"cast(ceil(size * 4 / {chunk}) as int)").alias("parts"))
+    placed = keyed.join(long, ["tab", "key"]).withColumn("part", F.expr("cast(pmod(xxhash64(node, 5), parts) as int)"))
+    # A part meets each other part, and its own rows meet there too.
+    met = (placed.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).filter("other <> part")
+           .select("tab", "key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "node", "print"))
+    return links.union(_linked(met, lanes, most, forest, ("tab", "key", "low", "high"))).distinct()
 
 
 def classes(rows: DataFrame, key: str, print_column: str) -> DataFrame:

@@ -158,3 +158,20 @@ def test_short_and_long_runs_over_batches_give_all_components(spark):
         for key in range(60):
             want |= groups({n: int.from_bytes(p, "big") for t, k, n, p in rows if (t, k) == (tab, key)}, 1)
     assert got == want and len(links) < len(rows)
+
+
+def test_every_pair_of_a_run_over_the_chunk_is_compared(spark):
+    rng = random.Random(14)
+    base = rng.getrandbits(256)
+    # Partners differ in the first bit alone, where a sort by value parts them farthest; others in two or more of bits 1 to 11,
+    # so few that hardly a block has enough of them to make the runs short.
+    noise = rng.sample([n for n in range(1 << 11) if n.bit_count() % 2 == 0], 200)
+    rows = [(2 * i + top, bytearray((base ^ n << 244 ^ top << 255).to_bytes(32, "big"))) for i, n in enumerate(noise) for top in (0, 1)]
+    df = spark.createDataFrame(rows, "node long, print binary")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    try:
+        links = {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in simhash.wide_links(df, 4, 1, 0.15, chunk=64).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(2 * i, 2 * i + 1) for i in range(200)} <= links
+    assert all(bin(int.from_bytes(rows[a][1], "big") ^ int.from_bytes(rows[b][1], "big")).count("1") <= 1 for a, b in links)
