@@ -18,10 +18,12 @@ from kerbline.session import written
 ORDER = 4
 START, END = 2, 3
 FRAME_ROWS = 64
+#: Rows of a file that ask for their 4-grams together and meet them in one task.
+BLOCK_ROWS = 8192
 _MASKS = {3: (1 << 48) - 1, 2: (1 << 32) - 1, 1: (1 << 16) - 1}
-_FRAME = pa.schema([("block", pa.int64()), ("frame", pa.int64()), ("ids", pa.list_(pa.string())), ("langs", pa.list_(pa.string())),
-                    ("lens", pa.list_(pa.int64())), ("texts", pa.binary())])
-_FRAME_SQL = "block long, frame long, ids array<string>, langs array<string>, lens array<long>, texts binary"
+_FRAME = pa.schema([("block", pa.int64()), ("frame", pa.int64()), ("places", pa.list_(pa.int64())), ("ids", pa.list_(pa.string())),
+                    ("langs", pa.list_(pa.string())), ("lens", pa.list_(pa.int64())), ("texts", pa.binary())])
+_FRAME_SQL = "block long, frame long, places array<long>, ids array<string>, langs array<string>, lens array<long>, texts binary"
 _SCORE = pa.schema([("id", pa.string()), ("lang", pa.string()), ("text_hash", pa.int64()), ("units", pa.int64()), ("bits", pa.float64()), ("blank", pa.bool_())])
 _BLANKS = b" \t\n\r\x0b\x0c"
 
@@ -34,34 +36,39 @@ def grams(text: bytes) -> np.ndarray:
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """``docs`` if every row comes straight from a file, else a written copy: frames must be the same in every pass."""
-    return docs if docs.filter(F.input_file_name() == "").isEmpty() else written(docs, "quality-docs")
+    """``docs`` if it is a Parquet table as it lies in its files, else a written copy of that kind.
+
+    The passes name a row by its file and its number in the file, which do not depend on how Spark cuts files into tasks.
+    """
+    plain = docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+    return docs if plain and "row_index" in docs.select(docs.metadataColumn("_metadata").alias("m")).schema["m"].dataType.names else written(docs, "quality-docs")
 
 
 def _frames(docs: DataFrame, key: str, lang: str, text: str | None) -> DataFrame:
-    """Frames of 64 rows, numbered within their split of a file; texts packed and compressed, or left out."""
-    block = F.xxhash64(F.input_file_name(), F.input_file_block_start())
-    rows = docs.select(column(key).cast("string").alias("id"), column(lang).cast("string").alias("lang"), block.alias("block"),
+    """Frames of 64 rows of a file, in blocks of :data:`BLOCK_ROWS`; texts packed and compressed, or left out.
+
+    A frame that two tasks share comes in two parts; ``places`` has the rows' places in the frame.
+    """
+    meta = docs.metadataColumn("_metadata")
+    rows = docs.select(column(key).cast("string").alias("id"), column(lang).cast("string").alias("lang"), meta["file_path"].alias("path"), meta["row_index"].alias("row"),
                        *([column(text).alias("text")] if text else []))
+    rows = rows.withColumn("block", F.xxhash64("path", F.expr(f"row div {BLOCK_ROWS}"))).drop("path")
 
     def frame(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=6)
-        numbers: dict[int, int] = {}
         held: list[tuple] = []
 
         def cut() -> pa.RecordBatch:
-            b = held[0][0]
-            raw = [None if h[3] is None else h[3].encode("utf-8", "surrogatepass") for h in held]
-            numbers[b] = numbers.get(b, -1) + 1
-            out = [[b], [numbers[b]], [[h[1] for h in held]], [[h[2] for h in held]], [[-1 if r is None else len(r) for r in raw]],
-                   [pack.compress(b"".join(r or b"" for r in raw)) if text else b""]]
+            raw = [None if h[4] is None else h[4].encode("utf-8", "surrogatepass") for h in held]
+            out = [[held[0][0]], [held[0][1] // FRAME_ROWS], [[h[1] % FRAME_ROWS for h in held]], [[h[2] for h in held]], [[h[3] for h in held]],
+                   [[-1 if r is None else len(r) for r in raw]], [pack.compress(b"".join(r or b"" for r in raw)) if text else b""]]
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, _FRAME)], schema=_FRAME)
 
         for batch in batches:
             c = batch.to_pydict()
-            for row in zip(c["block"], c["id"], c["lang"], c["text"] if text else [None] * batch.num_rows):
-                if held and (len(held) == FRAME_ROWS or held[0][0] != row[0]):
+            for row in zip(c["block"], c["row"], c["id"], c["lang"], c["text"] if text else [None] * batch.num_rows):
+                if held and (held[0][0] != row[0] or held[0][1] // FRAME_ROWS != row[1] // FRAME_ROWS):
                     yield cut()
                 held.append(row)
         if held:
@@ -83,10 +90,11 @@ def block_grams(docs: DataFrame, trusted: DataFrame, key: str, lang: str, text:
     Which documents of a frame are trusted comes as one 64-bit mask per frame, joined by frame; Spark ships that table
     (24 bytes per 64 documents) whole if it is small and shuffles if not. Texts are counted where they are read.
     """
-    ids = _frames(docs, key, lang, None).select("block", "frame", F.posexplode("ids").alias("at", "id"))
+    ids = (_frames(docs, key, lang, None).select("block", "frame", F.explode(F.arrays_zip("places", "ids")).alias("x"))
+           .select("block", "frame", F.col("x.places").cast("int").alias("at"), F.col("x.ids").alias("id")))
     masks = written(ids.join(trusted.select(column(key).cast("string").alias("id")).distinct(), "id").groupBy("block", "frame")
                     .agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask")), "quality-masks")
-    framed = _frames(docs, key, lang, text).join(masks, ["block", "frame"], "left").select("block", "lens", "texts", F.coalesce("mask", F.lit(0)).alias("mask"))
+    framed = _frames(docs, key, lang, text).join(masks, ["block", "frame"], "left").select("block", "places", "lens", "texts", F.coalesce("mask", F.lit(0)).alias("mask"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: list[np.ndarray] = []
@@ -101,12 +109,12 @@ def block_grams(docs: DataFrame, trusted: DataFrame, key: str, lang: str, text:
                                  "n": np.concatenate([n, np.zeros(len(rest), np.int64)])})
 
         for pdf in batches:
-            for b, lens, texts, mask in zip(pdf["block"], pdf["lens"], pdf["texts"], pdf["mask"].tolist()):
+            for b, places, lens, texts, mask in zip(pdf["block"], pdf["places"], pdf["lens"], pdf["texts"], pdf["mask"].tolist()):
                 if size and (b != block or size > 4_000_000):
                     yield flush()
                     size = 0
                 block = b
-                for i, t in enumerate(_texts(lens, texts)):
+                for i, t in zip(map(int, places), _texts(lens, texts)):
                     if t is not None:
                         g = grams(t)
                         (kept if mask >> i & 1 else other).append(g)
@@ -120,10 +128,12 @@ def block_grams(docs: DataFrame, trusted: DataFrame, key: str, lang: str, text:
 def _discounts(counts: DataFrame) -> list[float]:
     """Modified Kneser-Ney discounts for counts 1, 2 and more, from how many grams have counts 1 to 4; at most the count.
 
-    Where a table is too small to tell (none of a count), half the count is taken off."""
+    Where a table cannot tell (none of a count, or nothing left to take off), half the count is taken off: some mass always
+    goes to what was not seen, so that no unit has probability zero."""
     row = counts.agg(*[F.count_if(F.col("n") == i) for i in (1, 2, 3, 4)]).first()
     y = row[0] / (row[0] + 2 * row[1]) if row[0] else 0.0
-    return [min(max(i - (i + 1) * y * row[i] / row[i - 1], 0.0), float(i)) if row[0] and row[i - 1] and row[i] else i / 2 for i in (1, 2, 3)]
+    told = [i - (i + 1) * y * row[i] / row[i - 1] if row[0] and row[i - 1] and row[i] else 0.0 for i in (1, 2, 3)]
+    return [min(d, float(i)) if d > 0 else i / 2 for i, d in enumerate(told, 1)]
 
 
 def _discount(d: list[float]) -> Column:
@@ -162,9 +172,10 @@ def log_probabilities(asked: DataFrame) -> DataFrame:
 def score(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", lang: str = "lang", text: str = "text") -> DataFrame:
     """``(key, lang, text_hash, units, bits, blank)``, one row per row of ``docs``: 4-grams of its text, their bits under the model.
 
-    The model counts every text of ``docs`` whose key is in ``trusted``, whole. Each split of the input asks for its own
+    The model counts every text of ``docs`` whose key is in ``trusted``, whole. Each block of rows asks for its own
     4-grams once, gets their bits by joins, and meets its texts again in one task: what a task holds is bounded by the
-    split, and the shuffled texts are compressed. Null text has 0 units. ``text_hash`` is Spark's ``xxhash64`` of the text.
+    block, and the shuffled texts are compressed. Rows are known by file and row number, so that every pass has the same blocks
+    however its tasks are cut; a 4-gram without an answer is an error. Null text has 0 units. ``text_hash`` is Spark's ``xxhash64`` of the text.
     """
     docs = scanned(docs)
     asked = written(block_grams(docs, trusted, key, lang, text).groupBy("block", "gram").agg(F.sum("n").alias("n")), "quality-asked")
@@ -186,7 +197,10 @@ def score(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", lang: str =
                     digest = xxhash.xxh64_intdigest(t, 42) if t is not None else 42
                     out["text_hash"].append(digest - (1 << 64) if digest >> 63 else digest)
                     out["units"].append(len(g))
-                    out["bits"].append(float(cost[np.searchsorted(known, g)].sum()) if len(g) else 0.0)
+                    at = np.searchsorted(known, g)
+                    if len(g) and (not len(known) or at.max() == len(known) or not np.array_equal(known[at], g)):
+                        raise RuntimeError("a block's texts hold 4-grams that it did not ask for")
+                    out["bits"].append(float(cost[at].sum()) if len(g) else 0.0)
                     out["blank"].append(t is None or not t.strip(_BLANKS))
         return pa.Table.from_pydict(out, schema=_SCORE)
 

@@ -144,9 +144,10 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", length:
             F.when(x["start"] >= acc["at"], F.concat(acc["out"], F.substr(body, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
             F.greatest(acc["at"], x["end"]).alias("at")),
         lambda acc: F.concat(acc["out"], F.substr(body, acc["at"] + 1)))
-    out = scan(docs, text, found, allowed)
-    new = F.when(F.size(column(found)) > 0, clean).otherwise(body)
+    # The clean text gets a name of its own first: a select that names it ``text`` again would lend that name to its other columns.
+    fresh = free_name(docs, "clean_text")
     hit = F.size(column(found)) > 0
-    columns = [new.alias(c) if c == text else F.when(hit, F.char_length(clean).cast(docs.schema[c].dataType)).otherwise(column(c)).alias(c) if c == length else column(c)
-               for c in docs.columns]
-    return out.select(*columns)
+    out = scan(docs, text, found, allowed).withColumn(fresh, F.when(hit, clean).otherwise(body))
+    if length is not None:
+        out = out.withColumn(length, F.when(hit, F.char_length(column(fresh)).cast(docs.schema[length].dataType)).otherwise(column(length)))
+    return out.withColumn(text, column(fresh)).select(*[column(c) for c in docs.columns])

@@ -1,7 +1,9 @@
 import math
 import random
+import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,7 +23,8 @@ def plain_bits(trusted, texts):
     for n, c in counts.items():
         of = [sum(v == i for v in c.values()) for i in (1, 2, 3, 4)]
         y = of[0] / (of[0] + 2 * of[1]) if of[0] else 0
-        discount[n] = [min(max(i - (i + 1) * y * of[i] / of[i - 1], 0), i) if of[0] and of[i - 1] and of[i] else i / 2 for i in (1, 2, 3)]
+        told = [i - (i + 1) * y * of[i] / of[i - 1] if of[0] and of[i - 1] and of[i] else 0 for i in (1, 2, 3)]
+        discount[n] = [min(d, i) if d > 0 else i / 2 for i, d in enumerate(told, 1)]
         context[n] = defaultdict(list)
         for g, v in c.items():
             context[n][g[:-1]].append(v)
@@ -39,6 +42,31 @@ def plain_bits(trusted, texts):
     return [sum(-math.log2(p(g)) for g in grams(t)) for t in texts]
 
 
+def at_rank(values, q):
+    values = sorted(values)
+    return values[max(0, int(np.ceil(q * len(values))) - 1)]
+
+
+def plain_judgement(docs, good, weight=32):
+    """Smoothed bits of every document, the limit and the number of held-out trusted texts of every language."""
+    held = {i for i in good if zlib.crc32(str(i).encode()) % 5 == 0}
+    ids = list(docs)
+    bits = dict(zip(ids, plain_bits([docs[i][0] for i in ids if i in good - held], [docs[i][0] for i in ids])))
+    units = {i: len(docs[i][0].encode("utf-16-le")) // 2 + 1 for i in ids}
+    own = defaultdict(list)
+    for i in ids:
+        if i in held:
+            own[docs[i][1]].append(i)
+
+    def drawn(value, q):
+        pooled = at_rank([value[i] for x in own.values() for i in x], q)
+        return defaultdict(lambda: pooled, {k: (at_rank([value[i] for i in x], q) * len(x) + pooled * weight) / (len(x) + weight) for k, x in own.items()})
+
+    middle = drawn({i: bits[i] / units[i] for i in ids}, 0.5)
+    smooth = {i: (bits[i] + 32 * middle[docs[i][1]]) / (units[i] + 32) for i in ids}
+    return smooth, drawn(smooth, 0.995), {k: len(x) for k, x in own.items()}
+
+
 @pytest.fixture(scope="module")
 def corpus():
     rng = random.Random(2)
@@ -67,6 +95,44 @@ def test_bits_match_a_plain_model(spark, corpus, tmp_path):
         assert r["units"] == (0 if t is None else len(t.encode("utf-16-le")) // 2 + 1) and r["blank"] == (not t)
 
 
+def test_limits_match_a_plain_model_for_languages_of_few_and_of_many_texts(spark, corpus):
+    rows = [r for r in corpus if r[0] < 700] + [(i, "zu ba ta ökba " * (i % 7 + 1), "rare") for i in range(5000, 5030)]
+    good = {i for i, _, _ in rows if i % 10 != 3}
+    smooth, limit, judges = plain_judgement({i: (t, l) for i, t, l in rows}, good)
+    assert judges["rare"] < 8 and judges["x"] > 70
+    got = quality.classify(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(i,) for i in good], "doc_id long")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["smoothed_bits"] == pytest.approx(smooth[r["doc_id"]], rel=1e-5) and r["limit_bits"] == pytest.approx(limit[r["lang"]], rel=1e-5)
+        assert r["kept"] == (r["smoothed_bits"] <= r["limit_bits"])
+
+
+def test_bits_do_not_depend_on_how_files_are_cut_into_tasks(spark, corpus, tmp_path, monkeypatch):
+    rows = corpus[:300]
+    path = f"{tmp_path}/d"
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.option("parquet.block.size", 4096).option("parquet.page.size.row.check.min", 10).parquet(path)
+    trusted = spark.createDataFrame([(i,) for i in range(0, 300, 2)], "doc_id long")
+    want = sorted((r["doc_id"], r["bits"]) for r in quality.score(spark.read.parquet(path), trusted).collect())
+    plain, cuts = quality._frames, iter(["64k", "6k", "9k", "4k"])
+    seen = []
+
+    def cut(docs, *args):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", next(cuts))
+        fresh = spark.read.parquet(path)
+        seen.append(fresh.rdd.getNumPartitions())
+        return quality.written(plain(fresh, *args), "cut")
+
+    monkeypatch.setattr(quality, "_frames", cut)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = sorted((r["doc_id"], r["bits"]) for r in quality.score(spark.read.parquet(path), trusted).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(set(seen)) > 1 and [i for i, _ in got] == [i for i, _ in want]
+    assert all(a == pytest.approx(b, rel=1e-12) for (_, a), (_, b) in zip(got, want))
+
+
 def test_classifier_keeps_clean_rows_and_rejects_junk(spark, corpus):
     df = spark.createDataFrame(corpus + [(9000, None, "x"), (9001, "  ", "x"), (9002, "ta lo mi", None)], SCHEMA).withColumn("text_hash", F.lit("own"))
     trusted = spark.createDataFrame([(i,) for i, _, _ in corpus if i % 10 != 3 and i % 3], "doc_id long")
