@@ -53,7 +53,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared folder, read back: computed once, and of a size Spark then knows exactly."""
     folder = fresh_folder(df.sparkSession, label)
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    out = df.sparkSession.read.schema(df.schema).parquet(folder)
+    out.written_folder = folder
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove tables that :func:`written` made and nothing reads any more."""
+    for table in tables:
+        remove_folder(table.sparkSession, table.written_folder)
 
 
 def remove_folder(spark: SparkSession, folder: str) -> None:
