@@ -51,3 +51,31 @@ def secret_spans() -> str:
     SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
            sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
     FROM d LEFT JOIN listed USING (doc)"""
+
+
+def prefix_trie() -> str:
+    """Nodes by their lists of turns; CRC-32 bit by bit, as the check engine has no function for it."""
+    crc = """xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: ascii(c)::UBIGINT)),
+        lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], list_transform(range(8), lambda i: 0::UBIGINT)),
+            lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)), 4294967295::UBIGINT)"""
+    return f"""
+    WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                      row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+               FROM conversations WHERE conv_id IS NOT NULL),
+    c AS (SELECT conv_id, CAST({crc} % 9 AS BIGINT) AS h, conv_id - conv_id % 5 AS lender FROM (SELECT DISTINCT conv_id FROM t)),
+    rebuilt AS (SELECT c.conv_id, 0 AS part, t.place, role, text FROM c JOIN t ON t.conv_id = c.lender AND place <= h
+                UNION ALL SELECT c.conv_id, 1, t.place, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND place > h),
+    numbered AS (SELECT conv_id, row_number() OVER w AS depth, text, list(struct_pack(r := role, t := text)) OVER (w ROWS UNBOUNDED PRECEDING) AS p
+                 FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY part, place)),
+    member AS (SELECT conv_id, depth, p, strlen(text) AS bytes, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM numbered
+               UNION ALL SELECT conv_id, 0, [], 0, NOT EXISTS (SELECT 1 FROM rebuilt r WHERE r.conv_id = c.conv_id) FROM c),
+    node AS (SELECT depth, p, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+                    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+             FROM member GROUP BY depth, p),
+    of AS (SELECT m.conv_id AS member, m.depth, n.conv_id AS node FROM member m JOIN node n ON n.depth = m.depth AND n.p = m.p),
+    parent AS (SELECT n.conv_id, n.depth, o.node AS parent FROM node n JOIN of o ON o.member = n.conv_id AND o.depth = n.depth - 1),
+    child AS (SELECT parent AS conv_id, depth - 1 AS depth, count(*) AS n FROM parent GROUP BY 1, 2),
+    below AS (SELECT o.node AS conv_id, o.depth, count(*) FILTER (ch.n IS NULL) AS n_leaves, CAST(sum((n.n_convs - 1) * n.bytes) AS BIGINT) AS saved_tokens
+              FROM node n JOIN of o ON o.member = n.conv_id AND o.depth <= n.depth LEFT JOIN child ch ON ch.conv_id = n.conv_id AND ch.depth = n.depth GROUP BY 1, 2)
+    SELECT conv_id, depth, parent AS parent_conv_id, n_convs, coalesce(child.n, 0) AS n_children, n_leaves, saved_tokens, ends_sha256
+    FROM node JOIN below USING (conv_id, depth) LEFT JOIN parent USING (conv_id, depth) LEFT JOIN child USING (conv_id, depth)"""

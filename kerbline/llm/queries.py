@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kerbline.llm import ann, checks, embed_dedup, langid, mixing, packing, quality, secrets, sharding, simhash, warc
+from kerbline.llm import ann, checks, embed_dedup, langid, mixing, packing, quality, secrets, sharding, simhash, trie, warc
 from kerbline.llm.common import WORD, word_count
 
 
@@ -71,5 +71,12 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.hamming_components(table(spark, folder, "documents"), "doc_id", "text", words=3, most=2, blocks=6)
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_feistel_shards, op3_best_fit_packing, op4_secret_scan, op5_embedding_dedup, op6_warc_derivatives, op7_nearest_vectors, op8_language, op9_quality, op10_simhash)}
-CHECK_SQL: dict[str, str] = {"op4_secret_scan": checks.secret_spans()}
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    placed, lengths = trie.ordered(table(spark, folder, "conversations"))
+    turns, lengths = trie.rebuilt(placed.select("conv", "place", *trie.marked()), lengths, group=5, modulus=9)
+    return trie.prefix_trie(turns, lengths).drop("enter_at", "exit_at")
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_feistel_shards, op3_best_fit_packing, op4_secret_scan, op5_embedding_dedup, op6_warc_derivatives, op7_nearest_vectors, op8_language, op9_quality, op10_simhash,
+                                     op11_prefix_trie)}
+CHECK_SQL: dict[str, str] = {"op4_secret_scan": checks.secret_spans(), "op11_prefix_trie": checks.prefix_trie()}
