@@ -79,3 +79,24 @@ def prefix_trie() -> str:
               FROM node n JOIN of o ON o.member = n.conv_id AND o.depth <= n.depth LEFT JOIN child ch ON ch.conv_id = n.conv_id AND ch.depth = n.depth GROUP BY 1, 2)
     SELECT conv_id, depth, parent AS parent_conv_id, n_convs, coalesce(child.n, 0) AS n_children, n_leaves, saved_tokens, ends_sha256
     FROM node JOIN below USING (conv_id, depth) LEFT JOIN parent USING (conv_id, depth) LEFT JOIN child USING (conv_id, depth)"""
+
+
+def collocations(least: int = 100, longest: int = 5, top: int = 2000, inside: int = 100) -> str:
+    counted = " UNION ALL ".join(f"SELECT lang, {n} AS m, array_to_string(w[i:i + {n - 1}], ' ') AS phrase FROM pieces, unnest(range(1, len(w) - {n - 2})) AS u(i)" for n in range(1, longest + 1))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+    WITH pieces AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM (
+           SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{letters}', '{letters.lower()}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+    counts AS (SELECT lang, m, phrase, count(*) AS f FROM ({counted}) GROUP BY ALL HAVING count(*) >= {least}),
+    sizes AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+    many AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE m > 1),
+    cuts AS (SELECT c.lang, c.m, c.phrase, a, k, x.f AS l, y.f AS r, n, CAST((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+             FROM (SELECT *, unnest(range(1, m)) AS k FROM many) c
+             JOIN counts x ON x.lang = c.lang AND x.m = k AND x.phrase = array_to_string(w[1:k], ' ')
+             JOIN counts y ON y.lang = c.lang AND y.m = c.m - k AND y.phrase = array_to_string(w[k + 1:], ' ') JOIN sizes s ON s.lang = c.lang),
+    lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, m, phrase ORDER BY score, k) = 1),
+    held AS (SELECT lang, n AS m, array_to_string(w[i:i + n - 1], ' ') AS phrase, max(a) AS most
+             FROM many, unnest(range(2, {longest})) AS u(n), unnest(range(1, {longest} + 1)) AS v(i) WHERE n < many.m AND i + n - 1 <= many.m GROUP BY ALL)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+    FROM lowest LEFT JOIN held USING (lang, m, phrase) WHERE most IS NULL OR 100 * most < {inside} * a
+    QUALIFY rank <= {top}"""

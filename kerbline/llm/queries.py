@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kerbline.llm import ann, checks, embed_dedup, langid, mixing, packing, quality, secrets, sharding, simhash, trie, warc
+from kerbline.llm import ann, checks, embed_dedup, langid, mixing, mixing_lm, packing, phrases, quality, secrets, sharding, simhash, trie, warc
 from kerbline.llm.common import WORD, word_count
 
 
@@ -77,6 +77,16 @@ def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return trie.prefix_trie(turns, lengths).drop("enter_at", "exit_at")
 
 
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"), least=100, longest=5, top=2000, inside=100)
+
+
+def op13_context_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 != 0, F.lit(False)).alias("learns"))
+    scored = mixing_lm.score(docs, "learns")
+    return scored.select("doc_id", (~F.col("learns") & F.col("doc_id").isNotNull()).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 QUERIES = {f.__name__: f for f in (op1_source_mix, op2_feistel_shards, op3_best_fit_packing, op4_secret_scan, op5_embedding_dedup, op6_warc_derivatives, op7_nearest_vectors, op8_language, op9_quality, op10_simhash,
-                                     op11_prefix_trie)}
-CHECK_SQL: dict[str, str] = {"op4_secret_scan": checks.secret_spans(), "op11_prefix_trie": checks.prefix_trie()}
+                                     op11_prefix_trie, op12_collocations, op13_context_mixing)}
+CHECK_SQL: dict[str, str] = {"op4_secret_scan": checks.secret_spans(), "op11_prefix_trie": checks.prefix_trie(), "op12_collocations": checks.collocations()}
