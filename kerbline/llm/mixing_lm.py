@@ -379,7 +379,9 @@ def score(docs: DataFrame, learns: str, key: str = "doc_id", text: str = "text",
                 ends_at = np.cumsum(np.concatenate(sizes))
                 tokens_paid = np.split(np.add.reduceat(paid, ends_at - np.concatenate(sizes)), np.cumsum([len(x) for x in sizes])[:-1])
                 for s, x, size in zip(waiting, tokens_paid, sizes):
-                    out["score"].append(-gated(x.tolist(), np.append(whole[s], end_whole).tolist()) * math.log10(2))
+                    # Without teaching texts there is no whole-word predictor to mix with.
+                    paid_bits = gated(x.tolist(), np.append(whole[s], end_whole).tolist()) if tokens else float(x.sum())
+                    out["score"].append(-paid_bits * math.log10(2))
                     out["bytes"].append(int(size.sum()))
                 waiting.clear()
 
