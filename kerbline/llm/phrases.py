@@ -8,11 +8,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from kerbline.llm.common import column, numbered, partitions
+from kerbline.llm import vocabulary
+from kerbline.llm.common import column, partitions
+from kerbline.llm.vocabulary import Numbers, packed, unpacked
 from kerbline.session import forget, written
 
 #: Words of a block: what one task codes and sorts at a time. A single longer text makes a longer block.
@@ -21,32 +22,16 @@ BLOCK_WORDS = 2_000_000
 SHARD_GRAMS = 2_000_000
 #: What parts texts into pieces; tabs become spaces. ``bytes.split`` then parts pieces into words.
 _PARTS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n\n\n\n\n\n\n\n\n ")
-_MUL1, _MUL2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
-_INV1, _INV2 = pow(_MUL1, -1, 1 << 64), pow(_MUL2, -1, 1 << 64)
-
-
-class _Numbers(dict):
-    """Words to numbers from 1 on, in order of their first use."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self) + 1
-        return n
-
-
-def _packed(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(values).tobytes())
-
-
-def _unpacked(data: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+_MUL1, _MUL2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
+_KEYS = [np.uint64(i * 0x9E3779B97F4A7C15 & (1 << 64) - 1) for i in range(1, 5)]
 
 
 def blocks(docs: DataFrame, lang: str, text: str) -> DataFrame:
-    """``(block, lang, words, counts, stream)``: texts of a language as numbers of the block's own word list, 0 between pieces."""
-    schema = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("stream", pa.binary())])
+    """``(block, lang, n, words, counts, hashes, stream)``: texts of a language as ranks in the block's own word list, 0 between pieces."""
+    schema = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary()), ("stream", pa.binary())])
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[_Numbers, list[int]]] = {}
+        held: dict[str, tuple[Numbers, list[int]]] = {}
         task, made, size = TaskContext.get().partitionId() << 32, 0, 0
 
         def cut(name: str) -> pa.RecordBatch:
@@ -55,16 +40,18 @@ def blocks(docs: DataFrame, lang: str, text: str) -> DataFrame:
             values = np.array(stream, np.int32)
             size -= len(values)
             made += 1
-            words = [w.decode("utf-8", "surrogatepass") for w in numbers]
-            counts = np.bincount(values, minlength=len(words) + 1)[1:]
-            return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip([[task + made - 1], [name], [words], [counts], [_packed(values)]], schema)], schema=schema)
+            used = np.bincount(values, minlength=len(numbers) + 1)
+            words, table = vocabulary.ranked(numbers, used)
+            counts = -np.sort(-used[1:])
+            row = [task + made - 1, name, int(counts.sum()), vocabulary.squeezed(words), packed(counts), packed(vocabulary.hashes(words, name)), packed(table[values])]
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
 
         for batch in batches:
             names, texts = batch.column(0), batch.column(1)
             for i in range(batch.num_rows):
-                name, numbers, stream = names[i].as_py(), None, None
+                name = names[i].as_py()
                 if name not in held:
-                    held[name] = (_Numbers(), [])
+                    held[name] = (Numbers(1), [])
                 numbers, stream = held[name]
                 before = len(stream)
                 for piece in texts[i].as_py().encode("utf-8", "surrogatepass").lower().translate(_PARTS).split(b"\n"):
@@ -82,42 +69,43 @@ def blocks(docs: DataFrame, lang: str, text: str) -> DataFrame:
                 yield cut(n)
 
     rows = docs.select(F.coalesce(column(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(column(text), F.lit("")).alias("text"))
-    return rows.mapInArrow(code, "block long, lang string, words array<string>, counts array<long>, stream binary")
+    return rows.mapInArrow(code, "block long, lang string, n long, words binary, counts binary, hashes binary, stream binary")
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(_MUL1)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(_MUL2)
+    x = (x ^ (x >> np.uint64(30))) * _MUL1
+    x = (x ^ (x >> np.uint64(27))) * _MUL2
     return x ^ (x >> np.uint64(31))
 
 
-def _unmixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))) * np.uint64(_INV2)
-    x = (x ^ (x >> np.uint64(27)) ^ (x >> np.uint64(54))) * np.uint64(_INV1)
-    return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
-
-
-def permuted(ids: list[np.ndarray]) -> list[np.ndarray]:
-    """Word-id n-grams (2 to 5 columns of ids under 2**32) as lanes of 64 bits: two ids a lane, the first lane permuted.
-
-    The first lane is mixed with a hash of the others and then by an invertible mix, so its high bits are spread evenly
-    whatever the words; the other lanes stay as they are, so that :func:`unpermuted` gives the ids back.
-    """
-    lanes = [(ids[i] << np.uint64(32)) | ids[i + 1] if i + 1 < len(ids) else ids[i] for i in range(0, len(ids), 2)]
-    return [_mixed(lanes[0] ^ _salt(lanes[1:])), *lanes[1:]]
-
-
 def _salt(lanes: list[np.ndarray]) -> np.ndarray | np.uint64:
     out = np.uint64(0)
     for lane in reversed(lanes):
-        out = _mixed(lane ^ out) + np.uint64(0x9E3779B97F4A7C15)
+        out = _mixed(lane ^ out) + _STEP
     return out
 
 
-def unpermuted(lanes: list[np.ndarray], words: int) -> list[np.ndarray]:
-    lanes = [_unmixed(lanes[0]) ^ _salt(lanes[1:]), *lanes[1:]]
-    out = []
-    for i, lane in enumerate(lanes):
+def permuted(ids: list[np.ndarray], width: int) -> list[np.ndarray]:
+    """Word-id n-grams (2 to 5 columns of ids under ``2 ** width``) as lanes of 64 bits, the first one permuted.
+
+    The first two ids are the halves of a Feistel network over ``2 * width`` bits, keyed by a hash of the other ids, which stay
+    as they are, two a lane. Its result stands in the high bits: they are spread evenly whatever the words, the bits below
+    are zero and never stored. :func:`unpermuted` gives the ids back.
+    """
+    rest = [(ids[i] << np.uint64(32)) | ids[i + 1] if i + 1 < len(ids) else ids[i] for i in range(2, len(ids), 2)]
+    salt, left, right = _salt(rest), ids[0], ids[1]
+    for k in _KEYS:
+        left, right = right, left ^ (_mixed(right + salt + k) >> np.uint64(64 - width))
+    return [((left << np.uint64(width)) | right) << np.uint64(64 - 2 * width) if width < 32 else (left << np.uint64(32)) | right, *rest]
+
+
+def unpermuted(lanes: list[np.ndarray], words: int, width: int) -> list[np.ndarray]:
+    value, salt = lanes[0] >> np.uint64(64 - 2 * width), _salt(lanes[1:])
+    left, right = value >> np.uint64(width), value & np.uint64((1 << width) - 1)
+    for k in reversed(_KEYS):
+        left, right = right ^ (_mixed(left + salt + k) >> np.uint64(64 - width)), left
+    out = [left, right]
+    for i, lane in enumerate(lanes[1:], 1):
         out += [lane >> np.uint64(32), lane & np.uint64(0xFFFFFFFF)] if 2 * i + 1 < words else [lane]
     return out
 
@@ -143,32 +131,32 @@ def counted(lanes: list[np.ndarray], weights: np.ndarray | None = None) -> tuple
     return [lane[order][starts] for lane in lanes], weights, place
 
 
-def written_filter(lanes: list[np.ndarray], counts: np.ndarray, low: int, span: int, bits: int) -> bytes:
+def written_filter(lanes: list[np.ndarray], counts: np.ndarray, low: int, span: int, bits: int, width: int = 32) -> bytes:
     """A counting quotient filter of sorted n-grams whose quotients (high ``bits`` of the first lane) lie in ``low`` to ``low + span``.
 
-    It holds how many remainders each quotient has, the remainders without the quotient's bytes, the other lanes, and
-    counters of one byte, with the few larger ones apart.
+    It holds how many remainders each quotient has, the remainders without the quotient's bytes and the bytes that ids of
+    ``width`` bits leave empty, the other lanes, and counters of one byte, with the few larger ones apart.
     """
-    rest, n = 8 - bits // 8, len(counts)
+    cut, rest, n = 8 - -(-2 * width // 8), 8 - bits // 8, len(counts)
     runs = np.bincount((lanes[0] >> np.uint64(64 - bits)).astype(np.int64) - low, minlength=span).astype(np.int32)
     large = np.flatnonzero(counts >= 255)
-    parts = [_packed(runs), lanes[0].view(np.uint8).reshape(-1, 8)[:, :rest].tobytes(), _packed(np.minimum(counts, 255).astype(np.uint8)),
-             _packed(large.astype(np.int64)), _packed(counts[large].astype(np.int64)), *[_packed(x) for x in lanes[1:]]]
-    return struct.pack(f"<qqqq{len(parts)}q", n, low, bits, len(parts), *map(len, parts)) + b"".join(parts)
+    parts = [packed(runs), lanes[0].view(np.uint8).reshape(-1, 8)[:, cut:rest].tobytes(), packed(np.minimum(counts, 255).astype(np.uint8)),
+             packed(large.astype(np.int64)), packed(counts[large].astype(np.int64)), *[packed(x) for x in lanes[1:]]]
+    return struct.pack(f"<qqqqq{len(parts)}q", n, low, bits, cut, len(parts), *map(len, parts)) + b"".join(parts)
 
 
 def read_filter(data: bytes) -> tuple[list[np.ndarray], np.ndarray]:
-    n, low, bits, many = struct.unpack_from("<qqqq", data)
-    sizes = struct.unpack_from(f"<{many}q", data, 32)
-    ends = np.cumsum([32 + 8 * many, *sizes]).tolist()
+    n, low, bits, cut, many = struct.unpack_from("<qqqqq", data)
+    sizes = struct.unpack_from(f"<{many}q", data, 40)
+    ends = np.cumsum([40 + 8 * many, *sizes]).tolist()
     parts = [data[a:b] for a, b in zip(ends, ends[1:])]
-    runs = _unpacked(parts[0], "<i4")
+    runs, rest = unpacked(parts[0], "<i4"), 8 - bits // 8
     bytes_ = np.zeros((n, 8), np.uint8)
-    bytes_[:, :8 - bits // 8] = np.frombuffer(parts[1], np.uint8).reshape(n, 8 - bits // 8)
+    bytes_[:, cut:rest] = np.frombuffer(parts[1], np.uint8).reshape(n, rest - cut)
     first = bytes_.view(np.uint64).ravel() | (np.repeat(np.arange(low, low + len(runs), dtype=np.uint64), runs) << np.uint64(64 - bits))
-    counts = _unpacked(parts[2], "u1").astype(np.int64)
-    counts[_unpacked(parts[3], "<i8")] = _unpacked(parts[4], "<i8")
-    return [first, *[_unpacked(p, "<u8") for p in parts[5:]]], counts
+    counts = unpacked(parts[2], "u1").astype(np.int64)
+    counts[unpacked(parts[3], "<i8")] = unpacked(parts[4], "<i8")
+    return [first, *[unpacked(p, "<u8") for p in parts[5:]]], counts
 
 
 def _runs(ids: np.ndarray, starts: np.ndarray, words: int) -> np.ndarray:
@@ -186,50 +174,56 @@ def _runs(ids: np.ndarray, starts: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
-def _grams(ids: np.ndarray, words: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Starts of the n-grams of a stream (0 parts it), and their lanes."""
+def _grams(ids: np.ndarray, words: int, width: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Starts of the n-grams of a stream of ids (0 parts it), and their lanes."""
     n = max(len(ids) - words + 1, 0)
     whole = np.ones(n, bool)
     for i in range(words):
         whole &= ids[i:i + n] > 0
     starts = np.flatnonzero(whole)
-    return starts, permuted([ids[starts + i].astype(np.uint64) for i in range(words)])
+    return starts, permuted([ids[starts + i].astype(np.uint64) for i in range(words)], width)
 
 
-def _coded(blocks: DataFrame, numbers: DataFrame) -> DataFrame:
-    """``(block, stream)``: blocks in global word ids; words without one part the stream, words alone between such go."""
+def _coded(blocks: DataFrame, replies: DataFrame, bits: int) -> DataFrame:
+    """``(block, ids, stream)``: the stream in ranks of the block's frequent words, and their ids; other words part it."""
+
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for stream, at, ids in zip(pdf["stream"], pdf["at"], pdf["ids"]):
-                local = _unpacked(stream, "<i4")
-                table = np.zeros(int(local.max()) + 1, np.uint32)
-                table[np.asarray(at)] = np.asarray(ids)
-                out.append(_packed(_runs(table[local], np.flatnonzero(table[local]), 1)))
-            yield pd.DataFrame({"block": pdf["block"].to_numpy(), "stream": out})
+            for stream, hashed, told in zip(pdf["stream"], pdf["hashes"], pdf["told"]):
+                ids = vocabulary.heard(told, unpacked(hashed, "<u2"), bits, "<u4")
+                ranks = np.concatenate([[0], np.where(ids > 0, np.cumsum(ids > 0), 0)]).astype(np.int32)
+                local = ranks[unpacked(stream, "<i4")]
+                out.append((packed(ids[ids > 0]), packed(_runs(local, np.flatnonzero(local), 1))))
+            yield pd.DataFrame(out, columns=["ids", "stream"]).assign(block=pdf["block"].to_numpy())[["block", "ids", "stream"]]
+
+    return blocks.select("block", "stream", "hashes").join(vocabulary.answers(replies), "block").mapInPandas(code, "block long, ids binary, stream binary")
+
 
-    return blocks.select("block", "stream").join(numbers, "block").mapInPandas(code, "block long, stream binary")
+def _global(ids: bytes, stream: bytes) -> tuple[np.ndarray, np.ndarray]:
+    local = unpacked(stream, "<i4")
+    return local, np.concatenate([np.zeros(1, np.uint32), unpacked(ids, "<u4")])[local]
 
 
-def _filters(streams: DataFrame, words: int, bits: int, quotient: int) -> DataFrame:
+def _filters(streams: DataFrame, words: int, bits: int, quotient: int, width: int) -> DataFrame:
     """``(shard, block, filter)``: the n-grams of each block in sorted filters, one for each shard's range of quotients."""
     span = 1 << (quotient - bits)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for block, stream in zip(pdf["block"], pdf["stream"]):
-                _, lanes = _grams(_unpacked(stream, "<u4"), words)
+            for block, ids, stream in zip(pdf["block"], pdf["ids"], pdf["stream"]):
+                _, lanes = _grams(_global(ids, stream)[1], words, width)
                 lanes, n, _ = counted(lanes)
                 shard = (lanes[0] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(n), np.int64)
                 cuts = np.flatnonzero(np.diff(shard, prepend=-1))
-                out = [(shard[a], block, written_filter([x[a:b] for x in lanes], n[a:b], int(shard[a]) * span, span, quotient))
+                out = [(shard[a], block, written_filter([x[a:b] for x in lanes], n[a:b], int(shard[a]) * span, span, quotient, width))
                        for a, b in zip(cuts, np.append(cuts[1:], len(n)))]
                 yield pd.DataFrame(out, columns=["shard", "block", "filter"])
 
     return streams.mapInPandas(count, "shard long, block long, filter binary")
 
 
-def _merged(filters: DataFrame, least: int, quotient: int) -> DataFrame:
+def _merged(filters: DataFrame, least: int, quotient: int, width: int) -> DataFrame:
     """``(block, shard, data)``: for each filter one bit an n-gram that is frequent, and per shard (block null) the merged filter of these."""
 
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -242,63 +236,68 @@ def _merged(filters: DataFrame, least: int, quotient: int) -> DataFrame:
         low = int(quotients[0]) if len(quotients) else 0
         out = [(b, key[0], np.packbits(f).tobytes()) for b, f in zip(pdf["block"], flags) if f.any()]
         if often.any():
-            out.append((None, key[0], written_filter(keep, n[often], low, int(quotients[-1]) - low + 1, quotient)))
+            out.append((None, key[0], written_filter(keep, n[often], low, int(quotients[-1]) - low + 1, quotient, width)))
         frame = pd.DataFrame(out, columns=["block", "shard", "data"])
         return frame.assign(block=frame["block"].astype("Int64"))
 
     return filters.groupBy("shard").applyInPandas(merge, "block long, shard long, data binary")
 
 
-def _narrowed(streams: DataFrame, replies: DataFrame, words: int, bits: int) -> DataFrame:
+def _narrowed(streams: DataFrame, replies: DataFrame, words: int, bits: int, width: int) -> DataFrame:
     """The stretches of each stream in which n-grams of ``words`` words that follow each other are frequent."""
 
     def narrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for stream, told in zip(pdf["stream"], pdf["told"]):
-                ids = _unpacked(stream, "<u4")
-                starts, lanes = _grams(ids, words)
+            for ids, stream, told in zip(pdf["ids"], pdf["stream"], pdf["told"]):
+                local, coded = _global(ids, stream)
+                starts, lanes = _grams(coded, words, width)
                 lanes, n, place = counted(lanes)
                 shard = (lanes[0] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(n), np.int64)
                 often = np.zeros(len(n), bool)
                 for t in told:
                     a, b = np.searchsorted(shard, [t["shard"], t["shard"] + 1])
                     often[a:b] = np.unpackbits(np.frombuffer(t["data"], np.uint8), count=b - a).astype(bool)
-                out.append(_packed(_runs(ids, starts[often[place]], words)))
-            yield pd.DataFrame({"block": pdf["block"].to_numpy(), "stream": out})
+                out.append(packed(_runs(local, starts[often[place]], words)))
+            yield pd.DataFrame({"block": pdf["block"].to_numpy(), "ids": pdf["ids"].to_numpy(), "stream": out})
 
-    told = replies.groupBy("block").agg(F.collect_list(F.struct("shard", "data")).alias("told"))
-    return streams.join(told, "block").mapInPandas(narrow, "block long, stream binary")
+    return streams.join(vocabulary.answers(replies), "block").mapInPandas(narrow, "block long, ids binary, stream binary")
 
 
 def frequent(docs: DataFrame, least: int, longest: int = 5, lang: str = "lang", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """``phrases(ids, f)`` of 1 to ``longest`` words that occur ``least`` times or more, ``words(id, lang, word)``, ``langs(lang, n)``.
 
-    Ids are of words of a language, so an n-gram of ids belongs to one. Every order is counted exactly over all texts: a block's
+    Ids are of words of a language, so an n-gram of ids belongs to one; shards of the words' hashes give them out. Every order is counted exactly over all texts: a block's
     n-grams become a sorted filter, cut by ranges of quotients into shards; a shard merges the filters of all blocks and answers
     each with one bit an n-gram. The next order looks only where both of its shorter n-grams are frequent, which loses none.
     """
     base = written(blocks(docs, lang, text), "phrase-blocks")
-    used = base.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x")).select("block", "lang", (F.col("at") + 1).alias("at"), F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-    totals = written(used.groupBy("lang", "word").agg(F.sum("n").alias("f")), "phrase-words")
-    langs = written(totals.groupBy("lang").agg(F.sum("f").alias("n")), "phrase-langs")
-    words = written(numbered(totals.filter(F.col("f") >= least), ["lang", "word"], "phrase-order", "id").withColumn("id", F.col("id") + 1), "phrase-ids")
-    if words.count() >= 1 << 32:
-        raise RuntimeError("more than 2**32 frequent words: ids do not fit a lane")
-    numbers = used.drop("n").join(words.select("lang", "word", "id"), ["lang", "word"]).groupBy("block").agg(
-        F.collect_list(F.struct("at", "id")).alias("x")).select("block", F.col("x.at").alias("at"), F.col("x.id").alias("ids"))
-    streams = written(_coded(base, numbers), "phrase-streams")
-    forget(base)
+    langs = written(base.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-langs")
     total = langs.agg(F.sum("n")).first()[0] or 0
     bits = max(partitions(docs) - 1, total // SHARD_GRAMS).bit_length()
+    word_bits = min(bits, vocabulary.HASH_BITS)
+
+    def number(shard: int, totals: dict) -> tuple[dict, list]:
+        often = sorted(k for k, n in totals.items() if n >= least)
+        ids = dict.fromkeys(totals, 0) | {k: (i << word_bits) + shard + 1 for i, k in enumerate(often)}
+        if often and ids[often[-1]] >= 1 << 32:
+            raise ValueError("a word's id does not fit in 32 bits: too many frequent words")
+        return ids, [(ids[k], k[0], k[1].decode("utf-8", "surrogatepass"), totals[k]) for k in often]
+
+    told = written(vocabulary.merged(vocabulary.pieces(base, word_bits), number, "<u4"), "phrase-words")
+    words = told.filter("block is null").select("id", "lang", "word", "f")
+    width = max(8, int(words.agg(F.max("id")).first()[0] or 0).bit_length())
     # Quotients fill whole bytes.
     quotient = max(16, -(-bits // 8) * 8)
+    width = max(width, quotient // 2)
+    streams = written(_coded(base, told, word_bits), "phrase-streams")
+    forget(base)
     found = [words.select(F.array("id").alias("ids"), "f")]
     for n in range(2, longest + 1):
-        merged = written(_merged(_filters(streams, n, bits, quotient), least, quotient), f"phrase-merged{n}")
-        found.append(_listed(merged.filter("block is null"), n))
+        merged = written(_merged(_filters(streams, n, bits, quotient, width), least, quotient, width), f"phrase-merged{n}")
+        found.append(_listed(merged.filter("block is null"), n, width))
         if n < longest:
-            narrower = written(_narrowed(streams, merged.filter("block is not null"), n, bits), "phrase-streams")
+            narrower = written(_narrowed(streams, merged, n, bits, width), "phrase-streams")
             forget(streams)
             streams = narrower
     out = found[0]
@@ -307,12 +306,12 @@ def frequent(docs: DataFrame, least: int, longest: int = 5, lang: str = "lang",
     return written(out, "phrase-counts"), words.select("id", "lang", "word"), langs
 
 
-def _listed(filters: DataFrame, words: int) -> DataFrame:
+def _listed(filters: DataFrame, words: int, width: int) -> DataFrame:
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for data in pdf["data"]:
                 lanes, n = read_filter(data)
-                ids = np.stack(unpermuted(lanes, words), axis=1).astype(np.int64)
+                ids = np.stack(unpermuted(lanes, words, width), axis=1).astype(np.int64)
                 yield pd.DataFrame({"ids": list(ids), "f": n})
 
     return filters.select("data").mapInPandas(decode, "ids array<long>, f long")
