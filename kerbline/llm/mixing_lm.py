@@ -8,11 +8,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, GroupedData, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from kerbline.llm import vocabulary
 from kerbline.llm.common import column, partitions
+from kerbline.llm.vocabulary import Numbers, packed, unpacked
 from kerbline.session import written
 
 #: Bytes of context of the longest predictor; a byte and its contexts are one key of ``ORDER + 1`` bytes.
@@ -20,8 +21,13 @@ ORDER = 5
 #: Bytes of text of a block: what asks for its keys together and meets the answers in one task.
 BLOCK_BYTES = 32_000_000
 CHUNK_BYTES = 1_000_000
-#: Keys that one slot of the training is planned for.
-SLOT_KEYS = 200_000
+#: Keys and words of all blocks that one slot or shard is planned for.
+SLOT_KEYS = 1_000_000
+SHARD_WORDS = 200_000
+#: Tokens of a text after which the gates learn.
+GATE_TOKENS = 64
+#: Where a text's gates begin: a share of 18 % for whole words.
+GATE_START = -1.5
 SPACE, END = b" ", b"\n"
 _PAD = END * ORDER
 #: Prior counts of a bit for the predictors of 0 to 5 bytes of context.
@@ -40,10 +46,8 @@ def keys_of(texts: list[bytes]) -> np.ndarray:
     """For each byte of each text the ``ORDER`` bytes before it and itself, as one whole number."""
     whole = np.frombuffer(b"".join(_PAD + t for t in texts), np.uint8)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    out = np.zeros(len(whole) - ORDER, np.int64)
-    for i in range(ORDER + 1):
-        out <<= 8
-        out |= whole[i:len(whole) - ORDER + i]
+    pairs = (whole[:-1].astype(np.int64) << 8) | whole[1:]
+    out = (((pairs[:-4] << 16) | pairs[2:-2]) << 16) | pairs[4:]
     keep = np.ones(len(out), bool)
     # Windows that end in the padding of the next text.
     ends = np.cumsum(sizes + ORDER)[:-1] - ORDER
@@ -57,24 +61,20 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return found, np.bincount(place, weights=np.concatenate([np.empty(0), *[p[1] for p in parts]]), minlength=len(found)).astype(np.int64)
 
 
-_BLOCK_SQL = ("block long, ids array<string>, learns array<boolean>, sizes array<long>, stream binary, words array<string>, word_counts array<long>, "
-              "keys array<long>, key_counts array<long>")
+_BLOCK_SQL = ("block long, ids array<string>, learns array<boolean>, sizes binary, stream binary, lang string, words binary, counts binary, hashes binary, "
+              "keys binary, key_counts binary, n_words long, n_keys long")
 
 
 def blocks(docs: DataFrame, key: str, text: str, learns: str) -> DataFrame:
-    """Texts as numbers of a block's own word list, and the block's words and keys, each with its count in texts that teach."""
-    schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.string())), ("learns", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("stream", pa.binary()),
-                        ("words", pa.list_(pa.string())), ("word_counts", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("key_counts", pa.list_(pa.int64()))])
-
-    class Numbers(dict):
-        def __missing__(self, word: bytes) -> int:
-            self[word] = n = len(self)
-            return n
+    """Texts as ranks in a block's own word list, and the block's words and keys, each with its count in texts that teach."""
+    schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.string())), ("learns", pa.list_(pa.bool_())), ("sizes", pa.binary()), ("stream", pa.binary()), ("lang", pa.string()),
+                        ("words", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary()), ("keys", pa.binary()), ("key_counts", pa.binary()), ("n_words", pa.int64()), ("n_keys", pa.int64())])
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, made, size = TaskContext.get().partitionId() << 32, 0, 0
-        numbers, ids, flags, streams = Numbers(), [], [], []
+        numbers, ids, flags, streams = Numbers(0), [], [], []
         waiting: dict[bool, list[bytes]] = {True: [], False: []}
+        held = {True: 0, False: 0}
         parts: list[tuple[np.ndarray, np.ndarray]] = []
 
         def count() -> None:
@@ -83,6 +83,7 @@ def blocks(docs: DataFrame, key: str, text: str, learns: str) -> DataFrame:
                     found, n = np.unique(keys_of(texts), return_counts=True)
                     parts.append((found, n if teach else np.zeros(len(found), np.int64)))
                     texts.clear()
+                held[teach] = 0
             if len(parts) > 16:
                 parts[:] = [_merged(parts)]
 
@@ -90,12 +91,15 @@ def blocks(docs: DataFrame, key: str, text: str, learns: str) -> DataFrame:
             nonlocal made, size
             count()
             keys, n = _merged(parts)
+            stream = np.concatenate(streams)
+            words, table = vocabulary.ranked(numbers, np.bincount(stream, minlength=len(numbers)))
             taught = np.concatenate([np.empty(0, np.int32), *[s for s, f in zip(streams, flags) if f]])
-            out = [base + made, ids[:], flags[:], [len(s) for s in streams], zstandard.ZstdCompressor(level=3).compress(np.concatenate(streams).tobytes()),
-                   [w.decode("utf-8", "surrogatepass") for w in numbers], np.bincount(taught, minlength=len(numbers))[:len(numbers)], keys, n]
+            counts = np.bincount(table[taught], minlength=len(words))[:len(words)]
+            out = [base + made, ids[:], flags[:], packed(np.array([len(s) for s in streams], np.int64)), packed(table[stream]), "", vocabulary.squeezed(words), packed(counts),
+                   packed(vocabulary.hashes(words)), packed(np.diff(keys, prepend=0)), packed(n), len(words), len(keys)]
             made, size = made + 1, 0
-            for held in (numbers, ids, flags, streams, parts):
-                held.clear()
+            for x in (numbers, ids, flags, streams, parts):
+                x.clear()
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(out, schema)], schema=schema)
 
         for batch in batches:
@@ -106,8 +110,9 @@ def blocks(docs: DataFrame, key: str, text: str, learns: str) -> DataFrame:
                 flags.append(teach)
                 streams.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
                 waiting[teach].append(normal(words))
+                held[teach] += len(waiting[teach][-1])
                 size += len(waiting[teach][-1])
-                if sum(map(len, waiting[teach])) >= CHUNK_BYTES or len(waiting[teach]) >= 4096:
+                if held[teach] >= CHUNK_BYTES or len(waiting[teach]) >= 4096:
                     count()
                 if size >= BLOCK_BYTES:
                     yield cut()
@@ -117,6 +122,29 @@ def blocks(docs: DataFrame, key: str, text: str, learns: str) -> DataFrame:
     return docs.select(column(key).cast("string"), column(learns), column(text)).mapInArrow(code, _BLOCK_SQL)
 
 
+def _by_slot(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of keys in order of slot, the slots that occur, and where each begins: a slot has all keys of its three context bytes."""
+    mixed = ((keys >> 8) & 0xFFFFFF).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    slot = (mixed >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(keys), np.int32)
+    order = np.argsort(slot, kind="stable")
+    found, starts = np.unique(slot[order], return_index=True)
+    return order, found, np.append(starts, len(order))
+
+
+def _key_pieces(base: DataFrame, bits: int) -> DataFrame:
+    """``(slot, block, keys, counts)``: each block's keys by slot, ascending."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for block, keys, counts in zip(pdf["block"], pdf["keys"], pdf["key_counts"]):
+                keys, n = np.cumsum(unpacked(keys, "<i8")), unpacked(counts, "<i8")
+                order, found, starts = _by_slot(keys, bits)
+                rows = [order[a:b] for a, b in zip(starts, starts[1:])]
+                yield pd.DataFrame({"slot": found.astype(np.int64), "block": block, "keys": [packed(np.diff(keys[r], prepend=0)) for r in rows], "counts": [packed(n[r]) for r in rows]})
+
+    return base.select("block", "keys", "key_counts").mapInPandas(cut, "slot long, block long, keys binary, counts binary")
+
+
 def paths(keys: np.ndarray, counts: np.ndarray, asked: np.ndarray) -> np.ndarray:
     """For each asked (context, byte): how often its context was followed by a byte with the same 0, 1, ... 8 high bits.
 
@@ -134,15 +162,14 @@ def _summed(keys: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarra
     return found, np.bincount(place, weights=counts, minlength=len(found)).astype(np.int64)
 
 
-def slot_paths(pdf: pd.DataFrame, pairs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def slot_paths(keys: np.ndarray, n: np.ndarray, two_bytes: np.ndarray, pairs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Counts along the path of each key of a slot, for contexts of 0 to 5 bytes. Shape (6, 9, keys).
 
     A slot has all keys whose three context bytes hash to it, so that longer contexts are whole within it. ``pairs`` are all
-    (byte, byte) counts, at most 65,536; counts for two bytes come with the rows.
+    (byte, byte) counts, at most 65,536; those for two bytes of context (9, keys) come from outside.
     """
-    keys, n = pdf["key"].to_numpy(), pdf["n"].to_numpy()
     singles = _summed(*pairs, 1)
-    out = [paths(*singles, keys & 0xFF), paths(*pairs, keys & 0xFFFF), pdf[[f"l{i}" for i in range(9)]].to_numpy().T]
+    out = [paths(*singles, keys & 0xFF), paths(*pairs, keys & 0xFFFF), two_bytes]
     seen = n > 0
     for width in range(4, ORDER + 2):
         own = _summed(keys[seen], n[seen], width)
@@ -170,18 +197,17 @@ def _squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def learned(pdf: pd.DataFrame, pairs: tuple[np.ndarray, np.ndarray], batch: int = 256, rate: float = 0.3) -> pd.DataFrame:
+def learned(keys: np.ndarray, n: np.ndarray, counts: np.ndarray, batch: int = 256, rate: float = 0.3) -> pd.DataFrame:
     """Weights of a slot after one online pass over its keys in an order by hash: ``(kind, place, seen, w0 .. w5)``.
 
     A key counts as often as it occurs, and is predicted from all other occurrences: its own is taken off every count.
     """
-    pdf = pdf[pdf["n"] > 0]
-    counts = slot_paths(pdf, pairs) - 1
-    order = np.argsort((pdf["key"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), kind="stable")
+    some = n > 0
+    counts, n = counts[:, :, some] - 1, n[some].astype(np.float64)
+    order = np.argsort(keys[some].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), kind="stable")
     sets = (_COUNT_SETS, _BIT_SETS)
     weights = [np.full((k, ORDER + 1), 0.3) for k in sets]
     seen = [np.zeros(k) for k in sets]
-    n = pdf["n"].to_numpy().astype(np.float64)
     for turn, at in enumerate(np.split(order, np.arange(batch, len(order), batch))):
         logit, *chosen = inputs(counts[:, :, at])
         mass = np.broadcast_to(n[at], logit.shape[1:]).ravel()
@@ -211,12 +237,12 @@ def _steps(logit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low, at - low
 
 
-def tallied(pdf: pd.DataFrame, pairs: tuple[np.ndarray, np.ndarray], weights: list[np.ndarray]) -> pd.DataFrame:
+def tallied(n: np.ndarray, counts: np.ndarray, weights: list[np.ndarray]) -> pd.DataFrame:
     """``(place, hits)``: how often the bit that came had a logit near each step, by the bit's place."""
-    pdf = pdf[pdf["n"] > 0]
-    low, part = _steps(_mixed(slot_paths(pdf, pairs) - 1, weights))
+    some = n > 0
+    low, part = _steps(_mixed(counts[:, :, some] - 1, weights))
     place = np.arange(8)[:, None] * _STEPS + low
-    n = np.broadcast_to(pdf["n"].to_numpy().astype(np.float64), low.shape)
+    n = np.broadcast_to(n[some].astype(np.float64), low.shape)
     hits = np.bincount(place.ravel(), weights=((1 - part) * n).ravel(), minlength=8 * _STEPS) + np.bincount(place.ravel() + 1, weights=(part * n).ravel(), minlength=8 * _STEPS)
     return pd.DataFrame({"place": np.arange(8 * _STEPS), "hits": hits})
 
@@ -237,49 +263,110 @@ def cost(counts: np.ndarray, weights: list[np.ndarray], table: np.ndarray) -> np
     return -np.log2((_squash(logit) + refined) / 2).sum(axis=0)
 
 
-def gated(spelled: list[float], whole: list[float], rate: float = 0.25) -> float:
-    """Bits of a text's tokens by an online mix of two predictors: the spelled byte by byte one and the whole-word one.
+def gated(spelled: np.ndarray, whole: np.ndarray, sizes: np.ndarray, rate: float = 2.0) -> np.ndarray:
+    """Bits of each text by an online mix of two predictors of tokens: the spelled byte by byte one and the whole-word one.
 
-    Both lists have bits a token, infinite where the whole-word predictor knows no such word. The share of the latter is the
-    logistic of a gate's weight, one gate after known and one after unknown words; after each token the gate that was used
-    learns by a step along the gradient. The share before a token depends on earlier ones only, so the mix is a probability.
+    Both arrays have bits a token, text after text of ``sizes`` tokens, infinite where the whole-word predictor knows no such
+    word. The share of the latter is the logistic of a gate's weight, one gate after known and one after unknown words. Every
+    :data:`GATE_TOKENS` tokens of a text its gates learn by a step along their mean gradient. The share before a token depends
+    on earlier ones only, so the mix is a probability. All texts go side by side, longest first.
     """
-    weights, gate, bits = [0.0, 0.0], 1, 0.0
-    for b, u in zip(spelled, whole):
-        x = weights[gate]
-        share = 1 / (1 + math.exp(-x))
-        if u == math.inf:
-            bits += b - math.log2(1 - share)
-            weights[gate] = x - rate * share
-            gate = 0
-        else:
-            # Both probabilities as multiples of the whole-word one.
-            mixed = share + (1 - share) * 2.0 ** (u - b)
-            bits += u - math.log2(mixed)
-            weights[gate] = x + rate * (share / mixed - share)
-            gate = 1
-    return bits
-
-
-def _sorted_slot(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pdf.sort_values("key", ignore_index=True)
-
-
-def _fitted(slotted: GroupedData, pairs: tuple[np.ndarray, np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    order = np.argsort(-sizes, kind="stable")
+    starts, left = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    known = np.isfinite(whole)
+    after = np.concatenate([[True], known[:-1]]).astype(np.int64)
+    after[np.cumsum(sizes) - sizes] = 1
+    weights, bits = np.full((len(sizes), 2), GATE_START), np.zeros(len(sizes))
+    steps = np.arange(GATE_TOKENS)
+    for at in range(0, int(left[0]) if len(left) else 0, GATE_TOKENS):
+        live = int(np.searchsorted(-left, -at))
+        inside = steps + at < left[:live, None]
+        place = np.where(inside, starts[:live, None] + at + steps, 0)
+        b, u, k, g = spelled[place], whole[place], known[place], after[place]
+        share = _squash(np.take_along_axis(weights[:live], g, 1))
+        # Both probabilities as multiples of the whole-word one, where there is one.
+        mixed = np.where(k, share + (1 - share) * np.exp2(np.where(k, u - b, 0)), 1 - share)
+        bits[:live] += np.where(inside, np.where(k, u, b) - np.log2(mixed), 0).sum(axis=1)
+        gradient = np.where(inside, np.where(k, share / mixed, 0) - share, 0)
+        for gate in (0, 1):
+            own = inside & (g == gate)
+            weights[:live, gate] += rate * (gradient * own).sum(axis=1) / np.maximum(own.sum(axis=1), 1)
+    out = np.empty(len(sizes))
+    out[order] = bits
+    return out
+
+
+def _row_counts(row: dict, pairs: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    keys, n = unpacked(row["keys"], "<i8"), unpacked(row["n"], "<i8")
+    return keys, n, slot_paths(keys, n, unpacked(row["low"], "<i8").reshape(9, -1), pairs)
+
+
+def _fitted(model: DataFrame, pairs: tuple[np.ndarray, np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     """Weights, the mean of what the slots learn online, and the table that refines what they mix: a few hundred numbers."""
     fields = [f"w{i}" for i in range(ORDER + 1)]
-    taught = slotted.applyInPandas(lambda pdf: learned(_sorted_slot(pdf), pairs), "kind long, place long, seen double, " + ", ".join(f"{f} double" for f in fields))
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                yield learned(*_row_counts(row, pairs))
+
+    taught = model.mapInPandas(learn, "kind long, place long, seen double, " + ", ".join(f"{f} double" for f in fields))
     means = taught.groupBy("kind", "place").agg(*[(F.sum(F.col(f) * F.col("seen")) / F.sum("seen")).alias(f) for f in fields]).collect()
     weights = [np.full((k, ORDER + 1), 0.3) for k in (_COUNT_SETS, _BIT_SETS)]
     for r in means:
         # Sums of doubles depend on the order in their last digits only; rounded, reruns agree.
         weights[r["kind"]][r["place"]] = [round(r[f], 6) for f in fields]
+
+    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                yield tallied(*_row_counts(row, pairs)[1:], weights)
+
     hits = np.zeros(8 * _STEPS)
-    for r in slotted.applyInPandas(lambda pdf: tallied(_sorted_slot(pdf), pairs, weights), "place long, hits double").groupBy("place").agg(F.sum("hits").alias("hits")).collect():
+    for r in model.mapInPandas(tally, "place long, hits double").groupBy("place").agg(F.sum("hits").alias("hits")).collect():
         hits[r["place"]] = round(r["hits"], 3)
     return weights, refinement(hits)
 
 
+def _model(parts: DataFrame) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray]]:
+    """``(slot, keys, n, low)``, a row per slot: its keys, their counts, and the counts after two bytes of context; all pairs of bytes."""
+
+    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        keys, n = _merged([(np.cumsum(unpacked(k, "<i8")), unpacked(c, "<i8")) for k, c in zip(pdf["keys"], pdf["counts"])])
+        return pd.DataFrame({"slot": [key[0]], "keys": [packed(keys)], "n": [packed(n)]})
+
+    slots = written(parts.groupBy("slot").applyInPandas(merge, "slot long, keys binary, n binary"), "lm-slots")
+
+    def threes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for slot, keys, n in zip(pdf["slot"], pdf["keys"], pdf["n"]):
+                found, sums = _summed(unpacked(keys, "<i8"), unpacked(n, "<i8"), 3)
+                yield pd.DataFrame({"slot": slot, "three": found, "n": sums})
+
+    # A slot's keys have few endings of three bytes; there are at most 2 ** 24 of them in all.
+    asked = written(slots.mapInPandas(threes, "slot long, three long, n long"), "lm-threes")
+    three = written(asked.groupBy("three").agg(F.sum("n").alias("n")), "lm-three")
+    two = three.filter("n > 0").groupBy(F.expr("three & 65535L").alias("two")).agg(F.sum("n").alias("n")).orderBy("two").collect()
+    pairs = (np.array([r["two"] for r in two], np.int64), np.array([r["n"] for r in two], np.int64))
+
+    def lower(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("three")
+        t, seen = pdf["three"].to_numpy(), (pdf["n"] > 0).to_numpy()
+        return pd.DataFrame({"three": t, **{f"l{i}": v for i, v in enumerate(paths(t[seen], pdf["n"].to_numpy()[seen], t))}})
+
+    fields = [f"l{i}" for i in range(9)]
+    low = three.withColumn("group", F.expr("pmod(xxhash64(shiftright(three, 8)), 256)")).groupBy("group").applyInPandas(lower, "three long, " + ", ".join(f"{f} long" for f in fields))
+    told = asked.select(F.col("slot").alias("home"), "three").join(low, "three")
+
+    def attach(own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        told = told.sort_values("three")
+        at = np.searchsorted(told["three"].to_numpy(), unpacked(own["keys"].iloc[0], "<i8") & 0xFFFFFF)
+        return pd.DataFrame({"slot": own["slot"], "keys": own["keys"], "n": own["n"], "low": [packed(told[fields].to_numpy().T[:, at].ravel())]})
+
+    model = slots.groupBy("slot").cogroup(told.groupBy("home")).applyInPandas(attach, "slot long, keys binary, n binary, low binary")
+    return written(model, "lm-model"), pairs
+
+
 class _Finder:
     """Places of keys in a sorted list, by a table of hashes; the few that lost their place to another go by search."""
 
@@ -315,93 +402,68 @@ def score(docs: DataFrame, learns: str, key: str = "doc_id", text: str = "text",
     key is kept; an empty table gives no rows.
     """
     base = written(blocks(docs, key, text, learns), "lm-blocks")
-    words = base.select("block", F.posexplode(F.arrays_zip("words", "word_counts")).alias("at", "x")).select("block", "at", F.col("x.words").alias("word"), F.col("x.word_counts").alias("n"))
-    totals = written(words.groupBy("word").agg(F.sum("n").alias("c")), "lm-words")
-    some = totals.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
-    ends = base.agg(F.sum(F.size(F.filter("learns", lambda x: x)))).first()[0] or 0
-    tokens, distinct = (some["n"] or 0) + ends, some["v"] + (ends > 0)
-
-    keys = base.select(F.explode(F.arrays_zip("keys", "key_counts")).alias("x")).select(F.col("x.keys").alias("key"), F.col("x.key_counts").alias("n")).groupBy("key").agg(F.sum("n").alias("n"))
-    keys = written(keys, "lm-keys")
-    three = written(keys.filter("n > 0").groupBy(F.expr("key & 16777215L").alias("three")).agg(F.sum("n").alias("n")), "lm-three")
-    two = three.groupBy(F.expr("three & 65535L").alias("two")).agg(F.sum("n").alias("n")).orderBy("two").collect()
-    pairs = (np.array([r["two"] for r in two], np.int64), np.array([r["n"] for r in two], np.int64))
-
-    def lower(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("three")
-        t, seen = pdf["three"].to_numpy(), (pdf["n"] > 0).to_numpy()
-        found = paths(t[seen], pdf["n"].to_numpy()[seen], t)
-        return pd.DataFrame({"three": t, **{f"l{i}": v for i, v in enumerate(found)}})
-
-    low_sql = ", ".join(f"l{i} long" for i in range(9))
-    asked = keys.select(F.expr("key & 16777215L").alias("three")).distinct().join(three, "three", "left").select("three", F.coalesce("n", F.lit(0)).alias("n"))
-    # All bytes after two given ones are in one slot; there are at most 2 ** 24 rows in all.
-    two_bytes = asked.withColumn("slot", F.expr("pmod(xxhash64(shiftright(three, 8)), 256)")).groupBy("slot").applyInPandas(lower, f"three long, {low_sql}")
-    slots = 1 << max(partitions(docs) - 1, keys.count() // SLOT_KEYS).bit_length()
-    slot = F.expr(f"pmod(xxhash64(shiftright(key, 8) & 16777215L), {slots})")
-    model = written(keys.withColumn("three", F.expr("key & 16777215L")).join(two_bytes, "three").drop("three").withColumn("slot", slot), "lm-model")
-
-    slotted = model.groupBy("slot")
-    weights, table = mixer or _fitted(slotted, pairs)
-
-    def price(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = _sorted_slot(pdf)
-        parts = np.array_split(slot_paths(pdf, pairs), max(1, len(pdf) // 50_000), axis=2)
-        return pd.DataFrame({"key": pdf["key"], "bits": np.concatenate([cost(p, weights, table) for p in parts])})
-
-    prices = written(slotted.applyInPandas(price, "key long, bits double"), "lm-prices")
-    # A block's own words come under negative numbers beside its keys.
-    answers = (base.select("block", F.explode("keys").alias("key")).join(prices, "key").select("block", "key", F.col("bits").alias("value"))
-               .unionByName(words.join(totals, "word").select("block", (-F.col("at") - 1).cast("long").alias("key"), F.col("c").cast("double").alias("value"))))
+    size = base.agg(F.sum("n_words"), F.sum("n_keys"), F.sum(F.size(F.filter("learns", lambda x: x)))).first()
+    least, ends = partitions(docs) - 1, size[2] or 0
+    word_bits = min(max(least, (size[0] or 0) // SHARD_WORDS).bit_length(), vocabulary.HASH_BITS)
+    key_bits = max(least, (size[1] or 0) // SLOT_KEYS).bit_length()
+
+    def total(shard: int, totals: dict) -> tuple[dict, list]:
+        seen = [n for n in totals.values() if n > 0]
+        return totals, [(len(seen), None, None, sum(seen))]
+
+    told_words = written(vocabulary.merged(vocabulary.pieces(base, word_bits), total, "<i8"), "lm-words")
+    some = told_words.filter("block is null").agg(F.sum("f"), F.sum("id")).first()
+    tokens, distinct = (some[0] or 0) + ends, (some[1] or 0) + (ends > 0)
+
+    parts = _key_pieces(base, key_bits)
+    model, pairs = _model(parts)
+    weights, table = mixer or _fitted(model, pairs)
+
+    def price(parts: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        keys, _, counts = _row_counts(model.iloc[0].to_dict(), pairs)
+        bits = np.concatenate([cost(c, weights, table) for c in np.array_split(counts, max(1, len(keys) // 50_000), axis=2)]).astype(np.float32)
+        return pd.DataFrame({"block": parts["block"], "shard": parts["slot"], "data": [packed(bits[np.searchsorted(keys, np.cumsum(unpacked(k, "<i8")))]) for k in parts["keys"]]})
+
+    told_keys = (parts.select(F.col("slot"), "block", "keys").groupBy("slot").cogroup(model.select(F.col("slot").alias("home"), "keys", "n", "low").groupBy("home"))
+                 .applyInPandas(price, "block long, shard long, data binary"))
     floor = math.log10(tokens + 0.1 * (distinct + 1))
-
-    def rate(own: pa.Table, told: pa.Table) -> pa.Table:
-        number, value = told.column("key").to_numpy(), told.column("value").to_numpy()
-        order = np.argsort(number)
-        number, value = number[order], value[order]
-        split = int(np.searchsorted(number, 0))
-        find, bits = _Finder(np.ascontiguousarray(number[split:])), value[split:]
-        known = value[:split][::-1]
-        gain = np.log10(known + 0.1) - floor
-        end_gain = math.log10(ends + 0.1) - floor
-        whole, end_whole = np.where(known > 0, -gain * math.log2(10), math.inf), -end_gain * math.log2(10) if ends else math.inf
-        out: dict[str, list] = {f: [] for f in ("id", "learns", "n_tokens", "n_known", "base_score", "score", "bytes")}
-        for row in own.to_pylist():
-            spelled = [w.encode("utf-8", "surrogatepass") for w in row["words"]]
-            stream = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["stream"]), np.int32)
-            streams = np.split(stream, np.cumsum(row["sizes"])[:-1])
-            lengths = np.fromiter(map(len, spelled), np.int64, len(spelled)) + 1
-            waiting, held = [], 0
-
-            def flush() -> None:
-                paid = bits[find(keys_of([normal([spelled[i] for i in s.tolist()]) for s in waiting]))]
-                sizes = [np.append(lengths[s], 1) for s in waiting]
-                ends_at = np.cumsum(np.concatenate(sizes))
-                tokens_paid = np.split(np.add.reduceat(paid, ends_at - np.concatenate(sizes)), np.cumsum([len(x) for x in sizes])[:-1])
-                for s, x, size in zip(waiting, tokens_paid, sizes):
+    fields = ("id", "learns", "n_tokens", "n_known", "base_score", "score", "bytes")
+
+    def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                keys = np.cumsum(unpacked(row["keys"], "<i8"))
+                order, found, starts = _by_slot(keys, key_bits)
+                at = {int(s): order[a:b] for s, a, b in zip(found, starts, starts[1:])}
+                bits = np.full(len(keys), np.nan, np.float32)
+                for t in row["priced"]:
+                    bits[at[t["shard"]]] = unpacked(t["data"], "<f4")
+                known = vocabulary.heard(row["told"] if row["told"] is not None else [], unpacked(row["hashes"], "<u2"), word_bits, "<i8")
+                spelled = vocabulary.words_of(row["words"])
+                lengths = np.fromiter(map(len, spelled), np.int64, len(spelled)) + 1
+                find, gain, end_gain = _Finder(keys), np.log10(known + 0.1) - floor, math.log10(ends + 0.1) - floor
+                whole = np.where(known > 0, -gain * math.log2(10), math.inf)
+                end_whole = -end_gain * math.log2(10) if ends else math.inf
+                sizes, stream = unpacked(row["sizes"], "<i8"), unpacked(row["stream"], "<i4")
+                ends_at = np.cumsum(sizes)
+                heavy = np.concatenate([[0], np.cumsum(lengths[stream])])[ends_at] + np.arange(1, len(sizes) + 1)
+                # Texts go on together, about a megabyte at a time.
+                cuts = np.flatnonzero(np.diff(heavy // CHUNK_BYTES, prepend=-1))
+                for a, b in zip(cuts, np.append(cuts[1:], len(sizes))):
+                    own = [stream[ends_at[i] - sizes[i]:ends_at[i]] for i in range(a, b)]
+                    paid = bits[find(keys_of([normal([spelled[j] for j in s.tolist()]) for s in own]))].astype(np.float64)
+                    length = np.concatenate([np.append(lengths[s], 1) for s in own])
+                    first = np.cumsum(length) - length
+                    each = sizes[a:b] + 1
+                    begin = np.cumsum(each) - each
+                    token_bits = np.add.reduceat(paid, first)
                     # Without teaching texts there is no whole-word predictor to mix with.
-                    paid_bits = gated(x.tolist(), np.append(whole[s], end_whole).tolist()) if tokens else float(x.sum())
-                    out["score"].append(-paid_bits * math.log10(2))
-                    out["bytes"].append(int(size.sum()))
-                waiting.clear()
-
-            for s in streams:
-                out["n_tokens"].append(len(s) + 1)
-                out["n_known"].append(int((known[s] > 0).sum()) + int(ends > 0))
-                out["base_score"].append(float(gain[s].sum()) + end_gain)
-                waiting.append(s)
-                held += int(lengths[s].sum()) + 1
-                if held >= CHUNK_BYTES or len(waiting) >= 4096:
-                    flush()
-                    held = 0
-            if waiting:
-                flush()
-            out["id"] += row["ids"]
-            out["learns"] += row["learns"]
-        return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()))})
-
-    frames = base.select("block", "ids", "learns", "sizes", "stream", "words")
-    rated = frames.groupBy("block").cogroup(answers.select(F.col("block").alias("home"), "key", "value").groupBy("home")).applyInArrow(
-        rate, "id string, learns boolean, n_tokens long, n_known long, base_score double, score double, bytes long")
+                    total_bits = gated(token_bits, np.concatenate([np.append(whole[s], end_whole) for s in own]), each) if tokens else np.add.reduceat(token_bits, begin)
+                    yield pd.DataFrame(dict(zip(fields, (
+                        list(row["ids"][a:b]), list(row["learns"][a:b]), each, [int((known[s] > 0).sum()) + int(ends > 0) for s in own],
+                        [float(gain[s].sum()) + end_gain for s in own], -total_bits * math.log10(2), np.add.reduceat(length, begin)))))
+
+    told = base.select("block", "ids", "learns", "sizes", "stream", "words", "hashes", "keys").join(vocabulary.answers(told_keys, "priced"), "block").join(vocabulary.answers(told_words), "block", "left")
+    rated = told.mapInPandas(rate, "id string, learns boolean, n_tokens long, n_known long, base_score double, score double, bytes long")
     return rated.select(F.col("id").cast(docs.schema[key].dataType).alias(key), F.col("learns").alias(learns), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"),
                         "base_score", "score", (-F.col("score") * math.log2(10) / F.col("bytes")).alias("bits_per_byte"))
