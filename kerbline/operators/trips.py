@@ -134,6 +134,29 @@ def timeline(history: DataFrame) -> DataFrame:
         F.timestamp_diff("SECOND", F.col("changed_at"), F.lead("changed_at").over(order)).alias("dwell_seconds"))
 
 
+def status_state(history: DataFrame) -> DataFrame:
+    """What a status log says of each trip so far, in a form that merges: newest status, first stamps, newest note, driver."""
+    at = F.struct("changed_at", "id")
+    stamps = {stamp: to for _, to, stamp in TRIP_TRANSITIONS if stamp}
+    return history.groupBy("trip_id").agg(
+        F.max(F.struct("changed_at", "id", "to_status")).alias("last"),
+        *[F.min(F.when(F.col("to_status") == to, F.col("changed_at"))).alias(stamp) for stamp, to in stamps.items()],
+        F.max(F.when((F.col("to_status") == "CANCELLED"), F.struct("changed_at", "id", text.blank_to_null(F.col("note")).alias("note")))).alias("cancel"),
+        F.max(F.when(F.col("to_status") == "ACCEPTED", F.col("changed_by"))).alias("driver_id"))
+
+
+def merged_state(states: DataFrame) -> DataFrame:
+    """One state per trip of several: least and greatest values, so order, batching and repeats do not matter."""
+    stamps = [stamp for _, _, stamp in TRIP_TRANSITIONS if stamp]
+    return states.groupBy("trip_id").agg(F.max("last").alias("last"), *[F.min(s).alias(s) for s in dict.fromkeys(stamps)], F.max("cancel").alias("cancel"), F.max("driver_id").alias("driver_id"))
+
+
+def trip_rows(states: DataFrame) -> DataFrame:
+    """Current trip rows of merged states."""
+    stamps = dict.fromkeys(stamp for _, _, stamp in TRIP_TRANSITIONS if stamp)
+    return states.select("trip_id", F.col("last.to_status").alias("status"), *stamps, F.col("cancel.note").alias("cancel_reason"), "driver_id")
+
+
 def replay_status(history: DataFrame) -> DataFrame:
     """Current status and lifecycle stamps of each trip from its log, as one partial aggregate."""
     at = F.struct("changed_at", "id")

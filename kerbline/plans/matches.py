@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from kerbline.functions.geo import metres
 from kerbline.functions.text import ids_to_csv
-from kerbline.operators import dashboards, matching, nearest, views
+from kerbline.operators import attempts, dashboards, matching, nearest, views
 from kerbline.plans.registry import query
 from kerbline.sources.adapter import RideTables, haversine_km_sql
 
@@ -132,10 +132,11 @@ def _(r: RideTables) -> DataFrame:
     return r.offers.select("trip_id", no.alias("attempt_no"), "driver_id", (no >= 3).alias("exhausted"))
 
 
-@query("mt03_retry_decisions", "MT-03 WN-06", "offers offer_responses match_requests online_drivers", _CAND + _OUT + """,
+@query("mt03_retry_decisions", "MT-03 WN-06", "offers offer_responses match_requests online_drivers trips", _CAND + _OUT + """,
 rej AS (SELECT DISTINCT trip_id, driver_id FROM settled WHERE state <> 'ACCEPTED'),
 more AS (SELECT DISTINCT c.trip_id FROM cand c WHERE NOT EXISTS (SELECT 1 FROM rej WHERE rej.trip_id = c.trip_id AND rej.driver_id = c.driver_id)),
-last AS (SELECT trip_id, max(attempt) AS attempt, arg_max(state, attempt) AS state FROM settled GROUP BY trip_id HAVING count(*) FILTER (state = 'ACCEPTED') = 0),
+last AS (SELECT trip_id, max(attempt) AS attempt, arg_max(state, attempt) AS state FROM settled
+  WHERE trip_id IN (SELECT id FROM trips WHERE deleted_at IS NULL AND status = 'SEARCHING') GROUP BY trip_id HAVING count(*) FILTER (state = 'ACCEPTED') = 0),
 dec AS (SELECT *, CASE WHEN attempt >= 3 AND state = 'TIMEOUT' THEN 'Matching exhausted after offer timeout' WHEN attempt >= 3 THEN 'Matching exhausted after driver rejection'
   WHEN trip_id NOT IN (SELECT trip_id FROM more) AND state = 'TIMEOUT' THEN 'No more drivers available after offer timeout' WHEN trip_id NOT IN (SELECT trip_id FROM more) THEN 'No more drivers available after rejection' END AS note FROM last)
 SELECT trip_id, attempt, state, CASE WHEN note IS NULL THEN 'RETRY' ELSE 'NO_DRIVER' END AS next_step, CASE WHEN note IS NULL THEN attempt + 1 END AS next_attempt, note FROM dec""")
@@ -143,7 +144,24 @@ def _(r: RideTables) -> DataFrame:
     settled = _settled(r)
     refused = settled.filter(F.col("state") != "ACCEPTED").select("trip_id", "driver_id")
     left = matching.candidates(r.match_requests, r.online_drivers, AS_OF, excluded=refused)
-    return matching.retry_decisions(settled, left)
+    return matching.retry_decisions(settled, left, r.trips)
+
+
+# No SQL: an offer's time and driver depend on all before it, and each one frees its driver at a time of its own. Tests hold the operator
+# against one-by-one matching.
+@query("mt03_match_attempts", "MT-03 MT-04 MT-02 WN-06", "match_requests online_drivers")
+def _(r: RideTables) -> DataFrame:
+    # Requests spread over a week, drivers free again a quarter of an hour after accepting.
+    requests = r.match_requests.select("trip_id", (F.col("requested_at") + F.make_dt_interval(secs=F.col("trip_id") * 7919 % 604_800)).alias("requested_at"))
+    ranked = matching.candidates(r.match_requests, r.online_drivers, AS_OF)
+    kind = (F.col("trip_id") + F.col("driver_id")) % 6
+    reactions = ranked.filter(kind != 0).select("trip_id", "driver_id", F.when(kind.isin(2, 5), "REJECT").otherwise("ACCEPT").alias("decision"),
+                                                F.when(kind == 3, 31).when(kind == 5, 30).otherwise(kind * 4).alias("after_seconds"))
+    offers = attempts.match_attempts(requests, ranked, reactions, busy_seconds=900, slice_seconds=86_400)
+    events, _busy = attempts.attempt_events(offers, busy_seconds=900)
+    made = offers.select("trip_id", "attempt", "driver_id", F.col("offered_at").alias("at"), F.col("state").alias("what"), F.lit(None).cast("string").alias("note"))
+    return made.unionByName(events.select("trip_id", F.lit(None).cast("int").alias("attempt"), F.col("changed_by").alias("driver_id"), F.col("changed_at").alias("at"),
+                                          F.col("to_status").alias("what"), "note"))
 
 
 @query("mt04_acceptance_events", "MT-04", "offers offer_responses trips", _OUT + """

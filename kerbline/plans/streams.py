@@ -83,7 +83,10 @@ run AS (SELECT driver_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_
 @query("str03_availability_machine", "STR-03 STR-04", "driver_availability", _MACHINE + """
 SELECT event_id, driver_id, located, CASE WHEN su > at_ms THEN status END AS status, CASE WHEN mu > at_ms THEN vehicle END AS vehicle_type, CASE WHEN mu > at_ms THEN rating END AS rating FROM run WHERE i > 0""")
 def _(r: RideTables) -> DataFrame:
-    return run_to_table(processors.availability(as_feed(r.driver_availability, "driver_availability")), "str03")
+    # Odd events come six hours after even ones, over several batches, so that a driver's events arrive out of order.
+    events = with_sentinel(r.driver_availability, event_id="-1", driver_id="-1", kind="'offline'", ts=LAST)
+    late = as_late_stream(events, "availability", "ts", "event_id", skew_seconds=6 * 3600)
+    return run_to_table(processors.availability(late, delay="12 hours"), "str03").filter(F.col("driver_id") >= 0)
 
 
 @query("str03_availability_history", "STR-03 STR-04", "driver_availability", _MACHINE + """
@@ -92,6 +95,21 @@ def _(r: RideTables) -> DataFrame:
     return availability_history(r.driver_availability)
 
 
+@query("str12_live_trips", "STR-12", "trip_status_history", """
+SELECT trip_id, arg_max(to_status, (changed_at, id)) AS status, min(changed_at) FILTER (to_status = 'SEARCHING') AS requested_at,
+       min(changed_at) FILTER (to_status = 'ACCEPTED') AS accepted_at, min(changed_at) FILTER (to_status = 'ARRIVED') AS arrived_at,
+       min(changed_at) FILTER (to_status = 'IN_PROGRESS') AS started_at, min(changed_at) FILTER (to_status = 'COMPLETED') AS completed_at,
+       min(changed_at) FILTER (to_status = 'CANCELLED') AS cancelled_at, max(changed_by) FILTER (to_status = 'ACCEPTED') AS driver_id
+FROM trip_status_history GROUP BY trip_id""")
+def _(r: RideTables) -> DataFrame:
+    # A fifth of the log comes twice; odd rows run a day behind even ones.
+    log = r.trip_status_history
+    again = log.filter(F.col("id") % 5 == 0)
+    root = fresh_folder(r.spark, "live-trips")
+    run_batches(as_late_stream(log.unionByName(again), "status-log", "changed_at", "id", skew_seconds=86_400), "live-trips", feeds.live_trips(root))
+    return trips.trip_rows(read_snapshot(r.spark, root)).drop("cancel_reason")
+
+
 @query("str06_offer_clock", "STR-06 MT-05", "offers offer_responses", _OUT + """
 SELECT trip_id, attempt, driver_id, state, CAST(epoch_ms(settled_at) AS BIGINT) AS settled_ms FROM settled""")
 def _(r: RideTables) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -78,6 +80,23 @@ def upsert_snapshot(changes: DataFrame, root: str, version: int, keys: list[str]
     if forget is not None:
         kept = kept.filter(~(F.col(DELETED) & F.coalesce(forget, F.lit(False))))
     kept.write.mode("overwrite").parquet(f"{root}/{VERSION}={version}")
+    _commit(spark, root, version, keep_versions)
+
+
+def fold_snapshot(states: DataFrame, root: str, version: int, fold: Callable[[DataFrame], DataFrame], keep_versions: int = 3) -> None:
+    """Write version ``version``: ``fold`` over the rows of the last version below it and ``states``.
+
+    ``fold`` must not mind order or repeats (least and greatest values by key), so a replayed batch changes nothing.
+    """
+    spark = states.sparkSession
+    previous = _stored(spark, root, before=version)
+    whole = states if previous is None else previous.drop(DELETED).unionByName(states)
+    fold(whole).withColumn(DELETED, F.lit(False)).write.mode("overwrite").parquet(f"{root}/{VERSION}={version}")
+    _commit(spark, root, version, keep_versions)
+
+
+def _commit(spark: SparkSession, root: str, version: int, keep_versions: int) -> None:
+    """A version counts from here on; all but the newest ``keep_versions`` (two at least) are removed."""
     done = committed_versions(spark, root)
     if version not in done:
         spark.range(1).select(F.lit(version).alias(VERSION)).write.mode("append").parquet(f"{root}/commits")

@@ -7,9 +7,9 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from kerbline.operators import matching, tracking
+from kerbline.operators import matching, tracking, trips
 from kerbline.operators.notify import topic_name
-from kerbline.sinks.logs import append_batch, read_snapshot, upsert_snapshot
+from kerbline.sinks.logs import append_batch, fold_snapshot, read_snapshot, upsert_snapshot
 
 
 def offers_with_responses(offers: DataFrame, responses: DataFrame, longest_seconds: int = 600, delay: str = "1 minute") -> DataFrame:
@@ -122,3 +122,15 @@ def matcher(spark: SparkSession, online: DataFrame | Callable[[], DataFrame], ro
             offers.unpersist()
 
     return handle
+
+
+def live_trips(root: str) -> Callable[[DataFrame, int], None]:
+    """Batch handler that keeps current trip rows under ``root`` from a stream of the status log.
+
+    Each batch becomes one state per trip, which merges with the stored one; late rows and rows that come again are welcome.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        fold_snapshot(trips.status_state(batch), root, batch_id, trips.merged_state)
+
+    return handle

@@ -39,15 +39,19 @@ class InOrder(StatefulProcessor):
     def apply(self, key, held: tuple | None, event: tuple) -> tuple[list[Row], tuple | None]:
         raise NotImplementedError
 
-    def due(self, held: tuple) -> int:
-        """When the held value lapses, in ms."""
+    def rank(self, event: tuple) -> tuple:
+        """What orders events."""
+        return event
+
+    def due(self, held: tuple) -> int | None:
+        """When the held value lapses, in ms; None if time alone does not end it."""
         raise NotImplementedError
 
     def lapse(self, key, held: tuple) -> Row:
         raise NotImplementedError
 
     def _drain(self, key, upto: int, new: list[tuple] = ()) -> Iterator[Row]:
-        waiting = sorted([*map(tuple, self.waiting.get()), *new]) if self.waiting.exists() else sorted(new)
+        waiting = sorted([*(map(tuple, self.waiting.get()) if self.waiting.exists() else ()), *new], key=self.rank)
         held = tuple(self.held.get()) if self.held.exists() else None
         ready = [e for e in waiting if e[0] <= upto]
         for event in ready:
@@ -56,7 +60,7 @@ class InOrder(StatefulProcessor):
                 held = None
             rows, held = self.apply(key, held, event)
             yield from rows
-        if held and self.due(held) <= upto:
+        if held and self.lapses_before(held, upto):
             yield self.lapse(key, held)
             held = None
         rest = waiting[len(ready):]
@@ -67,11 +71,13 @@ class InOrder(StatefulProcessor):
             self.timer.clear()
         if rest or held:
             at = rest[-1][0] if rest else self.due(held)
-            self.timer.update((at,))
-            self.handle.registerTimer(at)
+            if at is not None:
+                self.timer.update((at,))
+                self.handle.registerTimer(at)
 
     def lapses_before(self, held: tuple, at: int) -> bool:
-        return self.due(held) <= at
+        due = self.due(held)
+        return due is not None and due <= at
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         yield from self._drain(key, timerValues.getCurrentWatermarkInMs(), [self.shape(r) for r in rows])
@@ -82,50 +88,53 @@ class InOrder(StatefulProcessor):
         yield from self._drain(key, timerValues.getCurrentWatermarkInMs())
 
 
-class Availability(StatefulProcessor):
-    """A driver's place, status and meta under online, offline, accept, paid and rating events."""
+class Availability(InOrder):
+    """A driver's place, status and meta under online, offline, accept, paid and rating events, in event time.
+
+    Going offline ends all of it, so a driver who is offline holds no state.
+    """
 
+    waits = "at bigint, micros bigint, event_id bigint, kind string, lat double, lng double, vehicle_type string, rating string"
+    holds = "lat double, lng double, status string, status_until bigint, vehicle string, rating string, meta_until bigint"
     EMPTY = (None, None, None, 0, None, None, 0)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState(
-            "driver", "lat double, lng double, status string, status_until bigint, vehicle string, rating string, meta_until bigint")
+    def shape(self, row: Row) -> tuple:
+        return (_ms(row.ts), round(row.ts.timestamp() * 1_000_000), row.event_id, row.kind, row.lat, row.lng, row.vehicle_type, row.rating)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        now = tuple(self.state.get()) if self.state.exists() else self.EMPTY
-        for event in sorted(rows, key=lambda r: (r.ts, r.event_id)):
-            at = _ms(event.ts)
-            now = self.apply(now, event, at)
-            lat, lng, status, status_until, vehicle, rating, meta_until = now
-            fresh, known = status_until > at, meta_until > at
-            yield Row(event_id=event.event_id, driver_id=key[0], located=lat is not None,
-                      status=status if fresh else None, vehicle_type=vehicle if known else None,
-                      rating=rating if known else None)
-        self.state.update(now)
+    def rank(self, event: tuple) -> tuple:
+        return event[1:3]
+
+    def due(self, held: tuple) -> None:
+        return None
+
+    def apply(self, key, held: tuple | None, event: tuple) -> tuple[list[Row], tuple | None]:
+        at, _, event_id, kind, *given = event
+        now = self.after(held or self.EMPTY, at, kind, *given)
+        lat, _, status, status_until, vehicle, rating, meta_until = now
+        known = meta_until > at
+        row = Row(event_id=event_id, driver_id=key[0], located=lat is not None, status=status if status_until > at else None,
+                  vehicle_type=vehicle if known else None, rating=rating if known else None)
+        return [row], None if now == self.EMPTY else now
 
     @staticmethod
-    def apply(now: tuple, event: Row, at: int) -> tuple:
-        lat, lng, status, status_until, vehicle, rating, meta_until = now
-        if event.kind == "online":
-            return (event.lat, event.lng, "AVAILABLE", at + m.AVAILABLE_TTL * 1000, event.vehicle_type,
-                    event.rating or "5.0", at + m.META_TTL * 1000)
-        if event.kind == "offline":
+    def after(now: tuple, at: int, kind: str, lat: float | None, lng: float | None, vehicle_type: str | None, rating: str | None) -> tuple:
+        old_lat, old_lng, status, status_until, vehicle, old_rating, meta_until = now
+        if kind == "online":
+            return (lat, lng, "AVAILABLE", at + m.AVAILABLE_TTL * 1000, vehicle_type, rating or "5.0", at + m.META_TTL * 1000)
+        if kind == "offline":
             return Availability.EMPTY
-        if event.kind == "accept":
-            return (lat, lng, "BUSY", at + m.BUSY_TTL * 1000, vehicle, rating, meta_until)
-        if event.kind == "paid":
-            return (lat, lng, "AVAILABLE", at + m.AVAILABLE_TTL * 1000, vehicle, rating, meta_until)
-        if event.rating is not None and status_until > at and meta_until > at:
-            return (lat, lng, status, status_until, vehicle, event.rating, at + m.META_TTL * 1000)
+        if kind == "accept":
+            return (old_lat, old_lng, "BUSY", at + m.BUSY_TTL * 1000, vehicle, old_rating, meta_until)
+        if kind == "paid":
+            return (old_lat, old_lng, "AVAILABLE", at + m.AVAILABLE_TTL * 1000, vehicle, old_rating, meta_until)
+        if rating is not None and status_until > at and meta_until > at:
+            return (old_lat, old_lng, status, status_until, vehicle, rating, at + m.META_TTL * 1000)
         return now
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        yield from ()
-
 
-def availability(stream: DataFrame) -> DataFrame:
-    """Live state of the driver right after each event."""
-    return (stream.withWatermark("ts", "10 minutes").groupBy("driver_id")
+def availability(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Live state of the driver right after each event; events may come ``delay`` late and in any order."""
+    return (stream.withWatermark("ts", delay).groupBy("driver_id")
             .transformWithState(Availability(), "event_id bigint, driver_id bigint, located boolean, status string, vehicle_type string, rating string",
                                 "append", "EventTime"))
 
