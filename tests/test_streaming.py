@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from kerbline.operators import matching
@@ -46,11 +47,14 @@ def move(i, kind, seconds, rating=None, driver=1):
     return (i, driver, kind, 10.0, 106.0, "MOTORBIKE", rating, at(seconds))
 
 
-def test_availability_machine_over_batches(spark):
+@pytest.mark.parametrize("order", [(0, 1, 2), (1, 0, 2), (2, 1, 0)])
+def test_availability_machine_over_batches(spark, order):
+    # Whatever batches a driver's events come in, they count in event time; the last row lets the watermark pass them.
     chunks = [[move(1, "online", 0, "4.5"), move(2, "rating", 30, "4.6")], [move(3, "accept", 50), move(4, "rating", 89, "4.7"), move(5, "rating", 149, "4.8")],
               [move(6, "paid", 200), move(7, "rating", 300, "1.0"), move(8, "offline", 310)]]
+    chunks = [chunks[i] for i in order] + [[(99, -1, *move(99, "offline", 99_999)[2:])]]
     out = run_to_table(processors.availability(in_order(spark, chunks, EVENT, "moves")), "availability")
-    got = {r.event_id: (r.located, r.status, r.vehicle_type, r.rating) for r in out.collect()}
+    got = {r.event_id: (r.located, r.status, r.vehicle_type, r.rating) for r in out.collect() if r.driver_id >= 0}
     assert got == {1: (True, "AVAILABLE", "MOTORBIKE", "4.5"), 2: (True, "AVAILABLE", "MOTORBIKE", "4.6"), 3: (True, "BUSY", "MOTORBIKE", "4.6"),
                    4: (True, "BUSY", "MOTORBIKE", "4.7"), 5: (True, "BUSY", None, None), 6: (True, "AVAILABLE", None, None),
                    7: (True, None, None, None), 8: (False, None, None, None)}
