@@ -191,11 +191,16 @@ def route_replay(log: DataFrame, trips: DataFrame) -> DataFrame:
 
 
 def silent_while_driving(pings: DataFrame, trips: DataFrame, seconds: int = 60) -> DataFrame:
-    """Pings followed by a silence longer than ``seconds`` while their trip was in progress: the driver is flagged."""
-    heard = previous_in_key(pings.select("driver_id", F.col("order_trip_id").alias("trip_id"), "ping_id", "ts"),
-                            ["driver_id"], ["ts", "ping_id"], {"_next": "ts"}, HOUR, following=True)
+    """Pings followed by ``seconds`` or more of silence that end while a trip of the driver runs: the latest-started one is flagged."""
+    heard = previous_in_key(pings.select("driver_id", "ping_id", "ts"), ["driver_id"], ["ts", "ping_id"], {"_next": "ts"}, HOUR, following=True)
     offline_at = F.col("ts") + F.make_dt_interval(secs=F.lit(seconds))
-    quiet = heard.filter(F.col("_next").isNull() | (F.col("_next") > offline_at)).withColumn("offline_at", offline_at)
-    running = _running(trips).select("trip_id", "started_at", "ended_at")
-    during = (F.col("offline_at") >= F.col("started_at")) & (F.col("ended_at").isNull() | (F.col("offline_at") < F.col("ended_at")))
-    return quiet.join(running, "trip_id").filter(during).select("driver_id", "trip_id", "ping_id", "offline_at")
+    quiet = heard.filter(F.col("_next").isNull() | (F.col("_next") >= offline_at)).select("driver_id", "ping_id", offline_at.alias("ts"))
+    return (attach_pings(quiet, trips).filter(F.col("trip_id").isNotNull())
+            .select("driver_id", "trip_id", "ping_id", F.col("ts").alias("offline_at")))
+
+
+def trip_turns(trips: DataFrame) -> DataFrame:
+    """``(driver_id, trip_id, kind, ts)``: when live trips of a driver start and end being in progress."""
+    turns = F.array(F.struct(F.lit("start").alias("kind"), F.col("started_at").alias("ts")), F.struct(F.lit("end").alias("kind"), F.col("ended_at").alias("ts")))
+    running = _running(trips).filter(F.col("ended_at").isNull() | (F.col("ended_at") > F.col("started_at")))
+    return running.select("driver_id", "trip_id", F.inline(turns)).filter(F.col("ts").isNotNull())

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, functions as F
 
 from kerbline.model import LOCATION_TTL
-from kerbline.operators import payments, tracking, trips
+from kerbline.operators import matching, payments, tracking, trips
 from kerbline.operators.availability import availability_history
 from kerbline.plans.matches import _CAND, _OUT
 from kerbline.plans.registry import query
@@ -16,7 +16,7 @@ from kerbline.session import fresh_folder
 from kerbline.sinks.logs import append_log, read_snapshot, upsert_snapshot
 from kerbline.sources.adapter import RideTables
 from kerbline.streaming import feeds, processors
-from kerbline.streaming.runs import as_feed, as_late_stream, as_stream, run_batches, run_to_table
+from kerbline.streaming.runs import as_feed, as_late_stream, as_stream, run_and_stop, run_batches, run_to_table, state_keys
 
 LAST = "TIMESTAMP '2100-01-01 00:00:00'"
 
@@ -170,6 +170,22 @@ def _(r: RideTables) -> DataFrame:
     return run_to_table(feeds.first_callbacks(decoded), "str08").select("provider_key", "payment_id", "status", "transaction_ref")
 
 
+@query("str08_late_replays", "STR-08", "payment_callbacks", """
+, c AS (SELECT callback_id, lower(trim(provider)) AS provider_key, key_payment_id AS payment_id, json_extract_string(payload, '$.status') AS status, json_extract_string(payload, '$.transactionRef') AS transaction_ref, received_at
+  FROM payment_callbacks WHERE lower(trim(provider)) = 'momo' AND payload <> 'not json')
+SELECT provider_key, payment_id, status, transaction_ref, min(received_at) AS received_at, arg_min(callback_id, (received_at, callback_id)) AS callback_id, count(*) AS heard FROM c GROUP BY 1, 2, 3, 4""")
+def _(r: RideTables) -> DataFrame:
+    # Every callback comes again five days later, most of them in another batch.
+    calls = r.payment_callbacks
+    again = calls.withColumn("received_at", F.col("received_at") + F.expr("INTERVAL 5 DAYS")).withColumn("callback_id", -F.col("callback_id"))
+    decoded = payments.decode_callbacks(as_late_stream(calls.unionByName(again), "callbacks", "received_at", "key_payment_id", skew_seconds=0))
+    root = fresh_folder(r.spark, "callbacks-applied")
+    run_batches(decoded.filter(F.col("reason").isNull()), "str08", feeds.apply_callbacks(root))
+    first = r.spark.read.parquet(root).select(*feeds.CALLBACK_KEY, "received_at", "callback_id")
+    heard = payments.decode_callbacks(calls).filter(F.col("reason").isNull()).groupBy(*feeds.CALLBACK_KEY).agg(F.count(F.lit(1)).alias("heard"))
+    return first.join(heard, list(feeds.CALLBACK_KEY))
+
+
 @query("str13_silent_drivers", "STR-13", "driver_availability", """
 , b AS (SELECT driver_id, ts, lag(ts) OVER (PARTITION BY driver_id ORDER BY ts, event_id) AS p FROM driver_availability),
 s AS (SELECT *, sum(CASE WHEN p IS NULL OR ts >= p + INTERVAL '60' SECOND THEN 1 ELSE 0 END) OVER (PARTITION BY driver_id ORDER BY ts, p) AS spell FROM b)
@@ -179,14 +195,29 @@ def _(r: RideTables) -> DataFrame:
     return run_to_table(feeds.silent_spells(as_stream(beats, "beats")), "str13").filter(F.col("driver_id") >= 0)
 
 
-@query("str13_silent_while_driving", "STR-13", "driver_pings trips", """
-, b AS (SELECT driver_id, order_trip_id AS trip_id, ping_id, ts, lead(ts) OVER (PARTITION BY driver_id ORDER BY ts, ping_id) AS nxt FROM driver_pings)
-SELECT b.driver_id, b.trip_id, b.ping_id, b.ts + INTERVAL '60' SECOND AS offline_at FROM b JOIN trips t ON t.id = b.trip_id AND t.deleted_at IS NULL
-WHERE (nxt IS NULL OR nxt > b.ts + INTERVAL '60' SECOND) AND b.ts + INTERVAL '60' SECOND >= t.started_at AND (t.completed_at IS NULL OR b.ts + INTERVAL '60' SECOND < t.completed_at)""")
+_SILENT = """
+, b AS (SELECT driver_id, ping_id, ts, lead(ts) OVER (PARTITION BY driver_id ORDER BY ts, ping_id) AS nxt FROM driver_pings),
+q AS (SELECT driver_id, ping_id, ts + INTERVAL '60' SECOND AS offline_at FROM b WHERE nxt IS NULL OR nxt >= ts + INTERVAL '60' SECOND)
+SELECT q.driver_id, arg_max(t.id, (t.started_at, t.id)) AS trip_id, q.ping_id, q.offline_at FROM q
+JOIN trips t ON t.driver_id = q.driver_id AND t.deleted_at IS NULL AND q.offline_at >= t.started_at AND (t.completed_at IS NULL OR q.offline_at < t.completed_at)
+GROUP BY q.driver_id, q.ping_id, q.offline_at"""
+
+
+@query("str13_silent_while_driving", "STR-13", "driver_pings trips", _SILENT)
 def _(r: RideTables) -> DataFrame:
     return tracking.silent_while_driving(r.driver_pings, r.trips)
 
 
+@query("str13_silent_live", "STR-13", "driver_pings trips", _SILENT)
+def _(r: RideTables) -> DataFrame:
+    # Odd pings and trips run an hour behind even ones, so that a driver's events arrive out of order.
+    beats = with_sentinel(r.driver_pings.select("driver_id", "ping_id", "ts"), driver_id="-1", ping_id="0", ts=LAST)
+    turns = with_sentinel(tracking.trip_turns(r.trips), driver_id="-2", trip_id="0", kind="'end'", ts=LAST)
+    out = processors.silent_driving(as_late_stream(beats, "beats", "ts", "ping_id", skew_seconds=3600),
+                                    as_late_stream(turns, "turns", "ts", "trip_id", skew_seconds=3600), beat_delay="2 hours", trip_delay="2 hours")
+    return run_to_table(out, "str13-live").filter(F.col("driver_id") >= 0)
+
+
 @query("str14_demand_windows", "STR-14", "match_requests", """
 SELECT time_bucket(INTERVAL '5 minutes', requested_at) AS window_start, CAST(floor(pickup_lat / 0.02::DOUBLE) AS BIGINT) AS zone_lat, CAST(floor(pickup_lng / 0.02::DOUBLE) AS BIGINT) AS zone_lng, count(*) AS demand
 FROM match_requests GROUP BY 1, 2, 3""")
@@ -196,6 +227,84 @@ def _(r: RideTables) -> DataFrame:
     return windows.filter(F.col("window_start") < F.expr(LAST))
 
 
+_SPREAD = "TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' SECOND * ({key} * 7919 % 86400)"
+
+
+@query("str14_surge_windows", "STR-14 AG-20", "match_requests driver_availability", f"""
+, d AS (SELECT CAST(floor(pickup_lat / 0.02::DOUBLE) AS BIGINT) AS zone_lat, CAST(floor(pickup_lng / 0.02::DOUBLE) AS BIGINT) AS zone_lng,
+   time_bucket(INTERVAL '5 minutes', {_SPREAD.format(key='trip_id')}) AS window_start, count(*) AS demand FROM match_requests GROUP BY 1, 2, 3),
+s AS (SELECT CAST(floor(lat / 0.02::DOUBLE) AS BIGINT) AS zone_lat, CAST(floor(lng / 0.02::DOUBLE) AS BIGINT) AS zone_lng,
+   time_bucket(INTERVAL '5 minutes', {_SPREAD.format(key='event_id')}) AS window_start, count(DISTINCT driver_id) AS supply FROM driver_availability WHERE kind = 'online' GROUP BY 1, 2, 3)
+SELECT d.*, coalesce(supply, 0) AS supply, CASE WHEN supply IS NULL THEN 2.0 WHEN demand::DOUBLE / supply >= 3 THEN 2.0 WHEN demand::DOUBLE / supply >= 2 THEN 1.5 WHEN demand::DOUBLE / supply >= 1.5 THEN 1.2 ELSE 1.0 END::DOUBLE AS surge
+FROM d LEFT JOIN s USING (zone_lat, zone_lng, window_start)""")
+def _(r: RideTables) -> DataFrame:
+    # Both feeds spread over a day; odd rows run five minutes, a whole window, behind even ones.
+    asked = r.match_requests.select("trip_id", F.expr(_SPREAD.format(key="trip_id")).alias("requested_at"), "pickup_lat", "pickup_lng")
+    online = r.driver_availability.filter(F.col("kind") == "online").select("event_id", "driver_id", "lat", "lng", F.expr(_SPREAD.format(key="event_id")).alias("ts"))
+    asked = with_sentinel(asked, trip_id="-1", requested_at=LAST, pickup_lat="0", pickup_lng="0")
+    online = with_sentinel(online, event_id="-1", driver_id="-1", ts=LAST, lat="0", lng="0")
+    out = feeds.surge_windows(as_late_stream(asked, "bookings", "requested_at", "trip_id", skew_seconds=300), as_late_stream(online, "online", "ts", "event_id", skew_seconds=300))
+    return run_to_table(out, "str14-surge").filter(F.col("window_start") < F.expr(LAST))
+
+
+_LIFE = "CASE kind WHEN 'offline' THEN 0 WHEN 'accept' THEN 43200000 WHEN 'rating' THEN 300000 WHEN 'paid' THEN 30000 ELSE 60000 END"
+
+
+@query("str01_mixed_lives", "STR-01", "driver_availability", f"""
+, e AS (SELECT CASE WHEN event_id % 4 = 0 THEN 'offer' ELSE 'status' END AS store, driver_id AS key, kind AS value, CAST(epoch_us(ts) // 1000 AS BIGINT) AS at_ms, ts, event_id, CAST({_LIFE} AS BIGINT) AS life FROM driver_availability),
+q AS (SELECT *, lead(at_ms) OVER w AS nxt, lag(at_ms + life) OVER w AS prev_end, lag(life) OVER w AS prev_life FROM e WINDOW w AS (PARTITION BY store, key ORDER BY ts, event_id))
+SELECT store, key, 'UPDATE' AS change, at_ms, value FROM q WHERE life > 0
+UNION ALL SELECT store, key, 'REMOVED', at_ms, value FROM q WHERE life = 0 AND prev_life > 0 AND prev_end > at_ms
+UNION ALL SELECT store, key, 'EXPIRED', at_ms + life, value FROM q WHERE life > 0 AND (nxt IS NULL OR nxt >= at_ms + life)""")
+def _(r: RideTables) -> DataFrame:
+    # Two stores and lives from 30 s to 12 h in one feed; odd events come an hour after even ones.
+    events = r.driver_availability.select("event_id", F.expr("CASE WHEN event_id % 4 = 0 THEN 'offer' ELSE 'status' END").alias("store"), F.col("driver_id").alias("key"), "ts",
+                                          F.col("event_id").alias("tie"), F.expr(f"CAST({_LIFE} AS BIGINT)").alias("life_ms"), F.col("kind").alias("value"))
+    events = with_sentinel(events, event_id="-1", store="'status'", key="-1", ts=LAST, tie="0", life_ms="1")
+    out = processors.lives(as_late_stream(events, "lives", "ts", "event_id", skew_seconds=3600), delay="2 hours")
+    return run_to_table(out, "str01-lives").filter(F.col("key") >= 0)
+
+
+@query("str15_release", "STR-15", "trips", """
+, b AS (SELECT id AS trip_id, requested_at, requested_at + INTERVAL '1' MINUTE * (id % 90) AS scheduled_at,
+        CASE WHEN id % 7 = 0 THEN requested_at + INTERVAL '1' MINUTE * (id % 60) END AS dropped_at FROM trips WHERE requested_at IS NOT NULL AND id % 3 > 0),
+r AS (SELECT *, greatest(requested_at, scheduled_at - INTERVAL '15' MINUTE) AS released_at FROM b)
+SELECT trip_id, released_at, scheduled_at FROM r WHERE dropped_at IS NULL OR dropped_at > released_at""")
+def _(r: RideTables) -> DataFrame:
+    # Some bookings are cancelled, every fifth row comes twice, odd ones come half an hour late.
+    booked = r.trips.filter("requested_at IS NOT NULL AND id % 3 > 0").select(
+        F.col("id").alias("trip_id"), F.lit("book").alias("kind"), F.expr("requested_at + INTERVAL '1' MINUTE * (id % 90)").alias("scheduled_at"), F.col("requested_at").alias("ts"))
+    dropped = booked.filter("trip_id % 7 = 0").select("trip_id", F.lit("cancel").alias("kind"), F.lit(None).cast("timestamp").alias("scheduled_at"),
+                                                      F.expr("ts + INTERVAL '1' MINUTE * (trip_id % 60)").alias("ts"))
+    rows = with_sentinel(booked.unionByName(dropped).unionByName(booked.filter("trip_id % 5 = 0")), trip_id="-1", kind="'cancel'", ts=LAST)
+    out = processors.release_due(as_late_stream(rows, "scheduled", "ts", "trip_id", skew_seconds=1800), delay="1 hour")
+    return run_to_table(out, "str15").filter(F.col("trip_id") >= 0)
+
+
+_STOP = "TIMESTAMP '2024-01-01 00:05:00'"
+_OPENED = "TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' SECOND * (trip_id % 600 + (attempt - 1) * 35)"
+
+
+@query("str07_orphans_of_a_stopped_clock", "STR-07", "offers", f"""
+, o AS (SELECT trip_id, attempt, {_OPENED} AS offered_at FROM offers),
+live AS (SELECT DISTINCT trip_id FROM o WHERE offered_at <= {_STOP} AND offered_at + INTERVAL '30' SECOND >= {_STOP}
+         AND NOT ((trip_id + attempt) % 3 = 0 AND offered_at + INTERVAL '12' SECOND <= {_STOP}))
+SELECT DISTINCT trip_id FROM o WHERE offered_at <= {_STOP} AND trip_id NOT IN (SELECT trip_id FROM live)""")
+def _(r: RideTables) -> DataFrame:
+    # The clock is stopped five minutes into the day; ids in the active set without state of the clock's own are orphans.
+    offers = r.offers.select("trip_id", "driver_id", "attempt", F.expr(_OPENED).alias("offered_at"))
+    offers = offers.withColumn("expires_at", F.expr("offered_at + INTERVAL 30 SECONDS"))
+    told = (offers.filter("(trip_id + attempt) % 3 = 0").select("trip_id", "driver_id", F.lit("REJECT").alias("decision"), F.expr("offered_at + INTERVAL 12 SECONDS").alias("ts"))
+            .filter(f"ts <= {_STOP}"))
+    asked = offers.filter(f"offered_at <= {_STOP}")
+    later = f"{_STOP} + INTERVAL 1 MINUTE"
+    clock = processors.offer_clock(
+        as_late_stream(with_sentinel(asked, trip_id="-1", driver_id="-1", attempt="1", offered_at=later, expires_at=later), "offers", "offered_at", "trip_id"),
+        as_late_stream(with_sentinel(told, trip_id="-2", driver_id="-2", decision="'REJECT'", ts=later), "responses", "ts", "driver_id"))
+    _, checkpoint = run_and_stop(clock, "str07")
+    return matching.drop_orphans(asked, state_keys(r.spark, checkpoint))
+
+
 @query("snk01_audit_log", "SNK-01", "trip_status_history", """
 SELECT CAST(CAST(date_trunc('month', changed_at) AS DATE) AS VARCHAR) AS changed_date, to_status, count(*) AS n FROM trip_status_history GROUP BY 1, 2""")
 def _(r: RideTables) -> DataFrame:

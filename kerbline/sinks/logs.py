@@ -11,6 +11,7 @@ from kerbline.session import remove_folder
 
 VERSION, BATCH = "snapshot_version", "ingest_batch"  # folder columns
 DELETED = "snapshot_deleted"
+BUCKET = "key_bucket"  # folder column
 
 
 def append_log(df: DataFrame, root: str, time_column: str, date_column: str, grain: str = "day", batch_id: int | str = 0) -> None:
@@ -25,6 +26,26 @@ def append_batch(df: DataFrame, root: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{root}/{BATCH}={batch_id}")
 
 
+def append_absent(rows: DataFrame, root: str, batch_id: int, keys: list[str], order: list[str], buckets: int = 256) -> None:
+    """Append the rows whose key no earlier batch has stored, one a key: the first by ``order``.
+
+    Stored rows lie in key buckets. Only the buckets that the batch touches, and of them only the keys, are read. Later
+    batches and the batch's own rows are left aside, so a replayed batch writes the same rows again. Null key fields are equal.
+    """
+    spark = rows.sparkSession
+    fields = [c for c in rows.columns if c not in keys]
+    first = (rows.groupBy(*keys).agg(F.min_by(F.struct(*fields), F.struct(*order)).alias("_row")).select(*keys, "_row.*").select(*rows.columns)
+             .withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")))
+    stored = _table(spark, root)
+    new = first
+    if stored is not None:
+        touched = [r[0] for r in first.select(BUCKET).distinct().collect()]  # ``buckets`` numbers at most
+        known = stored.filter((F.col(BATCH) < batch_id) & F.col(BUCKET).isin(touched)).select(BUCKET, *keys)
+        same = [F.col(f"n.{k}").eqNullSafe(F.col(f"k.{k}")) for k in (BUCKET, *keys)]
+        new = first.alias("n").join(known.alias("k"), same, "left_anti")
+    new.repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{root}/{BATCH}={batch_id}")
+
+
 def _table(spark: SparkSession, path: str) -> DataFrame | None:
     """The table at ``path``; None if the path does not exist. Any other fault is raised."""
     try:

@@ -8,8 +8,9 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kerbline.operators import matching, tracking, trips
+from kerbline.operators.dashboards import surge_factor
 from kerbline.operators.notify import topic_name
-from kerbline.sinks.logs import append_batch, fold_snapshot, read_snapshot, upsert_snapshot
+from kerbline.sinks.logs import append_absent, append_batch, fold_snapshot, read_snapshot, upsert_snapshot
 
 
 def offers_with_responses(offers: DataFrame, responses: DataFrame, longest_seconds: int = 600, delay: str = "1 minute") -> DataFrame:
@@ -44,6 +45,25 @@ def demand_windows(bookings: DataFrame, minutes: int = 5, delay: str = "10 minut
             .select(F.col("window.start").alias("window_start"), "zone_lat", "zone_lng", "demand"))
 
 
+def surge_windows(bookings: DataFrame, online: DataFrame, minutes: int = 5, delay: str = "10 minutes", cell_degrees: float = 0.02) -> DataFrame:
+    """Bookings against online drivers per zone and tumbling window, with the surge step: the live form of ``surge_by_zone``.
+
+    Each feed is counted under its own watermark, supply first by driver, so that a driver counts once; the two window
+    counts meet in a stream join, which gives a window once both feeds have passed it.
+    """
+    def placed(df: DataFrame, ts: str, lat: str, lng: str, *more: str) -> DataFrame:
+        cells = [F.floor(F.col(c) / F.lit(cell_degrees)).cast("bigint").alias(name) for c, name in ((lat, "zone_lat"), (lng, "zone_lng"))]
+        return df.withWatermark(ts, delay).groupBy(F.window(ts, f"{minutes} minutes").alias("window"), *cells, *more)
+
+    keys = ["window", "zone_lat", "zone_lng"]
+    demand = placed(bookings, "requested_at", "pickup_lat", "pickup_lng").agg(F.count(F.lit(1)).alias("demand"))
+    drivers = placed(online, "ts", "lat", "lng", "driver_id").agg(F.count(F.lit(1)).alias("events"))
+    supply = drivers.groupBy(*keys).agg(F.count(F.lit(1)).alias("supply"))
+    return (demand.join(supply, keys, "left_outer")
+            .select("zone_lat", "zone_lng", F.col("window.start").alias("window_start"), "demand", F.coalesce("supply", F.lit(0)).alias("supply"),
+                    surge_factor(F.col("demand") / F.col("supply")).alias("surge")))
+
+
 def _session(seconds: int) -> Column:
     """A session of events less than ``seconds`` apart. Spark also joins events exactly a gap apart, hence the microsecond."""
     return F.session_window("ts", f"{seconds * 1_000_000 - 1} microseconds")
@@ -134,3 +154,17 @@ def live_trips(root: str) -> Callable[[DataFrame, int], None]:
         fold_snapshot(trips.status_state(batch), root, batch_id, trips.merged_state)
 
     return handle
+
+
+CALLBACK_KEY = ("provider_key", "payment_id", "status", "transaction_ref")
+
+
+def apply_callbacks(root: str) -> Callable[[DataFrame, int], None]:
+    """Batch handler that stores each callback once under ``root``, however much later a replay of it comes.
+
+    ``first_callbacks`` forgets a key when the watermark passes it; here the stored keys themselves decide."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        append_absent(batch, root, batch_id, list(CALLBACK_KEY), ["received_at", "callback_id"])
+
+    return handle

@@ -11,8 +11,13 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from kerbline import model as m
 
 
+def _micros(value: Any) -> int:
+    return round(value.timestamp() * 1_000_000)
+
+
 def _ms(value: Any) -> int:
-    return int(value.timestamp() * 1000)
+    # By way of whole microseconds: a double just below a millisecond would lose it.
+    return _micros(value) // 1000
 
 
 class InOrder(StatefulProcessor):
@@ -47,7 +52,8 @@ class InOrder(StatefulProcessor):
         """When the held value lapses, in ms; None if time alone does not end it."""
         raise NotImplementedError
 
-    def lapse(self, key, held: tuple) -> Row:
+    def lapse(self, key, held: tuple) -> tuple[list[Row], tuple | None]:
+        """Rows of a held value that lapses, and what is held from then on."""
         raise NotImplementedError
 
     def _drain(self, key, upto: int, new: list[tuple] = ()) -> Iterator[Row]:
@@ -55,14 +61,14 @@ class InOrder(StatefulProcessor):
         held = tuple(self.held.get()) if self.held.exists() else None
         ready = [e for e in waiting if e[0] <= upto]
         for event in ready:
-            if held and self.lapses_before(held, event[0]):
-                yield self.lapse(key, held)
-                held = None
+            if held and self.lapses_before(held, event[0], event):
+                rows, held = self.lapse(key, held)
+                yield from rows
             rows, held = self.apply(key, held, event)
             yield from rows
         if held and self.lapses_before(held, upto):
-            yield self.lapse(key, held)
-            held = None
+            rows, held = self.lapse(key, held)
+            yield from rows
         rest = waiting[len(ready):]
         self.waiting.put(rest) if rest else self.waiting.clear()
         self.held.update(held) if held else self.held.clear()
@@ -75,7 +81,8 @@ class InOrder(StatefulProcessor):
                 self.timer.update((at,))
                 self.handle.registerTimer(at)
 
-    def lapses_before(self, held: tuple, at: int) -> bool:
+    def lapses_before(self, held: tuple, at: int, event: tuple | None = None) -> bool:
+        """Whether the held value lapses before ``event`` at ``at``, or by ``at`` if there is none."""
         due = self.due(held)
         return due is not None and due <= at
 
@@ -99,7 +106,7 @@ class Availability(InOrder):
     EMPTY = (None, None, None, 0, None, None, 0)
 
     def shape(self, row: Row) -> tuple:
-        return (_ms(row.ts), round(row.ts.timestamp() * 1_000_000), row.event_id, row.kind, row.lat, row.lng, row.vehicle_type, row.rating)
+        return (_ms(row.ts), _micros(row.ts), row.event_id, row.kind, row.lat, row.lng, row.vehicle_type, row.rating)
 
     def rank(self, event: tuple) -> tuple:
         return event[1:3]
@@ -148,7 +155,7 @@ class OfferClock(InOrder):
     def shape(self, row: Row) -> tuple:
         return (_ms(row.ts), row.kind, row.driver_id, row.attempt or 0, row.decision or "", _ms(row.expires_at) if row.expires_at else 0)
 
-    def lapses_before(self, held: tuple, at: int) -> bool:
+    def lapses_before(self, held: tuple, at: int, event: tuple | None = None) -> bool:
         return self.due(held) < at  # an answer at the expiry instant is in time
 
     def apply(self, key, held, event):
@@ -163,8 +170,8 @@ class OfferClock(InOrder):
     def due(self, held: tuple) -> int:
         return held[2]
 
-    def lapse(self, key, held: tuple) -> Row:
-        return self._settle(key, held, "TIMEOUT", held[2])
+    def lapse(self, key, held: tuple) -> tuple[list[Row], None]:
+        return [self._settle(key, held, "TIMEOUT", held[2])], None
 
     @staticmethod
     def _settle(key, offer: tuple, state: str, at: int) -> Row:
@@ -180,3 +187,140 @@ def offer_clock(offers: DataFrame, responses: DataFrame, offer_delay: str = "1 m
     return (asked.unionByName(told).groupBy("trip_id")
             .transformWithState(OfferClock(), "trip_id bigint, attempt int, driver_id bigint, state string, settled_ms bigint",
                                 "append", "EventTime"))
+
+
+class Lives(InOrder):
+    """The latest value of a key, each with a life of its own: a new value ends the old one's life, as a store's expiry does."""
+
+    waits = "at_ms bigint, micros bigint, tie bigint, life_ms bigint, value string"
+    holds = "until_ms bigint, value string"
+
+    def shape(self, row: Row) -> tuple:
+        return (_ms(row.ts), _micros(row.ts), row.tie, row.life_ms, row.value or "")
+
+    def apply(self, key, held: tuple | None, event: tuple) -> tuple[list[Row], tuple | None]:
+        at, _, _, life, value = event
+        if life <= 0:
+            return [self._row(key, "REMOVED", at, value)] if held else [], None
+        return [self._row(key, "UPDATE", at, value)], (at + life, value)
+
+    def due(self, held: tuple) -> int:
+        return held[0]
+
+    def lapse(self, key, held: tuple) -> tuple[list[Row], None]:
+        return [self._row(key, "EXPIRED", *held)], None
+
+    @staticmethod
+    def _row(key, change: str, at: int, value: str) -> Row:
+        return Row(store=key[0], key=key[1], change=change, at_ms=at, value=value)
+
+
+def lives(stream: DataFrame, delay: str = "1 minute") -> DataFrame:
+    """UPDATE, EXPIRED and REMOVED rows of ``stream(store, key, ts, tie, life_ms, value)``, the latest value of a key in each store.
+
+    A value lives ``life_ms`` from its event on; a life of 0 removes the key. A value that comes just as the old one ends follows its end.
+    """
+    return (stream.withWatermark("ts", delay).groupBy("store", "key")
+            .transformWithState(Lives(), "store string, key bigint, change string, at_ms bigint, value string", "append", "EventTime"))
+
+
+class SilentDriving(InOrder):
+    """A driver's last heartbeat and trips in progress: a silence that ends while a trip runs flags the latest-started one."""
+
+    waits = "at_ms bigint, micros bigint, kind int, id bigint"
+    holds = "beat_micros bigint, ping_id bigint, started array<bigint>, trips array<bigint>"
+    START, END, BEAT = range(3)
+
+    def __init__(self, seconds: int):
+        self.micros = seconds * 1_000_000
+
+    def shape(self, row: Row) -> tuple:
+        return (_ms(row.ts), _micros(row.ts), row.kind, row.id)
+
+    def rank(self, event: tuple) -> tuple:
+        return event[1:]  # trips change before a heartbeat of the same instant
+
+    def due(self, held: tuple) -> int | None:
+        return None if held[0] is None else -(-(held[0] + self.micros) // 1000)
+
+    def lapses_before(self, held: tuple, at: int, event: tuple | None = None) -> bool:
+        if held[0] is None or event is None:
+            return super().lapses_before(held, at, event)
+        ends = held[0] + self.micros
+        # A heartbeat just as the time is up comes too late; a trip that starts or ends just then counts first.
+        return ends <= event[1] if event[2] == self.BEAT else ends < event[1]
+
+    def apply(self, key, held: tuple | None, event: tuple) -> tuple[list[Row], tuple | None]:
+        _, micros, kind, ident = event
+        beat, ping, started, trips = held or (None, None, [], [])
+        running = dict(zip(trips, started))
+        if kind == self.BEAT:
+            beat, ping = micros, ident
+        elif kind == self.START:
+            running[ident] = micros
+        else:
+            running.pop(ident, None)
+        return [], self._held(beat, ping, list(running.values()), list(running))
+
+    def lapse(self, key, held: tuple) -> tuple[list[Row], tuple | None]:
+        beat, ping, started, trips = held
+        rest = self._held(None, None, started, trips)
+        if not trips:
+            return [], rest
+        return [Row(driver_id=key[0], trip_id=max(zip(started, trips))[1], ping_id=ping, offline_micros=beat + self.micros)], rest
+
+    @staticmethod
+    def _held(beat, ping, started, trips) -> tuple | None:
+        return None if beat is None and not trips else (beat, ping, list(started), list(trips))
+
+
+def silent_driving(beats: DataFrame, trip_events: DataFrame, seconds: int = 60, beat_delay: str = "1 minute", trip_delay: str = "1 minute") -> DataFrame:
+    """Drivers who fall silent for ``seconds`` while a trip of theirs is in progress, the live form of ``silent_while_driving``.
+
+    ``beats(driver_id, ping_id, ts)`` and ``trip_events(driver_id, trip_id, kind, ts)``, kind ``start`` or ``end``, meet in one
+    keyed state; each feed has its own watermark and the slower one holds the clock.
+    """
+    beat = beats.withWatermark("ts", beat_delay).select("driver_id", F.lit(SilentDriving.BEAT).alias("kind"), F.col("ping_id").alias("id"), "ts")
+    turn = F.when(F.col("kind") == "start", SilentDriving.START).otherwise(SilentDriving.END)
+    trip = trip_events.withWatermark("ts", trip_delay).select("driver_id", turn.alias("kind"), F.col("trip_id").alias("id"), "ts")
+    flagged = (beat.unionByName(trip).groupBy("driver_id")
+               .transformWithState(SilentDriving(seconds), "driver_id bigint, trip_id bigint, ping_id bigint, offline_micros bigint", "append", "EventTime"))
+    return flagged.select("driver_id", "trip_id", "ping_id", F.timestamp_micros("offline_micros").alias("offline_at"))
+
+
+class Release(InOrder):
+    """A scheduled booking, handed on once when it is near, unless it is cancelled or moved before."""
+
+    waits = "at_ms bigint, kind string, due_ms bigint"
+    holds = "release_ms bigint, scheduled_ms bigint"
+
+    def __init__(self, lead_seconds: int):
+        self.lead = lead_seconds * 1000
+
+    def shape(self, row: Row) -> tuple:
+        return (_ms(row.ts), row.kind, _ms(row.scheduled_at) if row.scheduled_at else 0)
+
+    def apply(self, key, held: tuple | None, event: tuple) -> tuple[list[Row], tuple | None]:
+        at, kind, scheduled = event
+        return [], None if kind == "cancel" else (max(at, scheduled - self.lead), scheduled)
+
+    def due(self, held: tuple) -> int:
+        return held[0]
+
+    def lapses_before(self, held: tuple, at: int, event: tuple | None = None) -> bool:
+        # What comes at the very instant of the release still counts.
+        return held[0] < at if event else held[0] <= at
+
+    def lapse(self, key, held: tuple) -> tuple[list[Row], None]:
+        return [Row(trip_id=key[0], released_ms=held[0], scheduled_ms=held[1])], None
+
+
+def release_due(bookings: DataFrame, lead_minutes: int = 15, delay: str = "1 minute") -> DataFrame:
+    """Scheduled bookings once each, ``lead_minutes`` before their time (at once, if booked later than that).
+
+    ``bookings(trip_id, kind, scheduled_at, ts)``: kind ``book`` sets or moves the time until the release, ``cancel`` ends it.
+    Rows that come again change nothing: while the booking waits they say the same, and after its release the watermark has passed them.
+    """
+    out = (bookings.withWatermark("ts", delay).groupBy("trip_id")
+           .transformWithState(Release(lead_minutes * 60), "trip_id bigint, released_ms bigint, scheduled_ms bigint", "append", "EventTime"))
+    return out.select("trip_id", F.timestamp_millis("released_ms").alias("released_at"), F.timestamp_millis("scheduled_ms").alias("scheduled_at"))

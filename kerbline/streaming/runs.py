@@ -71,13 +71,28 @@ def as_late_stream(df: DataFrame, label: str, ts: str, key: str, batches: int =
 
 def run_to_table(stream: DataFrame, label: str) -> DataFrame:
     """Run a stream over its available input into Parquet files and read them."""
+    return run_and_stop(stream, label)[0]
+
+
+def run_and_stop(stream: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """As :func:`run_to_table`, with the folder of the stopped stream's checkpoint."""
     spark = stream.sparkSession
     out = fresh_folder(spark, label)
     with stream_settings(spark):
         run = (stream.writeStream.format("parquet").outputMode("append").option("path", f"{out}/rows")
                .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start())
         run.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+    return spark.read.schema(stream.schema).parquet(f"{out}/rows"), f"{out}/checkpoint"
+
+
+def state_keys(spark: SparkSession, checkpoint: str, states: tuple[str, ...] = ("waiting", "held")) -> DataFrame:
+    """Distinct keys for which a stopped stream's keyed operator holds any of ``states``, read by Spark's state source."""
+    found = None
+    with stream_settings(spark):
+        for name in states:
+            rows = spark.read.format("statestore").option("stateVarName", name).load(checkpoint).select("key.*")
+            found = rows if found is None else found.unionByName(rows)
+    return found.distinct()
 
 
 def run_batches(stream: DataFrame, label: str, handle: Callable[[DataFrame, int], None]) -> None:

@@ -114,3 +114,58 @@ def test_sinks_are_idempotent(spark):
     upsert_snapshot(gone, f"{root}/snap", 2, ["k"], ["t"], F.col("v").isNull())
     assert {r.k for r in read_snapshot(spark, f"{root}/snap").collect()} == {2, 3}
     assert read_snapshot(spark, f"{root}/none") is None
+
+
+def micros(seconds):
+    return int((BASE.timestamp() + seconds) * 1_000_000)
+
+
+@pytest.mark.parametrize("cut", [1, 3])
+def test_silence_flags_the_running_trip_like_the_batch_form(spark, cut):
+    from kerbline.operators import tracking
+
+    # 60 s of silence to the instant count as offline; a trip that ends just then is over, one that starts just then runs.
+    beats = [(1, 10, at(0)), (1, 11, at(59)), (1, 12, at(119)), (2, 20, at(0)), (3, 30, at(0)), (3, 31, at(200)), (4, 40, at(0)), (4, 41, at(30))]
+    trips = [(100, 1, at(-50), at(119)), (101, 1, at(-20), at(500)), (200, 2, at(-50), at(60)), (300, 3, at(60), at(100)), (301, 3, at(150), None), (400, 4, at(10), at(10))]
+    turns = sorted([(d, t, "start", s) for t, d, s, e in trips if e != s] + [(d, t, "end", e) for t, d, s, e in trips if e and e != s], key=lambda r: r[3])
+    late = [beats[i::cut] for i in range(cut)]
+    beat = in_order(spark, late + [[(-1, 0, at(99_999))]], "driver_id long, ping_id long, ts timestamp", "beats")
+    turn = in_order(spark, [turns[i::cut] for i in reversed(range(cut))] + [[(-2, 0, "end", at(99_999))]], "driver_id long, trip_id long, kind string, ts timestamp", "turns")
+    live = run_to_table(processors.silent_driving(beat, turn, beat_delay="1 hour", trip_delay="1 hour"), "silent").filter("driver_id > 0")
+    pings = spark.createDataFrame(beats, "driver_id long, ping_id long, ts timestamp")
+    table = spark.createDataFrame([(t, d, s, e, None) for t, d, s, e in trips], "id long, driver_id long, started_at timestamp, completed_at timestamp, deleted_at timestamp")
+    batch = tracking.silent_while_driving(pings, table)
+    got = sorted((r.driver_id, r.trip_id, r.ping_id, r.offline_at) for r in live.collect())
+    assert got == sorted((r.driver_id, r.trip_id, r.ping_id, r.offline_at) for r in batch.collect())
+    assert got == [(1, 101, 11, at(119)), (1, 101, 12, at(179)), (3, 300, 30, at(60)), (3, 301, 31, at(260))]
+
+
+def test_scheduled_bookings_are_released_once(spark):
+    schema = "trip_id long, kind string, scheduled_at timestamp, ts timestamp"
+    chunks = [[(1, "book", at(3600), at(0)), (2, "book", at(300), at(10)), (3, "book", at(3600), at(0))],
+              [(1, "book", at(3600), at(0)), (3, "cancel", None, at(2700)), (4, "book", at(1800), at(20)), (4, "book", at(7200), at(100))],
+              [(5, "cancel", None, at(3000)), (5, "book", at(1000), at(0))], [(-1, "cancel", None, at(99_999))]]
+    out = run_to_table(processors.release_due(in_order(spark, chunks, schema, "scheduled"), delay="2 hours"), "release").filter("trip_id > 0")
+    # 2 was booked inside the last 15 minutes, 3 cancelled at the very release, 4 moved, 5 cancelled after its release.
+    assert sorted((r.trip_id, r.released_at, r.scheduled_at) for r in out.collect()) == [
+        (1, at(2700), at(3600)), (2, at(10), at(300)), (4, at(6300), at(7200)), (5, at(100), at(1000))]
+
+
+def test_replays_days_later_and_retried_batches_add_nothing(spark):
+    from kerbline.sinks.logs import append_absent
+
+    root, schema = fresh_folder(spark, "absent"), "k long, t long, v string"
+    batches = [[(1, 1, "a"), (1, 2, "b"), (None, 1, "n")], [(1, 99, "late"), (2, 5, "c")], [(None, 9, "again"), (2, 1, "older"), (3, 3, "d")], []]
+    for number in (0, 1, 1, 2, 0, 2, 3):
+        append_absent(spark.createDataFrame(batches[number], schema), root, number, ["k"], ["t"], buckets=4)
+    assert sorted((str(r.k), r.v) for r in spark.read.parquet(root).collect()) == [("1", "a"), ("2", "c"), ("3", "d"), ("None", "n")]
+
+
+def test_lives_differ_by_row(spark):
+    schema = "store string, key long, ts timestamp, tie long, life_ms long, value string"
+    chunks = [[("s", 1, at(0), 1, 43_200_000, "BUSY"), ("o", 1, at(0), 2, 30_000, "x")], [("s", 1, at(10), 3, 60_000, "FREE"), ("s", 2, at(5), 4, 60_000, "FREE")],
+              [("s", 2, at(20), 5, 0, None), ("s", 1, at(70), 6, 60_000, "FREE")], [("s", -1, at(99_999), 9, 1, "")]]
+    out = run_to_table(processors.lives(in_order(spark, chunks, schema, "lives")), "lives").filter("key > 0")
+    got = sorted((r.store, r.key, r.at_ms - micros(0) // 1000, r.change) for r in out.collect())
+    assert got == sorted([("s", 1, 0, "UPDATE"), ("s", 1, 10_000, "UPDATE"), ("s", 1, 70_000, "EXPIRED"), ("s", 1, 70_000, "UPDATE"), ("s", 1, 130_000, "EXPIRED"),
+                          ("o", 1, 0, "UPDATE"), ("o", 1, 30_000, "EXPIRED"), ("s", 2, 5_000, "UPDATE"), ("s", 2, 20_000, "REMOVED")])
