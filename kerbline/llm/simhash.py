@@ -11,7 +11,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kerbline.llm.common import column, components, free_name, partitions
+from kerbline.llm.common import WORD, column, components, free_name, partitions
 from kerbline.session import written
 
 SEED = 42
@@ -93,6 +93,23 @@ def _forest(prints: np.ndarray, most: int) -> list[tuple[int, int]]:
     return links
 
 
+def _nearest_forest(prints: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """As :func:`_forest`, from the closest pairs: a group grows by its nearest row, so a far link stands only where no near ones lead."""
+    n = len(prints)
+    out: list[tuple[int, int]] = []
+    left = np.ones(n, bool)
+    gap, via = np.full(n, 1 << 30), np.zeros(n, np.int64)
+    for _ in range(n):
+        at = int(np.argmin(np.where(left, gap, 1 << 31)))
+        if gap[at] <= most:
+            out.append((int(via[at]), at))
+        left[at] = False
+        new = np.bitwise_count(prints ^ prints[at]).sum(axis=1, dtype=np.int64)
+        closer = left & (new < gap)
+        gap[closer], via[closer] = new[closer], at
+    return out
+
+
 def _exact_forest(prints: np.ndarray, most: int, free: list[int], whole: int = 1024) -> list[tuple[int, int]]:
     """As :func:`_forest` for one-lane fingerprints that differ in the bits ``free`` only.
 
@@ -162,15 +179,20 @@ def _short_links(pdf: pd.DataFrame, keys: list[str], lanes: int, most: int) -> t
     prints = np.frombuffer(b"".join(pdf["print"]), ">u8").astype(np.uint64).reshape(-1, lanes)
     first: list[np.ndarray] = []
     second: list[np.ndarray] = []
+    gaps: list[np.ndarray] = []
     for lag in range(1, min(SHORT, int(sizes.max(initial=1)))):
         i = np.flatnonzero((run[lag:] == run[:-lag]) & ~long[lag:])
         if not len(i):
             break
-        near = np.bitwise_count(prints[i] ^ prints[i + lag]).sum(axis=1) <= most
+        gap = np.bitwise_count(prints[i] ^ prints[i + lag]).sum(axis=1)
+        near = gap <= most
         first.append(i[near])
         second.append(i[near] + lag)
-    a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (first, second))
-    # A forest of each run, from its links in order.
+        gaps.append(gap[near])
+    a, b, gap = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (first, second, gaps))
+    # A forest of each run, from its closest links on.
+    order = np.argsort(gap, kind="stable")
+    a, b = a[order], b[order]
     root: dict[int, int] = {}
     nodes = pdf["node"].to_numpy()
     out_a, out_b = [], []
@@ -191,7 +213,7 @@ def _short_links(pdf: pd.DataFrame, keys: list[str], lanes: int, most: int) -> t
 
 def _linked(keyed: DataFrame, lanes: int, most: int, forest: Callable[[np.ndarray, int], list[tuple[int, int]]],
             keys: tuple[str, ...] = ("tab", "key"), longest: int | None = None) -> DataFrame:
-    """Links ``(a, b)`` within the runs of ``keyed(tab int, key long, node, print binary)``: sorted, then run by run.
+    """Links ``(a, b)``, one for each run that gives it, within the runs of ``keyed(tab int, key long, node, print binary)``: sorted, then run by run.
 
     Short runs are compared many at once, long ones by ``forest`` one by one. With ``longest`` a run of more rows is neither
     held nor compared: one row ``(a, b, tab, key, size)`` of it has its ``size``, which is 0 in links."""
@@ -248,7 +270,7 @@ def _linked(keyed: DataFrame, lanes: int, most: int, forest: Callable[[np.ndarra
             yield pd.DataFrame([(r["node"], r["node"], r["tab"], r["key"], n) for r, n in over], columns=["a", "b", "tab", "key", "size"])
 
     dealt = keyed.repartition(partitions(keyed), *keys).sortWithinPartitions(*keys)
-    return dealt.mapInPandas(link, f"a {kind}, b {kind}" + ("" if longest is None else ", tab int, key long, size long")).distinct()
+    return dealt.mapInPandas(link, f"a {kind}, b {kind}" + ("" if longest is None else ", tab int, key long, size long"))
 
 
 def block_links(prints: DataFrame, most: int, blocks: int) -> DataFrame:
@@ -269,21 +291,33 @@ def block_links(prints: DataFrame, most: int, blocks: int) -> DataFrame:
     keyed = (prints.select("node", "print", value.alias("v"))
              .select("node", "print", "v", F.posexplode(F.array(*[F.lit(m).cast("long") for m in signed])).alias("tab", "mask"))
              .select("tab", F.expr("v & mask").alias("key"), "node", "print"))
-    return _linked(keyed, 1, most, lambda p, tab: _exact_forest(p, most, frees[tab]))
+    return _linked(keyed, 1, most, lambda p, tab: _exact_forest(p, most, frees[tab])).distinct()
 
 
 def wide_plan(nodes: int, lanes: int, difference: float, missed: float) -> tuple[int, int]:
-    """Bits of a block and number of blocks for :func:`wide_links`: runs of about four unrelated rows at any size."""
+    """Bits of a block and number of blocks for :func:`wide_links`: runs of about four unrelated rows at any size.
+
+    A pair's differing bits follow the binomial law of ``64 * lanes`` bits that each differ with chance ``difference``; as many
+    blocks are taken as keep its chance to share none, averaged over that law, at ``missed`` or less.
+    """
+    total = 64 * lanes
     bits = min(60, max(10, math.ceil(math.log2(max(nodes, 2))) - 2))
-    return bits, math.ceil(math.log(1 / missed) / (1 - difference) ** bits)
+    law = np.array([math.comb(total, x) * difference ** x * (1 - difference) ** (total - x) for x in range(total + 1)])
+    apart = np.array([1 - math.comb(total - x, bits) / math.comb(total, bits) for x in range(total + 1)])
+    count = 1
+    while float(law @ apart ** count) > missed:
+        count += 1
+    return bits, count
 
 
 def wide_links(prints: DataFrame, lanes: int, most: int, difference: float, missed: float = 0.02, chunk: int = 4096) -> DataFrame:
-    """Links ``(a, b)`` between fingerprints of ``64 * lanes`` bits within ``most`` bits, for wide distances.
+    """Links ``(a, b, met)`` between fingerprints of ``64 * lanes`` bits within ``most`` bits, for wide distances.
+
+    ``met`` counts the runs that give the link, more for closer pairs.
 
     At distances of a seventh of all bits no split has few tables and sure blocks, so blocks are drawn from the bits by
-    a fixed generator, as wide as the table's size asks for, and as many as let a pair that differs in the share ``difference``
-    of its bits meet in none with probability ``missed``. Every pair of a run is compared: a run of more than ``chunk`` rows
+    a fixed generator, as wide as the table's size asks for, and as many as let a pair whose bits differ with chance ``difference``
+    meet in none with probability ``missed`` (:func:`wide_plan`). Every pair of a run is compared: a run of more than ``chunk`` rows
     is dealt by hash into parts of a quarter of that, and each two parts meet in a task of their own, so that none holds
     or compares more than about half a chunk. Only spanning forests leave a run or two parts.
     """
@@ -304,19 +338,22 @@ def wide_links(prints: DataFrame, lanes: int, most: int, difference: float, miss
                                         "node": part["node"].to_numpy(), "print": part["print"].to_numpy()})
 
     def forest(p: np.ndarray, tab: int) -> list[tuple[int, int]]:
-        return _forest(p, most)
+        return _nearest_forest(p, most)
+
+    def counted(links: DataFrame) -> DataFrame:
+        return links.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("met"))
 
     keyed = prints.select("node", "print").mapInPandas(keys, f"tab int, key long, node {kind}, print binary")
     found = written(_linked(keyed, lanes, most, forest, longest=chunk), "near-runs")
     links, long = found.filter("size = 0").select("a", "b"), found.filter("size > 0")
     if long.isEmpty():
-        return links
+        return counted(links)
     long = long.select("tab", "key", F.expr(f"cast(ceil(size * 4 / {chunk}) as int)").alias("parts"))
     placed = keyed.join(long, ["tab", "key"]).withColumn("part", F.expr("cast(pmod(xxhash64(node, 5), parts) as int)"))
     # A part meets each other part, and its own rows meet there too.
     met = (placed.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).filter("other <> part")
            .select("tab", "key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "node", "print"))
-    return links.union(_linked(met, lanes, most, forest, ("tab", "key", "low", "high"))).distinct()
+    return counted(links.union(_linked(met, lanes, most, forest, ("tab", "key", "low", "high"))))
 
 
 def classes(rows: DataFrame, key: str, print_column: str) -> DataFrame:
@@ -345,23 +382,89 @@ def bit_difference(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+def shingle_sets(text: Column, words: int) -> Column:
+    """Binary column of the distinct shingle hashes of whole texts, sorted, eight bytes each."""
+
+    @F.pandas_udf("binary")
+    def compute(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes((t or "").encode(), words)).tobytes() for t in texts], dtype=object)
+
+    return compute(text)
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The rows ``(a, b)`` of ``pairs`` whose shingle sets have that Jaccard similarity or more; two empty sets are alike.
+
+    Sizes too far apart settle a pair before its sets are moved."""
+
+    @F.pandas_udf("boolean")
+    def alike(left: pd.Series, right: pd.Series) -> pd.Series:
+        def one(x: bytes, y: bytes) -> bool:
+            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            shared = len(np.intersect1d(p, q, assume_unique=True))
+            return shared >= similarity * (len(p) + len(q) - shared)
+
+        return pd.Series([one(x, y) for x, y in zip(left, right)], dtype=bool)
+
+    sizes = sets.select("node", "size")
+    sized = (pairs.select("a", "b").join(sizes.toDF("a", "size_a"), "a").join(sizes.toDF("b", "size_b"), "b")
+             .filter(F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b")).select("a", "b"))
+    left, right = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"hashes_{c}")) for c in "ab")
+    return sized.join(left, "a").join(right, "b").filter(alike("hashes_a", "hashes_b")).select("a", "b")
+
+
+def confirmed(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``(node, root)`` of the components of those ``links(a, b, met)`` that exact Jaccard similarity confirms.
+
+    Texts are compared in three passes, since most links lie within a component that fewer of them span: first the closest
+    link of each node, then the closest between each two components so far, then all that still lead from one to another.
+    A link is left uncompared only where confirmed ones already join its ends.
+    """
+    links = written(links, "near-candidates")
+    closeness = F.struct(F.col("met"), -F.xxhash64("a", "b"))
+    ends = links.select(F.explode(F.array("a", "b")).alias("node"), "a", "b", "met")
+    closest = ends.groupBy("node").agg(F.max_by(F.struct("a", "b"), closeness).alias("l")).select("l.a", "l.b").distinct()
+    tried = written(closest, "near-tried")
+    good = written(_similar(tried, sets, similarity), "near-good")
+    for last in (False, True):
+        roots = components(good, "near")
+        apart = (links.join(tried, ["a", "b"], "left_anti")
+                 .join(roots.toDF("a", "root_a"), "a", "left").join(roots.toDF("b", "root_b"), "b", "left")
+                 .withColumn("root_a", F.coalesce("root_a", "a")).withColumn("root_b", F.coalesce("root_b", "b")).filter("root_a <> root_b"))
+        if not last:
+            two = (F.least("root_a", "root_b").alias("low"), F.greatest("root_a", "root_b").alias("high"))
+            apart = apart.groupBy(*two).agg(F.max_by(F.struct("a", "b"), closeness).alias("l")).select("l.a", "l.b")
+        next_ones = written(apart.select("a", "b"), "near-tried")
+        if next_ones.isEmpty():
+            return roots
+        good = written(good.union(_similar(next_ones, sets, similarity)), "near-good")
+        tried = tried.union(next_ones)
+    return components(good, "near")
+
+
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, lanes: int = 4) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the one with the smallest key (then the least text hash).
 
-    Fingerprints of ``64 * lanes`` bits over shingles of ``words`` words link if they differ in no more bits than texts of
-    the given similarity do, plus one and a half standard deviations, so that chance of hashing seldom parts such texts.
-    Blank and null texts are alike. Repeated rows are copies, one stays. A null key comes after all others. Columns of
-    any name pass through; an empty table gives no rows.
+    Fingerprints of ``64 * lanes`` bits over shingles of ``words`` words are candidates if they differ in no more bits than texts of
+    the given similarity do, plus two and a half standard deviations; candidates link if the Jaccard similarity of their
+    shingle sets is that high. Blank and null texts are alike. Repeated rows are copies, one stays. A null key comes after
+    all others. Columns of any name pass through; an empty table gives no rows.
     """
     bits, p = 64 * lanes, bit_difference(similarity)
-    most = int(bits * p + 1.5 * math.sqrt(bits * p * (1 - p)))
+    most = int(bits * p + 2.5 * math.sqrt(bits * p * (1 - p)))
     mark, k, m = (free_name(docs, n) for n in ("text_hash", "stay_key", "stay_mark"))
-    hashed = docs.withColumn(mark, F.xxhash64(column(text)))
-    prints = written(hashed.select(column(key).alias("key"), column(mark).alias("mark"), fingerprints(column(text), words, lanes).alias("print")), "near-prints")
-    order = F.struct(F.col("key").isNull().alias("n"), F.col("key"), F.col("mark"))
-    reps = written(prints.groupBy("print").agg(F.min(order).alias("rep")).withColumn("node", F.xxhash64("print", F.lit(7))), "near-classes")
-    found = components(wide_links(reps, lanes, most, p), "near")
-    stay = (reps.join(found, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("rep").alias("rep"))
-            .select(F.col("rep.key").alias(k), F.col("rep.mark").alias(m)))
+    hashed = docs.withColumn(mark, F.xxhash64(F.when(column(text).rlike(WORD), column(text))))
+    prints = written(hashed.select(column(key).alias("key"), column(mark).alias("node"), fingerprints(column(text), words, lanes).alias("print")), "near-prints")
+    order = F.struct(F.col("key").isNull().alias("n"), F.col("key"))
+    reps = written(prints.groupBy("node").agg(F.min("print").alias("print"), F.min(order).alias("first")), "near-classes")
+    links = written(wide_links(reps, lanes, most, p), "near-links")
+    linked = links.select(F.explode(F.array("a", "b")).alias(m)).distinct()
+    texts = hashed.select(column(mark).alias("node"), column(text).alias("text")).join(linked.withColumnRenamed(m, "node"), "node", "left_semi")
+    sets = texts.dropDuplicates(["node"]).select("node", shingle_sets(F.col("text"), words).alias("hashes"))
+    sets = written(sets.withColumn("size", (F.octet_length("hashes") / 8).cast("long")), "near-sets")
+    found = confirmed(links, sets, similarity)
+    least = F.struct("first.n", "first.key", "node")
+    stay = (reps.join(found, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min(least).alias("rep"))
+            .select(F.col("rep.key").alias(k), F.col("rep.node").alias(m)))
     kept = hashed.join(stay, column(key).eqNullSafe(column(k)) & (column(mark) == column(m)), "left_semi")
     return kept.dropDuplicates([key, mark]).drop(mark)

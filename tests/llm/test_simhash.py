@@ -175,3 +175,25 @@ def test_every_pair_of_a_run_over_the_chunk_is_compared(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {(2 * i, 2 * i + 1) for i in range(200)} <= links
     assert all(bin(int.from_bytes(rows[a][1], "big") ^ int.from_bytes(rows[b][1], "big")).count("1") <= 1 for a, b in links)
+
+
+def test_a_chain_of_candidates_below_the_similarity_stays_apart(spark):
+    # a - b - c: every neighbouring pair is a candidate, only a and b are alike; d joins c through a later pass.
+    sets = {1: range(0, 100), 2: range(5, 105), 3: range(30, 130), 4: range(33, 133), 5: range(0, 300)}
+    rows = [(i, bytearray(np.array(list(v), np.uint64).tobytes()), len(v)) for i, v in sets.items()]
+    links = [(1, 2, 9), (2, 3, 12), (3, 4, 3), (1, 3, 2), (2, 4, 1), (1, 5, 1)]
+    got = simhash.confirmed(spark.createDataFrame(links, "a long, b long, met long"), spark.createDataFrame(rows, "node long, hashes binary, size long"), 0.8)
+    assert {r["node"]: r["root"] for r in got.collect()} == {1: 1, 2: 1, 3: 3, 4: 3}
+
+
+def test_nearest_forest_spans_the_groups_by_their_closest_pairs():
+    rng = random.Random(5)
+    prints = [rng.getrandbits(64) for _ in range(6)]
+    near = [p ^ sum(1 << b for b in rng.sample(range(64), k)) for p in prints for k in (0, 1, 2, 5, 6)]
+    links = simhash._nearest_forest(np.array(near, np.uint64).reshape(-1, 1), 8)
+    want = groups(dict(enumerate(near)), 8)
+    got = {i: i for i in range(len(near))}
+    for a, b in links:
+        x, y = got[a], got[b]
+        got = {k: min(x, y) if v in (x, y) else v for k, v in got.items()}
+    assert got == want and len(links) == len(near) - len(set(want.values()))
