@@ -11,7 +11,7 @@ from kerbline import model as m
 from kerbline.functions import geo, text
 from kerbline.operators.nearest import nearest
 from kerbline.operators.timeline import asof_join
-from kerbline.session import cut_lineage, written
+from kerbline.session import cut_lineage, forget, fresh_folder, written
 
 Ranking = Callable[[], list[Column]]
 RANKINGS: dict[str, Ranking] = {
@@ -89,33 +89,40 @@ def assign_timed(requests: DataFrame, ranked: DataFrame, locks: DataFrame | None
     """Each trip's first candidate that is free at its request time, trips in order of (requested_at, trip_id).
 
     A taken driver is locked for ``lock_seconds`` from the taking trip's request on, then free again. ``locks`` (driver_id,
-    locked_until) bars drivers taken before. What a trip gets depends on earlier trips of the last ``lock_seconds`` only, so
-    all trips choose at once from the last round's choices, again until nothing changes: after n rounds every trip with at
-    most n - 1 trips before it in a chain of conflicts is right. A trip meets another one only through a shared driver in the
-    same or the last lock-long time slot. A round is a written table of one row per placed trip.
+    locked_until) bars drivers taken before. A trip's first open wish is settled once no earlier unsettled trip of the last
+    ``lock_seconds`` has an open wish for the same driver; it then closes later trips' wishes within the lock's life, and so on. A round
+    reads the unsettled trips only, and trips far apart in time or place settle in the same round, so rounds follow the longest
+    chain of conflicts. Rivals meet through (driver, lock-long time slot) and the next slot, never as pairs.
     """
+    spark = requests.sparkSession
     moment = F.unix_micros("requested_at")
     span = lock_seconds * 1_000_000
-    wishes = ranked.select("trip_id", "driver_id", "distance_m", "rank").join(
+    fields = ["requested_at", "driver_id", "distance_m", "rank", "at", "slot"]
+    wishes = ranked.select("trip_id", "driver_id", "distance_m", F.col("rank").cast("int").alias("rank")).join(
         requests.select("trip_id", "requested_at", moment.alias("at")), "trip_id")
     if locks is not None:
         held = locks.groupBy("driver_id").agg(F.max("locked_until").alias("_until"))
         wishes = (wishes.join(held, "driver_id", "left").filter(F.col("_until").isNull() | (F.col("requested_at") >= F.col("_until"))).drop("_until"))
-    wishes = written(wishes.withColumn("slot", F.floor(F.col("at") / span)), "timed-wishes")
-    taken, seen = None, None
+
+    def unbarred(rows: DataFrame, others: DataFrame) -> DataFrame:
+        """Wishes that no earlier one of ``others`` for the same driver bars."""
+        other = others.select(F.col("driver_id").alias("d"), F.col("trip_id").alias("t"), F.col("at").alias("t_at"),
+                              F.explode(F.array(F.col("slot"), F.col("slot") + 1)).alias("s"))
+        earlier = (F.col("t_at") < F.col("at")) | ((F.col("t_at") == F.col("at")) & (F.col("t") < F.col("trip_id")))
+        return rows.join(other, (F.col("driver_id") == F.col("d")) & (F.col("slot") == F.col("s")) & earlier & (F.col("t_at") + span > F.col("at")), "left_anti")
+
+    active = written(wishes.withColumn("slot", F.floor(F.col("at") / span)), "timed-wishes")
+    done, turn = fresh_folder(spark, "timed-settled"), 0
     while True:
-        free = wishes
-        if taken is not None:
-            other = taken.select(F.col("driver_id").alias("d"), F.col("trip_id").alias("t"), F.col("at").alias("t_at"),
-                                 F.explode(F.array(F.col("slot"), F.col("slot") + 1)).alias("s"))
-            earlier = (F.col("t_at") < F.col("at")) | ((F.col("t_at") == F.col("at")) & (F.col("t") < F.col("trip_id")))
-            free = wishes.join(other, (F.col("driver_id") == F.col("d")) & (F.col("slot") == F.col("s")) & earlier & (F.col("t_at") + span > F.col("at")), "left_anti")
-        choice = free.groupBy("trip_id").agg(F.min_by(F.struct("requested_at", "driver_id", "distance_m", "rank", "at", "slot"), F.struct("rank", "driver_id")).alias("c"))
-        taken = written(choice.select("trip_id", "c.*"), "timed-choices")
-        now = taken.agg(F.count("*"), F.bit_xor(F.xxhash64("trip_id", "driver_id"))).first()
-        if now == seen:
-            return taken.select("trip_id", "requested_at", "driver_id", "distance_m", F.col("rank").cast("int").alias("rank"))
-        seen = now
+        first = active.groupBy("trip_id").agg(F.min_by(F.struct(*fields), F.struct("rank", "driver_id")).alias("c")).select("trip_id", "c.*")
+        unbarred(first, active).write.parquet(f"{done}/round={turn}")
+        settled = spark.read.schema(first.schema).parquet(f"{done}/round={turn}")
+        rest = written(unbarred(active.join(settled.select("trip_id"), "trip_id", "left_anti"), settled), "timed-wishes")
+        forget(active)
+        active, turn = rest, turn + 1
+        if active.isEmpty():
+            forget(active)
+            return spark.read.schema(first.schema).parquet(done).select("trip_id", "requested_at", "driver_id", "distance_m", "rank")
 
 
 def make_offers(assigned: DataFrame, attempt: int = 1, ttl_seconds: int = m.DRIVER_LOCK_TTL) -> DataFrame:

@@ -75,6 +75,33 @@ def _(r: RideTables) -> DataFrame:
     return matching.assign(r.match_requests, ranked).select("trip_id", "driver_id", "distance_m")
 
 
+# Requests spread over a day: each window of a lock's life has some, and drivers are free again after it.
+SPREAD_REQUEST = "TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' SECOND * (trip_id * 7919 % 86400)"
+# The check locks one by one. Where no request comes for 30 s no lock is left, so the stretches between run side by side.
+TIMED = _CAND + f""",
+req AS (SELECT trip_id, {SPREAD_REQUEST} AS asked_at FROM match_requests WHERE trip_id IN (SELECT trip_id FROM cand)),
+cut AS (SELECT *, CASE WHEN asked_at < lag(asked_at) OVER (ORDER BY asked_at, trip_id) + INTERVAL '30' SECOND THEN 0 ELSE 1 END AS first FROM req),
+seg AS (SELECT *, sum(first) OVER (ORDER BY asked_at, trip_id ROWS UNBOUNDED PRECEDING) AS seg FROM cut),
+ord AS (SELECT *, row_number() OVER (PARTITION BY seg ORDER BY asked_at, trip_id) AS seq FROM seg),
+wish AS (SELECT o.seg, o.seq, o.trip_id, o.asked_at, list({{'d': c.driver_id, 'm': c.distance_m}} ORDER BY c.rank) AS wishes FROM ord o JOIN cand c USING (trip_id) GROUP BY ALL),
+lock AS (SELECT DISTINCT seg, CAST(0 AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS trip_id, CAST(NULL AS TIMESTAMP) AS asked_at,
+    CAST(NULL AS STRUCT(d BIGINT, m BIGINT)) AS got, CAST([] AS STRUCT(d BIGINT, until TIMESTAMP)[]) AS held FROM wish
+  UNION ALL SELECT seg, seq, trip_id, asked_at, got, CASE WHEN got IS NULL THEN held ELSE list_append(held, {{'d': got.d, 'until': asked_at + INTERVAL '30' SECOND}}) END FROM (
+    SELECT *, list_filter(wishes, lambda x: NOT list_contains(list_transform(held, lambda y: y.d), x.d))[1] AS got FROM (
+      SELECT w.*, list_filter(k.held, lambda z: z.until > w.asked_at) AS held FROM lock k JOIN wish w ON w.seg = k.seg AND w.seq = k.seq + 1)))"""
+
+
+def spread_requests(r: RideTables) -> DataFrame:
+    return r.match_requests.withColumn("requested_at", F.expr(SPREAD_REQUEST))
+
+
+@query("mt02_timed_assignment", "MT-02 STR-05", "match_requests online_drivers", TIMED + """
+SELECT trip_id, asked_at AS requested_at, got.d AS driver_id, got.m AS distance_m FROM lock WHERE got IS NOT NULL""")
+def _(r: RideTables) -> DataFrame:
+    requests = spread_requests(r)
+    return matching.assign_timed(requests, matching.candidates(requests, r.online_drivers, AS_OF)).drop("rank")
+
+
 @query("prj08_offer_view", "PRJ-08", "match_requests online_drivers", _CAND + """
 SELECT c.trip_id, c.driver_id, q.passenger_id, q.vehicle_type, q.pickup_lat, q.pickup_lng, q.dropoff_lat, q.dropoff_lng, q.estimated_fare::DOUBLE AS estimated_fare, c.distance_m,
   q.requested_at + INTERVAL '30' SECOND AS expires_at FROM cand c JOIN match_requests q USING (trip_id) WHERE c.rank = 1""")

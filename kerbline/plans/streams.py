@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from kerbline.model import LOCATION_TTL
 from kerbline.operators import matching, payments, tracking, trips
 from kerbline.operators.availability import availability_history
-from kerbline.plans.matches import _CAND, _OUT
+from kerbline.plans.matches import _CAND, _OUT, TIMED, spread_requests
 from kerbline.plans.registry import query
 from kerbline.plans.rides import _ATTACH
 from kerbline.session import fresh_folder
 from kerbline.sinks.logs import append_log, read_snapshot, upsert_snapshot
+from kerbline.sinks.retention import expire_log
+from kerbline.sinks.versions import read_as_of, upsert_buckets
 from kerbline.sources.adapter import RideTables
 from kerbline.streaming import feeds, processors
 from kerbline.streaming.runs import as_feed, as_late_stream, as_stream, run_and_stop, run_batches, run_to_table, state_keys
@@ -162,6 +165,16 @@ def _(r: RideTables) -> DataFrame:
     return r.spark.read.parquet(f"{root}/offers").select("trip_id", "driver_id", "expires_at")
 
 
+@query("str05_locked_windows", "STR-05 MT-02", "match_requests online_drivers", TIMED + """
+SELECT trip_id, got.d AS driver_id, asked_at + INTERVAL '30' SECOND AS expires_at FROM lock WHERE got IS NOT NULL""")
+def _(r: RideTables) -> DataFrame:
+    # Five batches over a day: a batch begins under the locks of the one before, and they lapse inside it.
+    root = fresh_folder(r.spark, "matcher")
+    requests = as_late_stream(spread_requests(r), "requests", "requested_at", "trip_id", skew_seconds=0)
+    run_batches(requests, "str05-windows", feeds.matcher(r.spark, lambda: r.online_drivers, root, datetime(2024, 1, 1)))
+    return r.spark.read.parquet(f"{root}/offers").select("trip_id", "driver_id", "expires_at")
+
+
 @query("str08_callback_replays", "STR-08", "payment_callbacks", """
 SELECT DISTINCT lower(trim(provider)) AS provider_key, key_payment_id AS payment_id, json_extract_string(payload, '$.status') AS status, json_extract_string(payload, '$.transactionRef') AS transaction_ref
 FROM payment_callbacks WHERE lower(trim(provider)) = 'momo' AND payload <> 'not json'""")
@@ -338,3 +351,60 @@ def _(r: RideTables) -> DataFrame:
     upsert_snapshot(latest, root, 0, ["driver_id"], ["updated_at", "trip_id"])
     stored = read_snapshot(r.spark, root)
     return tracking.unexpired(stored, datetime(2001, 8, 1), 30 * 86400).select("driver_id", "trip_id", "updated_at")
+
+
+@query("snk03_bucket_snapshot", "SNK-03 SNK-04", "driver_availability", """
+SELECT driver_id, kind, ts FROM (SELECT *, row_number() OVER (PARTITION BY driver_id ORDER BY ts DESC, event_id DESC) AS rn FROM driver_availability) WHERE rn = 1 AND kind <> 'offline'""")
+def _(r: RideTables) -> DataFrame:
+    # Odd events come ten days after even ones, so that many batches hold rows older than those stored.
+    root = fresh_folder(r.spark, "availability-buckets")
+    events = r.driver_availability.select("driver_id", "event_id", "kind", "ts")
+
+    def store(batch: DataFrame, number: int) -> None:
+        upsert_buckets(batch, root, number, ["driver_id"], ["ts", "event_id"], datetime(2024, 1, 1) + timedelta(hours=number), F.col("kind") == "offline", keep_seconds=3600)
+
+    run_batches(as_late_stream(events, "availability", "ts", "event_id", skew_seconds=10 * 86_400), "snk03-buckets", store)
+    return read_as_of(r.spark, root).select("driver_id", "kind", "ts")
+
+
+_IN_HOUR = "TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' SECOND * (ping_id * 7919 % 3600)"
+_INSTANTS = [(commit, offset) for commit in range(600, 3601, 600) for offset in (0, 11, 29, 45)]
+
+
+@query("src07_locations_at_instants", "SRC-07 SNK-03 STR-01", "driver_pings", f"""
+, p AS (SELECT driver_id, ping_id, lat, lng, {_IN_HOUR} AS ts FROM driver_pings),
+i AS (SELECT TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' SECOND * c.v AS done, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' SECOND * (c.v + o.v) AS read_at
+  FROM unnest([600, 1200, 1800, 2400, 3000, 3600]) c(v), unnest([0, 11, 29, 45]) o(v)),
+l AS (SELECT i.read_at, p.driver_id, arg_max({{'ping_id': ping_id, 'lat': lat, 'lng': lng}}, (ts, ping_id)) AS last, max(ts) AS updated_at
+  FROM i JOIN p ON p.ts + INTERVAL '10' SECOND * (p.driver_id % 3) <= i.done GROUP BY 1, 2)
+SELECT read_at, driver_id, last.ping_id, last.lat, last.lng, updated_at FROM l WHERE updated_at > read_at - INTERVAL '30' SECOND""")
+def _(r: RideTables) -> DataFrame:
+    # Pings spread over an hour arrive up to 20 s late; a version is committed every ten minutes and read at instants after it.
+    root, start = fresh_folder(r.spark, "latest-versions"), datetime(2024, 1, 1)
+    pings = r.driver_pings.select("driver_id", "ping_id", "lat", "lng", F.expr(_IN_HOUR).alias("updated_at"))
+    arrival = F.unix_seconds("updated_at") - F.unix_seconds(F.lit(start)) + F.pmod("driver_id", F.lit(3)) * 10
+    placed = pings.withColumn("_batch", F.greatest(F.lit(0), F.ceil(arrival / 600) - 1))
+    for number in range(6):
+        upsert_buckets(placed.filter(F.col("_batch") == number).drop("_batch"), root, number, ["driver_id"], ["updated_at", "ping_id"], start + timedelta(seconds=600 * (number + 1)))
+
+    def seen(at: datetime) -> DataFrame:
+        alive = tracking.unexpired(read_as_of(r.spark, root, at), at, LOCATION_TTL)
+        return alive.select(F.lit(at).alias("read_at"), "driver_id", "ping_id", "lat", "lng", "updated_at")
+
+    return reduce(DataFrame.unionByName, [seen(start + timedelta(seconds=commit + offset)) for commit, offset in _INSTANTS])
+
+
+_KEEP_FROM = "TIMESTAMP '1996-07-15 12:00:00'"
+
+
+@query("snk08_retention_by_folder", "SNK-08 SNK-01", "trip_location_history", f"""
+SELECT trip_id, id, recorded_at FROM trip_location_history WHERE recorded_at >= {_KEEP_FROM}""")
+def _(r: RideTables) -> DataFrame:
+    # A log of two jobs by month, retained from the middle of one; the second pass finds nothing to do.
+    root = fresh_folder(r.spark, "location-log")
+    log = r.trip_location_history.select("trip_id", "id", "recorded_at")
+    for job in (0, 1):
+        append_log(log.filter(F.pmod("trip_id", F.lit(2)) == job), root, "recorded_at", "recorded_date", grain="month", batch_id=job)
+    for _ in range(2):
+        expire_log(r.spark, root, datetime(1996, 7, 15, 12), "recorded_at", "recorded_date", grain="month")
+    return r.spark.read.parquet(root).select("trip_id", "id", "recorded_at")

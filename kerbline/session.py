@@ -64,7 +64,29 @@ def forget(*tables: DataFrame) -> None:
         remove_folder(table.sparkSession, table.written_folder)
 
 
-def remove_folder(spark: SparkSession, folder: str) -> None:
-    """Delete a folder in whatever file system it is, by Hadoop's own client."""
+def _located(spark: SparkSession, folder: str):
+    """Path and file system of a folder, by Hadoop's own client, whatever file system it is."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path, files = _located(spark, folder)
+    files.delete(path, True)
+
+
+def move_folder(spark: SparkSession, folder: str, target: str) -> None:
+    source, files = _located(spark, folder)
+    if not files.rename(source, _located(spark, target)[0]):
+        raise OSError(f"could not move {folder} to {target}")
+
+
+def folder_exists(spark: SparkSession, folder: str) -> bool:
+    path, files = _located(spark, folder)
+    return bool(files.exists(path))
+
+
+def list_folders(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern, sorted."""
+    path, files = _located(spark, pattern)
+    return sorted(str(s.getPath().toString()) for s in files.globStatus(path) or [])

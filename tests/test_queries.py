@@ -35,7 +35,7 @@ def rows_by_name(columns, rows):
     return sorted(tuple(normal(row[i]) for i in order) for row in rows)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(n for n, q in QUERIES.items() if q.check_sql is not None))
 def test_query_matches_check_sql(spark, engine, name):
     df = contract.queries()[name](spark, FOLDER)
     check = engine.sql(contract.oracle_sql()[name])
@@ -43,5 +43,10 @@ def test_query_matches_check_sql(spark, engine, name):
     assert rows_by_name(df.columns, df.collect()) == rows_by_name(check.columns, check.fetchall())
 
 
+@pytest.mark.parametrize("name", sorted(n for n, q in QUERIES.items() if q.check_sql is None))
+def test_query_without_check_sql_runs(spark, name):
+    assert contract.queries()[name](spark, FOLDER).count() >= 0
+
+
 def test_entry_gives_one_dashboard_row(spark):
     assert contract.entry(spark).count() == 1
