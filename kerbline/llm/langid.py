@@ -32,13 +32,24 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", texts_per_lang:
     """
     known = rows.select(column(lang).cast("string").alias("lang"), column(text).alias("text")).filter("lang is not null and text is not null")
     hashed = known.withColumn("hash", F.xxhash64("text", F.lit(3)))
-    counts = {r["lang"]: r["n"] for r in hashed.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    # Copies count once: a group of copies must not fill the sample.
+    stats = hashed.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("hash").alias("different")).collect()
+    counts = {r["lang"]: r["n"] for r in stats}
+    # Hashes are even over their range: a bound of four times the wanted share leaves some 1000 texts of a language, however
+    # many it has, and no task ranks more. Where a bound leaves too few it is doubled, so the sample is that of no bound.
+    bound = {r["lang"]: min(1.0, 4 * texts_per_lang / max(1, r["different"])) for r in stats}
     least = Window.partitionBy("lang").orderBy("hash")
-    chosen = hashed.select("lang", "hash").distinct().withColumn("i", F.row_number().over(least)).filter(F.col("i") <= texts_per_lang)
+    while True:
+        limit = F.create_map(*[F.lit(x) for pair in bound.items() for x in pair])[F.col("lang")] if bound else F.lit(1.0)
+        under = hashed.select("lang", "hash").filter(F.col("hash") / 2.0**64 + 0.5 <= limit)
+        # Copies count once: a group of copies must not fill the sample. Written, so that Spark knows how small it is and does
+        # not shuffle the texts to meet it.
+        chosen = written(under.distinct().withColumn("i", F.row_number().over(least)).filter(F.col("i") <= texts_per_lang).drop("i"), "langid-sample")
+        got = {r["lang"]: r["count"] for r in chosen.groupBy("lang").count().collect()}
+        short = [k for k, b in bound.items() if b < 1 and got.get(k, 0) < texts_per_lang]
+        if not short:
+            break
+        bound |= {k: min(1.0, 2 * bound[k]) for k in short}
     share = F.expr(f"substring(text, 1, {dictionary_bytes})")
-    # Written, so that Spark knows how small it is and does not shuffle the texts to meet it.
-    chosen = written(chosen.select("lang", "hash"), "langid-sample")
     picked = hashed.join(chosen, ["lang", "hash"]).groupBy("lang", "hash").agg(F.first(share).alias("text"))
     sample: dict[str, list[bytes]] = {}
     for row in picked.orderBy("lang", "hash").toLocalIterator():

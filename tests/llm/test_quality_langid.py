@@ -191,3 +191,14 @@ def test_model_ignores_nulls_and_copies_do_not_fill_it(spark):
     model = langid.fit(spark.createDataFrame(rows, SCHEMA), texts_per_lang=2)
     assert set(model) == {"a"} and model["a"][0] == 501 + 1 - 1
     assert sorted(model["a"][1].split()) == sorted(b"same text again different words here".split())
+
+
+def test_sample_is_the_texts_of_smallest_hash_under_any_bound(spark):
+    """Thousands of texts and copies: the hash bound gives the same dictionary as ranking all of them."""
+    rows = [(i, f"wort {i % 3000} und {i % 7}", "de") for i in range(9000)] + [(20_000 + i, f"word {i}", "en") for i in range(5)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    model = langid.fit(df, texts_per_lang=16)
+    assert {k: n for k, (n, _) in model.items()} == {"de": 9000, "en": 5}
+    first = [r.text for r in df.filter("lang = 'de'").select("text", F.xxhash64("text", F.lit(3)).alias("h")).distinct().orderBy("h").limit(16).collect()]
+    assert model["de"][1] == b"".join(langid.letters(t) for t in first)
+    assert langid.fit(spark.createDataFrame([], SCHEMA)) == {}

@@ -59,6 +59,33 @@ def test_saturated_lists_grow_until_a_group_is_whole(spark):
     assert {r["n_links"] for r in got} == {119} and {r["component_id"] for r in got} == {0}
 
 
+def test_recall_is_that_of_the_worst_class_of_nodes(spark):
+    """A node of 100 links that are all found does not hide two lone pairs of which one is missed."""
+    truth = [(0, 0, i) for i in range(1, 101)] + [(200, 200, 201), (300, 300, 301)]
+    pairs = [(0, i, 0.99) for i in range(1, 101)] + [(200, 201, 0.95), (300, 301, 0.9)]
+    got = embed_dedup._audited_recall(spark.createDataFrame(truth, "q long, a long, b long"), spark.createDataFrame(pairs, "a long, b long, sim double"), 0.93)
+    assert got == 0.5
+    assert embed_dedup._audited_recall(spark.createDataFrame([], "q long, a long, b long"), spark.createDataFrame(pairs, "a long, b long, sim double"), 0.93) == 1.0
+
+
+def test_search_goes_on_until_the_recall_holds_or_fails(spark):
+    """Blocks of two rows in one order find little: passes are added, and too few of them are an error, not a silent loss."""
+    rows = clustered(2)
+    nodes = embed_dedup._classes(spark.createDataFrame(rows, SCHEMA), "vec_id", "embedding", "label")
+    with pytest.raises(RuntimeError, match="recall"):
+        embed_dedup.link_pairs(nodes, 0.93, tables=1, block=2, size=2, rounds=1, most_passes=1, missed=0.9)
+    links, recall = embed_dedup.link_pairs(nodes, 0.93, tables=1, block=2, size=2, missed=0.9, most_passes=9)
+    plain = plain_links(rows)
+    assert recall >= 0.995 and links.count() * 2 >= 0.99 * sum(r[1] for r in plain)
+
+
+def test_orders_grow_with_the_largest_label(spark):
+    def of(n):
+        return embed_dedup._orders(spark.range(n).selectExpr("0 as label", "64 as dim"), 0.93, 256, 8, 0.005)
+
+    assert of(100) == of(256) == 8 < of(50_000) < of(1_000_000)
+
+
 def test_near_duplicates_of_odd_tables(spark):
     assert embed_dedup.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     only_bad = spark.createDataFrame(ODD[:6], SCHEMA).withColumn("node", F.lit(1)).withColumn("vec", F.lit("x"))
