@@ -46,6 +46,12 @@ def csv_to_ids(csv: Column) -> Column:
     return F.when(~F.exists(ids, lambda i: i.isNull()), F.array_sort(F.array_distinct(ids)))
 
 
+def csv_with(csv: Column, *ids: Column) -> Column:
+    """The stored set with more ids; null if what is stored is unreadable."""
+    known = csv_to_ids(csv)
+    return F.when(known.isNotNull(), ids_to_csv(F.array_union(known, F.array(*ids))))
+
+
 def string_map(data: Column) -> Column:
     """Every value as text, entries without a value dropped."""
     texts = F.transform_values(data, lambda _, v: v.cast("string"))

@@ -399,3 +399,27 @@ def _(r: RideTables) -> DataFrame:
     stored = sets.select("trip_id", text.ids_to_csv(F.col("ids")).alias("csv"))
     ids = text.csv_to_ids(F.col("csv"))
     return stored.select("trip_id", "csv", F.size(F.array_union(ids, ids)).cast("bigint").alias("n"))
+
+
+@query("set03_rejected_grows", "SET-03 FN-10", "offers", """
+, o AS (SELECT trip_id, arg_min(driver_id, attempt) AS first, arg_max(driver_id, attempt) AS last FROM offers GROUP BY trip_id),
+n AS (SELECT trip_id, first, CASE WHEN trip_id % 2 = 0 THEN first ELSE last END AS more FROM o)
+SELECT trip_id, CASE WHEN first = more THEN first::VARCHAR ELSE concat(least(first, more), ',', greatest(first, more)) END AS csv, CASE WHEN first = more THEN 1 ELSE 2 END AS n FROM n""")
+def _(r: RideTables) -> DataFrame:
+    # The first refusal is stored; then comes the last driver's, or for even trips the first one's again.
+    ends = r.offers.groupBy("trip_id").agg(F.min_by("driver_id", "attempt").alias("first"), F.max_by("driver_id", "attempt").alias("last"))
+    more = F.when(F.col("trip_id") % 2 == 0, F.col("first")).otherwise(F.col("last"))
+    grown = ends.select("trip_id", text.csv_with(text.ids_to_csv(F.array("first")), more).alias("csv"))
+    return grown.select("trip_id", "csv", F.size(text.csv_to_ids(F.col("csv"))).alias("n"))
+
+
+@query("fn09_numbers_and_instants", "FN-09 FN-16", "offers", """
+SELECT trip_id, attempt, CASE (trip_id + attempt) % 6 WHEN 0 THEN driver_id WHEN 1 THEN -trip_id WHEN 2 THEN trip_id END AS number,
+  CASE (trip_id + attempt) % 6 WHEN 0 THEN offered_at WHEN 1 THEN offered_at - INTERVAL '7' HOUR ELSE TIMESTAMP '2000-01-01 00:00:00' END AS instant FROM offers""")
+def _(r: RideTables) -> DataFrame:
+    # Texts with and without a sign, a point, blanks, too many digits; instants of two zones, words, blanks, none.
+    kind, trip, iso = (F.col("trip_id") + F.col("attempt")) % 6, F.col("trip_id").cast("string"), F.date_format("offered_at", "yyyy-MM-dd'T'HH:mm:ss")
+    number = (F.when(kind == 0, F.col("driver_id").cast("string")).when(kind == 1, F.concat(F.lit("-"), trip)).when(kind == 2, F.concat(F.lit("+"), trip))
+              .when(kind == 3, F.concat(trip, F.lit(".5"))).when(kind == 4, F.concat(F.lit(" "), trip)).otherwise(F.lpad(trip, 20, "9")))
+    instant = F.when(kind == 0, F.concat(iso, F.lit("Z"))).when(kind == 1, F.concat(iso, F.lit("+07:00"))).when(kind == 2, "soon").when(kind == 3, " ")
+    return r.offers.select("trip_id", "attempt", text.lenient_long(number).alias("number"), text.parse_instant(instant, F.lit(AS_OF)).alias("instant"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kerbline.model import FEED_SCHEMAS
-from kerbline.session import fresh_folder
+from kerbline.session import forget, fresh_folder, written
 from kerbline.sources.tables import read_feed
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -52,21 +53,25 @@ def as_feed(df: DataFrame, name: str, files_per_trigger: int | None = None) -> D
     return read_feed(df.sparkSession, land(shaped, name), name, files_per_trigger=files_per_trigger)
 
 
-def as_late_stream(df: DataFrame, label: str, ts: str, key: str, batches: int = 5, skew_seconds: int = 20) -> DataFrame:
+def as_late_stream(df: DataFrame, label: str, ts: str, key: str, batches: int = 5, skew_seconds: int = 20, file_rows: int = 1_000_000) -> DataFrame:
     """The rows of ``df`` as a stream of ``batches`` micro-batches in rough time order.
 
     Keys are out of step: odd ones run ``skew_seconds`` behind even ones, so a batch holds times that its neighbours hold too.
+    ``df`` is computed once. A batch has one file for each ``file_rows`` rows, so no task writes more than about so many.
     """
     spark = df.sparkSession
     folder = fresh_folder(spark, label)
     arrival = F.unix_micros(ts) / 1e6 + F.when(F.col(key) % 2 == 0, 0).otherwise(skew_seconds)
-    placed = df.withColumn("_arrival", arrival)
-    cuts = placed.agg(F.percentile_approx("_arrival", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
-    slot = sum((F.coalesce(F.col("_arrival") > c, F.lit(False)).cast("int") for c in cuts), F.lit(0))
+    placed = written(df.withColumn("_arrival", arrival), f"{label}-placed")
+    rows, cuts = placed.agg(F.count("*"), F.percentile_approx("_arrival", [i / batches for i in range(1, batches)], 1000)).first()
+    files = max(1, math.ceil(rows / batches / file_rows))
+    slot = sum((F.coalesce(F.col("_arrival") > c, F.lit(False)).cast("int") for c in cuts or []), F.lit(0))
     for i in range(batches):
-        # One file and so one batch each; later files are newer.
-        placed.filter(slot == i).drop("_arrival").coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        # As many files in each, so that a trigger takes one batch; later files are newer.
+        part = placed.filter(slot == i).drop("_arrival")
+        (part.coalesce(1) if files == 1 else part.repartition(files)).write.mode("append").parquet(folder)
+    forget(placed)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def run_to_table(stream: DataFrame, label: str) -> DataFrame:

@@ -169,3 +169,15 @@ def test_lives_differ_by_row(spark):
     got = sorted((r.store, r.key, r.at_ms - micros(0) // 1000, r.change) for r in out.collect())
     assert got == sorted([("s", 1, 0, "UPDATE"), ("s", 1, 10_000, "UPDATE"), ("s", 1, 70_000, "EXPIRED"), ("s", 1, 70_000, "UPDATE"), ("s", 1, 130_000, "EXPIRED"),
                           ("o", 1, 0, "UPDATE"), ("o", 1, 30_000, "EXPIRED"), ("s", 2, 5_000, "UPDATE"), ("s", 2, 20_000, "REMOVED")])
+
+
+def test_late_streams_write_a_batch_to_several_files(spark):
+    from kerbline.streaming.runs import as_late_stream, run_batches
+
+    rows = spark.range(2000).selectExpr("id AS k", "timestamp_seconds(id) AS ts")
+    seen = []
+    run_batches(as_late_stream(rows, "late", "ts", "k", batches=4, skew_seconds=100, file_rows=100), "late", lambda df, n: seen.append((n, {r.k for r in df.collect()})))
+    assert len(seen) == 4 and set().union(*(s for _, s in seen)) == set(range(2000)) and sum(len(s) for _, s in seen) == 2000
+    first = dict(seen)[0]
+    # Odd rows come 100 s later: the last even rows of the first batch are of later times than the last odd ones.
+    assert max(k for k in first if k % 2 == 0) - max(k for k in first if k % 2) in range(98, 103)
