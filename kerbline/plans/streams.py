@@ -315,7 +315,7 @@ def _(r: RideTables) -> DataFrame:
         as_late_stream(with_sentinel(asked, trip_id="-1", driver_id="-1", attempt="1", offered_at=later, expires_at=later), "offers", "offered_at", "trip_id"),
         as_late_stream(with_sentinel(told, trip_id="-2", driver_id="-2", decision="'REJECT'", ts=later), "responses", "ts", "driver_id"))
     _, checkpoint = run_and_stop(clock, "str07")
-    return matching.drop_orphans(asked, state_keys(r.spark, checkpoint))
+    return matching.drop_orphans(asked, state_keys(r.spark, checkpoint, "trip_id bigint"))
 
 
 @query("snk01_audit_log", "SNK-01", "trip_status_history", """

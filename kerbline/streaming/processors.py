@@ -2,46 +2,41 @@
 
 from __future__ import annotations
 
+import json
+from collections import defaultdict
 from collections.abc import Iterator
-from typing import Any
 
-from pyspark.sql import DataFrame, Row, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from kerbline import model as m
 
-
-def _micros(value: Any) -> int:
-    return round(value.timestamp() * 1_000_000)
-
-
-def _ms(value: Any) -> int:
-    # By way of whole microseconds: a double just below a millisecond would lose it.
-    return _micros(value) // 1000
+BUCKETS = 1024
+_WHOLE = {"ignoreNullFields": "false"}
 
 
 class InOrder(StatefulProcessor):
     """Events of a key handled strictly in event time, whatever batches they come in.
 
-    Events wait in a list until the watermark passes them, then are handed to ``apply`` in order; ``lapse`` tells what the
-    passing of time alone changes. One timer per key stands at the newest waiting event, or else where time changes
-    something. Only an event that comes later than the stream's delay is lost, as the watermark promises.
+    Events wait until the watermark passes them, then are handed to ``apply`` in order; ``lapse`` tells what the passing of
+    time alone changes. Only an event that comes later than the stream's delay is lost, as the watermark promises.
+
+    Keys share state by hash bucket, so that a batch costs a few state calls a bucket, not a key: what waits and what is held
+    lie in one row each, and one timer per bucket stands at the first instant at which anything of it changes. Events and held
+    values are JSON; an event is read once, when it is due.
     """
 
-    waits: str
-    holds: str
+    output: str
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.waits)
-        self.held = handle.getValueState("held", self.holds)
+        self.waiting = handle.getValueState("waiting", "keys array<string>, at array<bigint>, events array<string>")
+        self.held = handle.getValueState("held", "keys array<string>, due array<bigint>, held array<string>")
         self.timer = handle.getValueState("timer", "at bigint")
 
-    def shape(self, row: Row) -> tuple:
-        """A waiting event: event time in ms, then what orders equal times, then the rest."""
-        raise NotImplementedError
-
-    def apply(self, key, held: tuple | None, event: tuple) -> tuple[list[Row], tuple | None]:
+    def apply(self, key: tuple, held: tuple | None, event: tuple) -> tuple[list[tuple], tuple | None]:
+        """Rows of an event (its fields as the stream lists them, time in ms first), and what is held from then on."""
         raise NotImplementedError
 
     def rank(self, event: tuple) -> tuple:
@@ -52,47 +47,94 @@ class InOrder(StatefulProcessor):
         """When the held value lapses, in ms; None if time alone does not end it."""
         raise NotImplementedError
 
-    def lapse(self, key, held: tuple) -> tuple[list[Row], tuple | None]:
+    def lapse(self, key: tuple, held: tuple) -> tuple[list[tuple], tuple | None]:
         """Rows of a held value that lapses, and what is held from then on."""
         raise NotImplementedError
 
-    def _drain(self, key, upto: int, new: list[tuple] = ()) -> Iterator[Row]:
-        waiting = sorted([*(map(tuple, self.waiting.get()) if self.waiting.exists() else ()), *new], key=self.rank)
-        held = tuple(self.held.get()) if self.held.exists() else None
-        ready = [e for e in waiting if e[0] <= upto]
-        for event in ready:
+    def _drain(self, upto: int, new: list[tuple] = ()) -> Iterator[pd.DataFrame]:
+        stored, held = self.waiting.get(), self.held.get()
+        ready, rest, out = defaultdict(list), [], []
+        for part in [stored, *new] if stored else new:
+            for entry in zip(*part):
+                if entry[1] <= upto:
+                    ready[entry[0]].append(entry[2])
+                else:
+                    rest.append(entry)
+        kept = {key: (due, value) for key, due, value in zip(*held)} if held else {}
+        lapsing = [key for key, (due, _) in kept.items() if due is not None and due <= upto and key not in ready]
+        for key in [*ready, *lapsing]:
+            before = kept.pop(key, None)
+            now = self._run(tuple(json.loads(key).values()), tuple(json.loads(before[1])) if before else None, ready.get(key, ()), upto, out)
+            if now:
+                kept[key] = (self.due(now), json.dumps(now))
+        if rest:
+            self.waiting.update(tuple(map(list, zip(*rest))))
+        elif stored:
+            self.waiting.clear()
+        if ready or lapsing:
+            if kept:
+                self.held.update((list(kept), *map(list, zip(*kept.values()))))
+            elif held:
+                self.held.clear()
+        self._wake(min([at for _, at, _ in rest] + [due for due, _ in kept.values() if due is not None], default=None), upto)
+        if out:
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in self.output.split(", ")], dtype=object)
+
+    def _run(self, key: tuple, held: tuple | None, texts: list[str], upto: int, out: list[tuple]) -> tuple | None:
+        """What is held after the due events of a key and the time up to ``upto``; their rows go to ``out``."""
+        for event in sorted((tuple(e.values()) for e in json.loads(f"[{','.join(texts)}]")), key=self.rank):
             if held and self.lapses_before(held, event[0], event):
                 rows, held = self.lapse(key, held)
-                yield from rows
+                out += rows
             rows, held = self.apply(key, held, event)
-            yield from rows
+            out += rows
         if held and self.lapses_before(held, upto):
             rows, held = self.lapse(key, held)
-            yield from rows
-        rest = waiting[len(ready):]
-        self.waiting.put(rest) if rest else self.waiting.clear()
-        self.held.update(held) if held else self.held.clear()
-        if self.timer.exists():
-            self.handle.deleteTimer(self.timer.get()[0])
+            out += rows
+        return held
+
+    def _wake(self, at: int | None, upto: int) -> None:
+        # What is due just now but outlives the instant is looked at again right after it.
+        at = None if at is None else max(at, upto + 1)
+        timer = self.timer.get()
+        if timer and timer[0] == at:
+            return
+        if timer:
+            self.handle.deleteTimer(timer[0])
+        if at is not None:
+            self.timer.update((at,))
+            self.handle.registerTimer(at)
+        elif timer:
             self.timer.clear()
-        if rest or held:
-            at = rest[-1][0] if rest else self.due(held)
-            if at is not None:
-                self.timer.update((at,))
-                self.handle.registerTimer(at)
 
     def lapses_before(self, held: tuple, at: int, event: tuple | None = None) -> bool:
         """Whether the held value lapses before ``event`` at ``at``, or by ``at`` if there is none."""
         due = self.due(held)
         return due is not None and due <= at
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        yield from self._drain(key, timerValues.getCurrentWatermarkInMs(), [self.shape(r) for r in rows])
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = [(f["key"].tolist(), f["at"].tolist(), f["event"].tolist()) for f in rows]
+        yield from self._drain(timerValues.getCurrentWatermarkInMs(), new)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         # Spark removes the fired timer itself.
         self.timer.clear()
-        yield from self._drain(key, timerValues.getCurrentWatermarkInMs())
+        yield from self._drain(timerValues.getCurrentWatermarkInMs())
+
+
+def events_of(stream: DataFrame, keys: list[str], **fields: Column | str) -> DataFrame:
+    """The rows of a stream with a watermark on ``ts`` as events of their keys: ``(bucket, ts, key, at, event)``.
+
+    An event is its time in ms and then ``fields``. JSON keeps whole numbers and nulls as they are on the way into Python."""
+    at = F.unix_millis("ts")
+    given = [F.col(value).alias(name) if isinstance(value, str) else value.alias(name) for name, value in fields.items()]
+    return stream.select(F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int").alias("bucket"), "ts", F.to_json(F.struct(*keys), _WHOLE).alias("key"),
+                         at.alias("at"), F.to_json(F.struct(at.alias("at"), *given), _WHOLE).alias("event"))
+
+
+def run_in_order(events: DataFrame, processor: InOrder) -> DataFrame:
+    """Rows of ``processor`` over a stream that :func:`events_of` made."""
+    return events.groupBy("bucket").transformWithStateInPandas(processor, processor.output, "append", "EventTime")
 
 
 class Availability(InOrder):
@@ -101,26 +143,21 @@ class Availability(InOrder):
     Going offline ends all of it, so a driver who is offline holds no state.
     """
 
-    waits = "at bigint, micros bigint, event_id bigint, kind string, lat double, lng double, vehicle_type string, rating string"
-    holds = "lat double, lng double, status string, status_until bigint, vehicle string, rating string, meta_until bigint"
+    output = "event_id bigint, driver_id bigint, located boolean, status string, vehicle_type string, rating string"
     EMPTY = (None, None, None, 0, None, None, 0)
 
-    def shape(self, row: Row) -> tuple:
-        return (_ms(row.ts), _micros(row.ts), row.event_id, row.kind, row.lat, row.lng, row.vehicle_type, row.rating)
-
     def rank(self, event: tuple) -> tuple:
         return event[1:3]
 
     def due(self, held: tuple) -> None:
         return None
 
-    def apply(self, key, held: tuple | None, event: tuple) -> tuple[list[Row], tuple | None]:
+    def apply(self, key, held: tuple | None, event: tuple) -> tuple[list[tuple], tuple | None]:
         at, _, event_id, kind, *given = event
         now = self.after(held or self.EMPTY, at, kind, *given)
         lat, _, status, status_until, vehicle, rating, meta_until = now
         known = meta_until > at
-        row = Row(event_id=event_id, driver_id=key[0], located=lat is not None, status=status if status_until > at else None,
-                  vehicle_type=vehicle if known else None, rating=rating if known else None)
+        row = (event_id, key[0], lat is not None, status if status_until > at else None, vehicle if known else None, rating if known else None)
         return [row], None if now == self.EMPTY else now
 
     @staticmethod
@@ -141,19 +178,15 @@ class Availability(InOrder):
 
 def availability(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Live state of the driver right after each event; events may come ``delay`` late and in any order."""
-    return (stream.withWatermark("ts", delay).groupBy("driver_id")
-            .transformWithState(Availability(), "event_id bigint, driver_id bigint, located boolean, status string, vehicle_type string, rating string",
-                                "append", "EventTime"))
+    events = events_of(stream.withWatermark("ts", delay), ["driver_id"], micros=F.unix_micros("ts"), event_id="event_id", kind="kind", lat="lat", lng="lng",
+                       vehicle_type="vehicle_type", rating="rating")
+    return run_in_order(events, Availability())
 
 
 class OfferClock(InOrder):
     """The open offer of a trip: settled by its driver's answer up to its expiry, else timed out."""
 
-    waits = "at_ms bigint, kind string, driver_id bigint, attempt int, decision string, expires_ms bigint"
-    holds = "attempt int, driver_id bigint, expires_ms bigint"
-
-    def shape(self, row: Row) -> tuple:
-        return (_ms(row.ts), row.kind, row.driver_id, row.attempt or 0, row.decision or "", _ms(row.expires_at) if row.expires_at else 0)
+    output = "trip_id bigint, attempt int, driver_id bigint, state string, settled_ms bigint"
 
     def lapses_before(self, held: tuple, at: int, event: tuple | None = None) -> bool:
         return self.due(held) < at  # an answer at the expiry instant is in time
@@ -170,12 +203,12 @@ class OfferClock(InOrder):
     def due(self, held: tuple) -> int:
         return held[2]
 
-    def lapse(self, key, held: tuple) -> tuple[list[Row], None]:
+    def lapse(self, key, held: tuple) -> tuple[list[tuple], None]:
         return [self._settle(key, held, "TIMEOUT", held[2])], None
 
     @staticmethod
-    def _settle(key, offer: tuple, state: str, at: int) -> Row:
-        return Row(trip_id=key[0], attempt=offer[0], driver_id=offer[1], state=state, settled_ms=at)
+    def _settle(key, offer: tuple, state: str, at: int) -> tuple:
+        return (key[0], offer[0], offer[1], state, at)
 
 
 def offer_clock(offers: DataFrame, responses: DataFrame, offer_delay: str = "1 minute", response_delay: str = "1 minute") -> DataFrame:
@@ -184,21 +217,17 @@ def offer_clock(offers: DataFrame, responses: DataFrame, offer_delay: str = "1 m
         "trip_id", "driver_id", F.lit("offer").alias("kind"), "attempt", F.lit(None).cast("string").alias("decision"), F.col("offered_at").alias("ts"), "expires_at")
     told = responses.withWatermark("ts", response_delay).select(
         "trip_id", "driver_id", F.lit("response").alias("kind"), F.lit(None).cast("int").alias("attempt"), "decision", "ts", F.lit(None).cast("timestamp").alias("expires_at"))
-    return (asked.unionByName(told).groupBy("trip_id")
-            .transformWithState(OfferClock(), "trip_id bigint, attempt int, driver_id bigint, state string, settled_ms bigint",
-                                "append", "EventTime"))
+    events = events_of(asked.unionByName(told), ["trip_id"], kind="kind", driver_id="driver_id", attempt=F.coalesce("attempt", F.lit(0)),
+                       decision=F.coalesce("decision", F.lit("")), expires_ms=F.coalesce(F.unix_millis("expires_at"), F.lit(0)))
+    return run_in_order(events, OfferClock())
 
 
 class Lives(InOrder):
     """The latest value of a key, each with a life of its own: a new value ends the old one's life, as a store's expiry does."""
 
-    waits = "at_ms bigint, micros bigint, tie bigint, life_ms bigint, value string"
-    holds = "until_ms bigint, value string"
-
-    def shape(self, row: Row) -> tuple:
-        return (_ms(row.ts), _micros(row.ts), row.tie, row.life_ms, row.value or "")
+    output = "store string, key bigint, change string, at_ms bigint, value string"
 
-    def apply(self, key, held: tuple | None, event: tuple) -> tuple[list[Row], tuple | None]:
+    def apply(self, key, held: tuple | None, event: tuple) -> tuple[list[tuple], tuple | None]:
         at, _, _, life, value = event
         if life <= 0:
             return [self._row(key, "REMOVED", at, value)] if held else [], None
@@ -207,12 +236,12 @@ class Lives(InOrder):
     def due(self, held: tuple) -> int:
         return held[0]
 
-    def lapse(self, key, held: tuple) -> tuple[list[Row], None]:
+    def lapse(self, key, held: tuple) -> tuple[list[tuple], None]:
         return [self._row(key, "EXPIRED", *held)], None
 
     @staticmethod
-    def _row(key, change: str, at: int, value: str) -> Row:
-        return Row(store=key[0], key=key[1], change=change, at_ms=at, value=value)
+    def _row(key, change: str, at: int, value: str) -> tuple:
+        return (*key, change, at, value)
 
 
 def lives(stream: DataFrame, delay: str = "1 minute") -> DataFrame:
@@ -220,23 +249,19 @@ def lives(stream: DataFrame, delay: str = "1 minute") -> DataFrame:
 
     A value lives ``life_ms`` from its event on; a life of 0 removes the key. A value that comes just as the old one ends follows its end.
     """
-    return (stream.withWatermark("ts", delay).groupBy("store", "key")
-            .transformWithState(Lives(), "store string, key bigint, change string, at_ms bigint, value string", "append", "EventTime"))
+    events = events_of(stream.withWatermark("ts", delay), ["store", "key"], micros=F.unix_micros("ts"), tie="tie", life_ms="life_ms", value=F.coalesce("value", F.lit("")))
+    return run_in_order(events, Lives())
 
 
 class SilentDriving(InOrder):
     """A driver's last heartbeat and trips in progress: a silence that ends while a trip runs flags the latest-started one."""
 
-    waits = "at_ms bigint, micros bigint, kind int, id bigint"
-    holds = "beat_micros bigint, ping_id bigint, started array<bigint>, trips array<bigint>"
+    output = "driver_id bigint, trip_id bigint, ping_id bigint, offline_micros bigint"
     START, END, BEAT = range(3)
 
     def __init__(self, seconds: int):
         self.micros = seconds * 1_000_000
 
-    def shape(self, row: Row) -> tuple:
-        return (_ms(row.ts), _micros(row.ts), row.kind, row.id)
-
     def rank(self, event: tuple) -> tuple:
         return event[1:]  # trips change before a heartbeat of the same instant
 
@@ -250,7 +275,7 @@ class SilentDriving(InOrder):
         # A heartbeat just as the time is up comes too late; a trip that starts or ends just then counts first.
         return ends <= event[1] if event[2] == self.BEAT else ends < event[1]
 
-    def apply(self, key, held: tuple | None, event: tuple) -> tuple[list[Row], tuple | None]:
+    def apply(self, key, held: tuple | None, event: tuple) -> tuple[list[tuple], tuple | None]:
         _, micros, kind, ident = event
         beat, ping, started, trips = held or (None, None, [], [])
         running = dict(zip(trips, started))
@@ -262,12 +287,12 @@ class SilentDriving(InOrder):
             running.pop(ident, None)
         return [], self._held(beat, ping, list(running.values()), list(running))
 
-    def lapse(self, key, held: tuple) -> tuple[list[Row], tuple | None]:
+    def lapse(self, key, held: tuple) -> tuple[list[tuple], tuple | None]:
         beat, ping, started, trips = held
         rest = self._held(None, None, started, trips)
         if not trips:
             return [], rest
-        return [Row(driver_id=key[0], trip_id=max(zip(started, trips))[1], ping_id=ping, offline_micros=beat + self.micros)], rest
+        return [(key[0], max(zip(started, trips))[1], ping, beat + self.micros)], rest
 
     @staticmethod
     def _held(beat, ping, started, trips) -> tuple | None:
@@ -283,24 +308,20 @@ def silent_driving(beats: DataFrame, trip_events: DataFrame, seconds: int = 60,
     beat = beats.withWatermark("ts", beat_delay).select("driver_id", F.lit(SilentDriving.BEAT).alias("kind"), F.col("ping_id").alias("id"), "ts")
     turn = F.when(F.col("kind") == "start", SilentDriving.START).otherwise(SilentDriving.END)
     trip = trip_events.withWatermark("ts", trip_delay).select("driver_id", turn.alias("kind"), F.col("trip_id").alias("id"), "ts")
-    flagged = (beat.unionByName(trip).groupBy("driver_id")
-               .transformWithState(SilentDriving(seconds), "driver_id bigint, trip_id bigint, ping_id bigint, offline_micros bigint", "append", "EventTime"))
+    events = events_of(beat.unionByName(trip), ["driver_id"], micros=F.unix_micros("ts"), kind="kind", id="id")
+    flagged = run_in_order(events, SilentDriving(seconds))
     return flagged.select("driver_id", "trip_id", "ping_id", F.timestamp_micros("offline_micros").alias("offline_at"))
 
 
 class Release(InOrder):
     """A scheduled booking, handed on once when it is near, unless it is cancelled or moved before."""
 
-    waits = "at_ms bigint, kind string, due_ms bigint"
-    holds = "release_ms bigint, scheduled_ms bigint"
+    output = "trip_id bigint, released_ms bigint, scheduled_ms bigint"
 
     def __init__(self, lead_seconds: int):
         self.lead = lead_seconds * 1000
 
-    def shape(self, row: Row) -> tuple:
-        return (_ms(row.ts), row.kind, _ms(row.scheduled_at) if row.scheduled_at else 0)
-
-    def apply(self, key, held: tuple | None, event: tuple) -> tuple[list[Row], tuple | None]:
+    def apply(self, key, held: tuple | None, event: tuple) -> tuple[list[tuple], tuple | None]:
         at, kind, scheduled = event
         return [], None if kind == "cancel" else (max(at, scheduled - self.lead), scheduled)
 
@@ -311,8 +332,8 @@ class Release(InOrder):
         # What comes at the very instant of the release still counts.
         return held[0] < at if event else held[0] <= at
 
-    def lapse(self, key, held: tuple) -> tuple[list[Row], None]:
-        return [Row(trip_id=key[0], released_ms=held[0], scheduled_ms=held[1])], None
+    def lapse(self, key, held: tuple) -> tuple[list[tuple], None]:
+        return [(key[0], *held)], None
 
 
 def release_due(bookings: DataFrame, lead_minutes: int = 15, delay: str = "1 minute") -> DataFrame:
@@ -321,6 +342,6 @@ def release_due(bookings: DataFrame, lead_minutes: int = 15, delay: str = "1 min
     ``bookings(trip_id, kind, scheduled_at, ts)``: kind ``book`` sets or moves the time until the release, ``cancel`` ends it.
     Rows that come again change nothing: while the booking waits they say the same, and after its release the watermark has passed them.
     """
-    out = (bookings.withWatermark("ts", delay).groupBy("trip_id")
-           .transformWithState(Release(lead_minutes * 60), "trip_id bigint, released_ms bigint, scheduled_ms bigint", "append", "EventTime"))
+    events = events_of(bookings.withWatermark("ts", delay), ["trip_id"], kind="kind", due_ms=F.coalesce(F.unix_millis("scheduled_at"), F.lit(0)))
+    out = run_in_order(events, Release(lead_minutes * 60))
     return out.select("trip_id", F.timestamp_millis("released_ms").alias("released_at"), F.timestamp_millis("scheduled_ms").alias("scheduled_at"))

@@ -90,14 +90,14 @@ def run_and_stop(stream: DataFrame, label: str) -> tuple[DataFrame, str]:
     return spark.read.schema(stream.schema).parquet(f"{out}/rows"), f"{out}/checkpoint"
 
 
-def state_keys(spark: SparkSession, checkpoint: str, states: tuple[str, ...] = ("waiting", "held")) -> DataFrame:
-    """Distinct keys for which a stopped stream's keyed operator holds any of ``states``, read by Spark's state source."""
+def state_keys(spark: SparkSession, checkpoint: str, keys: str, states: tuple[str, ...] = ("waiting", "held")) -> DataFrame:
+    """Distinct ``keys`` (their DDL) for which a stopped stream's ``InOrder`` operator holds any of ``states``, read by Spark's state source."""
     found = None
     with stream_settings(spark):
         for name in states:
-            rows = spark.read.format("statestore").option("stateVarName", name).load(checkpoint).select("key.*")
+            rows = spark.read.format("statestore").option("stateVarName", name).load(checkpoint).select(F.explode("value.keys").alias("key"))
             found = rows if found is None else found.unionByName(rows)
-    return found.distinct()
+    return found.distinct().select(F.from_json("key", keys).alias("key")).select("key.*")
 
 
 def run_batches(stream: DataFrame, label: str, handle: Callable[[DataFrame, int], None]) -> None:

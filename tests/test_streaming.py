@@ -181,3 +181,83 @@ def test_late_streams_write_a_batch_to_several_files(spark):
     first = dict(seen)[0]
     # Odd rows come 100 s later: the last even rows of the first batch are of later times than the last odd ones.
     assert max(k for k in first if k % 2 == 0) - max(k for k in first if k % 2) in range(98, 103)
+
+
+class Handle:
+    """State of one bucket that counts the calls made on it."""
+
+    def __init__(self):
+        self.calls, self.values, self.timers = 0, {}, set()
+
+    def getValueState(self, name, schema):
+        return State(self, name)
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+class State:
+    def __init__(self, handle, name):
+        self.handle, self.name = handle, name
+
+    def get(self):
+        self.handle.calls += 1
+        return self.handle.values.get(self.name)
+
+    def update(self, value):
+        self.handle.calls += 1
+        self.handle.values[self.name] = value
+
+    def clear(self):
+        self.handle.calls += 1
+        self.handle.values.pop(self.name, None)
+
+
+class Clock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_keys_of_a_bucket_share_their_state_calls():
+    import json
+
+    import pandas as pd
+
+    machine, handle = processors.Lives(), Handle()
+    machine.init(handle)
+
+    def rows(keys, ms):
+        return iter([pd.DataFrame([(json.dumps({"store": "s", "key": k}), ms, json.dumps({"at": ms, "micros": ms * 1000, "tie": 0, "life_ms": 50, "value": "v"})) for k in keys],
+                                  columns=["key", "at", "event"])])
+
+    keys = [*range(2000), None]
+    assert not list(machine.handleInputRows((7,), rows(keys, 100), Clock(0)))
+    assert handle.timers == {100} and handle.calls < 10
+    made = pd.concat(machine.handleInputRows((7,), rows(keys[:10], 120), Clock(110)))
+    assert list(made.change) == ["UPDATE"] * 2001 and handle.timers == {120} and handle.calls < 20
+    handle.timers.clear()
+    made = pd.concat(machine.handleExpiredTimer((7,), Clock(160), None))
+    assert sorted(made.change) == ["EXPIRED"] * 1991 + ["UPDATE"] * 10 and handle.timers == {170} and handle.calls < 30
+    handle.timers.clear()
+    made = pd.concat(machine.handleExpiredTimer((7,), Clock(170), None))
+    assert sorted(made.key) == list(range(10)) and set(made.at_ms) == {170} and not handle.timers
+    assert set(handle.values) == set()
+
+
+def test_keys_of_a_stopped_stream_are_those_it_still_holds(spark):
+    from kerbline.streaming.runs import run_and_stop, state_keys
+
+    schema = "trip_id long, kind string, scheduled_at timestamp, ts timestamp"
+    # 1 is released, 2 waits for its release, 3 is not yet passed by the watermark, 4 is cancelled; null is a key too.
+    chunks = [[(1, "book", at(950), at(0)), (2, "book", at(90_000), at(0)), (4, "book", at(90_000), at(0)), (4, "cancel", None, at(5)), (None, "book", at(90_000), at(0))],
+              [(3, "book", at(950), at(900))]]
+    _, checkpoint = run_and_stop(processors.release_due(in_order(spark, chunks, schema, "stopped"), delay="10 minutes"), "stopped")
+    assert {r.trip_id for r in state_keys(spark, checkpoint, "trip_id bigint").collect()} == {2, 3, None}
