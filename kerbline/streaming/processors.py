@@ -113,7 +113,8 @@ class InOrder(StatefulProcessor):
         return due is not None and due <= at
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = [(f["key"].tolist(), f["at"].tolist(), f["event"].tolist()) for f in rows]
+        # An event without a time has no place in any order and is an error.
+        new = [(f["key"].tolist(), [int(at) for at in f["at"]], f["event"].tolist()) for f in rows]
         yield from self._drain(timerValues.getCurrentWatermarkInMs(), new)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:

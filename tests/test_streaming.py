@@ -250,6 +250,8 @@ def test_keys_of_a_bucket_share_their_state_calls():
     made = pd.concat(machine.handleExpiredTimer((7,), Clock(170), None))
     assert sorted(made.key) == list(range(10)) and set(made.at_ms) == {170} and not handle.timers
     assert set(handle.values) == set()
+    with pytest.raises(ValueError):
+        list(machine.handleInputRows((7,), iter([pd.DataFrame([("{}", 5, "[]"), ("{}", None, "[]")], columns=["key", "at", "event"])]), Clock(0)))
 
 
 def test_keys_of_a_stopped_stream_are_those_it_still_holds(spark):
