@@ -13,7 +13,7 @@ from kerbline.operators.availability import availability_history
 from kerbline.plans.matches import _CAND, _OUT, TIMED, spread_requests
 from kerbline.plans.registry import query
 from kerbline.plans.rides import _ATTACH
-from kerbline.session import fresh_folder
+from kerbline.session import forget, fresh_folder, written
 from kerbline.sinks.logs import append_log, read_snapshot, upsert_snapshot
 from kerbline.sinks.retention import expire_log
 from kerbline.sinks.versions import read_as_of, upsert_buckets
@@ -383,9 +383,10 @@ def _(r: RideTables) -> DataFrame:
     root, start = fresh_folder(r.spark, "latest-versions"), datetime(2024, 1, 1)
     pings = r.driver_pings.select("driver_id", "ping_id", "lat", "lng", F.expr(_IN_HOUR).alias("updated_at"))
     arrival = F.unix_seconds("updated_at") - F.unix_seconds(F.lit(start)) + F.pmod("driver_id", F.lit(3)) * 10
-    placed = pings.withColumn("_batch", F.greatest(F.lit(0), F.ceil(arrival / 600) - 1))
+    placed = written(pings.withColumn("_batch", F.greatest(F.lit(0), F.ceil(arrival / 600) - 1)), "placed-pings")  # computed once for all versions
     for number in range(6):
         upsert_buckets(placed.filter(F.col("_batch") == number).drop("_batch"), root, number, ["driver_id"], ["updated_at", "ping_id"], start + timedelta(seconds=600 * (number + 1)))
+    forget(placed)
 
     def seen(at: datetime) -> DataFrame:
         alive = tracking.unexpired(read_as_of(r.spark, root, at), at, LOCATION_TTL)

@@ -263,3 +263,17 @@ def test_keys_of_a_stopped_stream_are_those_it_still_holds(spark):
               [(3, "book", at(950), at(900))]]
     _, checkpoint = run_and_stop(processors.release_due(in_order(spark, chunks, schema, "stopped"), delay="10 minutes"), "stopped")
     assert {r.trip_id for r in state_keys(spark, checkpoint, "trip_id bigint").collect()} == {2, 3, None}
+
+
+def test_versions_read_pings_computed_once(spark, monkeypatch):
+    from kerbline.plans import streams
+    from kerbline.plans.catalog import QUERIES
+    from kerbline.sources.adapter import RideTables
+
+    upsert, read = streams.upsert_buckets, []
+    monkeypatch.setattr(streams, "upsert_buckets", lambda changes, *rest: (read.extend(changes.inputFiles()), upsert(changes, *rest)))
+    tables = RideTables(spark, "")
+    tables._built["driver_pings"] = spark.createDataFrame([(d, i, 1.0, 2.0) for i in range(40) for d in range(3)], "driver_id long, ping_id long, lat double, lng double")
+    out = QUERIES["src07_locations_at_instants"].build(tables)
+    assert out.columns == ["read_at", "driver_id", "ping_id", "lat", "lng", "updated_at"] and out.count() > 0
+    assert read and all("placed-pings" in f for f in read)
