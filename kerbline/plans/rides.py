@@ -12,7 +12,7 @@ from kerbline.functions.fares import whole_minutes
 from kerbline.operators import dashboards, notify, payments, pricing, quality, ratings, tracking, trips, views
 from kerbline.operators.areas import assign_area, last_known_locations
 from kerbline.plans.registry import query
-from kerbline.session import fresh_folder
+from kerbline.session import forget, fresh_folder, written
 from kerbline.sinks.logs import append_batch
 from kerbline.sources.adapter import RideTables, haversine_km_sql
 
@@ -482,9 +482,10 @@ def _(r: RideTables) -> DataFrame:
 @query("snk05_inbox_append", "SNK-05", "trip_status_history trips payments", _NOTE_SQL + "SELECT user_id, type, data_json, false AS is_read, created_at, count(*) AS n FROM note GROUP BY ALL")
 def _(r: RideTables) -> DataFrame:
     root = fresh_folder(r.spark, "inbox")
-    rows = notify.inbox_rows(_notifications(r))
+    rows = written(notify.inbox_rows(_notifications(r)), "inbox-rows")  # joined once for all batches
     for batch_id in (0, 1, 2, 1):  # the second batch is replayed
         append_batch(rows.filter(F.pmod("user_id", F.lit(3)) == batch_id), root, batch_id)
+    forget(rows)
     return (r.spark.read.schema(rows.schema).parquet(f"{root}/*").groupBy("user_id", "type", "data_json", "is_read", "created_at")
             .agg(F.count(F.lit(1)).alias("n")))
 

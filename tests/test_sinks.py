@@ -150,3 +150,21 @@ def test_retention_of_weeks_an_empty_log_and_batches_of_old_rows_only(spark):
     assert ids(spark, root) == [2]
     with pytest.raises(ValueError):
         expire_log(spark, root, START, "ts", "week", grain="hour")
+
+
+def test_inbox_batches_read_notifications_joined_once(spark, monkeypatch):
+    from datetime import datetime
+
+    from kerbline.plans import rides
+    from kerbline.plans.catalog import QUERIES
+    from kerbline.sources.adapter import RideTables
+
+    append, read, now = rides.append_batch, [], datetime(2024, 1, 1)
+    monkeypatch.setattr(rides, "append_batch", lambda df, *rest: (read.append(df.inputFiles()), append(df, *rest)))
+    tables = RideTables(spark, "")
+    tables._built["trips"] = spark.createDataFrame([(i, i % 4, 100 + i, None) for i in range(9)], "id long, passenger_id long, driver_id long, final_fare decimal(10,0)")
+    tables._built["trip_status_history"] = spark.createDataFrame([(i, i, "ACCEPTED", now) for i in range(9)], "id long, trip_id long, to_status string, changed_at timestamp")
+    tables._built["payments"] = spark.createDataFrame([], "trip_id long, status string, amount decimal(10,0), paid_at timestamp")
+    rows = QUERIES["snk05_inbox_append"].build(tables).collect()
+    assert {r.user_id for r in rows} >= {0, 1, 2, 3} and sum(r.n for r in rows) >= 9
+    assert len(read) == 4 and all("inbox-rows" in f for files in read for f in files)
