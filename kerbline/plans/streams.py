@@ -139,7 +139,7 @@ UNION ALL SELECT 'latest', count(*), CAST(sum(trip_id % 1000003) AS BIGINT) FROM
 UNION ALL SELECT 'topics', count(*), CAST(sum(trip_id % 1000003) AS BIGINT) FROM att WHERE trip_id IS NOT NULL""")
 def _(r: RideTables) -> DataFrame:
     root = fresh_folder(r.spark, "ingest")
-    run_batches(as_feed(r.driver_pings, "driver_pings", files_per_trigger=1), "str02", feeds.ping_ingest(lambda: r.trips, root))
+    run_batches(as_feed(r.driver_pings, "driver_pings", batches=5), "str02", feeds.ping_ingest(lambda: r.trips, root))
 
     def part(name: str, df: DataFrame, key) -> DataFrame:
         return df.agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("n"), F.sum(key % 1000003).alias("key_sum"))

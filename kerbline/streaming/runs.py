@@ -9,7 +9,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kerbline.model import FEED_SCHEMAS
-from kerbline.session import forget, fresh_folder, written
+from kerbline.session import forget, fresh_folder, list_folders, written
 from kerbline.sources.tables import read_feed
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -47,10 +47,14 @@ def as_stream(df: DataFrame, label: str, files_per_trigger: int | None = None) -
     return reader.parquet(land(df, label))
 
 
-def as_feed(df: DataFrame, name: str, files_per_trigger: int | None = None) -> DataFrame:
-    """The rows of ``df`` landed under the declared schema of feed ``name`` and read by the feed's reader; absent columns are null."""
+def as_feed(df: DataFrame, name: str, batches: int | None = None) -> DataFrame:
+    """The rows of ``df`` landed under the declared schema of feed ``name`` and read by the feed's reader; absent columns are null.
+
+    With ``batches``, the landed files come in at most so many micro-batches, however many files there are."""
     shaped = df.select(*[(df[f.name] if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in FEED_SCHEMAS[name]])
-    return read_feed(df.sparkSession, land(shaped, name), name, files_per_trigger=files_per_trigger)
+    folder = land(shaped, name)
+    files = None if batches is None else max(1, math.ceil(len(list_folders(df.sparkSession, f"{folder}/part-*")) / batches))
+    return read_feed(df.sparkSession, folder, name, files_per_trigger=files)
 
 
 def as_late_stream(df: DataFrame, label: str, ts: str, key: str, batches: int = 5, skew_seconds: int = 20, file_rows: int = 1_000_000) -> DataFrame:

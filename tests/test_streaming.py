@@ -265,6 +265,15 @@ def test_keys_of_a_stopped_stream_are_those_it_still_holds(spark):
     assert {r.trip_id for r in state_keys(spark, checkpoint, "trip_id bigint").collect()} == {2, 3, None}
 
 
+def test_feeds_come_in_few_batches_however_many_files_they_have(spark):
+    from kerbline.streaming.runs import as_feed
+
+    seen = []
+    pings = spark.range(200).selectExpr("id AS driver_id", "timestamp_seconds(id) AS ts").repartition(13)
+    run_batches(as_feed(pings, "driver_pings", batches=4), "feed", lambda df, n: seen.append({r.driver_id for r in df.collect()}))
+    assert len(seen) == 4 and set().union(*seen) == set(range(200)) and sum(map(len, seen)) == 200
+
+
 def test_versions_read_pings_computed_once(spark, monkeypatch):
     from kerbline.plans import streams
     from kerbline.plans.catalog import QUERIES
