@@ -57,7 +57,7 @@ def as_feed(df: DataFrame, name: str, batches: int | None = None) -> DataFrame:
     return read_feed(df.sparkSession, folder, name, files_per_trigger=files)
 
 
-def as_late_stream(df: DataFrame, label: str, ts: str, key: str, batches: int = 5, skew_seconds: int = 20, file_rows: int = 1_000_000) -> DataFrame:
+def as_late_stream(df: DataFrame, label: str, ts: str, key: str, batches: int = 5, skew_seconds: int = 20, file_rows: int = 100_000) -> DataFrame:
     """The rows of ``df`` as a stream of ``batches`` micro-batches in rough time order.
 
     Keys are out of step: odd ones run ``skew_seconds`` behind even ones, so a batch holds times that its neighbours hold too.

@@ -274,6 +274,15 @@ def test_feeds_come_in_few_batches_however_many_files_they_have(spark):
     assert len(seen) == 4 and set().union(*seen) == set(range(200)) and sum(map(len, seen)) == 200
 
 
+def test_late_batches_of_many_rows_are_read_by_several_tasks(spark):
+    from kerbline.streaming.runs import as_late_stream
+
+    rows = spark.range(300_000).selectExpr("id AS k", "timestamp_seconds(id) AS ts")
+    seen = []
+    run_batches(as_late_stream(rows, "late", "ts", "k", batches=2), "late", lambda df, n: seen.append((df.count(), df.select(F.input_file_name()).distinct().count())))
+    assert sum(n for n, _ in seen) == 300_000 and [files for _, files in seen] == [2, 2]
+
+
 def test_versions_read_pings_computed_once(spark, monkeypatch):
     from kerbline.plans import streams
     from kerbline.plans.catalog import QUERIES
