@@ -10,6 +10,7 @@ from kerbline.functions.geo import metres
 from kerbline.functions.text import ids_to_csv
 from kerbline.operators import attempts, dashboards, matching, nearest, views
 from kerbline.plans.registry import query
+from kerbline.session import written
 from kerbline.sources.adapter import RideTables, haversine_km_sql
 
 AS_OF = datetime(2024, 1, 1)
@@ -180,7 +181,8 @@ def _(r: RideTables) -> DataFrame:
 def _(r: RideTables) -> DataFrame:
     # Requests spread over a week, drivers free again a quarter of an hour after accepting.
     requests = r.match_requests.select("trip_id", (F.col("requested_at") + F.make_dt_interval(secs=F.col("trip_id") * 7919 % 604_800)).alias("requested_at"))
-    ranked = matching.candidates(r.match_requests, r.online_drivers, AS_OF)
+    # Read twice: as wishes and for the reactions.
+    ranked = written(matching.candidates(r.match_requests, r.online_drivers, AS_OF).select("trip_id", "driver_id", "distance_m", "rank"), "attempt-candidates")
     kind = (F.col("trip_id") + F.col("driver_id")) % 6
     reactions = ranked.filter(kind != 0).select("trip_id", "driver_id", F.when(kind.isin(2, 5), "REJECT").otherwise("ACCEPT").alias("decision"),
                                                 F.when(kind == 3, 31).when(kind == 5, 30).otherwise(kind * 4).alias("after_seconds"))

@@ -69,3 +69,45 @@ def test_no_requests_make_no_offers(spark):
     ranked = spark.createDataFrame([], "trip_id long, driver_id long, distance_m long, rank int")
     told = spark.createDataFrame([], "trip_id long, driver_id long, decision string, after_seconds int")
     assert attempts.match_attempts(asked, ranked, told).count() == 0
+
+
+def run(spark, requests, wishes, reactions, **more):
+    asked = spark.createDataFrame([(trip, START + timedelta(seconds=t)) for trip, t in requests], "trip_id long, requested_at timestamp")
+    ranked = spark.createDataFrame([(trip, d, 100 * r, r) for trip, w in wishes.items() for r, d in w], "trip_id long, driver_id long, distance_m long, rank int")
+    told = spark.createDataFrame([(*k, *v) for k, v in reactions.items()], "trip_id long, driver_id long, decision string, after_seconds int")
+    seconds = lambda x: int((x - START).total_seconds())
+    made = attempts.match_attempts(asked, ranked, told, busy_seconds=200, **more).collect()
+    return sorted((r["trip_id"], r["attempt"], r["driver_id"], seconds(r["offered_at"]), r["state"], seconds(r["settled_at"])) for r in made)
+
+
+def test_a_long_chain_of_conflicts_takes_no_more_steps(spark, monkeypatch):
+    steps = []
+    monkeypatch.setattr(attempts, "written", lambda df, label, f=attempts.written: (steps.append(label), f(df, label))[1])
+    taken = []
+    for trips in (3, 15):
+        # Every trip asks for the same two drivers, each while the one before holds one of them.
+        requests, wishes = [(t, 20 * t) for t in range(trips)], {t: [(1, 5), (2, 6)] for t in range(trips)}
+        reactions = {(t, 5): ("REJECT", 25) for t in range(trips)}
+        steps.clear()
+        assert run(spark, requests, wishes, reactions, slice_seconds=10_000) == one_by_one(requests, wishes, reactions, 30, 200)
+        taken.append(len(steps))
+    assert taken[0] == taken[1]
+
+
+@pytest.mark.parametrize("most_wishes", [0, 30])
+def test_groups_too_large_for_a_task_go_by_rounds(spark, monkeypatch, most_wishes):
+    rng = random.Random(11)
+    # 40 trips share four drivers, the others have drivers of their own, some of them asked again after a long pause.
+    requests = [(t, rng.randrange(0, 600)) for t in range(40)] + [(100 + t, 70 * t) for t in range(8)] + [(200 + t, 50_000 + 30 * t) for t in range(8)]
+    wishes = {t: list(enumerate(rng.sample(range(4) if t < 100 else range(10, 13), 3), 1)) for t, _ in requests}
+    reactions = {(t, d): (rng.choice(["ACCEPT", "REJECT"]), rng.choice([0, 10, 30, 31])) for t, w in wishes.items() for _, d in w if rng.random() < 0.7}
+    played, by_rounds = [], attempts._by_rounds
+    monkeypatch.setattr(attempts, "_by_rounds", lambda requests, *more: (played.append(requests.count()), by_rounds(requests, *more))[1])
+    assert run(spark, requests, wishes, reactions, slice_seconds=600, most_wishes=most_wishes) == one_by_one(requests, wishes, reactions, 30, 200)
+    assert played == [56 if most_wishes == 0 else 40]
+
+
+def test_repeated_rows_make_no_second_offers(spark):
+    requests, wishes = [(1, 0), (2, 0), (1, 0)], {1: [(1, 5), (1, 5), (2, 6)], 2: [(1, 5), (2, 6)]}
+    reactions = {(1, 5): ("REJECT", 4)}
+    assert run(spark, requests, wishes, reactions) == [(1, 1, 5, 0, "REJECTED", 4), (2, 1, 6, 0, "TIMEOUT", 30), (2, 2, 5, 30, "TIMEOUT", 60)]
