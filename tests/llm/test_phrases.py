@@ -66,7 +66,7 @@ def test_collocations_match_plain_counts_and_their_sql(spark, rows, tmp_path):
 
 
 def test_many_small_blocks_of_many_languages_give_the_same(spark, rows):
-    many = [(i, t, f"{l}{i % 2}") for i, t, l in rows]
+    many = [(i, t, f"{l}{(i or 0) % 2}") for i, t, l in rows]
     df = spark.createDataFrame(many, SCHEMA).repartition(9)
     got = phrases.collocations(df, least=5, top=100_000, longest=4).collect()
     assert sorted(map(tuple, got), key=str) == sorted(plain(many, 5, 100_000, longest=4), key=str)
