@@ -11,6 +11,7 @@ from kerbline.operators import matching, tracking, trips
 from kerbline.operators.dashboards import surge_factor
 from kerbline.operators.notify import topic_name
 from kerbline.sinks.logs import append_absent, append_batch, fold_snapshot, read_snapshot, upsert_snapshot
+from kerbline.streaming import processors
 
 
 def offers_with_responses(offers: DataFrame, responses: DataFrame, longest_seconds: int = 600, delay: str = "1 minute") -> DataFrame:
@@ -18,14 +19,7 @@ def offers_with_responses(offers: DataFrame, responses: DataFrame, longest_secon
 
     ``longest_seconds`` bounds the life of any offer, so that state can be dropped.
     """
-    asked = offers.withWatermark("offered_at", delay).alias("o")
-    told = responses.withWatermark("ts", delay).alias("r")
-    in_time = ((F.col("o.trip_id") == F.col("r.trip_id")) & (F.col("o.driver_id") == F.col("r.driver_id"))
-               & (F.col("r.ts") >= F.col("o.offered_at"))
-               & (F.col("r.ts") <= F.col("o.expires_at"))
-               & (F.col("r.ts") <= F.col("o.offered_at") + F.expr(f"INTERVAL {longest_seconds} SECONDS")))
-    return asked.join(told, in_time, "left_outer").select(
-        "o.trip_id", "o.attempt", "o.driver_id", F.col("r.decision").alias("decision"), F.col("r.ts").alias("responded_at"))
+    return processors.answers(offers, responses, longest_seconds, delay)
 
 
 def first_callbacks(callbacks: DataFrame, delay: str = "1 hour") -> DataFrame:

@@ -6,7 +6,9 @@ import json
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -16,7 +18,29 @@ BUCKETS = 1024
 _WHOLE = {"ignoreNullFields": "false"}
 
 
-class InOrder(StatefulProcessor):
+class Woken(StatefulProcessor):
+    """State of a hash bucket of keys, with one event-time timer: at the first instant at which anything of it changes."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.timer = handle.getValueState("timer", "at bigint")
+
+    def _wake(self, at: int | None, upto: int) -> None:
+        # What is due just now but outlives the instant is looked at again right after it.
+        at = None if at is None else max(at, upto + 1)
+        timer = self.timer.get()
+        if timer and timer[0] == at:
+            return
+        if timer:
+            self.handle.deleteTimer(timer[0])
+        if at is not None:
+            self.timer.update((at,))
+            self.handle.registerTimer(at)
+        elif timer:
+            self.timer.clear()
+
+
+class InOrder(Woken):
     """Events of a key handled strictly in event time, whatever batches they come in.
 
     Events wait until the watermark passes them, then are handed to ``apply`` in order; ``lapse`` tells what the passing of
@@ -30,10 +54,9 @@ class InOrder(StatefulProcessor):
     output: str
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+        super().init(handle)
         self.waiting = handle.getValueState("waiting", "keys array<string>, at array<bigint>, events array<string>")
         self.held = handle.getValueState("held", "keys array<string>, due array<bigint>, held array<string>")
-        self.timer = handle.getValueState("timer", "at bigint")
 
     def apply(self, key: tuple, held: tuple | None, event: tuple) -> tuple[list[tuple], tuple | None]:
         """Rows of an event (its fields as the stream lists them, time in ms first), and what is held from then on."""
@@ -93,20 +116,6 @@ class InOrder(StatefulProcessor):
             out += rows
         return held
 
-    def _wake(self, at: int | None, upto: int) -> None:
-        # What is due just now but outlives the instant is looked at again right after it.
-        at = None if at is None else max(at, upto + 1)
-        timer = self.timer.get()
-        if timer and timer[0] == at:
-            return
-        if timer:
-            self.handle.deleteTimer(timer[0])
-        if at is not None:
-            self.timer.update((at,))
-            self.handle.registerTimer(at)
-        elif timer:
-            self.timer.clear()
-
     def lapses_before(self, held: tuple, at: int, event: tuple | None = None) -> bool:
         """Whether the held value lapses before ``event`` at ``at``, or by ``at`` if there is none."""
         due = self.due(held)
@@ -223,6 +232,143 @@ def offer_clock(offers: DataFrame, responses: DataFrame, offer_delay: str = "1 m
     return run_in_order(events, OfferClock())
 
 
+class Answers(Woken):
+    """Offers and their drivers' answers, joined as they come: each offer with every answer from its time to its ``until``, and
+    with none once the watermark has passed ``longest`` after it.
+
+    Rows travel and wait as Arrow: :meth:`pack` makes one row of the rows of a task for a bucket, and all rows of a bucket that can still
+    meet others lie in one state row. A batch meets them in one sort, not key by key.
+    """
+
+    output = "trip_id bigint, attempt int, driver_id bigint, decision string, answered_at bigint, blank tinyint"
+    PACK, PACK_ROWS = "bucket int, ts timestamp, rows binary", 500_000
+    ROW = {"trip_id": "int64", "driver_id": "int64", "answer": "int8", "attempt": "int32", "decision": "string", "at": "int64", "until": "int64", "blank": "int8", "met": "int8"}
+    #: Bits of ``blank``: columns that are null. Whole numbers go through Python without nulls, which would make them floats.
+    NO_TRIP, NO_DRIVER, NO_ATTEMPT, NO_ANSWER = 1, 2, 4, 8
+
+    def __init__(self, longest_seconds: int):
+        self.longest = longest_seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.kept = handle.getValueState("kept", "rows binary, passed bigint")
+
+    @classmethod
+    def pack(cls, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows ``(bucket, *ROW)`` of a task as one row for each bucket of every ``PACK_ROWS`` rows, at the latest time of its rows."""
+        waiting, count = [], 0
+        for batch in batches:
+            waiting.append(batch)
+            count += batch.num_rows
+            if count >= cls.PACK_ROWS:
+                yield cls._packed(waiting)
+                waiting, count = [], 0
+        if count:
+            yield cls._packed(waiting)
+
+    @classmethod
+    def _packed(cls, batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(batches)
+        bucket = table["bucket"].to_numpy()
+        order = np.argsort(bucket, kind="stable")
+        rows, bucket = table.select(list(cls.ROW)).take(order).combine_chunks(), bucket[order]
+        starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        latest = np.maximum.reduceat(rows["at"].to_numpy(), starts)
+        packs = [cls._bytes(rows.slice(i, j - i)) for i, j in zip(starts, [*starts[1:], len(bucket)])]
+        return pa.record_batch([pa.array(bucket[starts], pa.int32()), pa.array(latest, pa.timestamp("us", "UTC")), pa.array(packs, pa.binary())], ["bucket", "ts", "rows"])
+
+    @staticmethod
+    def _bytes(rows: pa.Table) -> bytes:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd", use_threads=False)) as writer:
+            writer.write_table(rows)
+        return sink.getvalue().to_pybytes()
+
+    @classmethod
+    def _arrays(cls, pack: bytes) -> dict[str, np.ndarray]:
+        rows = pa.ipc.open_stream(pack).read_all()
+        return {c: rows[c].to_numpy() for c in cls.ROW}
+
+    @staticmethod
+    def meet(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the offers and answers that belong together. Offers open and close among the answers of their key in time."""
+        asked, told = np.flatnonzero(rows["answer"] == 0), np.flatnonzero(rows["answer"])
+        n, mark = len(asked), np.concatenate([asked, told, asked])
+        kind = np.repeat([0, 1, 2], [n, len(told), n])  # an answer of the very instant of the offer or its end is in time
+        time = np.concatenate([rows["at"][asked], rows["at"][told], rows["until"][asked]])
+        order = np.lexsort((kind, time, rows["driver_id"][mark], rows["trip_id"][mark]))
+        is_answer = kind[order] == 1
+        before = np.empty(len(order), dtype=np.int64)
+        before[order] = np.cumsum(is_answer)
+        first, count = before[:n], np.maximum(before[len(mark) - n:] - before[:n], 0)
+        within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        return np.repeat(asked, count), mark[order[is_answer]][np.repeat(first, count) + within]
+
+    def _drain(self, watermark: int, packs: Iterator[bytes] = ()) -> Iterator[pd.DataFrame]:
+        kept, passed = self.kept.get() or (None, 0)
+        parts = [self._arrays(pack) for pack in ([kept] if kept else []) + list(packs)]
+        if not parts:
+            return
+        rows = {c: np.concatenate([part[c] for part in parts]) for c in self.ROW}
+        old = np.arange(len(rows["at"])) < (len(parts[0]["at"]) if kept else 0)
+        # Spark lets a pack in for its latest row; those the watermark had passed when the bucket last let go of rows are too late.
+        timely = old | (rows["at"] > passed * 1000)
+        rows, old = {c: values[timely] for c, values in rows.items()}, old[timely]
+        offer, answer = self.meet(rows)
+        rows["met"][offer] = 1
+        fresh = ~(old[offer] & old[answer])
+        # An answer meets no offer after it, and what comes from now on is after the watermark.
+        ends = rows["at"] + np.where(rows["answer"], 0, self.longest)
+        stay = ends > watermark * 1000
+        alone = np.flatnonzero(~stay & (rows["answer"] == 0) & (rows["met"] == 0))
+        rest = pa.table({c: pa.array(rows[c][stay], pa.type_for_alias(kind), from_pandas=True) for c, kind in self.ROW.items()})
+        self.kept.update((self._bytes(rest) if stay.any() else None, watermark))
+        self._wake(-(-int(ends[stay].min()) // 1000) if stay.any() else None, watermark)
+        o, a = np.concatenate([offer[fresh], alone]), np.concatenate([answer[fresh], alone])
+        if len(o):
+            yield pd.DataFrame({"trip_id": rows["trip_id"][o], "attempt": rows["attempt"][o], "driver_id": rows["driver_id"][o], "decision": rows["decision"][a],
+                                "answered_at": rows["at"][a], "blank": rows["blank"][o] + np.where(rows["answer"][a], 0, self.NO_ANSWER)})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        yield from self._drain(timerValues.getCurrentWatermarkInMs(), (pack for f in rows for pack in f["rows"]))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.timer.clear()
+        yield from self._drain(timerValues.getCurrentWatermarkInMs())
+
+
+def answers(offers: DataFrame, responses: DataFrame, longest_seconds: int, delay: str) -> DataFrame:
+    """Left outer stream join of offers with answers of their trip and driver, from the offer to its expiry and ``longest_seconds`` at most.
+
+    Each feed has its own watermark; the slower one holds the clock. Rows without a time join nothing and never end, so they are left out.
+    """
+    bits = {"trip_id": Answers.NO_TRIP, "driver_id": Answers.NO_DRIVER, "attempt": Answers.NO_ATTEMPT}
+    keyed = F.col("trip_id").isNotNull() & F.col("driver_id").isNotNull()
+
+    def packed(rows: DataFrame, ts: str, answer: int, attempt: Column, decision: Column, until: Column) -> DataFrame:
+        # Offers without a key go by their time, so that many of them do not share a bucket.
+        bucket = F.pmod(F.xxhash64("trip_id", "driver_id", F.when(~keyed, F.col(ts))), F.lit(BUCKETS)).cast("int")
+        blank = sum((F.when(F.col(c).isNull(), bit).otherwise(0) for c, bit in bits.items()), F.lit(0))
+        whole = {c: F.coalesce(F.col(c), F.lit(0)).cast(kind).alias(c) for c, kind in (("trip_id", "bigint"), ("driver_id", "bigint"), ("attempt", "int"))}
+        return (rows.withColumn("attempt", attempt).filter(F.col(ts).isNotNull())
+                .select(bucket.alias("bucket"), whole["trip_id"], whole["driver_id"], F.lit(answer).cast("tinyint").alias("answer"), whole["attempt"], decision.alias("decision"),
+                        F.unix_micros(ts).alias("at"), F.unix_micros(until).alias("until"), blank.cast("tinyint").alias("blank"), F.lit(0).cast("tinyint").alias("met"))
+                .mapInArrow(Answers.pack, Answers.PACK).withWatermark("ts", delay))
+
+    ends = F.least("expires_at", F.col("offered_at") + F.expr(f"INTERVAL {longest_seconds} SECONDS"))
+    # What can have no answer ends before it begins.
+    until = F.when(keyed & F.col("expires_at").isNotNull(), ends).otherwise(F.col("offered_at") - F.expr("INTERVAL 1 SECOND"))
+    asked = packed(offers, "offered_at", 0, F.col("attempt"), F.lit(None).cast("string"), until)
+    told = packed(responses.filter(keyed), "ts", 1, F.lit(0), F.col("decision"), F.col("ts"))
+    out = asked.unionByName(told).groupBy("bucket").transformWithStateInPandas(Answers(longest_seconds), Answers.output, "append", "EventTime")
+
+    def unless(bit: int, column: Column) -> Column:
+        return F.when(F.col("blank").bitwiseAND(F.lit(bit)) == 0, column)
+
+    return out.select(*[unless(bits[c], F.col(c)).alias(c) for c in ("trip_id", "attempt", "driver_id")], "decision",
+                      unless(Answers.NO_ANSWER, F.timestamp_micros("answered_at")).alias("responded_at"))
+
+
 class Lives(InOrder):
     """The latest value of a key, each with a life of its own: a new value ends the old one's life, as a store's expiry does."""
 

@@ -1,5 +1,6 @@
 """Streams in several micro-batches against batch forms and plain replays; sinks on retry."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -82,6 +83,40 @@ def test_stream_join_gives_timeouts(spark):
     assert sorted((r.trip_id, r.decision) for r in out.collect()) == [(1, "ACCEPT"), (2, None)]
 
 
+def test_stream_join_equals_all_pairs(spark, monkeypatch):
+    # Several offers of a key, equal rows, nulls, answers to the instant; each feed is cut into batches of its own.
+    monkeypatch.setattr(processors, "BUCKETS", 5)
+    monkeypatch.setattr(processors.Answers, "PACK_ROWS", 40)
+    pick = random.Random(7)
+
+    def some(values, nulls=0.1):
+        return None if pick.random() < nulls else pick.choice(values)
+
+    big = 2**60 + 1  # not a whole number that a float holds
+    offers, told = [], []
+    for n in range(150):
+        start = at(n * 4)
+        offers.append((some([0, 1, big]), some([10, 11]), some([1, 2]), some([start], 0.05), some([start + timedelta(seconds=30), start - timedelta(seconds=1), start + timedelta(seconds=900)])))
+        told.append((some([0, 1, big]), some([10, 11]), some(["ACCEPT", "REJECT"]), some([start, start + timedelta(seconds=30, microseconds=pick.choice([0, 1]))])))
+    offers += offers[20:40]
+    told += told[30:50]
+
+    def cut(rows, time, size):
+        rows = sorted(rows, key=lambda r: r[time] or BASE)
+        return [rows[i:i + size] for i in range(0, len(rows), size)]
+
+    asked = in_order(spark, [*cut(offers, 3, 60), [(-1, -1, 1, at(99_999), at(99_999))]], OFFER, "offers")
+    heard = in_order(spark, [*cut(told, 3, 45), [(-2, -2, "ACCEPT", at(99_999))]], REPLY, "replies")
+    out = run_to_table(feeds.offers_with_responses(asked, heard), "joined").filter("coalesce(trip_id, 0) >= 0")
+
+    def meets(o, r):
+        return None not in (*o[:2], *o[3:], *r[:2], r[3]) and o[:2] == r[:2] and o[3] <= r[3] <= min(o[4], o[3] + timedelta(seconds=600))
+
+    wanted = [(*(o[0], o[2], o[1]), *r) for o in offers if o[3] for r in ([(r[2], r[3]) for r in told if meets(o, r)] or [(None, None)])]
+    assert sum(r[4] is not None for r in wanted) > 100 and sum(r[4] is None for r in wanted) > 20
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, wanted))
+
+
 def test_locks_carry_over_windows(spark):
     from tests.test_matching import drivers
 
@@ -254,6 +289,34 @@ def test_keys_of_a_bucket_share_their_state_calls():
         list(machine.handleInputRows((7,), iter([pd.DataFrame([("{}", 5, "[]"), ("{}", None, "[]")], columns=["key", "at", "event"])]), Clock(0)))
 
 
+def test_offers_and_answers_of_a_bucket_share_their_state_calls(monkeypatch):
+    import pandas as pd
+    import pyarrow as pa
+
+    monkeypatch.setattr(processors.Answers, "PACK_ROWS", 500)
+    join, handle = processors.Answers(600), Handle()
+    join.init(handle)
+
+    def packs(rows):
+        # (trip, answer or not, time in s): all of one bucket, in batches of 100 rows.
+        made = [{"bucket": 7, "trip_id": t, "driver_id": 9, "answer": a, "attempt": 1 - a, "decision": "ACCEPT" if a else None, "at": s * 1_000_000,
+                 "until": (s + 30) * 1_000_000, "blank": 0, "met": 0} for t, a, s in rows]
+        out = list(processors.Answers.pack(iter([pa.RecordBatch.from_pylist(made[i:i + 100]) for i in range(0, len(made), 100)])))
+        assert len(out) == -(-len(made) // 500) and {b for p in out for b in p["bucket"].to_pylist()} == {7}
+        return iter([p.select(["ts", "rows"]).to_pandas() for p in out])
+
+    made = pd.concat(join.handleInputRows((7,), packs([(t, 0, 100) for t in range(2000)] + [(t, 1, 130) for t in range(500)]), Clock(0)))
+    assert sorted(made.trip_id) == list(range(500)) and set(made.blank) == {0} and handle.calls < 10 and handle.timers == {100_000 + 30_000}
+    # An answer to the instant of the expiry counts, a second answer too; one after it and one that the watermark passed do not.
+    made = pd.concat(join.handleInputRows((7,), packs([(700, 1, 130), (0, 1, 120), (701, 1, 131), (702, 1, 90)]), Clock(95_000)))
+    assert sorted(made.trip_id) == [0, 700] and handle.calls < 20
+    assert not list(join.handleInputRows((7,), packs([(703, 1, 95), (703, 0, 94)]), Clock(140_000))) and handle.timers == {700_000}
+    handle.timers.clear()
+    made = pd.concat(join.handleExpiredTimer((7,), Clock(700_000), None))
+    assert sorted(made.trip_id) == [t for t in range(500, 2000) if t != 700] and set(made.blank) == {processors.Answers.NO_ANSWER} and set(made.decision) == {None}
+    assert handle.values == {"kept": (None, 700_000)} and not handle.timers and handle.calls < 35
+
+
 def test_keys_of_a_stopped_stream_are_those_it_still_holds(spark):
     from kerbline.streaming.runs import run_and_stop, state_keys
 
